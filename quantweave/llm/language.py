@@ -2,7 +2,7 @@
 
 A dictionary is a bounded piece of the text of one language. A whole text is cut into blocks; each block is
 compressed with every dictionary, and the language with the smallest sum is chosen. A text whose two best
-sums lie close together is rejected.
+sums lie close together is rejected. Texts and dictionaries are lower-cased first.
 
 Defined cases: a null text and a text without a letter get `und`, score 0, and are rejected; ties go to the
 language with more learned documents, then by name; with nothing to learn from every row is `und`; an empty
@@ -31,15 +31,17 @@ class LanguageModel:
 
     languages: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
-    level: int = 1
+    level: int = 6
+    #: The shortest match: four bytes, so that parts of words count.
+    match: int = 4
     block: int = 8192
     #: Bytes of compressed size that count as one nat when sums are turned into a score.
     scale: float = 6.0
     #: The least difference of the best two sums, as a share of the best.
-    margin: float = 0.004
+    margin: float = 0.001
 
 
-def fit(docs: DataFrame, per_language: int = 200, per_text: int = 2000, size: int = 110_000, languages: int = 200, **options) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 250, per_text: int = 500, size: int = 64_000, languages: int = 200, **options) -> LanguageModel:
     """Dictionaries from learned rows: at most `per_language` texts of a language, `per_text` characters of
     each, `size` bytes in all; at most `languages` languages, the most frequent first. These bounds are the
     sample that the model is fitted on; scoring reads whole texts.
@@ -55,7 +57,7 @@ def fit(docs: DataFrame, per_language: int = 200, per_text: int = 2000, size: in
     # Spark keeps `per_language` rows a language in each map task before the shuffle; texts aren't shuffled
     chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).filter(F.col("lang").isin(names))
     ids = [r["doc_id"] for r in chosen.select("doc_id").collect()]
-    sample = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, per_text).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
+    sample = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.lower(F.substring("text", 1, per_text)).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
     pieces: dict[str, list[str]] = {name: [] for name in names}
     for r in sorted(sample, key=lambda r: (r["h"], r["text"])):
         if r["lang"] in pieces:
@@ -71,13 +73,14 @@ def scorer(model: LanguageModel):
     packers = []
     for data in model.dictionaries:
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=model.level)
-        packers.append(zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        how = zstandard.ZstdCompressionParameters.from_level(model.level, source_size=model.block, dict_size=len(data), min_match=model.match, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(compression_params=how)
+        packers.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
 
     def score(text: str | None) -> tuple[str, float, float]:
         if not packers or text is None or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
-        data = text.encode()
+        data = text.lower().encode()
         blocks = [data[i : i + model.block] for i in range(0, len(data), model.block)]
         sums = [sum(len(p.compress(b)) for b in blocks) for p in packers]
         best = min(range(len(sums)), key=sums.__getitem__)  # the first of equals
