@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, bpe, decontaminate, language, nearjoin, secrets, unigram
+from . import annsearch, bpe, cotraining, decontaminate, extraction, language, nearjoin, secrets, toxicity, unigram
 from .common import table
 
 
@@ -14,6 +14,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(table(spark, sf_dir, "documents")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
@@ -45,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op5_language_id, op6_ngram_jaccard, op7_ann_search, op8_token_counts, op9_byte_bpe, op10_decontaminate)
+    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_toxicity, op4_html_extract, op5_language_id, op6_ngram_jaccard, op7_ann_search, op8_token_counts, op9_byte_bpe, op10_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {}
