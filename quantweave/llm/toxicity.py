@@ -1,7 +1,8 @@
 """Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first four and five characters of longer words, of which those are kept that tell the
-labels apart (chi-square on the labelled sample). Document frequencies are counted over all documents. Examples
+Terms are words and the first three to six characters of longer words, of which those are kept that toxic texts
+have more often (chi-square on the labelled sample), and the length in words, so that one chance hit in a long text
+lies far from many hits in a short one. Document frequencies are counted over all documents. Examples
 with the same vector are one entry with counts of labels. Each term has an inverted list of entries, cut into
 blocks with the largest weight of each: blocks are visited by falling upper bound until none can better the k-th
 best, so the k nearest are exact. Votes weigh by nearness; a monotone map, fitted on votes that leave the example
@@ -11,12 +12,11 @@ The labelled sample is bounded by `examples` rows, in the order of a hash of the
 
 Defined cases: null, empty and wordless texts have no terms; labels that are null or without a document teach
 nothing; of repeated labels the larger counts; with nothing learned every score is 0; ties between entries go to
-the one that comes first by its least doc_id; an empty table gives no rows; of other columns none is read.
+the one that comes first in the order of their terms; an empty table gives no rows; of other columns none is read.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -29,59 +29,72 @@ from pyspark.sql import functions as F
 from .common import Memo, held_out, per_batch, stored, text_bytes, words_of
 
 
+#: The pseudo-term of a text's length, and the weight of an octave of it.
+LENGTH, LENGTH_WEIGHT = -1, 1.0
+
+
+def length_of(words: int) -> int:
+    return round(8 * math.log2(1 + words))
+
+
 def terms_of(word: bytes) -> tuple[str, ...]:
     """The word itself, and what it begins with if it is longer."""
     w = word.decode("utf-8", "replace")
-    return (w, *(f"{w[:n]}*" for n in (4, 5) if len(w) > n))
+    return (w, *(f"{w[:n]}*" for n in (3, 4, 5, 6) if len(w) > n))
 
 
 @dataclass
 class BlockMaxIndex:
-    """Entries (unit vectors as term -> weight) behind inverted lists with block maxima."""
+    """Entries (unit vectors as term -> weight) behind inverted lists that are cut into blocks with their maxima.
+
+    A block holds the lists of its own terms side by side, so that a visit sums all lists of a query at once.
+    """
 
-    size: int
+    size: int = 0
     block: int = 64
-    lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    place: dict[int, int] = field(default_factory=dict)  # term -> row of `most`
+    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # the largest weight of each term in each block
+    lists: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of each block: rows of its terms, weights (terms x entries)
 
     @staticmethod
     def build(entries: list[dict[int, float]], block: int = 64) -> BlockMaxIndex:
-        index = BlockMaxIndex(len(entries), block)
-        found: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(entries):
-            for term, weight in vector.items():
-                found.setdefault(term, []).append((i, weight))
-        for term, postings in found.items():
-            ids = np.array([p[0] for p in postings])
-            weights = np.array([p[1] for p in postings])
-            blocks, starts = np.unique(ids // block, return_index=True)
-            index.lists[term] = (ids, weights, blocks, np.append(starts, len(ids)), np.maximum.reduceat(weights, starts))
-        return index
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        place = {t: i for i, t in enumerate(sorted({t for e in entries for t in e}))}
+        n = -(-len(entries) // block)
+        most, lists = np.zeros((len(place), n)), []
+        for b in range(n):
+            part = entries[b * block : (b + 1) * block]
+            own = sorted({place[t] for e in part for t in e})
+            row = {r: i for i, r in enumerate(own)}
+            weights = np.zeros((len(own), len(part)))
+            for i, e in enumerate(part):
+                for t, w in e.items():
+                    weights[row[place[t]], i] = w
+            most[own, b] = weights.max(axis=1)
+            lists.append((np.array(own), weights))
+        return BlockMaxIndex(len(entries), block, place, most, lists)
+
+    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k entries of largest cosine above 0 as (cosine, entry), best first, ties to the smaller entry."""
-        bound = np.zeros(-(-self.size // self.block))
-        used = [(w, self.lists[t]) for t, w in query.items() if t in self.lists]
-        for w, (_, _, blocks, _, most) in used:
-            bound[blocks] += w * most
-        heap: list[tuple[float, int]] = []  # (cosine, -entry): the worst is first
+        used = [(self.place[t], w) for t, w in query.items() if t in self.place]
+        if not used:
+            return []
+        dense = np.zeros(len(self.place))
+        rows = [r for r, _ in used]
+        dense[rows] = [w for _, w in used]
+        bound = dense[rows] @ self.most[rows]
+        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(heap) == k and bound[b] < heap[0][0] - 1e-12:
+            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-11:
                 break
-            sums = np.zeros(self.block)
-            for w, (ids, weights, blocks, starts, _) in used:
-                at = int(np.searchsorted(blocks, b))
-                if at < len(blocks) and blocks[at] == b:
-                    part = slice(starts[at], starts[at + 1])
-                    sums[ids[part] - b * self.block] += w * weights[part]
-            for i in np.flatnonzero(sums > 0).tolist():
-                item = (round(float(sums[i]), 12), -(b * self.block + i))
-                if -item[1] == without:
-                    continue
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        return [(s, -i) for s, i in sorted(heap, reverse=True)]
+            own, weights = self.lists[b]
+            sums = np.round(dense[own] @ weights, 12)
+            least = best_s[-1] if len(best_s) == k else 0.0
+            near = np.flatnonzero((sums > 0) & (sums >= least))
+            if len(near):
+                s, i = np.concatenate([best_s, sums[near]]), np.concatenate([best_i, near + b * self.block])
+                order = np.lexsort((i, -s))[:k]
+                best_s, best_i = s[order], i[order]
+        return list(zip(best_s.tolist(), best_i.tolist()))
 
 
 @dataclass(frozen=True)
@@ -98,7 +111,8 @@ class ToxicityModel:
     k: int = 15
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
+        """Unit vector of term counts; LENGTH counts words, rounded to an eighth of an octave."""
+        v = {t: (1 + math.log(n)) * self.idf[t] if t != LENGTH else LENGTH_WEIGHT * n / 8 for t, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: float(x / norm) for t, x in v.items()}
 
@@ -141,29 +155,35 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 12_000, most_terms: int = 1000, least_df: int = 4, least_chi: float = 12.0, k: int = 15) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, most_terms: int = 1000, least_df: int = 4, least_chi: float = 25.0, k: int = 15) -> ToxicityModel:
     """Learn from labelled rows that aren't held out: at most `examples` of them, `most_terms` kept terms."""
     spark = docs.sparkSession
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
-    nothing = ToxicityModel({}, np.zeros(0), BlockMaxIndex(0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, np.array([0.0, 1.0]), np.array([0.0, 0.0]), k)
+    nothing = ToxicityModel({}, np.zeros(0), BlockMaxIndex(), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, np.array([0.0, 1.0]), np.array([0.0, 0.0]), k)
     if not chosen:
         return nothing
     sample = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int"))  # bounded by `examples`
 
-    def make():
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(sample, "doc_id")
+    texts = stored(texts).coalesce(16)
+    n, positive = texts.agg(F.count("*"), F.sum("toxic")).first()
+    if not n or not positive or positive == n:
+        return nothing
+
+    def make_terms():
         def work(batch: pa.RecordBatch) -> dict:
-            counts = [Counter(t for w in words_of(x) for t in terms_of(w)) for x in batch["text"].to_pylist()]
-            return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
+            every, toxic = Counter(), Counter()
+            for x, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+                own = {t for w in set(words_of(x)) for t in terms_of(w)}
+                every.update(own)
+                if label:
+                    toxic.update(own)
+            return {"term": list(every), "a": [toxic[t] for t in every], "d": list(every.values())}
 
         return work
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(sample, "doc_id")
-    bags = stored(per_batch(texts, "doc_id long, toxic int, terms array<string>, counts array<int>", make))
-    n, positive = bags.agg(F.count("*"), F.sum("toxic")).first()
-    if not n or not positive or positive == n:
-        return nothing
-    df = bags.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("d")).filter(F.col("d") >= least_df)
+    df = per_batch(texts, "term string, a long, d long", make_terms).groupBy("term").agg(F.sum("a").alias("a"), F.sum("d").alias("d")).filter(F.col("d") >= least_df)
     a, d, p = F.col("a").cast("double"), F.col("d").cast("double"), float(positive)
     chi = n * F.pow(a * (n - p - (d - a)) - (d - a) * (p - a), 2) / (d * F.greatest(n - d, F.lit(0.5)) * p * (n - p))
     # only terms that toxic texts have more often
@@ -190,23 +210,37 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 12_000, most_terms:
     freq = {r["term"]: r["n"] for r in every}
     idf = np.array([math.log((1 + freq[-1]) / (1 + freq.get(i, 0))) + 1 for i in range(len(terms))])
 
-    names = list(terms)
-    wanted = F.array(*[F.lit(t) for t in names])
-    rows = bags.select("doc_id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"])).alias("bag")).collect()
-    model = ToxicityModel(terms, idf, BlockMaxIndex(0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
+    def make_vectors():
+        lookup = lookup_of(shared.value)
+
+        def work(batch: pa.RecordBatch) -> dict:
+            words = [words_of(x) for x in batch["text"].to_pylist()]
+            counts = [Counter(i for w in own for i in lookup[w]) for own in words]
+            out = {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [len(w) for w in words]}
+            return out | {"terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
+
+        return work
+
+    rows = per_batch(texts, "doc_id long, toxic int, words long, terms array<int>, counts array<int>", make_vectors).collect()
+    model = ToxicityModel(terms, idf, BlockMaxIndex(), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
     entries: dict[tuple, list] = {}
     own, empty = [], [0, 0]
     for r in sorted(rows, key=lambda r: r["doc_id"]):
-        counts = {terms[x["terms"]]: x["counts"] for x in r["bag"]}
+        counts = dict(zip(r["terms"], r["counts"]))
         if not counts:
             empty[0] += r["toxic"]
             empty[1] += 1
             continue
+        counts[LENGTH] = length_of(r["words"])
         key = tuple(sorted(counts.items()))
         e = entries.setdefault(key, [len(entries), 0, 0, r["doc_id"]])
         e[1] += r["toxic"]
         e[2] += 1
         own.append((counts, e[0], r["toxic"]))
+    # entries with the same terms share blocks, which keeps their maxima low
+    order = sorted(entries, key=lambda key: ([t for t, _ in key if t != LENGTH], key))
+    place = {entries[key][0]: i for i, key in enumerate(order)}
+    entries, own = {key: entries[key] for key in order}, [(c, place[e], t) for c, e, t in own]
     index = BlockMaxIndex.build([model.vector(dict(key)) for key in entries])
     stats = np.array([e[1:] for e in entries.values()], np.int64).reshape(-1, 3)
     base = positive / n
@@ -243,7 +277,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, memo: i
         def work(batch: pa.RecordBatch) -> dict:
             got = []
             for x in batch["text"].to_pylist():
-                counts = Counter(i for w in words_of(x) for i in lookup[w])
+                words = words_of(x)
+                counts = Counter(i for w in words for i in lookup[w])
+                if counts:
+                    counts[LENGTH] = length_of(len(words))
                 got.append(seen[tuple(sorted(counts.items()))])
             return {
                 "doc_id": batch["doc_id"],
