@@ -187,3 +187,28 @@ def round_trip(docs: DataFrame, vocabulary: BytePairs) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return per_batch(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+
+
+def tokenise(docs: DataFrame, vocabulary: BytePairs) -> DataFrame:
+    """Documents as training rows: doc_id, lang, source, n_chars, n_tokens, ids, decodes (the ids decode to the text)."""
+    make_codec = _codec(docs.sparkSession, vocabulary)
+
+    def make():
+        codec = make_codec()
+
+        def work(batch: pa.RecordBatch) -> dict:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            ids = codec.encode(texts)
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+            out = {c: batch[c] for c in ("doc_id", "lang", "source", "n_chars")}
+            return out | {
+                "n_tokens": np.diff(ends).astype(np.int64),
+                "ids": pa.ListArray.from_arrays(pa.array(ends), flat).cast(pa.list_(pa.field("element", pa.int32()))),
+                "decodes": [codec.decode_bytes(i) == t.encode() for t, i in zip(texts, ids)],
+            }
+
+        return work
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), F.col("text").cast("string").alias("text"))
+    return per_batch(rows, "doc_id long, lang string, source string, n_chars long, n_tokens long, ids array<int>, decodes boolean", make)
