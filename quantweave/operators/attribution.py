@@ -53,7 +53,7 @@ def modified_dietz(spans: DataFrame, flows: DataFrame, key: str) -> DataFrame:
     hit = spans.join(flows.select(key, "date", "amount"), key, "left")
     inside = (F.col("date") > F.col("start")) & (F.col("date") <= F.col("stop"))
     amount = F.when(inside, F.col("amount")).otherwise(0.0)
-    s = hit.groupBy(key, "start", "stop", "open", "close").agg(F.sum(amount).alias("f"), F.sum(amount * F.datediff("stop", "date") / days).alias("wf"))
+    s = hit.groupBy(key, "start", "stop", "open", "close").agg(F.sum(amount).alias("f"), F.sum(F.when(inside, F.col("amount") * F.datediff("stop", "date") / days).otherwise(0.0)).alias("wf"))
     return s.select(key, F.try_divide(F.col("close") - F.col("open") - F.col("f"), F.col("open") + F.col("wf")).alias("dietz"))
 
 

@@ -15,6 +15,7 @@ def draw(*parts: Column) -> Column:
     out = F.lit(12345).cast("long")
     for p in parts:
         out = (out * STEP + p.cast("long") * TURN + 11) % MODULUS
+        out = (out * out + 12345) % MODULUS
     return out
 
 
@@ -185,7 +186,11 @@ def splits_kfold(n: int, folds: int, horizon: int, embargo: int, rows: DataFrame
 def bm25(docs: DataFrame, terms: list[str], keys: list[str], text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """keys, score of documents for distinct query terms, with idf = ln((N - n + 0.5) / (n + 0.5) + 1)."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"), lambda w: w != "")
-    d = docs.select(*keys, words.alias("w")).select(*keys, F.size("w").alias("len"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)])
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("w", lambda word: word == term))
+
+    d = docs.select(*keys, words.alias("w")).select(*keys, F.size("w").alias("len"), *[frequency(t).alias(f"t{i}") for i, t in enumerate(terms)])
     s = d.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))])
     j = d.join(F.broadcast(s))  # one row of totals
     score = F.lit(0.0)

@@ -56,16 +56,13 @@ def _a04(spark, sf_dir):
     return rows.select("symbol", F.to_date("date").alias("date"), r6("close").alias("close"), "volume")
 
 
-_SHIFTED = "CASE WHEN (symbol * 31 + month(date)) % 17 = 0 THEN low ELSE close END"
-
-
 @query("A05_validate_ohlc", f"WITH bars AS ({BARS}), odd AS (SELECT symbol, date, open, high, CASE WHEN (symbol + month(date)) % 17 = 0 THEN high + 1 ELSE low END AS low, close FROM bars) SELECT symbol, date, (high < low OR high < greatest(open, close) OR low > least(open, close) OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS invalid FROM odd")
 def _a05(spark, sf_dir):
     odd = bars(spark, sf_dir).withColumn("low", F.when((C("symbol") + F.month("date")) % 17 == 0, C("high") + 1).otherwise(C("low")))
     return readers.validate_ohlc(odd, "flag").select("symbol", "date", "invalid")
 
 
-@query("A06_resample", f"""WITH {TICKS} SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01') AS ts, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, sum(volume) AS volume FROM ticks GROUP BY 1, 2""".replace("AS ts, first", "AS bar, first").replace("SELECT symbol, time_bucket", "SELECT symbol, time_bucket"))
+@query("A06_resample", f"""WITH {TICKS} SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01') AS bar, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, sum(volume) AS volume FROM ticks GROUP BY 1, 2""")
 def _a06(spark, sf_dir):
     return readers.resample(ticks(spark, sf_dir), "4H").withColumnRenamed("ts", "bar")
 
@@ -110,7 +107,7 @@ def _a11(spark, sf_dir):
 
 @query("A12_parse_journal", _JOURNAL)
 def _a12(spark, sf_dir):
-    return readers.parse_journal(table(spark, sf_dir, "lineitem")).select("ts", "symbol", "side", "quantity", r6("price").alias("price"), r6("amount").alias("amount"))
+    return readers.parse_journal(table(spark, sf_dir, "lineitem")).select(C("ts").cast("timestamp_ntz").alias("ts"), "symbol", "side", "quantity", r6("price").alias("price"), r6("amount").alias("amount"))
 
 
 @query("A13_concept_series", f"WITH {FILINGS}, r AS (SELECT entity, period, filed, val, row_number() OVER (PARTITION BY entity, period ORDER BY CAST(filed AS VARCHAR), CASE WHEN filing_id % 2 = 0 THEN 1 ELSE 2 END, val) AS k FROM filings) SELECT entity, CAST(period AS VARCHAR) AS period, CAST(filed AS VARCHAR) AS filed, round(val, 6) AS val FROM r WHERE k = 1")
@@ -558,7 +555,7 @@ def _d36(spark, sf_dir):
 
 # ---- drawdowns and regimes of equity curves, one per symbol
 
-_SYM = f"{PANEL}, {_RET}, se AS (SELECT symbol, date, exp(sum(ln(1 + ret)) OVER ({S})) AS equity FROM rets)"
+_SYM = f"{PANEL}, {_RET}, se AS (SELECT symbol, date, round(exp(sum(ln(1 + ret)) OVER ({S})), 9) AS equity FROM rets)"
 
 
 def symbol_equity(spark, sf_dir) -> DataFrame:
@@ -566,7 +563,6 @@ def symbol_equity(spark, sf_dir) -> DataFrame:
     return returns(spark, sf_dir).select("symbol", "date", F.round(F.exp(F.sum(F.log(1 + C("ret"))).over(w)), 9).alias("equity"))
 
 
-_SYM = _SYM.replace("exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY date)) AS equity", "round(exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY date)), 9) AS equity")
 _DD = f"{_SYM}, dd AS (SELECT symbol, date, equity, 1 - equity / max(equity) OVER ({S}) AS dd FROM se)"
 
 
