@@ -1 +1,48 @@
-"""Queries."""
+"""Queries on the factor catalogue: many factors a pass, on weekly bars."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..data import WEEKLY, weekly_panel
+from ..operators import asof, zoo
+from ..operators.expr import NUDGE, X, evaluate, to_sql
+from .registry import query, r6
+
+C = F.col
+
+
+def factor_query(name: str, targets: dict[str, X], with_sql: bool = True) -> None:
+    @query(name, f"WITH {WEEKLY}{to_sql('panel', targets)}" if with_sql else None)
+    def run(spark, sf_dir):
+        out = evaluate(weekly_panel(spark, sf_dir), targets)
+        return out.select("symbol", "date", *[r6(C(n) + NUDGE).alias(n) for n in targets])
+
+
+for _n in zoo.WINDOWS:
+    factor_query(f"Z_qlib158_w{_n}", {f"{k}{_n}": x for k, x in zoo.qlib(_n).items()})
+factor_query("Z_qlib158_candles", zoo.candles())
+factor_query("Z_academic", zoo.academic())
+_ALPHAS = zoo.alpha101()
+for _i in range(1, 102, 10):
+    factor_query(f"Z_alpha101_{_i:03d}", {f"a{k:03d}": _ALPHAS[k] for k in range(_i, min(_i + 10, 102)) if k != 84})
+# its powers grow beyond what two engines round alike
+factor_query("Z_alpha101_084", {"a084": _ALPHAS[84]}, with_sql=False)
+
+_FUND = """fq AS (SELECT o_custkey % 25 AS symbol, CAST(date_trunc('month', o_orderdate) AS DATE) AS filed, sum(o_totalprice) AS ni, count(*) AS n, max(o_totalprice) AS gp, avg(o_totalprice) AS roe FROM orders GROUP BY ALL),
+fg AS (SELECT *, ni / lag(ni) OVER (PARTITION BY symbol ORDER BY filed) - 1 AS ag FROM fq),
+fp AS (SELECT p.symbol, p.date, p.close, g.ag AS asset_growth, g.ni AS net_income, CAST(g.n AS DOUBLE) AS shares_diluted, g.gp / g.ni AS gross_profitability, g.roe FROM panel p ASOF LEFT JOIN fg g ON p.symbol = g.symbol AND p.date >= g.filed)"""
+
+
+@query("Z_fundamental", f"WITH {WEEKLY}, {_FUND}{to_sql('fp', zoo.fundamental())}")
+def _fundamental(spark, sf_dir):
+    """Growth is taken between reports, on the sparse series, and only then brought to bars as of its date."""
+    from pyspark.sql import Window
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    q = orders.groupBy((C("o_custkey") % 25).alias("symbol"), F.trunc("o_orderdate", "month").alias("filed")).agg(F.sum("o_totalprice").alias("ni"), F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("gp"), F.avg("o_totalprice").alias("roe"))
+    growth = F.try_divide(C("ni"), F.lag("ni").over(Window.partitionBy("symbol").orderBy("filed"))) - 1
+    q = q.select("symbol", "filed", growth.alias("asset_growth"), C("ni").alias("net_income"), C("n").cast("double").alias("shares_diluted"), F.try_divide("gp", "ni").alias("gross_profitability"), "roe")
+    p = asof.asof_join(weekly_panel(spark, sf_dir).select("symbol", "date", "close"), q, ["symbol"], "date", "filed")
+    out = evaluate(p, zoo.fundamental())
+    return out.select("symbol", "date", *[r6(C(n) + NUDGE).alias(n) for n in zoo.fundamental()])
