@@ -63,33 +63,31 @@ def panel_query(name: str, columns: dict[str, tuple[Column | Callable[[], Column
         return rows.select("symbol", "date", *[r6(c() if callable(c) else c).alias(out) for out, (c, _) in columns.items()])
 
 
-close, high, low, open_, volume, amount = (C(x) for x in ("close", "high", "low", "open", "volume", "amount"))
-
-panel_query("E01_ts_mean", {"ts_mean": (lambda: ts.ts_mean(close, 5), agg("avg", "close", 5))})
-panel_query("E02_ts_std", {"ts_std": (lambda: ts.ts_std(close, 10), agg("stddev_samp", "close", 10))})
-panel_query("E03_ts_max", {"ts_max": (lambda: ts.ts_max(high, 10), agg("max", "high", 10))})
-panel_query("E04_ts_min", {"ts_min": (lambda: ts.ts_min(low, 10), agg("min", "low", 10))})
+panel_query("E01_ts_mean", {"ts_mean": (lambda: ts.ts_mean(C("close"), 5), agg("avg", "close", 5))})
+panel_query("E02_ts_std", {"ts_std": (lambda: ts.ts_std(C("close"), 10), agg("stddev_samp", "close", 10))})
+panel_query("E03_ts_max", {"ts_max": (lambda: ts.ts_max(C("high"), 10), agg("max", "high", 10))})
+panel_query("E04_ts_min", {"ts_min": (lambda: ts.ts_min(C("low"), 10), agg("min", "low", 10))})
 _values = f"list(close) {over(10)}"
 panel_query(
     "E05_ts_rank",
-    {"ts_rank": (lambda: ts.ts_rank(close, 10), guard("(len(list_filter(v, lambda a: a < close)) + 0.5 * (len(list_filter(v, lambda a: a = close)) + 1)) / 10", "close", 10))},
+    {"ts_rank": (lambda: ts.ts_rank(C("close"), 10), guard("(len(list_filter(v, lambda a: a < close)) + 0.5 * (len(list_filter(v, lambda a: a = close)) + 1)) / 10", "close", 10))},
     before_sql=f"listed AS (SELECT *, {_values} AS v FROM panel)",
     source="listed",
 )
-panel_query("E06_ts_corr", {"ts_corr": (lambda: ts.ts_corr(close, volume, 10), corr("close", "volume", 10))})
+panel_query("E06_ts_corr", {"ts_corr": (lambda: ts.ts_corr(C("close"), C("volume"), 10), corr("close", "volume", 10))})
 _a, _b = "CASE WHEN volume IS NOT NULL THEN close END", "CASE WHEN close IS NOT NULL THEN volume END"
-panel_query("E07_ts_cov", {"ts_cov": (lambda: ts.ts_cov(close, volume, 10), guard(f"covar_samp({_a}, {_b}) {over(10)}", _a, 10))})
-panel_query("E08_ts_argmax", {"ts_argmax": (lambda: ts.ts_argmax(high, 10), argbest("high", 10, "max"))})
-panel_query("E09_ts_argmin", {"ts_argmin": (lambda: ts.ts_argmin(low, 10), argbest("low", 10, "min"))})
-panel_query("E10_delta", {"delta": (lambda: ts.delta(close, 3), f"close - {lag('close', 3)}")})
-panel_query("E11_decay_linear", {"decay": (lambda: ts.decay_linear(close, 5), "(" + " + ".join(f"{lag('close', k) if k else 'close'} * {k + 1}" for k in range(5)) + ") / 15")})
-panel_query("E12_signed_power", {"signed": (lambda: ts.signed_power(ts.delta(close, 1), 0.5), f"sign(close - {lag('close')}) * pow(abs(close - {lag('close')}), 0.5)")})
-panel_query("E13_safe_div", {"ratio": (lambda: ts.safe_div(amount, ts.delta(volume, 1)), "CASE WHEN dv <> 0 THEN amount / (dv + 1e-12 * sign(dv)) END")}, before_sql=f"moved AS (SELECT *, volume - {lag('volume')} AS dv FROM panel)", source="moved")
+panel_query("E07_ts_cov", {"ts_cov": (lambda: ts.ts_cov(C("close"), C("volume"), 10), guard(f"covar_samp({_a}, {_b}) {over(10)}", _a, 10))})
+panel_query("E08_ts_argmax", {"ts_argmax": (lambda: ts.ts_argmax(C("high"), 10), argbest("high", 10, "max"))})
+panel_query("E09_ts_argmin", {"ts_argmin": (lambda: ts.ts_argmin(C("low"), 10), argbest("low", 10, "min"))})
+panel_query("E10_delta", {"delta": (lambda: ts.delta(C("close"), 3), f"close - {lag('close', 3)}")})
+panel_query("E11_decay_linear", {"decay": (lambda: ts.decay_linear(C("close"), 5), "(" + " + ".join(f"{lag('close', k) if k else 'close'} * {k + 1}" for k in range(5)) + ") / 15")})
+panel_query("E12_signed_power", {"signed": (lambda: ts.signed_power(ts.delta(C("close"), 1), 0.5), f"sign(close - {lag('close')}) * pow(abs(close - {lag('close')}), 0.5)")})
+panel_query("E13_safe_div", {"ratio": (lambda: ts.safe_div(C("amount"), ts.delta(C("volume"), 1)), "CASE WHEN dv <> 0 THEN amount / (dv + 1e-12 * sign(dv)) END")}, before_sql=f"moved AS (SELECT *, volume - {lag('volume')} AS dv FROM panel)", source="moved")
 panel_query(
     "E14_vwap",
     {
-        "vwap_cn": (lambda: ts.vwap("equity_cn", amount=amount, volume=volume), "amount * 1000 / (volume * 100 + 1 + 1e-12)"),
-        "vwap_us": (lambda: ts.vwap("equity_us", open=open_, high=high, low=low, close=close), "(open + high + low + close) / 4"),
+        "vwap_cn": (lambda: ts.vwap("equity_cn", amount=C("amount"), volume=C("volume")), "amount * 1000 / (volume * 100 + 1 + 1e-12)"),
+        "vwap_us": (lambda: ts.vwap("equity_us", open=C("open"), high=C("high"), low=C("low"), close=C("close")), "(open + high + low + close) / 4"),
     },
 )
 
@@ -109,18 +107,18 @@ def _sma(spark, sf_dir):
     return ewm(panel(spark, sf_dir).select("symbol", "date", "close"), {"sma": Ewm("close", 2 / 8)}).select("symbol", "date", r6("sma").alias("sma"))
 
 
-panel_query("E16_rolling_sum_delay", {"total": (lambda: ts.ts_sum(volume, 5), agg("sum", "volume", 5)), "delayed": (lambda: ts.delay(close, 4), lag("close", 4))})
-panel_query("E17_ts_quantile", {"q80": (lambda: ts.ts_quantile(close, 0.8, 10), guard(f"quantile_cont(close, 0.8) {over(10)}", "close", 10))})
-panel_query("E18_r_squared", {"rsqr": (lambda: ts.r_squared(close, 10), f"pow({corr('close', 'k', 10)}, 2)")}, before_sql=f"numbered AS (SELECT *, CAST(row_number() OVER ({S}) AS DOUBLE) AS k FROM panel)", source="numbered")
-panel_query("E19_ts_skew", {"skew": (lambda: ts.ts_skew(close, 12), agg("skewness", "close", 12))})
-panel_query("E20_bar_returns", {"ret": (lambda: ts.bar_returns(close), f"coalesce(close / CASE WHEN last_value(close IGNORE NULLS) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN last_value(close IGNORE NULLS) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END - 1, 0)")})
-panel_query("E21_forward_returns", {"label": (lambda: ts.forward_returns(close), f"lead(close) OVER ({S}) / close - 1")})
-panel_query("E22_ffill_limit", {"filled": (lambda: ts.forward_fill(close, 2), f"last_value(close IGNORE NULLS) OVER ({S} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")})
+panel_query("E16_rolling_sum_delay", {"total": (lambda: ts.ts_sum(C("volume"), 5), agg("sum", "volume", 5)), "delayed": (lambda: ts.delay(C("close"), 4), lag("close", 4))})
+panel_query("E17_ts_quantile", {"q80": (lambda: ts.ts_quantile(C("close"), 0.8, 10), guard(f"quantile_cont(close, 0.8) {over(10)}", "close", 10))})
+panel_query("E18_r_squared", {"rsqr": (lambda: ts.r_squared(C("close"), 10), f"pow({corr('close', 'k', 10)}, 2)")}, before_sql=f"numbered AS (SELECT *, CAST(row_number() OVER ({S}) AS DOUBLE) AS k FROM panel)", source="numbered")
+panel_query("E19_ts_skew", {"skew": (lambda: ts.ts_skew(C("close"), 12), agg("skewness", "close", 12))})
+panel_query("E20_bar_returns", {"ret": (lambda: ts.bar_returns(C("close")), f"coalesce(close / CASE WHEN last_value(close IGNORE NULLS) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN last_value(close IGNORE NULLS) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END - 1, 0)")})
+panel_query("E21_forward_returns", {"label": (lambda: ts.forward_returns(C("close")), f"lead(close) OVER ({S}) / close - 1")})
+panel_query("E22_ffill_limit", {"filled": (lambda: ts.forward_fill(C("close"), 2), f"last_value(close IGNORE NULLS) OVER ({S} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")})
 
 
 @query("E23_last_sma", f"WITH {PANEL}, s AS (SELECT symbol, date, {agg('avg', 'close', 20)} AS sma, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM panel) SELECT symbol, round(sma, 6) AS sma FROM s WHERE r = 1")
 def _last_sma(spark, sf_dir):
-    rows = panel(spark, sf_dir).select("symbol", "date", ts.ts_mean(close, 20).alias("sma"))
+    rows = panel(spark, sf_dir).select("symbol", "date", ts.ts_mean(C("close"), 20).alias("sma"))
     return rows.groupBy("symbol").agg(r6(F.max_by("sma", "date")).alias("sma"))
 
 
@@ -165,9 +163,9 @@ def _macd(spark, sf_dir):
 panel_query(
     "E27_bollinger",
     {
-        "upper": (lambda: ind.bollinger(close, 20, 2.0)[0], f"{agg('avg', 'close', 20)} + 2 * {agg('stddev_samp', 'close', 20)}"),
-        "middle": (lambda: ind.bollinger(close, 20, 2.0)[1], agg("avg", "close", 20)),
-        "lower": (lambda: ind.bollinger(close, 20, 2.0)[2], f"{agg('avg', 'close', 20)} - 2 * {agg('stddev_samp', 'close', 20)}"),
+        "upper": (lambda: ind.bollinger(C("close"), 20, 2.0)[0], f"{agg('avg', 'close', 20)} + 2 * {agg('stddev_samp', 'close', 20)}"),
+        "middle": (lambda: ind.bollinger(C("close"), 20, 2.0)[1], agg("avg", "close", 20)),
+        "lower": (lambda: ind.bollinger(C("close"), 20, 2.0)[2], f"{agg('avg', 'close', 20)} - 2 * {agg('stddev_samp', 'close', 20)}"),
     },
 )
 
@@ -177,28 +175,28 @@ def _adx(spark, sf_dir):
     return ind.adx(_known(spark, sf_dir), 14).select("symbol", "date", *[r6(c).alias(c) for c in ("adx", "plus_di", "minus_di")])
 
 
-panel_query("E29_obv", {"obv": (lambda: ind.obv(close, volume), f"sum(coalesce(volume * sign(d), 0)) {SO_FAR}")}, before_sql=f"d AS (SELECT *, close - {lag('close')} AS d FROM panel)", source="d", before=lambda p: p.withColumn("_d", ts.delta(close, 1)))
+panel_query("E29_obv", {"obv": (lambda: ind.obv(C("close"), C("volume")), f"sum(coalesce(volume * sign(d), 0)) {SO_FAR}")}, before_sql=f"d AS (SELECT *, close - {lag('close')} AS d FROM panel)", source="d", before=lambda p: p.withColumn("_d", ts.delta(C("close"), 1)))
 panel_query(
     "E30_hv",
     {"hv": (lambda: ind.historical_vol(C("r"), 12, 12), f"{agg('stddev_samp', 'r', 12)} * sqrt(12)")},
-    before=lambda p: p.withColumn("r", F.log(ts.pct_change(close) + 1)), before_sql=f"r AS (SELECT *, ln(close / {lag('close')}) AS r FROM panel)", source="r",
+    before=lambda p: p.withColumn("r", F.log(ts.pct_change(C("close")) + 1)), before_sql=f"r AS (SELECT *, ln(close / {lag('close')}) AS r FROM panel)", source="r",
 )
 panel_query(
     "E31_hv_percentile",
     {"percentile": (lambda: ts.ts_rank(C("hv"), 10) * 100, guard("(len(list_filter(v, lambda a: a < hv)) + 0.5 * (len(list_filter(v, lambda a: a = hv)) + 1)) * 10", "hv", 10))},
-    before=lambda p: p.withColumn("r", F.log(ts.pct_change(close) + 1)).withColumn("hv", F.round(ts.ts_std(C("r"), 6), 9)),
+    before=lambda p: p.withColumn("r", F.log(ts.pct_change(C("close")) + 1)).withColumn("hv", F.round(ts.ts_std(C("r"), 6), 9)),
     before_sql=f"r AS (SELECT *, ln(close / {lag('close')}) AS r FROM panel), hv AS (SELECT *, round({agg('stddev_samp', 'r', 6)}, 9) AS hv FROM r), listed AS (SELECT *, list(hv) {over(10)} AS v FROM hv)", source="listed",
 )
 _TP = "(high + low + close) / 3"
-panel_query("E32_cumulative_vwap", {"vwap": (lambda: ind.cumulative_vwap(high, low, close, volume), f"sum({_TP} * volume) {SO_FAR} / nullif(sum(CASE WHEN close IS NOT NULL THEN volume END) {SO_FAR}, 0)")})
-panel_query("E33_twap", {"twap": (lambda: F.avg((high + low + close) / 3).over(ts.so_far()), f"avg({_TP}) {SO_FAR}")})
+panel_query("E32_cumulative_vwap", {"vwap": (lambda: ind.cumulative_vwap(C("high"), C("low"), C("close"), C("volume")), f"sum({_TP} * volume) {SO_FAR} / nullif(sum(CASE WHEN close IS NOT NULL THEN volume END) {SO_FAR}, 0)")})
+panel_query("E33_twap", {"twap": (lambda: F.avg((C("high") + C("low") + C("close")) / 3).over(ts.so_far()), f"avg({_TP}) {SO_FAR}")})
 panel_query(
     "E34_donchian",
     {
-        "mid": (lambda: ind.donchian_mid(high, low, 9), f"({agg('max', 'high', 9)} + {agg('min', 'low', 9)}) / 2"),
+        "mid": (lambda: ind.donchian_mid(C("high"), C("low"), 9), f"({agg('max', 'high', 9)} + {agg('min', 'low', 9)}) / 2"),
         "displaced": (lambda: ts.delay(C("m26"), 6), lag("m26", 6)),
     },
-    before=lambda p: p.withColumn("m26", ind.donchian_mid(high, low, 26)), before_sql=f"m AS (SELECT *, ({agg('max', 'high', 26)} + {agg('min', 'low', 26)}) / 2 AS m26 FROM panel)", source="m",
+    before=lambda p: p.withColumn("m26", ind.donchian_mid(C("high"), C("low"), 26)), before_sql=f"m AS (SELECT *, ({agg('max', 'high', 26)} + {agg('min', 'low', 26)}) / 2 AS m26 FROM panel)", source="m",
 )
 _AROUND = f"OVER ({S} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
 _EXTREMA = f"""extrema AS (SELECT symbol, date, close, row_number() OVER ({S}) AS k, coalesce(count(*) {_AROUND} = 7 AND close = max(close) {_AROUND}, false) AS peak,
@@ -207,7 +205,7 @@ _EXTREMA = f"""extrema AS (SELECT symbol, date, close, row_number() OVER ({S}) A
 
 @query("E35_peaks_valleys", f"WITH {PANEL}, {_EXTREMA} SELECT symbol, date, peak, valley FROM extrema WHERE peak OR valley")
 def _peaks(spark, sf_dir):
-    return panel(spark, sf_dir).select("symbol", "date", ts.peaks(close, 3).alias("peak"), ts.valleys(close, 3).alias("valley")).filter("peak or valley")
+    return panel(spark, sf_dir).select("symbol", "date", ts.peaks(C("close"), 3).alias("peak"), ts.valleys(C("close"), 3).alias("valley")).filter("peak or valley")
 
 
 @query(
@@ -218,7 +216,7 @@ def _peaks(spark, sf_dir):
       WHEN coalesce(down > 2 * body AND up < body, false) AND NOT coalesce(body / nullif(high - low, 0) < 0.1, false) THEN 1 ELSE 0 END AS pattern FROM f""",
 )
 def _candles(spark, sf_dir):
-    return panel(spark, sf_dir).select("symbol", "date", ind.candle_code(open_, high, low, close).alias("pattern"))
+    return panel(spark, sf_dir).select("symbol", "date", ind.candle_code(C("open"), C("high"), C("low"), C("close")).alias("pattern"))
 
 
 @query("E37_support_resistance")
@@ -226,7 +224,7 @@ def _levels(spark, sf_dir):
     return ind.support_resistance(panel(spark, sf_dir), 3, 3).select("symbol", "rank", r6("level").alias("level"), "touches")
 
 
-panel_query("E38_trend_slope", {"slope": (lambda: ts.slope(close, 12), guard(f"regr_slope(close, k) {over(12)}", "close", 12))}, before_sql=f"numbered AS (SELECT *, CAST(row_number() OVER ({S}) AS DOUBLE) AS k FROM panel)", source="numbered")
+panel_query("E38_trend_slope", {"slope": (lambda: ts.slope(C("close"), 12), guard(f"regr_slope(close, k) {over(12)}", "close", 12))}, before_sql=f"numbered AS (SELECT *, CAST(row_number() OVER ({S}) AS DOUBLE) AS k FROM panel)", source="numbered")
 
 
 @query(
@@ -258,21 +256,21 @@ def _broadening(spark, sf_dir):
     return ind.shapes(panel(spark, sf_dir), 20).select("symbol", "date", "broadening").filter("broadening <> 0")
 
 
-panel_query("E54_delayed_execution", {"signal": (lambda: ts.delay(C("s"), 2), lag("s", 2))}, before=lambda p: p.withColumn("s", F.signum(ts.delta(close, 1))), before_sql=f"s AS (SELECT *, sign(close - {lag('close')}) AS s FROM panel)", source="s")
+panel_query("E54_delayed_execution", {"signal": (lambda: ts.delay(C("s"), 2), lag("s", 2))}, before=lambda p: p.withColumn("s", F.signum(ts.delta(C("close"), 1))), before_sql=f"s AS (SELECT *, sign(close - {lag('close')}) AS s FROM panel)", source="s")
 
 # cross sections
 
 D = "PARTITION BY date"
 _RANK = lambda x: f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({D} ORDER BY {x} NULLS LAST) + (count(*) OVER ({D}, {x}) - 1) / 2.0) / count({x}) OVER ({D}) END"
 _Z = lambda x: f"CASE WHEN min({x}) OVER ({D}) < max({x}) OVER ({D}) THEN ({x} - avg({x}) OVER ({D})) / stddev_samp({x}) OVER ({D}) END"
-panel_query("F01_rank", {"rank": (lambda: xs.rank(volume), _RANK("volume"))})
-panel_query("F02_zscore", {"zscore": (lambda: xs.zscore(close), _Z("close"))})
-panel_query("F03_scale", {"scaled": (lambda: xs.scale(C("d")), "d / nullif(sum(abs(d)) OVER (PARTITION BY date), 0)")}, before=lambda p: p.withColumn("d", ts.delta(close, 1)), before_sql=f"d AS (SELECT *, close - {lag('close')} AS d FROM panel)", source="d")
-panel_query("F04_neutralize", {"within_sector": (lambda: xs.neutralize(close, C("sector")), "close - avg(close) OVER (PARTITION BY date, sector)"), "within_market": (lambda: xs.neutralize(close), f"close - avg(close) OVER ({D})")})
+panel_query("F01_rank", {"rank": (lambda: xs.rank(C("volume")), _RANK("volume"))})
+panel_query("F02_zscore", {"zscore": (lambda: xs.zscore(C("close")), _Z("close"))})
+panel_query("F03_scale", {"scaled": (lambda: xs.scale(C("d")), "d / nullif(sum(abs(d)) OVER (PARTITION BY date), 0)")}, before=lambda p: p.withColumn("d", ts.delta(C("close"), 1)), before_sql=f"d AS (SELECT *, close - {lag('close')} AS d FROM panel)", source="d")
+panel_query("F04_neutralize", {"within_sector": (lambda: xs.neutralize(C("close"), C("sector")), "close - avg(close) OVER (PARTITION BY date, sector)"), "within_market": (lambda: xs.neutralize(C("close")), f"close - avg(close) OVER ({D})")})
 panel_query(
     "F05_market_beta",
     {"beta": (lambda: F.try_divide(ts.ts_cov(C("r"), C("m"), 12), F.when(ts.ts_std(C("m"), 12) > 0, F.pow(ts.ts_std(C("m"), 12), F.lit(2.0)))), f"{guard(f'covar_samp(r, CASE WHEN r IS NOT NULL THEN m END) {over(12)}', 'r', 12)} / nullif(pow({agg('stddev_samp', 'm', 12)}, 2), 0)")},
-    before=lambda p: p.withColumn("r", ts.pct_change(close)).withColumn("m", F.avg("r").over(xs.section())),
+    before=lambda p: p.withColumn("r", ts.pct_change(C("close"))).withColumn("m", F.avg("r").over(xs.section())),
     before_sql=f"r AS (SELECT *, close / {lag('close')} - 1 AS r FROM panel), m AS (SELECT *, avg(r) OVER ({D}) AS m FROM r)", source="m",
 )
 
@@ -284,7 +282,7 @@ ic AS (SELECT date, corr(rf, ry) AS ic FROM ranked WHERE n >= 5 GROUP BY date HA
 
 def factor_rows(rows: DataFrame) -> DataFrame:
     """symbol, date, f (three-bar momentum), y (the next bar's return)."""
-    return rows.select("symbol", "date", ts.pct_change(close, 3).alias("f"), ts.forward_returns(close).alias("y"))
+    return rows.select("symbol", "date", ts.pct_change(C("close"), 3).alias("f"), ts.forward_returns(C("close")).alias("y"))
 
 
 @query("F07_ic_series", f"WITH {PANEL}, {_IC} SELECT date, round(ic, 6) AS ic FROM ic")
@@ -297,8 +295,8 @@ def _ic(spark, sf_dir):
 @query("C15_ic_pairs", f"WITH {PANEL}, {_PAIRS} SELECT symbol, date, round(f, 6) AS f, round(y, 6) AS y FROM pairs")
 def _pairs(spark, sf_dir):
     rows = panel(spark, sf_dir)
-    factor = rows.select("symbol", "date", ts.pct_change(close, 3).alias("f")).filter("f is not null")
-    label = rows.select("symbol", "date", ts.forward_returns(close).alias("y")).filter("y is not null")
+    factor = rows.select("symbol", "date", ts.pct_change(C("close"), 3).alias("f")).filter("f is not null")
+    label = rows.select("symbol", "date", ts.forward_returns(C("close")).alias("y")).filter("y is not null")
     return factor.join(label, ["symbol", "date"]).select("symbol", "date", r6("f").alias("f"), r6("y").alias("y"))
 
 

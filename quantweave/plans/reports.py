@@ -16,7 +16,6 @@ from .registry import query, r6, table
 
 C = F.col
 S = "PARTITION BY symbol ORDER BY date"
-N = F.count(F.lit(1))
 
 # ---- journal
 
@@ -38,7 +37,7 @@ def _fifo(spark, sf_dir):
 
 @query("D17_profile", f"WITH {trades_sql()} SELECT year(ts) AS year, side, count(*) AS n, count(DISTINCT symbol) AS symbols, round(sum(amount), 2) AS amount, round(avg(quantity), 6) AS avg_quantity FROM trades GROUP BY ALL")
 def _profile(spark, sf_dir):
-    return trades(spark, sf_dir).groupBy(F.year("ts").alias("year"), "side").agg(N.alias("n"), F.count_distinct("symbol").alias("symbols"), F.round(F.sum("amount"), 2).alias("amount"), r6(F.avg("quantity")).alias("avg_quantity"))
+    return trades(spark, sf_dir).groupBy(F.year("ts").alias("year"), "side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"), F.round(F.sum("amount"), 2).alias("amount"), r6(F.avg("quantity")).alias("avg_quantity"))
 
 
 @query("D18_disposition", f"WITH {_FIFO}, d AS (SELECT avg(CASE WHEN pnl < 0 THEN date_diff('day', buy_ts, sell_ts) END) AS l, avg(CASE WHEN pnl > 0 THEN date_diff('day', buy_ts, sell_ts) END) AS w FROM trips) SELECT round(l / w, 6) AS ratio, CASE WHEN l / w > 1.5 THEN 'high' WHEN l / w > 1.2 THEN 'medium' ELSE 'low' END AS severity FROM d")
@@ -97,7 +96,7 @@ def _verdict(spark, sf_dir):
     r = table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("reported"))
     f = table(spark, sf_dir, "customer").select(C("c_custkey").alias("k"), (C("c_acctbal") * 100).alias("fetched"))
     gap = F.try_divide(F.abs(C("reported") - C("fetched")), F.abs("fetched"))
-    return r.join(f, "k", "left").groupBy(F.when(gap.isNull(), "missing").when(gap <= 0.5, "match").otherwise("mismatch").alias("verdict")).agg(N.alias("n"))
+    return r.join(f, "k", "left").groupBy(F.when(gap.isNull(), "missing").when(gap <= 0.5, "match").otherwise("mismatch").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- holdings
@@ -167,7 +166,7 @@ def _screen(spark, sf_dir):
 @query("G06_cap_rows", "WITH k AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, total, total > 100 AS truncated FROM k WHERE k <= 100")
 def _cap_rows(spark, sf_dir):
     w = Window.partitionBy("l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).withColumn("total", N.over(w))
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).withColumn("total", F.count(F.lit(1)).over(w))
     return rows.filter("k <= 100").select("l_suppkey", "l_orderkey", "l_linenumber", "total", (C("total") > 100).alias("truncated"))
 
 
@@ -188,7 +187,7 @@ def _sample(spark, sf_dir):
 
 @query("B03_query_strategies", "WITH e AS (SELECT o_custkey AS strategy, count(*) AS n, avg(o_totalprice) / stddev_samp(o_totalprice) AS sharpe, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY ALL) SELECT strategy, n, round(sharpe, 6) AS sharpe, CASE WHEN n < 10 THEN 'insufficient' WHEN n < 30 THEN 'marginal' ELSE 'adequate' END AS quality FROM e WHERE n >= 5 AND sharpe >= 1.5 AND date_diff('day', last, DATE '2001-08-01') <= 180 ORDER BY round(sharpe, 9) DESC, strategy LIMIT 20")
 def _strategies(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("strategy")).agg(N.alias("n"), F.try_divide(F.avg("o_totalprice"), F.stddev_samp("o_totalprice")).alias("sharpe"), F.max(F.to_date("o_orderdate")).alias("last"))
+    e = table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("strategy")).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.avg("o_totalprice"), F.stddev_samp("o_totalprice")).alias("sharpe"), F.max(F.to_date("o_orderdate")).alias("last"))
     fresh = F.datediff(F.lit("2001-08-01").cast("date"), "last") <= 180
     best = e.filter((C("n") >= 5) & (C("sharpe") >= 1.5) & fresh).orderBy(F.round("sharpe", 9).desc(), "strategy").limit(20)
     return best.select("strategy", "n", r6("sharpe").alias("sharpe"), habits.quality(C("n"), F.lit(400)).alias("quality"))
@@ -258,7 +257,7 @@ def _list(spark, sf_dir):
 def _themes(spark, sf_dir):
     kind = F.when(C("p_partkey") % 3 == 0, "alive").when(C("p_partkey") % 3 == 1, "reversed").otherwise("dead")
     rows = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("theme"), kind.alias("category"))
-    return rows.groupBy("theme").pivot("category", ["alive", "reversed", "dead"]).agg(N).na.fill(0)
+    return rows.groupBy("theme").pivot("category", ["alive", "reversed", "dead"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("D30_volume_profile", f"WITH bars AS ({BARS}), r AS (SELECT symbol, min(close) AS lo, max(close) AS hi FROM bars GROUP BY symbol) SELECT symbol, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((close - lo) / (hi - lo) * 10), 9) AS BIGINT) END AS bin, sum(volume) AS volume FROM bars JOIN r USING (symbol) GROUP BY ALL")
@@ -329,14 +328,14 @@ def _breakeven(spark, sf_dir):
     d = C("date")
     e = equity(spark, sf_dir).withColumn("r", F.try_divide(C("equity"), F.lag("equity").over(Window.partitionBy(F.lit(0)).orderBy("date"))) - 1).filter("r is not null")
     reg = F.when(d < F.lit("1997-06-01").cast("date"), "bull").when(d < F.lit("1999-06-01").cast("date"), "bear").otherwise("structural")
-    g = e.groupBy(reg.alias("regime")).agg((F.exp(F.sum(F.log(1 + C("r")))) - 1).alias("gross"), N.alias("n"))
+    g = e.groupBy(reg.alias("regime")).agg((F.exp(F.sum(F.log(1 + C("r")))) - 1).alias("gross"), F.count(F.lit(1)).alias("n"))
     return g.select("regime", F.round(habits.breakeven_bps(C("gross"), C("n"), 0.5), 4).alias("bps"))
 
 
 @query("D38_classify_quality", "WITH e AS (SELECT o_custkey AS strategy, count(*) AS n, date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS days FROM orders GROUP BY ALL) SELECT strategy, CASE WHEN n < 10 OR days < 60 THEN 'insufficient' WHEN n < 30 OR days < 252 THEN 'marginal' ELSE 'adequate' END AS quality FROM e")
 def _quality(spark, sf_dir):
     d = F.to_date("o_orderdate")
-    e = table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("strategy")).agg(N.alias("n"), F.datediff(F.max(d), F.min(d)).alias("days"))
+    e = table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("strategy")).agg(F.count(F.lit(1)).alias("n"), F.datediff(F.max(d), F.min(d)).alias("days"))
     return e.select("strategy", habits.quality(C("n"), C("days")).alias("quality"))
 
 
@@ -399,7 +398,7 @@ def _safe(spark, sf_dir):
 @query("I05_normalize_currency", "WITH c AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN ' x ' ELSE ' ' || lower(substr(c_mktsegment, 1, 3)) || ' ' END AS c FROM customer) SELECT CASE WHEN upper(trim(c)) SIMILAR TO '[A-Z0-9]{3}' THEN upper(trim(c)) END AS code, count(*) AS n FROM c GROUP BY ALL")
 def _currency(spark, sf_dir):
     raw = F.when(C("c_custkey") % 10 == 0, " x ").otherwise(F.concat(F.lit(" "), F.lower(F.substring("c_mktsegment", 1, 3)), F.lit(" ")))
-    return table(spark, sf_dir, "customer").groupBy(scalar.normalize_currency(raw).alias("code")).agg(N.alias("n"))
+    return table(spark, sf_dir, "customer").groupBy(scalar.normalize_currency(raw).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("I06_year_fraction", "WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 1000 AS INTEGER) AS b FROM orders), e AS (SELECT *, least(day(a), 30) AS d1 FROM d) SELECT o_orderkey, round((b - a) / 365.0, 6) AS act365, round((b - a) / 360.0, 6) AS act360, round(((year(b) - year(a)) * 360 + (month(b) - month(a)) * 30 + (CASE WHEN day(b) = 31 AND d1 = 30 THEN 30 ELSE day(b) END - d1)) / 360.0, 6) AS thirty FROM e")
@@ -414,7 +413,7 @@ def _bpy(spark, sf_dir):
     t = C("event_type")
     i = F.when(t == "click", "1m").when(t == "view", "1H").otherwise("1D")
     s = F.when(t == "click", "us").when(t == "view", "crypto").otherwise("cn")
-    return table(spark, sf_dir, "events").groupBy(scalar.bars_per_year(i, s).alias("bars")).agg(N.alias("n"))
+    return table(spark, sf_dir, "events").groupBy(scalar.bars_per_year(i, s).alias("bars")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _IMPACT = "FROM lineitem"
@@ -503,5 +502,5 @@ def _spans(spark, sf_dir):
 def _ttm(spark, sf_dir):
     q = filings(spark, sf_dir).groupBy("entity", "period").agg(F.max("filed").alias("filed"), F.sum("val").alias("val"))
     w = Window.partitionBy("entity").orderBy("period").rowsBetween(-3, 0)
-    four = N.over(w) == 4
+    four = F.count(F.lit(1)).over(w) == 4
     return q.select("entity", "period", F.when(four, F.round(F.sum("val").over(w), 2)).alias("ttm"), F.when(four, F.max("filed").over(w)).alias("known"))

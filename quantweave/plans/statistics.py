@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..data import BARS, CASHFLOWS, PANEL, bars, cashflows, panel
@@ -13,9 +13,14 @@ from .registry import query, r6, table
 from .reports import _MANY, many_ic
 
 C = F.col
-N = F.count(F.lit(1))
 S = "PARTITION BY symbol ORDER BY date"
-ONE = Window.partitionBy(F.lit(0))  # for series of one row a date
+
+
+def one() -> WindowSpec:
+    """A window over everything, for series of one row a date or a sector."""
+    return Window.partitionBy(F.lit(0))
+
+
 
 
 def draw_sql(*parts: str) -> str:
@@ -126,7 +131,7 @@ def _best_factor(trials: int) -> float:
 
 @query("J08_deflated_sharpe", f"WITH {_SHARPE}, b AS (SELECT stddev_samp(sr) * {_best_factor(25)!r} AS b FROM sp), z AS (SELECT *, abs(zz) AS t, 1 / (1 + 0.2316419 * abs(zz)) AS u FROM (SELECT sp.*, (sr - b) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS zz FROM sp, b)) SELECT sector, round({_PHI}, 6) AS dsr FROM z")
 def _j08(spark, sf_dir):
-    s = stats.sharpe_stats(sector_returns(spark, sf_dir), ["sector"]).withColumn("b", stats.expected_best(25, F.stddev_samp("sr").over(ONE)))
+    s = stats.sharpe_stats(sector_returns(spark, sf_dir), ["sector"]).withColumn("b", stats.expected_best(25, F.stddev_samp("sr").over(one())))
     return rounded(s.select("sector", stats.probabilistic_sharpe(C("sr"), C("n"), C("b"), C("skew"), C("kurt")).alias("dsr")))
 
 
@@ -137,7 +142,7 @@ _ROWS = "rw AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER
 
 def _days(spark, sf_dir) -> tuple[DataFrame, int]:
     d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return d.select((F.row_number().over(ONE.orderBy("date")) - 1).alias("i")), d.count()
+    return d.select((F.row_number().over(one().orderBy("date")) - 1).alias("i")), d.count()
 
 
 _KF = lambda h, e: f"""WITH {_ROWS}, f AS (SELECT i, fold, ceil(fold * n / 5.0) AS lo, ceil((fold + 1) * n / 5.0) - 1 AS hi FROM rw, (SELECT unnest(range(5)) AS fold)), r AS (SELECT fold, CASE WHEN i BETWEEN lo AND hi THEN 'test' WHEN i < lo AND i + {h} >= lo THEN 'purged' WHEN i > hi AND i <= hi + {h} THEN 'purged' WHEN i > hi AND i <= hi + {h} + {e} THEN 'embargo' ELSE 'train' END AS role FROM f)"""
@@ -146,7 +151,7 @@ _KF = lambda h, e: f"""WITH {_ROWS}, f AS (SELECT i, fold, ceil(fold * n / 5.0)
 @query("J11_purged_kfold", f"{_KF(3, 20)} SELECT fold, role, count(*) AS n FROM r GROUP BY ALL")
 def _j11(spark, sf_dir):
     d, n = _days(spark, sf_dir)
-    return stats.splits_kfold(n, 5, 3, 20, d).groupBy("fold", "role").agg(N.alias("n"))
+    return stats.splits_kfold(n, 5, 3, 20, d).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("J12_group_purged_kfold", f"WITH g AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY CAST(o_orderdate AS DATE)) - 1 AS i FROM orders), m AS (SELECT max(i) + 1 AS n FROM g), f AS (SELECT i, fold, ceil(fold * n / 5.0) AS lo, ceil((fold + 1) * n / 5.0) - 1 AS hi FROM g, m, (SELECT unnest(range(5)) AS fold)), r AS (SELECT fold, CASE WHEN i BETWEEN lo AND hi THEN 'test' WHEN i < lo AND i + 3 >= lo THEN 'purged' WHEN i > hi AND i <= hi + 3 THEN 'purged' WHEN i > hi AND i <= hi + 23 THEN 'embargo' ELSE 'train' END AS role FROM f) SELECT fold, role, count(*) AS n FROM r GROUP BY ALL")
@@ -154,9 +159,9 @@ def _j12(spark, sf_dir):
     """Rows of a panel take the role of their date: the split is made over dates, then joined."""
     o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
     dates = o.distinct()
-    numbered = dates.select("date", (F.row_number().over(ONE.orderBy("date")) - 1).alias("i"))
+    numbered = dates.select("date", (F.row_number().over(one().orderBy("date")) - 1).alias("i"))
     roles = stats.splits_kfold(dates.count(), 5, 3, 20, numbered.select("i")).join(numbered, "i")
-    return roles.join(o.groupBy("date").agg(N.alias("c")), "date").groupBy("fold", "role").agg(F.sum("c").alias("n"))
+    return roles.join(o.groupBy("date").agg(F.count(F.lit(1)).alias("c")), "date").groupBy("fold", "role").agg(F.sum("c").alias("n"))
 
 
 @query("J13_walk_forward_splits", f"WITH {_ROWS}, f AS (SELECT i, fold, ceil(fold * n / 6.0) AS lo, ceil((fold + 1) * n / 6.0) - 1 AS hi FROM rw, (SELECT unnest(range(1, 6)) AS fold)), r AS (SELECT fold, CASE WHEN i BETWEEN lo AND hi THEN 'test' WHEN i < lo AND i + 3 >= lo THEN 'purged' WHEN i < lo THEN 'train' END AS role FROM f) SELECT fold, role, count(*) AS n FROM r WHERE role IS NOT NULL GROUP BY ALL")
@@ -164,7 +169,7 @@ def _j13(spark, sf_dir):
     d, n = _days(spark, sf_dir)
     r = d.select("i", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("fold")).withColumn("lo", F.ceil(C("fold") * F.lit(n) / 6)).withColumn("hi", F.ceil((C("fold") + 1) * F.lit(n) / 6) - 1)
     role = F.when(C("i").between(C("lo"), C("hi")), "test").when((C("i") < C("lo")) & (C("i") + 3 >= C("lo")), "purged").when(C("i") < C("lo"), "train")
-    return r.select("fold", role.alias("role")).filter("role is not null").groupBy("fold", "role").agg(N.alias("n"))
+    return r.select("fold", role.alias("role")).filter("role is not null").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CPCV = f"WITH {_ROWS}, b AS (SELECT i, i * 5 // n AS b FROM rw), p AS (SELECT x.k AS x, y.k AS y FROM (SELECT unnest(range(5)) AS k) x, (SELECT unnest(range(5)) AS k) y WHERE x.k < y.k), r AS (SELECT x, y, i, b IN (x, y) AS test FROM b, p), s AS (SELECT *, max(CASE WHEN test THEN 1 ELSE 0 END) OVER (PARTITION BY x, y ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS near, max(CASE WHEN test THEN 1 ELSE 0 END) OVER (PARTITION BY x, y ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS after FROM r), q AS (SELECT x, y, CASE WHEN test THEN 'test' WHEN near = 1 OR after = 1 THEN 'purged' ELSE 'train' END AS role FROM s)"
@@ -181,7 +186,7 @@ def _cpcv(spark, sf_dir) -> DataFrame:
 
 @query("J14_combinatorial_splits", f"{_CPCV} SELECT x, y, role, count(*) AS n FROM q GROUP BY ALL")
 def _j14(spark, sf_dir):
-    return _cpcv(spark, sf_dir).groupBy("x", "y", "role").agg(N.alias("n"))
+    return _cpcv(spark, sf_dir).groupBy("x", "y", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("J15_boundary_leakage", f"{_KF(0, 0).replace('SELECT fold, CASE', 'SELECT fold, i, CASE')}, l AS (SELECT fold, role, max(CASE WHEN role = 'test' THEN 1 ELSE 0 END) OVER (PARTITION BY fold ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS hit FROM r) SELECT fold, count(*) FILTER (role = 'train' AND hit = 1) AS leaks FROM l GROUP BY fold")
@@ -260,7 +265,7 @@ bf AS (SELECT date, sector, (wp - wb) * (rb - total) AS allocation, wb * (rp - r
 
 def brinson_rows(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("symbol"), C("s_nationkey").alias("sector"))
-    x = returns(spark, sf_dir).select("symbol", "date", "ret").join(holdings_weights(spark, sf_dir).join(s, "symbol"), "symbol").withColumn("wb", 1.0 / N.over(Window.partitionBy("date")))
+    x = returns(spark, sf_dir).select("symbol", "date", "ret").join(holdings_weights(spark, sf_dir).join(s, "symbol"), "symbol").withColumn("wb", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("date")))
     ratio = lambda w: F.try_divide(F.sum(C(w) * C("ret")), F.sum(w))
     return x.groupBy("date", "sector").agg(F.sum("w").alias("wp"), ratio("w").alias("rp"), F.sum("wb").alias("wb"), ratio("wb").alias("rb"))
 
@@ -284,7 +289,7 @@ def _j24(spark, sf_dir):
 @query("J48_brinson_asset_class", f"{_BF.replace('s_nationkey AS sector', 's_nationkey % 5 AS sector')} SELECT sector AS asset_class, round(sum(allocation), 6) AS allocation, round(sum(selection), 6) AS selection FROM bf GROUP BY sector")
 def _j48(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("symbol"), (C("s_nationkey") % 5).alias("sector"))
-    x = returns(spark, sf_dir).select("symbol", "date", "ret").join(holdings_weights(spark, sf_dir).join(s, "symbol"), "symbol").withColumn("wb", 1.0 / N.over(Window.partitionBy("date")))
+    x = returns(spark, sf_dir).select("symbol", "date", "ret").join(holdings_weights(spark, sf_dir).join(s, "symbol"), "symbol").withColumn("wb", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("date")))
     ratio = lambda w: F.try_divide(F.sum(C(w) * C("ret")), F.sum(w))
     rows = x.groupBy("date", "sector").agg(F.sum("w").alias("wp"), ratio("w").alias("rp"), F.sum("wb").alias("wb"), ratio("wb").alias("rb"))
     e = attribution.brinson(rows, ["date"]).groupBy(C("sector").alias("asset_class")).agg(F.sum("allocation").alias("allocation"), F.sum("selection").alias("selection"))
@@ -358,8 +363,8 @@ def _j30(spark, sf_dir):
 def _j31(spark, sf_dir):
     r = sector_returns(spark, sf_dir)
     cov = r.select(C("sector").alias("a"), "date", C("r").alias("x")).join(r.select(C("sector").alias("b"), "date", C("r").alias("y")), "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"))
-    w = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("sector")).agg(N.alias("n"))
-    w = w.select("sector", (C("n") / F.sum("n").over(ONE)).alias("w"))
+    w = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("sector")).agg(F.count(F.lit(1)).alias("n"))
+    w = w.select("sector", (C("n") / F.sum("n").over(one())).alias("w"))
     j = cov.join(w.select(C("sector").alias("a"), C("w").alias("wa")), "a").join(w.select(C("sector").alias("b"), C("w").alias("wb")), "b")
     return rounded(j.groupBy(C("a").alias("sector")).agg(F.sum(C("wa") * C("wb") * C("c")).alias("contribution")))
 
@@ -396,11 +401,11 @@ def _j35(spark, sf_dir):
     """Customers by standardised features, k-means, the k of best silhouette."""
     from ..operators.clusters import auto_cluster
 
-    return auto_cluster(_features(spark, sf_dir), ["n", "mean", "share"], 5).groupBy("cluster").agg(N.alias("n"))
+    return auto_cluster(_features(spark, sf_dir), ["n", "mean", "share"], 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _features(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("id")).agg(N.cast("double").alias("n"), F.avg("o_totalprice").alias("mean"), F.avg((C("o_orderstatus") == "F").cast("double")).alias("share"))
+    return table(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("o_totalprice").alias("mean"), F.avg((C("o_orderstatus") == "F").cast("double")).alias("share"))
 
 
 @query("J36_cluster_rules")
@@ -490,8 +495,8 @@ def _j45(spark, sf_dir):
 @query("J46_idf", f"WITH {_WORDS.format(keys='doc_id', table='documents')}, t AS (SELECT unnest(list_distinct(w)) AS term FROM wd), n AS (SELECT count(*) AS N FROM documents) SELECT term, round(ln((N - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term, N")
 def _j46(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    terms = d.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).filter("term <> ''").groupBy("term").agg(N.alias("n"))
-    total = d.agg(N.alias("total"))
+    terms = d.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term")).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    total = d.agg(F.count(F.lit(1)).alias("total"))
     return terms.join(F.broadcast(total)).select("term", r6(F.log((C("total") - C("n") + 0.5) / (C("n") + 0.5) + 1)).alias("idf"))
 
 
@@ -531,7 +536,7 @@ _SIC = f"{_SHUF}, rk AS (SELECT sd, date, rank() OVER (PARTITION BY sd, date ORD
 
 def random_ic(spark, sf_dir) -> DataFrame:
     r = bench.ic_series(shuffled(spark, sf_dir), ["seed"])
-    return r.groupBy("date").agg(F.avg("ic").alias("ric"), N.alias("n")).filter("n = 3").select("date", "ric")
+    return r.groupBy("date").agg(F.avg("ic").alias("ric"), F.count(F.lit(1)).alias("n")).filter("n = 3").select("date", "ric")
 
 
 @query("F10_random_ic", f"WITH {PANEL}, {_SIC} SELECT date, round(ric, 6) AS ic FROM rnd")
@@ -552,7 +557,7 @@ def _c14(spark, sf_dir):
 def _f15(spark, sf_dir):
     j = bench.ic_series(factor_rows(panel(spark, sf_dir)), []).join(random_ic(spark, sf_dir), "date").withColumn("a", C("ic") - C("ric"))
     g = j.groupBy((C("date") < F.lit("1999-06-01").cast("date")).alias("train"))
-    return rounded(g.agg(N.alias("n"), F.avg("ic").alias("ic"), F.avg("a").alias("alpha"), (F.avg("a") / (F.stddev_samp("a") / F.sqrt(N))).alias("t")))
+    return rounded(g.agg(F.count(F.lit(1)).alias("n"), F.avg("ic").alias("ic"), F.avg("a").alias("alpha"), (F.avg("a") / (F.stddev_samp("a") / F.sqrt(F.count(F.lit(1))))).alias("t")))
 
 
 _ST = f"{PANEL}, qx AS (SELECT date, quantile_cont(close, 0.05) AS lo, quantile_cont(close, 0.95) AS hi FROM panel GROUP BY date), wz AS (SELECT symbol, date, least(greatest(close, lo), hi) AS x, amount FROM panel JOIN qx USING (date) WHERE close IS NOT NULL), stx AS (SELECT symbol, date, (x - sum(x * amount) OVER (PARTITION BY date) / sum(amount) OVER (PARTITION BY date)) / nullif(stddev_samp(x) OVER (PARTITION BY date), 0) AS z FROM wz)"
@@ -584,14 +589,14 @@ def _f13(spark, sf_dir):
     p = panel(spark, sf_dir).select("symbol", "date", "amount", ts.pct_change(C("close")).alias("x")).join(standardised(spark, sf_dir), ["symbol", "date"], "left")
     p = p.withColumn("z", F.lag("z").over(ts.series())).filter("z is not null and x is not null and amount is not null").withColumn("w", F.sqrt("amount"))
     w, z, x = C("w"), C("z"), C("x")
-    s = p.groupBy("date").agg(N.alias("n"), F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"), F.sum(w * x).alias("wx"), F.sum(w * z * x).alias("wzx")).filter("n >= 5")
+    s = p.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * z).alias("wz"), F.sum(w * z * z).alias("wzz"), F.sum(w * x).alias("wx"), F.sum(w * z * x).alias("wzx")).filter("n >= 5")
     return s.select("date", r6(F.try_divide(C("w") * C("wzx") - C("wz") * C("wx"), C("w") * C("wzz") - C("wz") * C("wz"))).alias("factor_return"))
 
 
 @query("F14_ic_analysis", f"WITH {PANEL}, {_IC} SELECT count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 6) AS t, round(skewness(ic), 6) AS skew, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), 6) AS positive FROM ic")
 def _f14(spark, sf_dir):
     ic = bench.ic_series(factor_rows(panel(spark, sf_dir)), [])
-    n = N
+    n = F.count(F.lit(1))
     skew = F.skewness("ic") * F.sqrt(n * (n - 1)) / (n - 2)
     return rounded(ic.agg(n.alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), (F.avg("ic") / (F.stddev_samp("ic") / F.sqrt(n))).alias("t"), skew.alias("skew"), F.avg((C("ic") > 0).cast("double")).alias("positive")))
 
@@ -690,7 +695,7 @@ def _k09(spark, sf_dir):
     sc = window_sum(points, scored_events(spark, sf_dir), ["symbol"], "day", "known", 5, C("s") * F.exp(-0.4 * C("_age"))).withColumn("score", F.round("score", 9)).filter("score >= 0.2")
     w = Window.partitionBy("day")
     best = sc.withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "symbol"))).filter("k <= 10")
-    return best.select("day", "symbol", r6(1.0 / N.over(w)).alias("weight"))
+    return best.select("day", "symbol", r6(1.0 / F.count(F.lit(1)).over(w)).alias("weight"))
 
 
 @query("K10_fundamental_filter", "WITH f AS (SELECT o_custkey AS symbol, year(o_orderdate) AS year, sum(o_totalprice) AS revenue, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS profit FROM orders GROUP BY ALL), g AS (SELECT symbol, year, CASE WHEN profit IS NOT NULL THEN revenue > 400000 AND profit > 100000 ELSE revenue > 900000 END AS ok FROM f) SELECT symbol, year, round(CASE WHEN ok THEN 1.0 / sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY year) ELSE 0 END, 6) AS weight FROM g")
@@ -764,7 +769,7 @@ def _l05(spark, sf_dir):
 
     good, late = streams.split_late(streams.events(spark, sf_dir), datetime(2024, 1, 20))
     both = good.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
-    return both.groupBy("event_type", "late").agg(N.alias("n"))
+    return both.groupBy("event_type", "late").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("L06_register_factor", f"WITH {PANEL} SELECT symbol, date, round((close - open) / nullif(high - low, 0), 6) AS value FROM panel")
