@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import per_batch, stored
+from .common import hash_sample, per_batch, stored
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, k: int, sample: int = 20_000) -> MultiIndex | None:
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+    got = hash_sample(rows, "vec_id", sample).select("v").toPandas()["v"]
     if not len(got):
         return None
     points = np.array(got.tolist(), np.float64)

@@ -90,3 +90,20 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.function(key)
         return value
+
+
+def id_hash(key: str) -> Column:
+    """A number from 0 to 2^31 - 1 by which samples are ordered, whatever the partitions."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31))
+
+
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows of least id_hash. Rows that can't be among them are left out where they lie, so that what
+    tasks send for the final order doesn't grow with their number."""
+    n = rows.count()
+    order = [id_hash(key), F.col(key)]
+    if n > 2 * most:
+        few = rows.filter(id_hash(key) < int((1 << 31) * min(1.0, (1.2 * most + 200) / n)))
+        if few.count() >= most:
+            return few.orderBy(*order).limit(most)
+    return rows.orderBy(*order).limit(most)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, per_batch, text_bytes, words_of
+from .common import hash_sample, held_out, per_batch, text_bytes, words_of
 
 CONTENT, PAGE = 256 + 6, 64 + 16 + 12 + 12 + 12
 
@@ -149,10 +149,9 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, unlabelled: int = 6000, **options) -> QualityModel:
     spark = docs.sparkSession
     known = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [tuple(r) for r in known.orderBy(*order).limit(labelled).collect()]
+    chosen = [tuple(r) for r in hash_sample(known, "doc_id", labelled).collect()]
     ids = {c[0] for c in chosen}
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out()).orderBy(*order).limit(labelled + unlabelled).collect()
+    others = hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out()), "doc_id", labelled + unlabelled).collect()
     chosen += [(r["doc_id"], -1) for r in others if r["doc_id"] not in ids][:unlabelled]
     neutral = QualityModel(np.zeros(CONTENT + 1), np.zeros(PAGE + 1), np.zeros(3))
     if len({c[1] for c in chosen} - {-1}) < 2:

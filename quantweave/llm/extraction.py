@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import hash_sample, per_batch
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -460,7 +460,9 @@ def made_sequences(pages: list[tuple[str, list[tuple[str, int]]]]) -> list[tuple
 
 
 def fit(pages: DataFrame, made: int = 500, sample: int = 200, rounds: int = 200) -> ChainModel:
-    rows = pages.filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()
+    ids = [r["page_id"] for r in hash_sample(pages.filter("html is not null").select("page_id"), "page_id", sample).collect()]
+    # a repeated id counts once
+    rows = pages.filter(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("page_id", "html").dropDuplicates(["page_id"]).orderBy("page_id").collect()
     sequences = made_sequences(labelled_pages(made))
     for row in rows:
         blocks = parse(row["html"])

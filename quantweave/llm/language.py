@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, per_batch
+from .common import held_out, id_hash, per_batch
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -53,11 +53,12 @@ def fit(docs: DataFrame, per_language: int = 250, per_text: int = 500, size: int
     if not counts:
         return LanguageModel((), (), **options)
     names = [r["lang"] for r in counts]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Spark keeps `per_language` rows a language in each map task before the shuffle; texts aren't shuffled
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).filter(F.col("lang").isin(names))
+    # rows that can't be among the first are left out where they lie; Spark keeps `per_language` rows of the rest in each task
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, (4 * per_language + 100) / r["count"])) for r in counts])
+    order = Window.partitionBy("lang").orderBy(id_hash("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").filter(id_hash("doc_id") < share * float(1 << 31)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     ids = [r["doc_id"] for r in chosen.select("doc_id").collect()]
-    sample = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.lower(F.substring("text", 1, per_text)).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
+    sample = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.lower(F.substring("text", 1, per_text)).alias("text"), id_hash("doc_id").alias("h")).collect()
     pieces: dict[str, list[str]] = {name: [] for name in names}
     for r in sorted(sample, key=lambda r: (r["h"], r["text"])):
         if r["lang"] in pieces:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, per_batch, stored, text_bytes, words_of
+from .common import Memo, hash_sample, held_out, per_batch, stored, text_bytes, words_of
 
 
 #: The pseudo-term of a text's length, and the weight of an octave of it.
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, most_terms: in
     """Learn from labelled rows that aren't held out: at most `examples` of them, `most_terms` kept terms."""
     spark = docs.sparkSession
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
+    chosen = hash_sample(known, "doc_id", examples).collect()
     nothing = ToxicityModel({}, np.zeros(0), BlockMaxIndex(), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, np.array([0.0, 1.0]), np.array([0.0, 0.0]), k)
     if not chosen:
         return nothing
