@@ -2,7 +2,7 @@
 
 A dictionary is a bounded piece of the text of one language. A whole text is cut into blocks; each block is
 compressed with every dictionary, and the language with the smallest sum is chosen. A text whose two best
-sums lie close together is rejected. Texts and dictionaries are lower-cased first.
+sums lie close together is rejected. Texts and dictionaries are lower-cased first, short texts padded.
 
 Defined cases: a null text and a text without a letter get `und`, score 0, and are rejected; ties go to the
 language with more learned documents, then by name; with nothing to learn from every row is `und`; an empty
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import held_out, id_hash, per_batch
 
 UNKNOWN = "und"
+#: Texts of fewer bytes are padded by a run that compresses to almost nothing: zstandard stores a block as it is
+#: unless that saves enough, and then every dictionary gives the same size.
+SHORT, PADDING = 256, b"\x01" * 200
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -82,6 +85,8 @@ def scorer(model: LanguageModel):
         if not packers or text is None or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
         data = text.lower().encode()
+        if len(data) < SHORT:
+            data = b" " + data + b" " + PADDING
         blocks = [data[i : i + model.block] for i in range(0, len(data), model.block)]
         sums = [sum(len(p.compress(b)) for b in blocks) for p in packers]
         best = min(range(len(sums)), key=sums.__getitem__)  # the first of equals
