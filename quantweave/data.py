@@ -140,7 +140,7 @@ def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), price.alias("price"), order.alias("at"), "l_quantity", "l_extendedprice")
     out = rows.groupBy("symbol", "date").agg(
         F.round(F.min_by("price", "at"), 6).alias("open"), F.round(F.max("price"), 6).alias("high"), F.round(F.min("price"), 6).alias("low"), F.round(F.max_by("price", "at"), 6).alias("close"),
-        F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("vwap"),
+        F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("vwap"), F.round(F.sum("l_extendedprice"), 2).alias("amount"),
     )
     return densify(out, "7 days").withColumn("sector", F.col("symbol") % 5)
 
@@ -149,6 +149,6 @@ WEEKLY = """wb AS (SELECT CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS s
     round(first(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice), 6) AS open,
     round(max(l_extendedprice / l_quantity), 6) AS high, round(min(l_extendedprice / l_quantity), 6) AS low,
     round(first(l_extendedprice / l_quantity ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC, l_extendedprice DESC), 6) AS close,
-    sum(l_quantity) AS volume, round(sum(l_extendedprice) / sum(l_quantity), 6) AS vwap FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-panel AS (SELECT s.symbol, CAST(d.date AS DATE) AS date, open, high, low, close, volume, vwap, s.symbol % 5 AS sector FROM (SELECT DISTINCT symbol FROM wb) s
+    sum(l_quantity) AS volume, round(sum(l_extendedprice) / sum(l_quantity), 6) AS vwap, round(sum(l_extendedprice), 2) AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+panel AS (SELECT s.symbol, CAST(d.date AS DATE) AS date, open, high, low, close, volume, vwap, amount, s.symbol % 5 AS sector FROM (SELECT DISTINCT symbol FROM wb) s
   CROSS JOIN (SELECT unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS date FROM wb) d LEFT JOIN wb ON wb.symbol = s.symbol AND wb.date = d.date)"""

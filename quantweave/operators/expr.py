@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ts, xs
+from .ewm import Ewm, ewm
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,9 @@ PLAIN: dict[str, tuple[Callable[..., Column], Callable[..., str]]] = {
     "fmin": (lambda a, b: F.least(a, b), lambda a, b: f"least({a}, {b})"),
     "round": (lambda a: F.round(a, PLACES), lambda a: f"round({a}, {PLACES})"),
     "finite": (lambda a: F.when(F.abs(a) < float("inf"), a), lambda a: f"CASE WHEN isfinite({a}) THEN {a} END"),
+    "low2": (lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)), lambda a, b: f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN least({a}, {b}) END"),
+    "high2": (lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)), lambda a, b: f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN greatest({a}, {b}) END"),
+    "fill": (lambda a, b: F.coalesce(a, b), lambda a, b: f"coalesce({a}, {b})"),
     "power": (lambda a, b: F.signum(a) * F.pow(F.abs(a), b), lambda a, b: f"(sign({a}) * pow(abs({a}), {b}))"),
 }
 #: Windows: Spark, SQL; parameters come last.
@@ -114,6 +118,8 @@ WINDOWS: dict[str, tuple[Callable[..., Column], Callable[..., str]]] = {
     "delay": (ts.delay, lambda x, d: f"lag({x}, {d}) OVER ({_W})"),
     "delta": (ts.delta, lambda x, d: f"({x} - lag({x}, {d}) OVER ({_W}))"),
     "product": (lambda x, n: ts.full(F.product(x).over(ts.last(n)), x, n), lambda x, n: _full(f"product({x}) {_last(n)}", x, n)),
+    "partial_sum": (lambda x, n, least: F.when(F.count(x).over(ts.last(n)) >= least, F.sum(x).over(ts.last(n))), lambda x, n, least: f"CASE WHEN count({x}) {_last(n)} >= {least} THEN sum({x}) {_last(n)} END"),
+    "running_product": (lambda x: F.when(x.isNotNull(), F.product(x).over(ts.so_far())), lambda x: f"CASE WHEN {x} IS NOT NULL THEN product({x}) OVER ({_W}) END"),
     "number": (lambda x: F.row_number().over(ts.series()).cast("double"), lambda x: f"CAST(row_number() OVER ({_W}) AS DOUBLE)"),
     "rank": (xs.rank, lambda x: f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"),
     "zscore": (xs.zscore, lambda x: f"CASE WHEN min({x}) OVER (PARTITION BY date) < max({x}) OVER (PARTITION BY date) THEN ({x} - avg({x}) OVER (PARTITION BY date)) / stddev_samp({x}) OVER (PARTITION BY date) END"),
@@ -136,8 +142,8 @@ def fn(op: str) -> Callable[..., X]:
     return make
 
 
-mean, total, std, top, low_of, skew, quantile, ts_rank, argmax, argmin, corr, cov, decay, delay, delta, product, rank, zscore, scale, neutral, market, number = (
-    fn(o) for o in "mean sum std max min skew quantile ts_rank argmax argmin corr cov decay delay delta product rank zscore scale neutral market number".split()
+average, partial_sum, running_product, mean, total, std, top, low_of, skew, quantile, ts_rank, argmax, argmin, corr, cov, decay, delay, delta, product, rank, zscore, scale, neutral, market, number = (
+    fn(o) for o in "ewm partial_sum running_product mean sum std max min skew quantile ts_rank argmax argmin corr cov decay delay delta product rank zscore scale neutral market number".split()
 )
 
 
@@ -148,9 +154,16 @@ def where(c, a, b): return X("where", (c, value(a), value(b)))  # noqa: E704
 def fmax(a, b): return X("fmax", (a, b))  # noqa: E704
 def fmin(a, b): return X("fmin", (a, b))  # noqa: E704
 def power(a, b): return X("power", (a, value(b)))  # noqa: E704
+def low2(a, b): return X("low2", (a, value(b)))  # noqa: E704
+def high2(a, b): return X("high2", (a, value(b)))  # noqa: E704
+def fill(a, b): return X("fill", (a, value(b)))  # noqa: E704
 def finite(a): return X("finite", (a,))  # noqa: E704
 
 
+#: Averages that recur along a series: no window of Spark or SQL, but one grouped pass a level.
+RECURSIVE = ("ewm",)
+
+
 class Levels:
     """The windows of a set of expressions by level, each with a name; what they read is a column by then."""
 
@@ -166,7 +179,7 @@ class Levels:
         if x in self.level:
             return self.level[x]
         inner = max((self._visit(a) for a in x.args), default=0)
-        if x.op in WINDOWS:
+        if x.op in WINDOWS or x.op in RECURSIVE:
             for a in x.args:
                 if a.op not in ("col", "lit") and a not in self.name:
                     self.name[a] = f"_x{len(self.name)}"
@@ -179,8 +192,8 @@ class Levels:
         """For each level: values that its windows read, and the windows."""
         out = []
         for k in range(1, self.depth + 1):
-            windows = [x for x in self.name if x.op in WINDOWS and self.level[x] == k]
-            reads = [x for x in self.name if x.op not in WINDOWS and self.level[x] == k - 1]
+            windows = [x for x in self.name if (x.op in WINDOWS or x.op in RECURSIVE) and self.level[x] == k]
+            reads = [x for x in self.name if x.op not in WINDOWS and x.op not in RECURSIVE and self.level[x] == k - 1]
             out.append((reads, windows))
         return out
 
@@ -211,19 +224,27 @@ NUDGE = 1e-10
 PLACES = 8
 
 
+def _column_of(plan: Levels, x: X) -> str:
+    return plan.name.get(x) or x.params[0]
+
+
 def evaluate(panel: DataFrame, targets: dict[str, X]) -> DataFrame:
     """symbol, date and a column for each target."""
     plan = Levels(targets)
     for reads, windows in plan.steps():
-        for new in (reads, windows):
+        averages = [x for x in windows if x.op in RECURSIVE]
+        for new in (reads, [x for x in windows if x.op in WINDOWS]):
             if new:
                 panel = panel.select("*", *[plan.column(x, True).alias(plan.name[x]) for x in new])
                 plan.done.update(new)
+        if averages:
+            panel = ewm(panel, {plan.name[x]: Ewm(_column_of(plan, x.args[0]), x.params[0]) for x in averages})
+            plan.done.update(averages)
     return panel.select("symbol", "date", *[plan.column(x).alias(n) for n, x in targets.items()])
 
 
 def to_sql(source: str, targets: dict[str, X], digits: int = 6) -> str:
-    """The same after a WITH clause that ends in a table named `source`: further tables, and a SELECT of rounded targets."""
+    """The same (without recursive averages) after a WITH clause that ends in a table named `source`: further tables, and a SELECT of rounded targets."""
     plan, parts, at = Levels(targets), [], source
     for k, (reads, windows) in enumerate(plan.steps()):
         for kind, xs_ in (("r", reads), ("w", windows)):

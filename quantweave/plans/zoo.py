@@ -29,6 +29,15 @@ for _i in range(1, 102, 10):
 # its powers grow beyond what two engines round alike
 factor_query("Z_alpha101_084", {"a084": _ALPHAS[84]}, with_sql=False)
 
+_GTJA = zoo.gtja191()
+#: Without a SQL twin: recursive averages, and powers and products that grow beyond what two engines round alike.
+_APART = (*zoo.RECURRING, 17, 143)
+_REST = [k for k in _GTJA if k not in _APART]
+for _i in range(0, len(_REST), 20):
+    factor_query(f"Z_gtja191_{_i // 20 + 1:02d}", {f"g{k:03d}": _GTJA[k] for k in _REST[_i : _i + 20]})
+for _i in range(0, len(_APART), 18):
+    factor_query(f"Z_gtja191_apart_{_i // 18 + 1}", {f"g{k:03d}": _GTJA[k] for k in _APART[_i : _i + 18]}, with_sql=False)
+
 _FUND = """fq AS (SELECT o_custkey % 25 AS symbol, CAST(date_trunc('month', o_orderdate) AS DATE) AS filed, sum(o_totalprice) AS ni, count(*) AS n, max(o_totalprice) AS gp, avg(o_totalprice) AS roe FROM orders GROUP BY ALL),
 fg AS (SELECT *, ni / lag(ni) OVER (PARTITION BY symbol ORDER BY filed) - 1 AS ag FROM fq),
 fp AS (SELECT p.symbol, p.date, p.close, g.ag AS asset_growth, g.ni AS net_income, CAST(g.n AS DOUBLE) AS shares_diluted, g.gp / g.ni AS gross_profitability, g.roe FROM panel p ASOF LEFT JOIN fg g ON p.symbol = g.symbol AND p.date >= g.filed)"""
