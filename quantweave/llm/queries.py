@@ -63,4 +63,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_quality, op3_toxicity, op4_html_extract, op5_language_id, op6_ngram_jaccard, op7_ann_search, op8_token_counts, op9_byte_bpe, op10_decontaminate)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+#: The words of a text, as common.words_of cuts them.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_PATTERNS = {
+    "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]{14,}",  # a shorter run has no longer one inside it
+    "hex": "[0-9a-f]{16,}",
+    "private_key": "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "forge_token": "gh[pousr]_[A-Za-z0-9]{36,}",
+}
+_LONG_ENOUGH = {"assign": "length(regexp_extract(s, '{p}', 2)) >= 12"}
+
+
+def _spans_sql(k: int, kind: str, pattern: str) -> str:
+    """Matches of a kind with their places: lengths of the texts between them and of the matches before."""
+    keep = _LONG_ENOUGH.get(kind, "true").replace("{p}", pattern)
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, a, a + length(s) AS b FROM (SELECT doc_id, unnest(m) AS s, unnest(list_transform(range(1, len(m) + 1),
+      lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS a
+      FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents WHERE text IS NOT NULL)) WHERE {keep}"""
+
+
+_ALL_SPANS = " UNION ALL ".join(_spans_sql(k, kind, pattern) for k, (kind, pattern) in enumerate(_PATTERNS.items()))
+_JOINED = "string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k, b)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": f"""WITH f AS ({_ALL_SPANS}),
+      g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_JOINED} FILTER (k < 3) AS base, {_JOINED} AS spans FROM f GROUP BY doc_id)
+      SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)""",
+    "op6_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), pr AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+      lk AS (SELECT x, y FROM pr JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9), ed AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+      r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ed.y FROM r JOIN ed ON r.other = ed.x), k AS (SELECT x AS doc_id, count(*) AS n_links FROM ed GROUP BY x)
+      SELECT r.doc_id, min(other) AS class_id, coalesce(any_value(n_links), 0) AS n_links FROM r LEFT JOIN k USING (doc_id) GROUP BY r.doc_id""",
+    "op10_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+      bw AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+      dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+      m AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, g)), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+      t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+      SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+      FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
