@@ -25,7 +25,7 @@ def duck():
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, bool):
         return str(v)
