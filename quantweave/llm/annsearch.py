@@ -4,6 +4,11 @@ Vectors are cut into two halves; each half is quantised by its own codebook, so
 cells. A query walks the cells in the order of the summed distances of its halves to the two centroids, by a
 heap, until the cells it has met hold enough entries; those are then reranked by the exact inner product.
 
+How many are enough is measured on the table itself: the true neighbours of a hashed sample of queries (`probes`),
+found by reading every vector, give the recall of any number of entries, and the least number is taken whose recall
+is `recall` with two standard errors to spare. Where that is half of the table, cells don't pay: every query then
+meets every vector, in blocks, and the result is exact.
+
 Codebooks are fitted on a bounded sample (`sample` vectors by the order of a hash of their id); every vector is
 indexed and none is dropped: a cell with many entries is cut into blocks, and each block meets its queries in a
 task of its own. Cell sizes (k * k numbers at most) are the only thing that is broadcast besides codebooks.
@@ -126,10 +131,51 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     return out_q, out_v, out_s
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = None, enough: int = 4000, block: int = 4096, sample: int = 20_000) -> DataFrame:
+def true_cells(indexed: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, cell of the k best of every probe over all vectors; a task keeps only what is best so far."""
+    shared = indexed.sparkSession.sparkContext.broadcast((ids, probes))
+
+    def run(batches):
+        ids, probes = shared.value
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = batch["vec_id"].to_numpy(), batch["cell"].to_numpy(), np.asarray(batch["v"].flatten(), np.float64).reshape(batch.num_rows, -1)
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+            got = best_of(ids, probes, held[0], held[2], k)
+            best = np.isin(held[0], got[1])
+            held = tuple(x[best] for x in held)
+        if held is not None and len(held[0]):
+            cell = dict(zip(held[0].tolist(), held[1].tolist()))
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64()), "cell": pa.array([cell[i] for i in got[1]], pa.int32())})
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = indexed.mapInArrow(run, "query_id long, vec_id long, score double, cell int")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("query_id", "cell").toPandas()  # at most k a probe
+
+
+def entries_needed(index: MultiIndex, sizes: dict[int, int], ids: np.ndarray, probes: np.ndarray, truth: pd.DataFrame, recall: float) -> int:
+    """The least number of entries at which the probes' mean recall, less two standard errors, is `recall`; all if there is none."""
+    total, needed = sum(sizes.values()), []
+    own = truth.groupby("query_id")["cell"].apply(list).to_dict()
+    for q, x in zip(ids.tolist(), probes):
+        if q in own:
+            cells = index.walk(x, sizes, total)
+            # a cell is visited while fewer than enough entries are held before it
+            before = dict(zip(cells, np.cumsum([1] + [sizes[c] for c in cells]).tolist()))
+            needed.append(np.sort([before[c] for c in own[q]]))
+    for enough in sorted({n for x in needed for n in x.tolist()}):
+        met = np.array([np.searchsorted(x, enough, "right") / len(x) for x in needed])
+        if met.mean() - 2 * met.std() / len(met) ** 0.5 >= recall:
+            return int(enough)
+    return total
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = None, enough: int | None = None, block: int = 4096, sample: int = 20_000, recall: float = 0.95, probes: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds.
 
-    `centroids` a half: by default about sqrt(rows / 32), from 4 to 256.
+    `centroids` a half: by default about sqrt(rows / 32), from 4 to 256. `enough`: by default as measured for `recall`.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors))
@@ -150,6 +196,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = No
 
     indexed = stored(per_batch(rows, "vec_id long, v array<double>, cell int", make_cells))
     sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # k * k numbers at most
+    asked = rows.filter(is_query(F.col("vec_id")))
+    if enough is None:
+        some = hash_sample(asked, "vec_id", probes).toPandas()
+        if some.empty:
+            return spark.createDataFrame([], schema)
+        ids, points = some["vec_id"].to_numpy(), np.array(some["v"].tolist(), np.float64)
+        enough = entries_needed(index, sizes, ids, points, true_cells(indexed, ids, points, k), recall)
+        if 2 * enough >= total:  # one cell for all
+            indexed, sizes, index = indexed.withColumn("cell", F.lit(0)), {0: total}, None
+            block = min(block, max(256, -(-total // 16)))
     held = spark.sparkContext.broadcast(sizes)
 
     def make_walks():
@@ -160,7 +216,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = No
 
         return work
 
-    queries = per_batch(rows.filter(is_query(F.col("vec_id"))), "query_id long, q array<double>, cells array<int>", make_walks)
+    if index is None:
+        queries = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.array(F.lit(0)).alias("cells"))
+    else:
+        queries = per_batch(asked, "query_id long, q array<double>, cells array<int>", make_walks)
     visits = stored(queries.select("query_id", "q", F.explode("cells").alias("cell")))
     visited = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
     # blocks of entries and of queries of each cell

@@ -295,6 +295,40 @@ def test_vector_search_on_little(spark):
     assert annsearch.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_vector_search_recall_on_many_times_its_old_cap(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in annsearch.search(df, lambda i: i % 200 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 20_000, 200):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (100 * 20) >= 0.9
+
+
+def test_entries_needed_reach_their_recall_in_clusters():
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 16))
+    index = annsearch.MultiIndex(annsearch.codebook(v[:, :8], 12), annsearch.codebook(v[:, 8:], 12))
+    cells, ids = index.cells(v), np.arange(0, 4000, 40)
+    sizes = dict(zip(*(x.tolist() for x in np.unique(cells, return_counts=True))))
+    truth = []
+    for q in ids:
+        s = v @ v[q]
+        s[q] = -np.inf
+        truth += [(q, cells[i]) for i in np.argsort(-s)[:20]]
+    import pandas as pd
+
+    enough = annsearch.entries_needed(index, sizes, ids, v[ids], pd.DataFrame(truth, columns=["query_id", "cell"]), 0.95)
+    met = [c in walked for q in ids for walked in [set(index.walk(v[q], sizes, enough))] for p, c in truth if p == q]
+    assert np.mean(met) >= 0.95 and enough < 2000
+
+
 # ---- 8: token counts
 
 
