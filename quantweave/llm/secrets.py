@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from .common import new_path, per_batch
 
 #: Kinds in the order in which spans with the same start are listed; the first three are the base.
-KINDS = ("assign", "access", "hex", "private_key", "jwt", "forge_token")
+KINDS = ("assign", "access", "hex", "private_key", "jwt", "forge_token", "key_block")
 BASE = KINDS[:3]
 #: Rule version -> the kinds that it scans for. A later version rescans every blob once.
-RULES = {"base-1": BASE, "more-1": KINDS[3:]}
+RULES = {"base-1": BASE, "more-1": KINDS[3:6]}
+#: What redact() scans for: private_key is the opening line alone, as the SQL has it; key_block is the whole key.
+REDACTED = RULES | {"block-1": KINDS[6:]}
 
 ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Lower-case substrings of which any assignment has one: a cheap test before the pattern.
@@ -34,10 +36,23 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
+KEY_LINE = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?)-----")
+#: What follows an opening line without its closing line: headers, base64 lines, and a shorter last line.
+KEY_BODY = re.compile(r"""(?:\s|\\[nr]|[A-Za-z-]+:\x20[^\n]*\n)*(?:[A-Za-z0-9+/=]{16,}(?:["',;>#*+|]|\s|\\[nr])*)*(?:(?<=[\n])[A-Za-z0-9+/]{1,15}={0,2}(?=\s*?(?:\n|\Z)))?""")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Places of private keys from BEGIN to the END line of the same name, or where that is missing to the last base64 line."""
+    lines, out = list(KEY_LINE.finditer(text)), []
+    for m, after in zip(lines, [*lines[1:], None]):
+        if m[1] == "BEGIN":
+            closed = after is not None and after[1] == "END" and after[2] == m[2]
+            out.append((m.start(), after.end() if closed else KEY_BODY.match(text, m.end(), after.start() if after else len(text)).end()))
+    return out
+
+
 def find_spans(text: str, kinds: Iterable[str]) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive; leftmost and non-overlapping within a kind."""
     found = []
@@ -61,6 +76,9 @@ def find_spans(text: str, kinds: Iterable[str]) -> list[tuple[str, int, int]]:
         elif kind == "forge_token":
             if "gh" in text and "_" in text:
                 found += [(kind, *m.span()) for m in FORGE.finditer(text)]
+        elif kind == "key_block":
+            if "PRIVATE KEY" in text:
+                found += [(kind, *span) for span in key_blocks(text)]
         else:
             raise ValueError(f"unknown kind of secret: {kind}")
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -174,11 +192,13 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """docs with every span of its text replaced by the mask (overlapping spans by one), and n_chars to match.
 
+    A private key is masked whole, with its body and closing line.
+
     A row's own text is changed where it lies: only names of blobs and their spans are joined.
     """
     spark = docs.sparkSession
     path = ledger or new_path(spark, "secret-ledger")
-    seen = (scan_once if ledger is None or read_ledger(spark, path) is None else scan)(docs, path)
+    seen = (scan_once if ledger is None or read_ledger(spark, path) is None else scan)(docs, path, REDACTED)
     hits = seen.filter(F.col("spans") != "").groupBy("blob").agg(F.concat_ws(",", F.collect_list("spans")).alias("_spans"))
     names = docs.columns
     joined_docs = docs.withColumn("_blob", blob_id("text")).join(hits.withColumnRenamed("blob", "_blob"), "_blob", "left")

@@ -83,6 +83,26 @@ def test_redaction_masks_overlapping_spans_once(spark):
     assert out[1].text == "clean" and out[2].text is None
 
 
+def test_private_keys_are_masked_whole(spark):
+    rng = np.random.default_rng(1)
+    lines = ["".join(rng.choice(list("ABCDEFGHabcdefgh0123+/"), 64)) for _ in range(5)] + ["QkJC/w=="]
+    body = "\n".join(lines)
+    rsa = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{body}\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"
+    texts = [
+        f"before\n{rsa}\nafter", f"before\n{locked}\nand prose after it", f"{rsa}\nbetween\n{rsa}", rsa.replace("\n", "\\n") + "\\n", pgp,
+        f"-----BEGIN PRIVATE KEY-----\nis how a key begins, not one\n{rsa} x", f"-----BEGIN PUBLIC KEY-----\n{lines[0]}\n-----END PUBLIC KEY-----",
+        "-----BEGIN RSA PRIVATE KEY-----\r\n" + "\r\n".join(lines) + "\r\nafter it",
+    ]
+    want = ["before\n[SECRET]\nafter", "before\n[SECRET]\nand prose after it", "[SECRET]\nbetween\n[SECRET]", "[SECRET]\\n", "[SECRET]", "[SECRET]is how a key begins, not one\n[SECRET] x", texts[6], "[SECRET]\r\nafter it"]
+    got = {r.doc_id: r for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert [got[i].text for i in range(len(texts))] == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    # op1's spans stay those of its SQL
+    assert secrets.findings(docs_of(spark, texts[:1])).first().spans == "private_key:7:38"
+
+
 # ---- 2 and 3: classifiers
 
 
