@@ -2,7 +2,9 @@
 
 A dictionary is a bounded piece of the text of one language. A whole text is cut into blocks; each block is
 compressed with every dictionary, and the language with the smallest sum is chosen. A text whose two best
-sums lie close together is rejected. Texts and dictionaries are lower-cased first, short texts padded.
+sums lie close together is rejected: by less than a fiftieth (on held-out texts that rejects most texts of languages
+that were not learned), or by less than that where learned texts, kept from the dictionaries, lie closer. Texts and dictionaries are lower-cased first,
+short texts padded.
 
 Defined cases: a null text and a text without a letter get `und`, score 0, and are rejected; ties go to the
 language with more learned documents, then by name; with nothing to learn from every row is `und`; an empty
@@ -13,8 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,14 +43,15 @@ class LanguageModel:
     block: int = 8192
     #: Bytes of compressed size that count as one nat when sums are turned into a score.
     scale: float = 6.0
-    #: The least difference of the best two sums, as a share of the best.
-    margin: float = 0.001
+    #: The least difference of the best two sums, as a share of the best. fit() lowers it where its texts ask for that.
+    margin: float = 0.02
 
 
-def fit(docs: DataFrame, per_language: int = 250, per_text: int = 500, size: int = 64_000, languages: int = 200, **options) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 250, per_text: int = 500, size: int = 64_000, languages: int = 200, lost: float = 0.005, **options) -> LanguageModel:
     """Dictionaries from learned rows: at most `per_language` texts of a language, `per_text` characters of
     each, `size` bytes in all; at most `languages` languages, the most frequent first. These bounds are the
-    sample that the model is fitted on; scoring reads whole texts.
+    sample that the model is fitted on; scoring reads whole texts. A piece is taken from a hashed place of its text.
+    Of five sampled rows one is kept from the dictionaries and scored whole, for the margin, unless that is given.
 
     Rows are taken in the order of a hash of their id, so that the sample doesn't depend on the partitions.
     """
@@ -57,17 +61,32 @@ def fit(docs: DataFrame, per_language: int = 250, per_text: int = 500, size: int
         return LanguageModel((), (), **options)
     names = [r["lang"] for r in counts]
     # rows that can't be among the first are left out where they lie; Spark keeps `per_language` rows of the rest in each task
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, (4 * per_language + 100) / r["count"])) for r in counts])
+    most = per_language + per_language // 4
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, (4 * most + 100) / r["count"])) for r in counts])
     order = Window.partitionBy("lang").orderBy(id_hash("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").filter(id_hash("doc_id") < share * float(1 << 31)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").collect()]
-    sample = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.lower(F.substring("text", 1, per_text)).alias("text"), id_hash("doc_id").alias("h")).collect()
+    chosen = rows.select("doc_id", "lang").filter(id_hash("doc_id") < share * float(1 << 31)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("doc_id", "lang", "n").collect()
+    ids = [r["doc_id"] for r in chosen if r["n"] % 5]
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - per_text + 1, F.lit(1))).cast("int") + 1
+    sample = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.lower(F.substring("text", place, per_text)).alias("text"), id_hash("doc_id").alias("h")).collect()
     pieces: dict[str, list[str]] = {name: [] for name in names}
     for r in sorted(sample, key=lambda r: (r["h"], r["text"])):
         if r["lang"] in pieces:
             pieces[r["lang"]].append(r["text"])
     # matches near the end of a dictionary are cheapest for every language alike
-    return LanguageModel(tuple(names), tuple("\n".join(pieces[n]).encode()[:size] for n in names), **options)
+    model = LanguageModel(tuple(names), tuple("\n".join(pieces[n]).encode()[:size] for n in names), **options)
+    apart = {r["doc_id"]: r["lang"] for r in chosen if not r["n"] % 5}
+    if "margin" in options or not apart or len(names) < 2:
+        return model
+    told = predict(rows.filter(F.col("doc_id").isin(list(apart))), model).select("doc_id", "lang_pred", "margin").collect()
+    return replace(model, margin=least_margin([r["margin"] for r in told if r["lang_pred"] == apart[r["doc_id"]]], lost, model.margin))
+
+
+def least_margin(right: list[float], lost: float, most: float) -> float:
+    """`most`, or less where a larger share than `lost` of rightly told texts (or than a twentieth, of too few texts to
+    show that share) would lie below it. A tie is always too close.
+    """
+    share = lost if len(right) * lost >= 1 else 0.05
+    return max(0.001, min(most, float(np.quantile(right, share, method="lower")))) if right else most
 
 
 def scorer(model: LanguageModel):

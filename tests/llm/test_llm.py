@@ -228,6 +228,30 @@ def test_language_without_anything_learned(spark):
     assert language.predict(d, language.fit(d)).first().lang_pred == "und"
 
 
+def test_language_rejects_what_it_cannot_tell(spark):
+    rng = np.random.default_rng(5)
+    langs = [str(rng.choice(list(WORDS))) for _ in range(300)]
+    learned = [" ".join(rng.choice(WORDS[x], 25)) for x in langs]
+    finnish = "hän tuli kotiin illalla ja koko talo oli jo pimeänä kun kaikki nukkuivat rauhassa vaikka ulkona satoi vettä"
+    polish = "w tym roku nie było już żadnych wątpliwości że wszystko się zmieni na lepsze dla każdego z naszych sąsiadów"
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), n)) for n in (400, 700, 3000)]
+    clean = ["the man was not from this", "nicht von der", "dans le pour une", "which have but"]
+    docs = docs_of(spark, learned + [finnish, polish, *junk] + clean, langs + [None] * 9)
+    got = {r.doc_id: r for r in language.predict(docs, language.fit(docs)).collect()}
+    assert all(got[i].rejected for i in range(300, 305)), [got[i] for i in range(300, 305)]
+    assert [(got[i].lang_pred, got[i].rejected) for i in range(305, 309)] == [("en", False), ("de", False), ("fr", False), ("en", False)]
+    assert np.mean([got[i].rejected for i in range(300)]) <= 0.01
+
+
+def test_language_margin_and_pieces(spark):
+    assert language.least_margin([0.3, 0.1], 0.005, 0.02) == 0.02 and language.least_margin([0.3, 0.01], 0.005, 0.02) == 0.01
+    assert language.least_margin([0.005 + i / 1000 for i in range(1000)], 0.005, 0.02) == pytest.approx(0.009)
+    assert language.least_margin([0.05 + i / 1000 for i in range(1000)], 0.005, 0.02) == language.least_margin([], 0.005, 0.02) == 0.02
+    heads = ["same head " * 60 + f"tail{i} " * 400 for i in range(60)]
+    pieces = language.fit(docs_of(spark, heads)).dictionaries[0]
+    assert pieces.count(b"tail") > pieces.count(b"head")
+
+
 # ---- 6: near duplicates
 
 
