@@ -3,12 +3,16 @@
 The vocabulary is a rank file (base64 token, rank). The library's byte-level alphabet writes each byte as one
 character, so that any bytes can be tokens; merges are all splits of a token into two tokens, by the token's
 rank. A text is cut by the pattern and each match is encoded on its own. Ids of matches are kept for reuse, so
-a batch sends only its new matches through the library. After that, new matches are held against the tiktoken
-library on the same ranks, which breaks ties between equal ranks at the leftmost place; where the two differ,
-tiktoken's ids hold.
+a batch sends only its new matches through the library.
 
-Offsets are code points: a token that holds a part of a character spans that whole character. Decoding joins
-the bytes of the tokens first and reads UTF-8 after that, so characters that are split between tokens come back.
+One thing can't be told to the library: two merges that overlap and give the same token have the same rank, and
+the leftmost is due, while the library ranks them by their place in the list of merges. That takes a stretch x y z
+where x y and y z are the same token, so z repeats x's length of it. Matches that hold such a stretch (`overlaps`)
+are merged here by rank and place instead.
+
+Offsets are code points: a token that holds a part of a character spans that whole character. Decoding turns the
+library's tokens back by the reversed byte table, joins the bytes and reads UTF-8 after that, so characters that are
+split between tokens come back.
 
 Defined cases: a null text is the empty text (no ids); strings that look like special tokens are ordinary
 text; empty tables, very long texts and repeated rows need nothing special; of other columns none is read.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
 from dataclasses import dataclass
 from pathlib import Path
@@ -71,32 +76,80 @@ def library_tokenizer(ranks: dict[bytes, int]):
     return tokenizer
 
 
+def overlaps(ranks: dict[bytes, int]) -> set[bytes]:
+    """All x y z of tokens x, y, z for which x y and y z are one and the same token."""
+    out = set()
+    for t in ranks:
+        for p in range(1, len(t)):
+            x, y, z = t[:p], t[p:], t[-p:]
+            if y == t[:-p] and x in ranks and y in ranks and z in ranks:
+                out.add(t + z)
+    return out
+
+
+def merge_leftmost(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one match: the pair of least rank is merged first, the leftmost of equals."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    start, end, after = list(range(n)), [*range(1, n + 1)], [*range(1, n + 1)]  # of the part at each place; after: where the next one is
+    before = list(range(-1, n - 1))
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or end[j] - start[i] != size:
+            continue  # one of the two parts has been merged since
+        alive[j], end[i], after[i] = False, end[j], after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(piece[start[i] : end[after[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[after[i]] - start[i]))
+        if (h := before[i]) >= 0 and (r := ranks.get(piece[start[h] : end[i]])) is not None:
+            heapq.heappush(heap, (r, h, end[i] - start[h]))
+    return [ranks[piece[start[i] : end[i]]] for i in range(n) if alive[i]]
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
     def __init__(self, vocabulary: BytePairs, memo: int = 200_000) -> None:
+        import ahocorasick
         import regex
-        import tiktoken
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ranks = vocabulary.ranks()
+        self.ranks = vocabulary.ranks()
         self.pattern = regex.compile(vocabulary.pattern)
-        self.tokenizer = library_tokenizer(ranks)
-        self.exact = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.tokenizer = library_tokenizer(self.ranks)
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.tokenizer.get_vocab().items():
+            self.bytes_of[rank] = bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.ties = ahocorasick.Automaton()
+        for stretch in overlaps(self.ranks):
+            self.ties.add_word(stretch.decode("latin-1"), None)
+        self.ties.make_automaton()
+        self.tied = len(self.ties) > 0
         self.seen: dict[str, bytes] = {}
         self.memo = memo
 
+    def has_tie(self, piece: bytes) -> bool:
+        return self.tied and next(self.ties.iter(piece.decode("latin-1")), None) is not None
+
     def learn(self, pieces: list[str]) -> None:
         """Ids of new matches, as little-endian 32-bit bytes."""
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        single = self.exact._encode_single_piece if hasattr(self.exact, "_encode_single_piece") else self.exact.encode_ordinary
-        for piece, got in zip(pieces, found):
-            want = single(piece)
-            self.seen[piece] = np.array(got.ids if got.ids == want else want, "<u4").tobytes()
+        plain = []
+        for piece in pieces:
+            raw = piece.encode()
+            if len(raw) > 2 and self.has_tie(raw):
+                self.seen[piece] = np.array(merge_leftmost(raw, self.ranks), "<u4").tobytes()
+            else:
+                plain.append(piece)
+        for piece, got in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            self.seen[piece] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], step: int = 200) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
