@@ -1,18 +1,21 @@
 """Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first three to six characters of longer words, of which those are kept that toxic texts
-have more often (chi-square on the labelled sample), and the length in words, so that one chance hit in a long text
-lies far from many hits in a short one. Document frequencies are counted over all documents. Examples
-with the same vector are one entry with counts of labels. Each term has an inverted list of entries, cut into
-blocks with the largest weight of each: blocks are visited by falling upper bound until none can better the k-th
-best, so the k nearest are exact. Votes weigh by nearness; a monotone map, fitted on votes that leave the example
-itself out, turns them into probabilities. A document without any kept term gets the rate of such examples.
+Terms are words and the first three to six characters of longer words. A term has an axis of its own if toxic
+examples have it more often beyond doubt: the log of the ratio of its rates, less `sure` standard errors, is above
+0. There is no other cut, by number or by frequency. All words, of whatever term, are counted on one more axis, so
+that one chance hit in a long text lies far from many hits in a short one. Document frequencies are counted over all
+documents. Examples with the same vector are one entry with counts of labels. Each term has an inverted list of
+entries, cut into blocks with the largest weight of each: blocks are visited by falling upper bound until none can
+better the k-th best example, so the k nearest examples are exact. Votes weigh by nearness; a monotone map, fitted
+on votes that leave the example itself out, turns them into probabilities. A document without any term that has an
+axis gets the rate of such examples.
 
 The labelled sample is bounded by `examples` rows, in the order of a hash of their id.
 
 Defined cases: null, empty and wordless texts have no terms; labels that are null or without a document teach
-nothing; of repeated labels the larger counts; with nothing learned every score is 0; ties between entries go to
-the one that comes first in the order of their terms; an empty table gives no rows; of other columns none is read.
+nothing; of repeated labels the larger counts; of labelled rows that share an id the least text; with nothing
+learned every score is 0; of examples as near as the k-th all share the last places; an empty table gives no rows;
+of other columns none is read.
 """
 
 from __future__ import annotations
@@ -47,53 +50,65 @@ def terms_of(word: bytes) -> tuple[str, ...]:
 class BlockMaxIndex:
     """Entries (unit vectors as term -> weight) behind inverted lists that are cut into blocks with their maxima.
 
-    A block holds the lists of its own terms side by side, so that a visit sums all lists of a query at once.
+    A block has for each of its terms the places and weights of the entries that hold it; a visit adds up a query's lists.
     """
 
     size: int = 0
-    block: int = 64
+    block: int = 2048
     place: dict[int, int] = field(default_factory=dict)  # term -> row of `most`
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # the largest weight of each term in each block
-    lists: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of each block: rows of its terms, weights (terms x entries)
+    lists: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # of each block: row -> (places in the block, weights)
 
     @staticmethod
-    def build(entries: list[dict[int, float]], block: int = 64) -> BlockMaxIndex:
+    def build(entries: list[dict[int, float]], block: int = 2048) -> BlockMaxIndex:
         place = {t: i for i, t in enumerate(sorted({t for e in entries for t in e}))}
         n = -(-len(entries) // block)
         most, lists = np.zeros((len(place), n)), []
         for b in range(n):
-            part = entries[b * block : (b + 1) * block]
-            own = sorted({place[t] for e in part for t in e})
-            row = {r: i for i, r in enumerate(own)}
-            weights = np.zeros((len(own), len(part)))
-            for i, e in enumerate(part):
+            held: dict[int, tuple[list[int], list[float]]] = {}
+            for i, e in enumerate(entries[b * block : (b + 1) * block]):
                 for t, w in e.items():
-                    weights[row[place[t]], i] = w
-            most[own, b] = weights.max(axis=1)
-            lists.append((np.array(own), weights))
+                    at, weights = held.setdefault(place[t], ([], []))
+                    at.append(i)
+                    weights.append(w)
+            lists.append({row: (np.array(at), np.array(weights)) for row, (at, weights) in held.items()})
+            for row, (_, weights) in lists[-1].items():
+                most[row, b] = weights.max()
         return BlockMaxIndex(len(entries), block, place, most, lists)
 
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k entries of largest cosine above 0 as (cosine, entry), best first, ties to the smaller entry."""
+    def nearest(self, query: dict[int, float], k: int, counts: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The entries of largest cosine above 0 as (cosine, entry), best first, ties to the smaller entry: k of them,
+        or with counts of examples, those that hold the k nearest examples and all that are as near as the last."""
         used = [(self.place[t], w) for t, w in query.items() if t in self.place]
         if not used:
             return []
-        dense = np.zeros(len(self.place))
-        rows = [r for r, _ in used]
-        dense[rows] = [w for _, w in used]
-        bound = dense[rows] @ self.most[rows]
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+        rows, values = [r for r, _ in used], np.array([w for _, w in used])
+        bound = values @ self.most[rows]
+        best_s, best_i, least = np.zeros(0), np.zeros(0, np.int64), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-11:
+            if bound[b] <= 0 or bound[b] < least - 1e-11:
                 break
-            own, weights = self.lists[b]
-            sums = np.round(dense[own] @ weights, 12)
-            least = best_s[-1] if len(best_s) == k else 0.0
-            near = np.flatnonzero((sums > 0) & (sums >= least))
+            sums, lists = np.zeros(min(self.block, self.size - b * self.block)), self.lists[b]
+            for r, w in used:
+                if r in lists:
+                    at, weights = lists[r]
+                    sums[at] += w * weights
+            sums = sums.round(12)
+            # of one block no more than its k best entries can count, and what is as near as the last of them
+            floor = max(least, np.partition(sums, len(sums) - k)[len(sums) - k]) if len(sums) > k else least
+            near = np.flatnonzero((sums >= floor) & (sums > 0))
             if len(near):
                 s, i = np.concatenate([best_s, sums[near]]), np.concatenate([best_i, near + b * self.block])
-                order = np.lexsort((i, -s))[:k]
+                order = np.lexsort((i, -s))
                 best_s, best_i = s[order], i[order]
+                if counts is None:
+                    best_s, best_i = best_s[:k], best_i[:k]
+                    least = best_s[-1] if len(best_s) == k else 0.0
+                else:
+                    held = np.cumsum(counts[best_i])
+                    if held[-1] >= k:
+                        least = best_s[int(np.searchsorted(held, k))]
+                        best_s, best_i = best_s[best_s >= least], best_i[best_s >= least]
         return list(zip(best_s.tolist(), best_i.tolist()))
 
 
@@ -117,15 +132,23 @@ class ToxicityModel:
         return {t: float(x / norm) for t, x in v.items()}
 
     def vote(self, counts: dict[int, int], own: tuple[int, int] | None = None) -> tuple[float | None, list[tuple[float, int]]]:
-        """Share of toxic votes and the nearest entries; own (entry, label) leaves one example out."""
-        near = self.index.nearest(self.vector(counts), self.k + (own is not None))
-        top = bottom = 0.0
-        for cosine, entry in near:
-            toxic, total = self.toxic[entry], self.total[entry]
-            if own is not None and entry == own[0]:
-                toxic, total = toxic - own[1], total - 1
-            weight = 1 / (0.05 + max(0.0, 1 - cosine))
-            top, bottom = top + weight * toxic, bottom + weight * total
+        """Share of toxic votes among the k nearest examples, and their entries; own (entry, label) leaves one example out.
+
+        Examples that are as near as the k-th share the places that nearer ones leave."""
+        near = self.index.nearest(self.vector(counts), self.k + (own is not None), self.total)
+        top = bottom = left = 0.0
+        at = 0
+        while at < len(near) and left < self.k:
+            cosine, toxic, total = near[at][0], 0.0, 0.0
+            while at < len(near) and near[at][0] == cosine:
+                entry = near[at][1]
+                mine = own is not None and entry == own[0]
+                toxic += self.toxic[entry] - (own[1] if mine else 0)
+                total += self.total[entry] - (1 if mine else 0)
+                at += 1
+            share = min(1.0, (self.k - left) / total) if total else 0.0
+            weight = share / (0.05 + max(0.0, 1 - cosine))
+            top, bottom, left = top + weight * toxic, bottom + weight * total, left + share * total
         return (top / bottom if bottom > 0 else None), near
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
@@ -155,8 +178,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, most_terms: int = 1000, least_df: int = 4, least_chi: float = 25.0, k: int = 15) -> ToxicityModel:
-    """Learn from labelled rows that aren't held out: at most `examples` of them, `most_terms` kept terms."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float = 2.5, k: int = 15) -> ToxicityModel:
+    """Learn from labelled rows that aren't held out: at most `examples` of them."""
     spark = docs.sparkSession
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = hash_sample(known, "doc_id", examples).collect()
@@ -166,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, most_terms: in
     sample = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int"))  # bounded by `examples`
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(sample, "doc_id")
-    texts = stored(texts).coalesce(16)
+    texts = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))).coalesce(16)
     n, positive = texts.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not positive or positive == n:
         return nothing
@@ -183,12 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, most_terms: in
 
         return work
 
-    df = per_batch(texts, "term string, a long, d long", make_terms).groupBy("term").agg(F.sum("a").alias("a"), F.sum("d").alias("d")).filter(F.col("d") >= least_df)
-    a, d, p = F.col("a").cast("double"), F.col("d").cast("double"), float(positive)
-    chi = n * F.pow(a * (n - p - (d - a)) - (d - a) * (p - a), 2) / (d * F.greatest(n - d, F.lit(0.5)) * p * (n - p))
-    # only terms that toxic texts have more often
-    kept = df.withColumn("chi", chi).filter((F.col("chi") >= least_chi) & (a / p > d / n)).orderBy(F.desc("chi"), "term").limit(most_terms).collect()
-    terms = {r["term"]: i for i, r in enumerate(kept)}
+    seen = per_batch(texts, "term string, a long, d long", make_terms).groupBy("term").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
+    a, b = F.col("a") + 0.5, F.col("d") - F.col("a") + 0.5
+    evidence = F.log(a / b * ((n - positive + 1) / (positive + 1))) - sure * F.sqrt(1 / a + 1 / b)
+    terms = {r["term"]: i for i, r in enumerate(seen.filter(evidence > 0).orderBy("term").select("term").collect())}  # no more than the sample has
     if not terms:
         return nothing
 

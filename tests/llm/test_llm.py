@@ -131,6 +131,85 @@ def test_block_max_search_is_exact():
         assert [(round(s, 9), i) for s, i in got] == [(round(s, 9), -i) for s, i in want if s > 0]
 
 
+def brute_toxicity(rows, labels, k=15, sure=2.5):
+    """doc_id -> (score, ids of examples whose cosine is the largest), all by plain loops over dense cosines."""
+    import math
+    from collections import Counter
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    bag = {}
+    for r in rows:
+        w = words_of(r.text.encode()) if r.text else []
+        bag[r.doc_id] = Counter(t for x in w for t in toxicity.terms_of(x)), len(w)
+    label = {r.doc_id: r.toxic for r in labels if r.toxic is not None and not held(r.doc_id) and r.doc_id in bag}
+    pos, n = sum(label.values()), len(label)
+    a, d, df = Counter(), Counter(), Counter()
+    for i, (c, _) in bag.items():
+        df.update(c.keys())
+        if i in label:
+            d.update(c.keys())
+            a.update(c.keys() if label[i] else ())
+    def beyond_doubt(t):
+        x, y = a[t] + 0.5, d[t] - a[t] + 0.5
+        return math.log(x / (pos + 1) / (y / (n - pos + 1))) > sure * math.sqrt(1 / x + 1 / y)
+    axes = {t: i for i, t in enumerate(sorted(t for t in d if beyond_doubt(t)))}
+    vectors = {}
+    for i, (c, words) in bag.items():
+        v = np.zeros(len(axes) + 1)
+        for t, m in c.items():
+            if t in axes:
+                v[axes[t]] = (1 + math.log(m)) * (math.log((1 + len(bag)) / (1 + df[t])) + 1)
+        if v.any():
+            v[-1] = round(8 * math.log2(1 + words)) / 8
+            vectors[i] = v / np.linalg.norm(v)
+    examples = sorted(i for i in label if i in vectors)
+    matrix, toxic = np.array([vectors[i] for i in examples]), np.array([label[i] for i in examples])
+    def vote(i, leave=False):
+        cosine = np.round(matrix @ vectors[i], 9)
+        if leave:
+            cosine[examples.index(i)] = -1
+        top = bottom = left = 0.0
+        for c in sorted(set(cosine[cosine > 0].tolist()), reverse=True):
+            if left >= k:
+                break
+            at = cosine == c
+            share = min(1.0, (k - left) / at.sum())
+            top, bottom, left = top + share * toxic[at].sum() / (1.05 - c), bottom + share * at.sum() / (1.05 - c), left + share * at.sum()
+        return top / bottom, [e for e, c in zip(examples, cosine) if c >= cosine.max() - 1e-9]
+    seen = [(vote(i, True)[0], label[i]) for i in examples]
+    x, y = toxicity.isotonic(np.array([v for v, _ in seen] + [0.0, 1.0]), np.array([t for _, t in seen] + [0.0, 1.0]))
+    empty = [label[i] for i in label if i not in vectors]
+    out = {}
+    for i in bag:
+        if i in vectors:
+            v, best = vote(i)
+            out[i] = float(np.interp(v, x, np.clip(y, 0.001, 0.999))), best
+        else:
+            out[i] = (sum(empty) + pos / n) / (len(empty) + 1), []
+    return out
+
+
+@needs_data
+def test_toxicity_query_against_dense_cosines(spark):
+    from quantweave.llm import queries
+
+    rows, labels = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "labels"))
+    want = brute_toxicity(rows, labels)
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, SF).collect()}
+    assert set(got) == set(want) and any(s >= 0.7 for s, _ in want.values())
+    for i, (score, best) in want.items():
+        assert got[i].score == pytest.approx(score, abs=1e-6), i
+        assert not best or set(got[i].evidence) & set(best)
+
+
+def test_the_nearest_examples_are_counted_one_by_one():
+    index = toxicity.BlockMaxIndex.build([{0: 1.0}, {0: 0.6, 1: 0.8}, {1: 1.0}], 1)
+    model = toxicity.ToxicityModel({}, np.ones(2), index, np.array([6.0, 1.0, 0.0]), np.array([10.0, 1.0, 4.0]), np.arange(3), 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k=5)
+    # ten examples lie at cosine 1 and share the five places
+    assert [e for _, e in index.nearest({0: 1.0}, 5, model.total)] == [0]
+    assert model.vote({0: 1})[0] == pytest.approx(0.6)
+
+
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0, 1, 0, 0, 1.0]))
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all()
