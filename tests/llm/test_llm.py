@@ -393,7 +393,7 @@ def test_vector_search_recall_and_order(spark):
     v = rng.normal(size=(1500, 16)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     v[100:160] = v[100]
-    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(5000, None, 0), (5001, [0.0] * 16, 0), (5002, [float("nan")] * 16, 0), (5003, [1.0] * 3, 0), (5020, [None] * 16, 0)]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(5000, None, 0), (5001, [0.0] * 16, 0), (5002, [float("nan")] * 16, 0), (5003, [], 0), (5020, [None] * 16, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {}
     for r in annsearch.search(df, lambda i: i % 20 == 0, enough=800).collect():
@@ -416,6 +416,33 @@ def test_vector_search_on_little(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in annsearch.search(df, lambda i: i % 20 == 0).collect()] == [(0, 1)]
     assert annsearch.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+    assert annsearch.search(df.filter("vec_id = 1"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_vectors_that_share_an_id_or_differ_in_length(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (3, [2.0]), (4, [0.0, 0.5, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "vec_id as query_id", "'x' as score", "1 as cell", "2 as row")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in annsearch.search(df, lambda i: i == 0, k=3).collect())
+    # each of the three rows of id 0 is a query, and a candidate of the other two
+    assert got == sorted([(0, 1, 3, 2.0), (0, 2, 0, 1.0), (0, 3, 0, 0.0)] * 2 + [(0, 1, 4, 0.5), (0, 2, 0, 0.0), (0, 3, 0, 0.0)])
+
+
+@pytest.mark.parametrize("recall", [0.95, 1])
+def test_vector_search_at_its_default_on_fifty_thousand_vectors_of_unequal_norms(spark, recall):
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=(200, 32))
+    v = (centre[rng.integers(0, 200, 50_000)] + 0.4 * rng.normal(size=(50_000, 32))) * np.exp(rng.normal(0, 0.5, 50_000))[:, None]
+    ids = list(range(0, 50_000, 500 if recall == 1 else 100))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in annsearch.search(df, lambda i: i.isin(ids), recall=recall).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    hit = 0
+    for q in ids:
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len({i for _, i in got[q]} & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (len(ids) * 20) >= (1 if recall == 1 else 0.95)
 
 
 def test_vector_search_recall_on_many_times_its_old_cap(spark):
@@ -447,7 +474,7 @@ def test_entries_needed_reach_their_recall_in_clusters():
         truth += [(q, cells[i]) for i in np.argsort(-s)[:20]]
     import pandas as pd
 
-    enough = annsearch.entries_needed(index, sizes, ids, v[ids], pd.DataFrame(truth, columns=["query_id", "cell"]), 0.95)
+    enough = annsearch.entries_needed(index, sizes, ids, v[ids], pd.DataFrame(truth, columns=["query", "cell"]), 0.95)
     met = [c in walked for q in ids for walked in [set(index.walk(v[q], sizes, enough))] for p, c in truth if p == q]
     assert np.mean(met) >= 0.95 and enough < 2000
 
