@@ -4,20 +4,22 @@ Documents are sets of word n-grams (a text of fewer words, but not none, is one
 documents are linked if the Jaccard similarity of their sets is at least the threshold. Band and row counts are
 chosen so that a pair at the threshold shares a band with the target probability.
 
-1. One pass over the texts gives each document a set id and its band hashes; equal sets become one node.
-2. Nodes are shuffled on band hashes. Nodes that share a bucket get an edge to the bucket's least node, never
-   to each other, so a bucket of m nodes makes m edges. Components of these edges are the candidate groups.
-3. The n-gram sets of nodes in candidate groups are cut into blocks; each pair of blocks of a group is one unit
-   of work, where all pairs are verified on the full sets by a sparse product. Only counts and a spanning
-   forest leave it, so a group is never expanded into rows of pairs, and none needs to fit into one task.
+1. One pass over the texts gives each row a set id and its band hashes; equal sets become one node.
+2. Nodes are shuffled on band hashes. Nodes that share a bucket are candidates, and no others: a node's home is the
+   least node of all its buckets, and the nodes of one home are cut into blocks. A unit of work is a pair of blocks
+   that have a bucket in common, and holds those of their nodes that are in such a bucket.
+3. In each unit all pairs are verified on the full sets by a sparse product. A pair is in one unit only. Only counts
+   and a spanning forest leave a unit, so a group is never expanded into rows of pairs, and none needs to fit into
+   one task; groups that are chained by chance collisions share few units.
 4. Components of the verified links are the classes.
 
-N-grams are 64-bit hashes of their words, and set ids 64-bit hashes of their sorted n-grams: two different sets
-of 10^10 are taken for one with probability about 1e-1 in the whole corpus, two n-grams of a pair with about 1e-13.
+N-grams are 64-bit hashes of their words, and set ids 128-bit hashes of their sorted n-grams: two different sets of
+10^10 are taken for one with probability below 1e-18, two n-grams of a pair with about 1e-13.
 
-Defined cases: texts that are null or have no word are linked to nothing, and each is its own class; rows
-without an id have class null and no links; repeated rows count as documents of their own; rows that share an
-id but not a text are judged one by one; an empty table gives no rows; of other columns none is read.
+Defined cases: texts that are null or have no word are linked to nothing, and each is its own class; rows without an
+id are judged like others, but give no class its id (null, if none of its rows has one); repeated rows count as
+documents of their own; rows that share an id but not a text are judged one by one; an empty table gives no rows; of
+other columns none is read.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_batch, stored, text_bytes, words_of
-from .graph import components
+from .graph import components, look_up
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,38 +102,60 @@ class Signer:
         return mixed(h).view(np.int64)
 
 
+def text_key() -> Column:
+    """A name of a row's text by which it is found again; null if the text is."""
+    return F.unhex(F.md5(text_bytes()))
+
+
 def fingerprints(docs: DataFrame, n: int, banding: Banding) -> DataFrame:
-    """doc_id, node (null without words), bands array<long>."""
-    import xxhash
+    """row (a number of its own), doc_id, key of its text, set id (null without words), bands array<long>."""
 
     def make():
-        signer = Signer(banding)
+        from pyspark import TaskContext
+
+        signer, state = Signer(banding), [TaskContext.get().partitionId() << 33]
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(t, n) for t in batch["text"].to_pylist()]
+            first, state[0] = state[0], state[0] + batch.num_rows
             return {
+                "row": np.arange(first, state[0]),
                 "doc_id": batch["doc_id"],
-                "node": [node_id(s, xxhash) for s in sets],
+                "key": batch["key"],
+                "set_id": [set_id(s) for s in sets],
                 "bands": [signer.bands(s) if len(s) else None for s in sets],
             }
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return per_batch(rows, "doc_id long, node long, bands array<long>", make)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text_bytes().alias("text"))
+    return per_batch(rows, "row long, doc_id long, key binary, set_id binary, bands array<long>", make)
 
 
-def node_id(grams: np.ndarray, xxhash) -> int | None:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))) if len(grams) else None
-
+def set_id(grams: np.ndarray) -> bytes | None:
+    import xxhash
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with the least node of each of its buckets that has others."""
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("key", "hub")
-    # read again from the shared folder, so that both sides of the join are fresh shuffles which Spark may split
-    joined = members.join(stored(buckets), "key").filter("node <> hub")
-    return joined.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
+
+
+def candidate_units(nodes: DataFrame, block: int) -> DataFrame:
+    """(i, j, node, block): the nodes of each unit, a pair of blocks with a common bucket (i = j: of one block)."""
+    members = stored(nodes.select("node", F.explode("bands").alias("bucket")))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = stored(look_up(members, stored(buckets), "bucket", size="n"))  # bucket, node, hub, n
+    homes = stored(shared.groupBy("node").agg(F.min("hub").alias("home")))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))
+    # equal names of two blocks would only make them one
+    placed = stored(look_up(homes, stored(sizes), "home", size="size").select("node", F.xxhash64("home", part).alias("block")))
+    # a bucket of many nodes is dealt out by salt, with a copy of its blocks for each
+    salts = F.ceil(F.col("n") / (8 * block)).cast("int")
+    inside = stored(shared.join(placed, "node").select("bucket", "node", "block", "n"))
+    blocks = inside.groupBy("bucket", "block").agg(F.count("*").alias("own"), F.first("n").alias("n"))
+    blocks = blocks.select("bucket", F.col("block").alias("other"), "own", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    pairs = inside.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).join(blocks, ["bucket", "salt"])
+    pairs = pairs.filter("block <> other or own > 1")
+    return pairs.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block").distinct()
 
 
 def _gram_counts(left: list[np.ndarray], right: list[np.ndarray] | None, step: int = 4096) -> np.ndarray:
@@ -201,20 +225,18 @@ def verify_unit(rows: list[dict], threshold: float) -> list[tuple[int, int, int]
 
 
 def verified(units: DataFrame, threshold: float) -> DataFrame:
-    """node, root, links, whole (its group is one block) of each unit (group, i, j)."""
-    schema = "node long, root long, links long, whole boolean"
-    units = units.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    """node, root, links of each unit (i, j)."""
+    units = units.repartition("i", "j").sortWithinPartitions("i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[dict]) -> pa.RecordBatch:
             got = verify_unit(rows, threshold)
-            whole = rows[0]["parts"] == 1
-            return pa.RecordBatch.from_arrays([*(pa.array([g[k] for g in got], pa.int64()) for k in range(3)), pa.array([whole] * len(got), pa.bool_())], names=["node", "root", "links", "whole"])
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(3)], names=["node", "root", "links"])
 
         key, unit = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                k = (row["group"], row["i"], row["j"])
+                k = (row["i"], row["j"])
                 if k != key and unit:
                     yield out(unit)
                     unit = []
@@ -223,69 +245,67 @@ def verified(units: DataFrame, threshold: float) -> DataFrame:
         if unit:
             yield out(unit)
 
-    return units.mapInArrow(run, schema)
+    return units.mapInArrow(run, "node long, root long, links long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 256) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), n_links (other documents that are linked to it), one row per row of docs."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' prints, and set_id, best (least of its class: late, doc_id, key), n_links of every set."""
     banding = choose_banding(threshold, recall)
     prints = stored(fingerprints(docs, n, banding))
-    known = prints.filter("doc_id is not null and node is not null")
-    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    edges = stored(candidate_edges(nodes))
-    linked = None
-    if not edges.isEmpty():
-        groups = components(edges)
-        sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-        parts = F.ceil(F.col("size") / block).cast("int")
-        placed = groups.join(sizes, "label").select(F.col("id").alias("node"), F.col("label").alias("group"), parts.alias("parts"))
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        wanted = stored(placed.join(nodes.select("node", "rep", "copies"), "node"))
-        # the texts of one document of each node in a group; its n-grams are made again where they are needed
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text")).join(wanted, "rep")
-
-        def make():
-            import xxhash
-
-            def work(batch: pa.RecordBatch) -> dict:
-                sets = [shingle_set(t, n) for t in batch["text"].to_pylist()]
-                same = [node_id(s, xxhash) == node for s, node in zip(sets, batch["node"].to_pylist())]
-                out = {c: batch[c] for c in ("node", "group", "parts", "block", "copies")}
-                return out | {"grams": [s.tobytes() if ok else None for s, ok in zip(sets, same)]}
-
-            return work
-
-        grams = per_batch(texts, "node long, group long, parts int, block int, copies long, grams binary", make)
-        grams = grams.filter("grams is not null").dropDuplicates(["node"])
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-        units = grams.select("*", other).select("node", "group", "parts", "block", "copies", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        found = stored(verified(units, threshold))
-        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-        whole = found.filter("whole").select("node", "root")
-        rest = found.filter("not whole").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = whole if rest.isEmpty() else whole.unionByName(components(rest).select(F.col("id").alias("node"), F.col("label").alias("root")))
-        roots = stored(roots.join(nodes.select("node", "rep"), "node"))
-        names = roots.groupBy("root").agg(F.min("rep").alias("class_id"))
-        linked = roots.join(names, "root").select("node", "class_id").join(counts, "node")
-    out = nodes.select("node", "rep", "copies")
-    if linked is not None:
-        out = out.join(linked, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best")
+    nodes = stored(prints.filter("set_id is not null").groupBy("set_id").agg(F.min("row").alias("node"), best, F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    units = stored(candidate_units(nodes, block))
+    out = nodes.select("set_id", "node", "best", "copies")
+    if units.isEmpty():
+        return prints, stored(out.select("set_id", "best", (F.col("copies") - 1).alias("n_links")))
+    wanted = units.select("node").distinct().join(nodes.select("node", "copies", F.col("best.key").alias("key")), "node")
+    # one text of each node in a unit; its n-grams are made again where they are needed
+    texts = docs.select(text_key().alias("key"), text_bytes().alias("text")).filter("key is not null").groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
+
+    def make():
+        return lambda batch: {"node": batch["node"], "copies": batch["copies"], "grams": [shingle_set(t, n).tobytes() for t in batch["text"].to_pylist()]}
+
+    grams = stored(per_batch(texts.select("node", "copies", "text"), "node long, copies long, grams binary", make))
+    found = stored(verified(units.join(grams, "node"), threshold))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    ties = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not ties.isEmpty():
+        labels = components(ties)
+        roots = stored(out.join(labels.select(F.col("id").alias("node"), F.col("label").alias("root")), "node").select("node", "root", "best"))
+        names = stored(roots.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")))
+        named = look_up(roots.select("node", "root"), names, "root", size="n").select("node", "least").join(counts, "node")
+        out = out.join(named, "node", "left").select("set_id", F.coalesce("least", "best").alias("best"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     else:
-        out = out.select("node", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
-    out = stored(out)
-    rows = prints.select("doc_id", "node").join(out, "node", "left")
-    wordless = F.col("class_id").isNull() | F.col("doc_id").isNull()
-    return rows.select(
-        "doc_id",
-        F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(wordless, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-    )
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: the one with the least id. Rows without an id stay; of repeated rows one stays."""
-    found = near_duplicates(docs, **options)
-    # a document is kept if it is its class's least id
-    kept = found.filter("doc_id = class_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+        out = out.select("set_id", "best", (F.col("copies") - 1).alias("n_links"))
+    return prints, stored(out)
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 256) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), n_links (other documents that are linked to it), one row per row of docs."""
+    prints, sets = _classes(docs, n, threshold, recall, block)
+    rows = look_up(prints.select("doc_id", "set_id"), sets, "set_id", "left")
+    return rows.select("doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 256) -> DataFrame:
+    """docs with one row of each class: that of the least id (rows without one come last), then of the least key of its text.
+
+    Rows are told apart by id and text. Of rows with both the same, which are one document, the least by the other
+    columns stays; rows without a word are classes of their own by id and text.
+    """
+    prints, sets = _classes(docs, n, threshold, recall, block)
+    kept = sets.select("best.doc_id", "best.key").distinct().unionByName(prints.filter("set_id is null").select("doc_id", "key").distinct())
+    names, types = docs.columns, dict(docs.dtypes)
+    id_, key, place, best_id, best_key = (_fresh(name, names) for name in ("id", "key", "place", "best_id", "best_key"))
+    order = [F.col(f"`{c}`") for c in names if not types[c].startswith(("map", "variant"))]
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), key: text_key()})
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(id_, key).orderBy(*order))).filter(F.col(place) == 1)
+    kept = kept.select(F.col("doc_id").alias(best_id), F.col("key").alias(best_key))
+    # null ids and null texts are values here
+    return rows.join(kept, F.col(id_).eqNullSafe(F.col(best_id)) & F.col(key).eqNullSafe(F.col(best_key)), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+
+
+def _fresh(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name

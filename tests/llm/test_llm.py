@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quantweave.llm import annsearch, bpe, cotraining, decontaminate, extraction, language, nearjoin, secrets, toxicity, unigram
 from quantweave.llm.common import words_of
+from quantweave.llm.graph import components, look_up
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -380,6 +381,49 @@ def test_keep_one_of_each_class(spark):
     assert sorted(r.doc_id for r in nearjoin.keep_one(d).collect()) == [0, 2, 3, 4]
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    a, b = "one two three four five six seven", "quite other words are in this text here"
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, a, "en", "s", 1), (None, "a third text of words is here now", "en", "s", 1)]
+    rows += [(7, None, "en", "s", 1), (8, "", "en", "s", 1), (9, "last text with some more words in", "en", "z", 1), (9, "last text with some more words in", "en", "b", 1)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted(((r.doc_id, r.text, r.source) for r in nearjoin.keep_one(d).collect()), key=str)
+    want = [(3, a, "s"), (5, b, "s"), (None, rows[4][1], "s"), (7, None, "s"), (8, "", "s"), (9, rows[7][1], "b")]
+    assert got == sorted(want, key=str)
+    assert nearjoin.keep_one(d.limit(0)).count() == 0
+    wide = d.withColumns({c: F.lit(1) for c in ("id", "key", "_key", "place", "best_id")})
+    assert nearjoin.keep_one(wide).count() == len(want) and nearjoin.keep_one(wide).columns == wide.columns
+
+
+@pytest.mark.parametrize("n, extra", [(40, 0), (300, 5)])
+def test_components_of_paths_stars_and_chance(spark, n, extra):
+    rng = np.random.default_rng(11)
+    places = rng.permutation(n).tolist()
+    path = list(zip(places, places[1:]))
+    star = [(1000 + i, 1000) for i in range(1, 500)]
+    more = [tuple(map(int, e)) for e in rng.integers(2000, 2400, (150, 2))] + [(1000, 1000 + 5000)] * extra
+    got = {r.id: r.label for r in components(spark.createDataFrame(path + star + more, "a long, b long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in path + star + more:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    ends = {x for a, b in path + star + more if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in ends}
+
+
+def test_look_up_keeps_hot_and_missing_keys(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1), (None, 2), (9, 3)], "k int, x int").cache()
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").cache()
+    assert look_up(rows, table, "k").count() == 501
+    left = look_up(rows, table, "k", "left")
+    assert left.count() == 503 and left.filter("v is null").count() == 2 and left.filter("v = 'a'").count() == 500
+
+
 def test_banding_reaches_its_recall():
     b = nearjoin.choose_banding(0.8, 0.999)
     assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.999
