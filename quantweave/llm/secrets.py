@@ -2,7 +2,11 @@
 
 Every version of a text is a blob, named by its SHA-256. A ledger (a Parquet table) holds a row for each
 (blob, rule version) that was ever scanned, with its findings. A scan looks only at the blobs which have no
-row for a rule version, appends their rows, and joins findings back to every document, path or version.
+row for a rule version, appends their rows, and joins findings back to every document, path or version (`keep`).
+
+Names come first: what the ledger lacks is found by 32-byte names, and bodies are read only where something is
+missing. Bodies are shuffled only if more than `few` blobs are (fewer names are sent to where the bodies lie).
+Two scans that run at once may both append a pair; readers take a pair once.
 
 Defined cases: a null text is the empty text; an empty table gives no rows; repeated rows share one blob and
 each get its findings; texts of any length are scanned whole; other columns are ignored, whatever their names.
@@ -19,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, per_batch
+from .common import new_path, per_batch, stored
 
 #: Kinds in the order in which spans with the same start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "forge_token", "key_block")
@@ -102,48 +106,58 @@ def read_ledger(spark, path: str) -> DataFrame | None:
         raise
 
 
-def scan(docs: DataFrame, ledger: str, rules: dict[str, Iterable[str]] = RULES, text: str = "text") -> DataFrame:
+def _scanned(bodies: DataFrame, plan: dict[str, tuple[str, ...]]) -> DataFrame:
+    """blob, version, spans of bodies (blob, body, need: the versions to scan for; null: all)."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            rows = zip(batch["blob"].to_pylist(), batch["body"].to_pylist(), batch["need"].to_pylist())
+            got = [(b, v, joined(find_spans(t, kinds))) for b, t, need in rows for v, kinds in plan.items() if need is None or v in need]
+            return {"blob": [r[0] for r in got], "version": [r[1] for r in got], "spans": [r[2] for r in got]}
+
+        return work
+
+    return per_batch(bodies.select("blob", "body", "need"), "blob binary, version string, spans string", make)
+
+
+def scan(docs: DataFrame, ledger: str, rules: dict[str, Iterable[str]] = RULES, text: str = "text", few: int = 1_000_000) -> DataFrame:
     """Scan the blobs of docs that the ledger at this path lacks; append (blob, version, spans); return the whole ledger.
 
-    A hot text is one row of each map task before it is shuffled, and is scanned once.
+    A hot text is one row of each map task before it is shuffled, and is scanned once, for all versions that it lacks.
     """
     spark = docs.sparkSession
+    plan = {version: tuple(kinds) for version, kinds in rules.items()}
     blobs = docs.select(blob_id(text).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     known = read_ledger(spark, ledger)
-    for version, kinds in rules.items():
-        kinds = tuple(kinds)
-        # one text of each blob (equal names mean equal texts), then without those of the ledger: by the same partitioning
-        todo = blobs.groupBy("blob").agg(F.first("body").alias("body"))
-        if known is not None:
-            todo = todo.join(known.filter(F.col("version") == version).select("blob"), "blob", "left_anti")
-
-        def make(kinds=kinds, version=version):
-            def work(batch: pa.RecordBatch) -> dict:
-                spans = [joined(find_spans(t, kinds)) for t in batch["body"].to_pylist()]
-                return {"blob": batch["blob"], "version": [version] * batch.num_rows, "spans": spans}
-
-            return work
-
-        per_batch(todo, "blob binary, version string, spans string", make).write.mode("append").parquet(ledger)
+    if known is None:
+        todo = blobs.groupBy("blob").agg(F.first("body").alias("body")).withColumn("need", F.lit(None).cast("array<string>"))
+    else:
+        names = blobs.select("blob").distinct()
+        wanted = names.select("blob", F.explode(F.array(*[F.lit(v) for v in plan])).alias("version"))
+        lacking = wanted.join(known.select("blob", "version"), ["blob", "version"], "left_anti").groupBy("blob").agg(F.collect_set("version").alias("need"))
+        lacking = stored(lacking)
+        n = lacking.count()
+        if not n:
+            return known
+        if n <= few:  # some 60 bytes each
+            lacking = F.broadcast(lacking)
+        todo = blobs.join(lacking, "blob").groupBy("blob").agg(F.first("body").alias("body"), F.first("need").alias("need"))
+    _scanned(todo, plan).write.mode("append").parquet(ledger)
     return spark.read.parquet(ledger)
 
 
-def scan_once(docs: DataFrame, ledger: str, rules: dict[str, Iterable[str]] = RULES, text: str = "text") -> DataFrame:
-    """scan() for a ledger that is new: all versions in one pass over the texts."""
-    todo = docs.select(blob_id(text).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    todo = todo.groupBy("blob").agg(F.first("body").alias("body"))
-    plan = {version: tuple(kinds) for version, kinds in rules.items()}
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            blobs, bodies = batch["blob"].to_pylist(), batch["body"].to_pylist()
-            rows = [(b, v, joined(find_spans(t, kinds))) for b, t in zip(blobs, bodies) for v, kinds in plan.items()]
-            return {"blob": [r[0] for r in rows], "version": [r[1] for r in rows], "spans": [r[2] for r in rows]}
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    taken = {t.lower() for t in taken}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
-        return work
 
-    per_batch(todo, "blob binary, version string, spans string", make).write.mode("append").parquet(ledger)
-    return docs.sparkSession.read.parquet(ledger)
+def _hits(ledger: DataFrame, rules: Iterable[str], blob: str, found: str) -> DataFrame:
+    """All spans of each blob that has any, under the given names; a (blob, version) that was appended twice counts once."""
+    # blobs without findings need no row: a row that finds no partner has none
+    rows = ledger.filter((F.col("spans") != "") & F.col("version").isin(list(rules))).select("blob", "version", "spans").distinct()
+    return rows.groupBy(F.col("blob").alias(blob)).agg(F.concat_ws(",", F.sort_array(F.collect_list("spans"))).alias(found))  # one span list a rule version
 
 
 def findings(docs: DataFrame, ledger: str | None = None, rules: dict[str, Iterable[str]] = RULES, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -152,16 +166,11 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: dict[str, Iterab
     Without a ledger a new one is made in the shared folder.
     """
     spark = docs.sparkSession
-    path = ledger or new_path(spark, "secret-ledger")
-    fresh = ledger is None or read_ledger(spark, path) is None
-    seen = (scan_once if fresh else scan)(docs, path, rules, text)
-    # blobs without findings need no row: a row that finds no partner has none
-    hits = seen.filter((F.col("spans") != "") & F.col("version").isin(list(rules)))
-    hits = hits.groupBy("blob").agg(F.concat_ws(",", F.sort_array(F.collect_list("spans"))).alias("_spans"))
-    left = docs.select(*keep, blob_id(text).alias("_blob"))
-    both = left.join(hits, left["_blob"] == hits["blob"], "left").drop("_blob", "blob")
+    seen = scan(docs, ledger or new_path(spark, "secret-ledger"), rules, text)
+    blob, found = fresh_name("blob", keep), fresh_name("found", keep)
+    both = docs.select(*keep, blob_id(text).alias(blob)).join(_hits(seen, rules, blob, found), blob, "left")
     # order of all spans by start, then kind, then end
-    parts = F.filter(F.split(F.coalesce("_spans", F.lit("")), ","), lambda s: s != "")
+    parts = F.filter(F.split(F.coalesce(found, F.lit("")), ","), lambda s: s != "")
     order = F.transform(
         parts,
         lambda s: F.struct(
@@ -197,13 +206,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None) -
     A row's own text is changed where it lies: only names of blobs and their spans are joined.
     """
     spark = docs.sparkSession
-    path = ledger or new_path(spark, "secret-ledger")
-    seen = (scan_once if ledger is None or read_ledger(spark, path) is None else scan)(docs, path, REDACTED)
-    hits = seen.filter(F.col("spans") != "").groupBy("blob").agg(F.concat_ws(",", F.collect_list("spans")).alias("_spans"))
+    seen = scan(docs, ledger or new_path(spark, "secret-ledger"), REDACTED)
     names = docs.columns
-    joined_docs = docs.withColumn("_blob", blob_id("text")).join(hits.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    blob, found = fresh_name("blob", names), fresh_name("found", names)
+    joined_docs = docs.withColumn(blob, blob_id("text")).join(_hits(seen, REDACTED, blob, found), blob, "left")
     # merge the spans into disjoint ones, then rebuild the text from the pieces between them
-    bounds = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    bounds = F.transform(F.split(found, ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     state = F.aggregate(
         F.array_sort(bounds),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -213,11 +221,11 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None) -
         ),
     )
     done = F.concat(state["out"], F.col("text").substr(state["at"] + 1, F.length("text")))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
+    clean = F.when(F.col(found).isNull(), F.col("text")).otherwise(done)
     out = joined_docs.withColumn("text", clean)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 def hex_digest(spans: str) -> str:
