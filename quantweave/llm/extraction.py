@@ -7,22 +7,28 @@ labelled pages, and Viterbi finds the best labelling of a page. The blocks label
 
 Labelled pages are of two kinds: pages that are made here from parts whose label is known (`labelled_pages`), and
 at most `sample` pages of the table that mark their article with <article> or <main>, by the order of a hash of
-their id. These bounds hold for the fit alone; all blocks of all pages are labelled.
+their id. These bounds hold for the fit alone; all blocks of all pages are labelled. The fit cuts pages into stretches
+of `stretch` blocks, so that one long page doesn't set the size of all.
 
-Scripts, styles and other raw elements, comments and tags have no text. Character references are decoded. White
-space inside a block becomes one space; a <br> counts as white space.
+Scripts, styles, the other elements whose content HTML takes as raw and never shows as text, comments and tags have
+no text. Character references are decoded. White space inside a block becomes one space; a <br> counts as white
+space. Quoted attribute values may hold any character.
 
 Defined cases: null and empty pages, and pages without text blocks, give the empty text; tags that are cut off at
-the end are dropped; tags that don't match are ignored; pages of any length are read whole; an empty table gives
-no rows; repeated rows are extracted alike; of other columns none is read.
+the end are dropped; tags that don't match are ignored; pages of any length and depth are read whole; an empty table
+gives no rows; repeated rows are extracted alike, and rows that share an id by their own pages; of other columns none
+is read.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +37,24 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, per_batch
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z""", re.S)
+RAW = "script style title textarea iframe noembed noframes template".split()
+#: What follows a tag's name: quotes count only after an equals sign, and then hold any character.
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:--!?>|\Z)|<({"|".join(RAW)})(?=[\s/>]){_INSIDE}>(?:.*?</\1(?=[\s/>])[^>]*(?:>|\Z)|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 SPLIT = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 LINK = "\x00"  # marks where links begin and end inside a block's raw text
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noscript template svg math object audio video canvas select noembed noframes xmp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
-    "hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Opening one of these ends an open one of its group.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 
-TAGS = "nav header footer aside article main form section ul ol li table blockquote figure figcaption pre h1 h2 h3 h4 h5 h6 p button label fieldset dialog address details dl".split()
+TAGS = "nav header footer aside article main form section ul ol li table blockquote figure figcaption pre h1 h2 h3 h4 h5 h6 p button label fieldset dialog address details dl select".split()
 ROLES = "navigation banner contentinfo complementary search main article dialog alert".split()
 #: Words of class and id, by what they hint at.
 CUES = {
@@ -82,7 +90,12 @@ NAMES = (
     + ["ends a sentence", "comma", "bar or dot", "upper case", "digits", "first blocks", "last blocks", "one"]
 )
 PLACE = {name: i for i, name in enumerate(NAMES)}
-OTHER_CUES = frozenset(CUES) - {"content", "head"}
+OTHER_CUES = frozenset(PLACE[f"cue:{c}"] for c in CUES if c not in ("content", "head"))
+#: Lower-case substrings of which any phrase has one: most blocks have none.
+HINTS = (
+    "©", "(c)", "copyright", "rights reserved", "terms of", "privacy", "cookie", "consent", "we use", "accept all", "subscribe", "sign", "newsletter", "log", "mail", "reply", "says:", "comment", "posted by", "upvote",
+    "advert", "sponsor", "buy", "% off", "sale", "click here", "shop now", "read more", "related", "see also", "you may also", "most read", "share", "follow us",
+)
 
 
 @dataclass
@@ -91,61 +104,99 @@ class Block:
     features: list[int]
 
 
+class Ancestors:
+    """The open elements, and the features that they give to the text inside."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.gives: list[tuple[int, ...]] = []
+        self.open: dict[str, int] = {}
+        self.held: dict[int, int] = {}  # feature -> open elements that give it
+        self.depths: dict[str, list[int]] = {"landmark": [], "header": [], "footer": []}
+        self.now: list[int] | None = None  # of features(), until an element with hints opens or closes
+
+    def push(self, tag: str, gives: tuple[int, ...]) -> None:
+        kind = "landmark" if tag in ("article", "main") else tag
+        if kind in self.depths:
+            self.depths[kind].append(len(self.tags))
+        self.tags.append(tag)
+        self.gives.append(gives)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        for f in gives:
+            self.held[f] = self.held.get(f, 0) + 1
+        if gives:
+            self.now = None
+
+    def pop(self) -> str:
+        tag, gives = self.tags.pop(), self.gives.pop()
+        kind = "landmark" if tag in ("article", "main") else tag
+        if kind in self.depths:
+            self.depths[kind].pop()
+        self.open[tag] -= 1
+        for f in gives:
+            if self.held[f] == 1:
+                del self.held[f]
+            else:
+                self.held[f] -= 1
+        if gives:
+            self.now = None
+        return tag
+
+    def features(self) -> list[int]:
+        if self.now is None:
+            found = list(self.held)
+            landmark = self.depths["landmark"]
+            for side in ("header", "footer"):
+                if depths := self.depths[side]:
+                    inner = bool(landmark) and depths[0] > landmark[0]
+                    if inner or side == "header":
+                        found.append(PLACE[f"{'inner' if inner else 'outer'} {side}"])
+            if not landmark:
+                found.append(PLACE["no landmark"])
+                if PLACE["cue:content"] not in self.held and not OTHER_CUES.isdisjoint(self.held):
+                    found.append(PLACE["only other cues"])
+            self.now = found
+        return self.now
+
+
 def parse(page: str) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []  # (tag, features that it gives to what is inside)
-    open_count: dict[str, int] = {}
+    around = Ancestors()
+    tags, open_count = around.tags, around.open
     parts: list[str] = []
-    inside: list[tuple[str, tuple[int, ...]]] | None = None
+    inside: list[int] | None = None  # features of the ancestors of a block's first text
 
     def flush() -> None:
         nonlocal parts, inside
-        raw = "".join(parts)
-        parts = []
-        if raw.strip(LINK + " \t\r\n\f"):
-            pieces = [html.unescape(x) for x in raw.split(LINK)]
-            linked = sum(len(x.strip()) for x in pieces[1::2])
-            text = " ".join("".join(pieces).replace("\x00", "").split())
+        if inside is not None:
+            raw = "".join(parts)
+            pieces = raw.split(LINK)
+            if "&" in raw:
+                pieces = [html.unescape(x) for x in pieces]
+            text = " ".join("".join(pieces).replace(LINK, "").split())
             if text:
-                out.append(Block(text, features(text, linked, inside if inside is not None else stack)))
-        inside = None
-
-    def add(raw: str) -> None:
-        nonlocal inside
-        if inside is None and raw.strip():
-            inside = stack[-64:]
-        parts.append(raw.replace(LINK, " "))
-
-    def pop() -> str:
-        tag = stack.pop()[0]
-        open_count[tag] -= 1
-        return tag
+                linked = sum(len(x.strip()) for x in pieces[1::2])
+                out.append(Block(text, inside + text_features(text, linked)))
+            inside = None
+        parts = []
 
-    at, end, in_link = 0, len(page), False
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
+    at, in_link = 0, False
+    for m in TOKEN.finditer(page):
+        start = m.start()
+        if start > at:
+            text = page[at:start]
+            if inside is None and not text.isspace():
+                inside = around.features()
+            parts.append(text.replace(LINK, " "))
         at = m.end()
-        if m[2] is None:
+        tag = m[3]
+        if tag is None:
+            if m[1] is not None:
+                parts.append(" ")
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if tag == "br":
-            parts.append(" ")
-        elif tag in RAW and not closing:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = stop.end() if stop else end
-            parts.append(" ")
-        elif tag == "a":
-            if in_link != (not closing):
-                parts.append(LINK)
-                in_link = not in_link
-        elif tag in BLOCKS:
+        tag, closing = tag.lower(), m[2] == "/"
+        if tag in BLOCKS:
             if in_link:
                 parts.append(LINK)
             flush()
@@ -153,37 +204,47 @@ def parse(page: str) -> list[Block]:
                 parts.append(LINK)
             if closing:
                 if open_count.get(tag):
-                    while pop() != tag:
+                    while around.pop() != tag:
                         pass
             elif tag not in VOID:
                 if tag != "li" and open_count.get("p"):
                     # a block ends an open paragraph, and what is open inside it
-                    k = len(stack) - 1
-                    while k >= 0 and (stack[k][0] not in BLOCKS):
+                    k = len(tags) - 1
+                    while k >= 0 and tags[k] not in BLOCKS:
                         k -= 1
-                    if k >= 0 and stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
+                    if k >= 0 and tags[k] == "p":
+                        while len(tags) > k:
+                            around.pop()
                 if tag in ENDS and any(open_count.get(t) for t in ENDS[tag]):
-                    k = len(stack) - 1
-                    while k >= 0 and stack[k][0] not in ENDS[tag] and stack[k][0] not in SCOPES[tag]:
+                    k = len(tags) - 1
+                    while k >= 0 and tags[k] not in ENDS[tag] and tags[k] not in SCOPES[tag]:
                         k -= 1
-                    if k >= 0 and stack[k][0] in ENDS[tag]:
-                        while len(stack) > k:
-                            pop()
-                stack.append((tag, given(tag, m[3])))
-                open_count[tag] = open_count.get(tag, 0) + 1
-        elif tag not in VOID and m[3] and not closing and ("class" in m[3] or "id" in m[3] or "role" in m[3]):
+                    if k >= 0 and tags[k] in ENDS[tag]:
+                        while len(tags) > k:
+                            around.pop()
+                around.push(tag, given(tag, m[4]))
+        elif tag == "a":
+            if in_link == closing:
+                parts.append(LINK)
+                in_link = not in_link
+        elif tag == "br":
+            parts.append(" ")
+        elif closing:
+            if open_count.get(tag):
+                k = len(tags) - 1
+                while k >= 0 and tags[k] != tag and tags[k] not in BLOCKS:
+                    k -= 1
+                if k >= 0 and tags[k] == tag:
+                    while len(tags) > k:
+                        around.pop()
+        elif m[4] and tag not in VOID and ("class" in m[4] or "id" in m[4] or "role" in m[4]):
             # of inline elements only those with hints matter
-            stack.append((tag, given(tag, m[3])))
-            open_count[tag] = open_count.get(tag, 0) + 1
-        elif closing and open_count.get(tag):
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != tag and stack[k][0] not in BLOCKS:
-                k -= 1
-            if k >= 0 and stack[k][0] == tag:
-                while len(stack) > k:
-                    pop()
+            around.push(tag, given(tag, m[4]))
+    if at < len(page):
+        text = page[at:]
+        if inside is None and not text.isspace():
+            inside = around.features()
+        parts.append(text.replace(LINK, " "))
     if in_link:
         parts.append(LINK)
     flush()
@@ -196,51 +257,44 @@ def parse(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=20_000)
 def given(tag: str, attributes: str) -> tuple[int, ...]:
-    found = [PLACE[f"in:{tag}"]] if f"in:{tag}" in PLACE else []
+    found = {PLACE[f"in:{tag}"]} if f"in:{tag}" in PLACE else set()
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role" and f"role:{value.lower()}" in PLACE:
-                found.append(PLACE[f"role:{value.lower()}"])
+                found.add(PLACE[f"role:{value.lower()}"])
             elif name in ("class", "id"):
                 for w in SPLIT.findall(value):
-                    found += [PLACE[f"cue:{c}"] for c in CUE_OF.get(w.lower(), ())]
-    return tuple(found)
-
-
-def features(text: str, linked: int, stack: list[tuple[str, tuple[int, ...]]]) -> list[int]:
-    found = {i for _, own in stack for i in own}
-    tags = [t for t, _ in stack]
-    landmark = next((i for i, t in enumerate(tags) if t in ("article", "main")), None)
-    for side in ("header", "footer"):
-        if side in tags:
-            inner = landmark is not None and tags.index(side) > landmark
-            if inner or side == "header":
-                found.add(PLACE[f"{'inner' if inner else 'outer'} {side}"])
-    cues = {c for c in CUES if PLACE[f"cue:{c}"] in found}
-    if cues & OTHER_CUES and "content" not in cues and landmark is None:
-        found.add(PLACE["only other cues"])
-    if landmark is None:
-        found.add(PLACE["no landmark"])
+                    found.update(PLACE[f"cue:{c}"] for c in CUE_OF.get(w.lower(), ()))
+    return tuple(sorted(found))
+
+
+_WORDS, _LINKS = [PLACE[f"words:{i}"] for i in range(7)], [PLACE[f"links:{i}"] for i in range(4)]
+_ENDS, _COMMA, _BAR, _UPPER, _DIGITS, _ONE = (PLACE[x] for x in ("ends a sentence", "comma", "bar or dot", "upper case", "digits", "one"))
+_SAYS = [(PLACE[f"says:{p}"], pattern) for p, pattern in PHRASES.items()]
+
+
+def text_features(text: str, linked: int) -> list[int]:
     n = text.count(" ") + 1
-    found.add(PLACE[f"words:{sum(n > b for b in (2, 5, 10, 25, 60, 150))}"])
     share = linked / len(text)
-    found.add(PLACE[f"links:{sum(share > b for b in (0.0, 0.3, 0.7))}"])
-    head = text[:400]
-    found |= {PLACE[f"says:{p}"] for p, pattern in PHRASES.items() if pattern.search(head)} if n <= 60 else set()
+    found = [_ONE, _WORDS[bisect_left((2, 5, 10, 25, 60, 150), n)], _LINKS[bisect_left((0.0, 0.3, 0.7), share)]]
+    lower = text.lower()
+    if any(hint in lower for hint in HINTS):
+        # one for every sixty words at least
+        found += [place for place, pattern in _SAYS if 60 * sum(1 for _ in pattern.finditer(text)) >= n]
     if text[-1] in ".!?…\"'”»":
-        found.add(PLACE["ends a sentence"])
+        found.append(_ENDS)
     if "," in text:
-        found.add(PLACE["comma"])
-    if "|" in head or "·" in head or "»" in head:
-        found.add(PLACE["bar or dot"])
-    if head.isupper():
-        found.add(PLACE["upper case"])
-    if n <= 10 and sum(c.isdigit() for c in head) * 4 > len(head):
-        found.add(PLACE["digits"])
-    found.add(PLACE["one"])
-    return sorted(found)
+        found.append(_COMMA)
+    if "|" in text or "·" in text or "»" in text:
+        found.append(_BAR)
+    if text.isupper():
+        found.append(_UPPER)
+    if n <= 10 and sum(c.isdigit() for c in text) * 4 > len(text):
+        found.append(_DIGITS)
+    return found
 
 
 @dataclass(frozen=True)
@@ -254,7 +308,8 @@ class ChainModel:
         """Viterbi. Ties go to label 0."""
         if not blocks:
             return []
-        scores = np.array([self.state[b.features].sum(axis=0) for b in blocks]).tolist()
+        other, article = self.state[:, 0].tolist(), self.state[:, 1].tolist()
+        scores = [(math.fsum(map(other.__getitem__, b.features)), math.fsum(map(article.__getitem__, b.features))) for b in blocks]
         (t00, t01), (t10, t11) = self.move.tolist()
         a, b = scores[0]
         back = []
@@ -274,26 +329,30 @@ class ChainModel:
         return "\n".join(b.text for b, label in zip(blocks, self.decode(blocks)) if label)
 
 
-def fit_chain(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> ChainModel:
+def fit_chain(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4, stretch: int = 64) -> ChainModel:
     """Adam steps on the mean log-likelihood of labelled sequences, with forward-backward over padded arrays."""
-    pages = [p for p in pages if p[0]]
+    pages = [(blocks[i : i + stretch], labels[i : i + stretch]) for blocks, labels in pages for i in range(0, len(blocks), stretch)]
     state, move = np.zeros((len(NAMES), 2)), np.zeros((2, 2))
     if not pages:
         return ChainModel(state, move)
     n, longest = len(pages), max(len(p[0]) for p in pages)
-    x, y, mask = np.zeros((n, longest, len(NAMES)), np.float32), np.zeros((n, longest), int), np.zeros((n, longest))
+    # equal feature lists are one row of x
+    rows: dict[tuple[int, ...], int] = {(): 0}
+    kind, y, mask = np.zeros((n, longest), int), np.zeros((n, longest), int), np.zeros((n, longest))
     for i, (blocks, labels) in enumerate(pages):
         for t, (b, label) in enumerate(zip(blocks, labels)):
-            x[i, t, b.features] = 1
+            kind[i, t] = rows.setdefault(tuple(sorted(b.features)), len(rows))
             y[i, t], mask[i, t] = label, 1
+    x = np.zeros((len(rows), len(NAMES)))
+    for own, k in rows.items():
+        x[k, list(own)] = 1
     total = mask.sum()
-    flat = x.reshape(-1, len(NAMES))
     truth = np.eye(2)[y] * mask[..., None]
     pair = mask[:, 1:]
     true_moves = np.einsum("ita,itb,it->ab", np.eye(2)[y[:, :-1]], np.eye(2)[y[:, 1:]], pair)
     m, v = [0.0, 0.0], [0.0, 0.0]
     for step in range(1, rounds + 1):
-        s = (flat @ state).reshape(n, longest, 2)
+        s = (x @ state)[kind]
         ahead, behind = np.zeros_like(s), np.zeros_like(s)
         ahead[:, 0] = s[:, 0]
         for t in range(1, longest):
@@ -307,7 +366,9 @@ def fit_chain(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, rat
         p = np.exp(ahead + behind - norm[:, None, None]) * mask[..., None]
         both = ahead[:, :-1, :, None] + move + (s + behind)[:, 1:, None, :] - norm[:, None, None, None]
         moves = (np.exp(np.minimum(both, 0)) * pair[..., None, None]).sum(axis=(0, 1))
-        grads = [(flat.T @ (truth - p).reshape(-1, 2)) / total - ridge * state, (true_moves - moves) / total - ridge * move]
+        wrong = truth - p
+        by_row = np.stack([np.bincount(kind.ravel(), wrong[..., label].ravel(), len(rows)) for label in (0, 1)], axis=1)
+        grads = [x.T @ by_row / total - ridge * state, (true_moves - moves) / total - ridge * move]
         for k, (w, g) in enumerate(zip((state, move), grads)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
@@ -385,9 +446,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[tuple[s
             for _ in range(r.randint(1, 5)):
                 who, say = put(words(1, 2) + r.choice((" says:", "", " wrote", "")), 0), put(prose(1, 4), 0)
                 body += r.choice((f'<div class="comment"><b>{who}</b><p>{say}</p></div>', f"<li><div>{who}</div><p>{say}</p></li>", f'<article class="comment"><h4>{who}</h4><p>{say}</p></article>'))
-                if "<b>" in body[-400:] and 'class="comment"><b>' in body:
-                    pass
-            return f'<{t} {r.choice(("class", "id"))}="{hint}">{"<h3>" + put("Comments", 0) + "</h3>" if False else ""}{body}</{t}>'
+            return f'<{t} {r.choice(("class", "id"))}="{hint}">{body}</{t}>'
 
         def related() -> str:
             return f'<{(t := r.choice(("div", "section", "aside")))} class="{r.choice(("related", "recommended", "more-stories", "popular", "trending"))}"><ul>{links(0, r.randint(2, 5))}</ul></{t}>'
@@ -405,24 +464,24 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[tuple[s
             got.append(f"<header>{heading}</header>" if r.random() < 0.15 else heading)
             for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
                 kind = r.random()
-                if kind < 0.7:
+                if kind < 0.64:
                     text = put(prose(1, 7), 1)
                     got.append(r.choice((f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>", f"<p><a href='/x'>{text[:0]}</a>{text}</p>")))
-                elif kind < 0.78:
+                elif kind < 0.72:
                     got.append(f"<h2>{put(words(1, 6), 1)}</h2>")
-                elif kind < 0.86:
+                elif kind < 0.8:
                     got.append("<ul>" + "".join(f"<li>{put(prose(1, 1) if r.random() < 0.6 else words(1, 5), 1)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-                elif kind < 0.91:
+                elif kind < 0.84:
                     got.append(f"<blockquote><p>{put(prose(1, 2), 1)}</p></blockquote>")
-                elif kind < 0.94:
+                elif kind < 0.87:
                     got.append("<table>" + "".join(f"<tr><td>{put(words(1, 3), 1)}</td><td>{put(str(r.randint(1, 9999)), 1)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-                elif kind < 0.96:
+                elif kind < 0.89:
                     got.append(f"<figure><img src=x><figcaption>{put(prose(1, 1), 1)}</figcaption></figure>")
-                elif kind < 0.975:
+                elif kind < 0.905:
                     got.append(f"<pre>{put(words(3, 12), 1)}</pre>")
                 else:
-                    got.append(r.choice((advert, share, related, side))())
-            if r.random() < 0.15:
+                    got.append(r.choice((advert, advert, share, related, side, form))())
+            if r.random() < 0.25:
                 got.append(r.choice((share, related, form, comments))())
             return "".join(got)
 
@@ -459,16 +518,24 @@ def made_sequences(pages: list[tuple[str, list[tuple[str, int]]]]) -> list[tuple
     return out
 
 
-def fit(pages: DataFrame, made: int = 500, sample: int = 200, rounds: int = 200) -> ChainModel:
-    ids = [r["page_id"] for r in hash_sample(pages.filter("html is not null").select("page_id"), "page_id", sample).collect()]
-    # a repeated id counts once
-    rows = pages.filter(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("page_id", "html").dropDuplicates(["page_id"]).orderBy("page_id").collect()
-    sequences = made_sequences(labelled_pages(made))
-    for row in rows:
+@lru_cache(maxsize=4)
+def made(n: int) -> list[tuple[list[Block], list[int]]]:
+    """The made pages as sequences; once a process."""
+    return made_sequences(labelled_pages(n))
+
+
+def fit(pages: DataFrame, n_made: int = 500, sample: int = 200, rounds: int = 200) -> ChainModel:
+    """The field, from `n_made` made pages and at most `sample` pages of the table."""
+    some = pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    ids = [r["page_id"] for r in hash_sample(some.select("page_id"), "page_id", sample).collect()]
+    # a repeated id counts once, with its least page
+    rows = some.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    sequences = list(made(n_made))
+    for row in sorted(rows, key=lambda r: r["page_id"]):
         blocks = parse(row["html"])
-        if blocks and len(blocks) <= 300 and (labels := landmark_labels(blocks)):
+        if blocks and (labels := landmark_labels(blocks)):
             sequences.append((blocks, labels))
-    return fit_chain([s for s in sequences if len(s[0]) <= 300], rounds)
+    return fit_chain(sequences, rounds)
 
 
 def extract(pages: DataFrame, model: ChainModel) -> DataFrame:
