@@ -78,6 +78,24 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert {r.doc_id: r.base_spans for r in found.collect()} == {0: "hex:4:20", 1: ""}
 
 
+def test_a_rerun_reads_names_only_and_pairs_count_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = docs_of(spark, ["token=abcdefghijklmnop", "plain", None, "token=abcdefghijklmnop"])
+    first = secrets.scan(docs, path).count()
+    files = sorted(p.name for p in (tmp_path / "ledger").iterdir())
+    assert secrets.scan(docs, path).count() == first and sorted(p.name for p in (tmp_path / "ledger").iterdir()) == files
+    # what two scans at once would leave behind
+    spark.read.parquet(path).filter("spans <> ''").write.mode("append").parquet(path)
+    history = docs.selectExpr("doc_id", "text", "concat('a/', doc_id) as path", "doc_id % 2 as version", "1 as blob", "2 as found")
+    got = secrets.findings(history, path, keep=("path", "version", "blob", "found")).collect()
+    assert {(r.path, r.version): r.spans for r in got} == {("a/0", 0): "assign:0:22", ("a/1", 1): "", ("a/2", 0): "", ("a/3", 1): "assign:0:22"}
+    # a body is read where a version is new; few of 0 takes the shuffled join
+    assert secrets.scan(docs, path, secrets.RULES | {"base-2": secrets.BASE}, few=0).filter("version = 'base-2'").count() == 3
+    wide = docs.withColumns({c: F.lit(1) for c in ("_spans", "_blob", "blob", "found", "spans")})
+    out = {r.doc_id: r for r in secrets.redact(wide).collect()}
+    assert out[0].text == "[SECRET]" and out[1].text == "plain" and out[0]._spans == 1 and len(out) == 4
+
+
 def test_redaction_masks_overlapping_spans_once(spark):
     out = {r.doc_id: r for r in secrets.redact(docs_of(spark, ["x secret=0123456789abcdef0123 y", "clean", None])).collect()}
     assert out[0].text == "x [SECRET] y" and out[0].n_chars == len(out[0].text)
@@ -275,6 +293,59 @@ def test_page_details():
         assert model.extract(empty) == ""
 
 
+#: Pages written by hand, and their main texts.
+HAND = [
+    (
+        """<!doctype html><html><head><title>Storm over the coast</title><meta name="d" content="x > y"><style>.a > .b {}</style></head><body><div id="cookie-banner">We use cookies to make this site better. <button>Accept all</button></div>
+        <header class="site-header"><a href="/">The Daily Wave</a><nav><ul><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></nav></header>
+        <main><article><h1>Storm over the coast</h1><p>A storm with winds of 120 km/h hit the coast on Monday night, and roofs were torn from houses.</p>
+        <div class="advert"><p>Buy our new phone, now 20% off!</p></div>
+        <p title="a < b, c > d">Fire crews said that <b>nobody</b> was hurt&nbsp;&mdash; &quot;we were lucky&quot;, said one.</p><ul><li>Schools stay closed on Tuesday.</li><li>Trains run again from noon.</li></ul></article></main>
+        <aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Cat found in tree</a></li></ul></aside>
+        <section class="comments"><h3>Comments</h3><div class="comment"><b>ann says:</b><p>Our roof is gone as well, it was terrible to see.</p></div></section><footer>&copy; 2024 The Daily Wave. All rights reserved.</footer></body></html>""",
+        ["Storm over the coast", "A storm with winds of 120 km/h hit the coast on Monday night, and roofs were torn from houses.", "Fire crews said that nobody was hurt — \"we were lucky\", said one.", "Schools stay closed on Tuesday.", "Trains run again from noon."],
+    ),
+    (
+        """<body><div class="navbar"><a href=a>Home</a> | <a href=b>Recipes</a></div><div id="content"><h1>Plain bread</h1><p>Mix flour, water, salt and yeast, and knead it well for ten minutes.
+        <p>Let it rest<br>for two hours, until it has doubled.<table><tr><td>Flour</td><td>500 g</td></tr></table><noscript><p>Bake it at 230 degrees for half an hour, then let it cool down.</p></noscript></div>
+        <form action=/q class="newsletter"><label>Your e-mail</label><input name=m><button>Subscribe</button></form><div class="footer">Copyright me | Terms of use</div><script>if (a < b) document.write("<p>no</p>")</script>""",
+        ["Plain bread", "Mix flour, water, salt and yeast, and knead it well for ten minutes.", "Let it rest for two hours, until it has doubled.", "Flour", "500 g", "Bake it at 230 degrees for half an hour, then let it cool down."],
+    ),
+    (
+        "<nav><ul>" + "".join(f"<li><a href={i}>Topic {i}</a></li>" for i in range(20)) + "</ul></nav><article>" + "<div>" * 90
+        + "<h2>Deep down</h2><p>This paragraph lies under ninety open elements, and it is a part of the article all the same.</p>" + "</div>" * 90 + "</article><div class='related-posts'><ul><li><a href=x>Other story</a></li><li><a href=y>One more story</a></li></ul></div>",
+        ["Deep down", "This paragraph lies under ninety open elements, and it is a part of the article all the same."],
+    ),
+]
+
+
+def test_pages_written_by_hand(spark):
+    pages = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(HAND)] + [(0, "again", HAND[1][0])], "page_id long, url string, html string")
+    model = extraction.fit(pages)
+    got = {(r.page_id, r.url): r for r in extraction.extract(pages, model).collect()}
+    for i, (_, want) in enumerate(HAND):
+        assert got[i, "u"].text.split("\n") == want
+        assert got[i, "u"].n_chars == len(got[i, "u"].text)
+    assert got[0, "again"].text == got[1, "u"].text
+
+
+def test_fit_learns_the_labels_it_is_given():
+    # a feature that no rule knows: articles are the blocks with digits
+    pages = [([extraction.Block("x", [extraction.PLACE["digits"], extraction.PLACE["one"]] if k else [extraction.PLACE["one"]]) for k in labels], labels) for labels in ([1, 0, 0, 1] * 40, [0, 1], [0] * 5)]
+    model = extraction.fit_chain(pages)
+    assert all(model.decode(blocks) == labels for blocks, labels in pages)
+    assert extraction.fit_chain([]).decode(pages[1][0]) == [0, 0]
+
+
+def test_markup_is_no_text():
+    texts = lambda h: [b.text for b in extraction.parse(h)]
+    assert texts('<p title="a < b">hello') == ["hello"] and texts("<p a='>' b=\"<i>\" c>x</p>y") == ["x", "y"]
+    assert texts("a <math><mi>x</mi></math> <object>b</object> <noscript>c</noscript> <svg><text>d</text></svg>") == ["a x b c d"]
+    assert texts("<SCRIPT>a</b></script >b<style>c</style><textarea><p>d</textarea>e<!-- f --> 3 < 4 &lt; 5") == ["b e 3 < 4 < 5"]
+    assert texts('<p class="x" ">y</p><p class="open>z</p><p>w') == ["y", "z", "w"]
+    assert texts("<b" * 1000 + ">x") in ([], ["x"])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     m = extraction.ChainModel(rng.normal(size=(len(extraction.NAMES), 2)), rng.normal(size=(2, 2)))
@@ -643,15 +714,32 @@ def test_hits_against_brute_force(spark):
             assert (r.n_words, r.n_hit, sorted(r.items)) == want
             assert r.contaminated == (want[1] > 0 and 20 * want[1] >= want[0])
     with pytest.raises(decontaminate.TooLarge):
-        decontaminate.hits(docs, bench, max_bytes=10)
-    assert decontaminate.drop_documents(docs, bench).count() == sum(not r.contaminated for r in got.values())
+        decontaminate.windows(bench, max_bytes=10)
+    assert decontaminate.hits(docs, bench, max_bytes=10).filter("contaminated").count() == sum(r.contaminated for r in got.values())
+    for bound in (64_000_000, 10):
+        assert decontaminate.drop_documents(docs, bench, max_bytes=bound).count() == sum(not r.contaminated for r in got.values())
     assert decontaminate.hits(docs, bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
 
 
-def test_spans_are_cut_out(spark):
+def test_hits_are_of_rows_not_of_ids(spark):
+    item = " ".join(f"k{i}" for i in range(10))
+    bench = spark.createDataFrame([(1, item), (None, "nameless item"), (2, None)], "item_id long, text string")
+    rows = [(1, "three clean words"), (1, item), (None, item), (None, "a nameless item here"), (4, None), (1, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    want = sorted([(1, 3, 0, 0, False), (1, 10, 10, 1, True), (None, 10, 10, 1, True), (None, 4, 2, 0, True), (4, 0, 0, 0, False), (1, 10, 10, 1, True)], key=str)
+    for found in (decontaminate.hits(docs, bench), decontaminate.hits_by_join(docs, bench)):
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect()), key=str) == want
+    wide = docs.withColumns({c: F.lit(1) for c in ("key", "hit_words", "at")})
+    for bound in (64_000_000, 10):
+        assert sorted((r.doc_id for r in decontaminate.drop_documents(wide, bench, max_bytes=bound).collect()), key=str) == [1, 4]
+        assert decontaminate.drop_documents(wide.limit(0), bench, max_bytes=bound).count() == 0
+
+
+@pytest.mark.parametrize("bound", [64_000_000, 10])
+def test_spans_are_cut_out(spark, bound):
     item = " ".join(f"k{i}" for i in range(13))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    out = decontaminate.remove_spans(docs_of(spark, [f"Before, {item.upper()}. After", "clean"]), bench).collect()
+    out = decontaminate.remove_spans(docs_of(spark, [f"Before, {item.upper()}. After", "clean"]), bench, max_bytes=bound).collect()
     assert [(r.text, r.n_chars) for r in sorted(out, key=lambda r: r.doc_id)] == [("Before, . After", 15), ("clean", 5)]
 
 
