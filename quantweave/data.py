@@ -27,7 +27,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def densify(rows: DataFrame, unit: str = "1 month") -> DataFrame:
     """Every symbol on every date of the shared calendar: a bar that is missing is a row of nulls."""
     span = rows.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    dates = span.select(F.explode(F.sequence("lo", "hi", F.expr(f"interval {unit}"))).alias("date"))
+    # one wrong date would make a calendar of millions of rows: a span over 500 years is refused
+    hi = F.when(F.datediff("hi", "lo") > 500 * 366, F.raise_error(F.lit("the dates span more than 500 years"))).otherwise(F.col("hi"))
+    dates = span.select(F.explode(F.sequence("lo", hi, F.expr(f"interval {unit}"))).alias("date"))
     # one calendar, as large as the calendar is long, is sent to the symbols
     grid = rows.select("symbol").distinct().join(F.broadcast(dates))
     return grid.join(rows, ["symbol", "date"], "left")

@@ -95,24 +95,34 @@ def capped_change(target: DataFrame, max_participation: float, capital: float) -
     return target.withColumn("capped", F.col("before") + move)
 
 
-def constrain(weights: DataFrame, max_weight: float, min_weight: float, rounds: int = 50) -> DataFrame:
-    """symbol, date, weight: each absolute weight at most max_weight, the excess given to the others pro rata and again; less than min_weight becomes 0."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        w = part["weight"].to_numpy(float)
-        size, sign = np.abs(w), np.sign(w)
-        for _ in range(rounds):
-            over = size > max_weight + 1e-12
-            if not over.any():
-                break
-            excess = (size[over] - max_weight).sum()
-            size[over] = max_weight
-            free = (size < max_weight) & (size > 0)
-            if not free.any():
-                break
-            size[free] += excess * size[free] / size[free].sum()
-        size[size < min_weight] = 0
-        return part.assign(weight=sign * size)
-
-    # one date's book
-    return weights.select("symbol", "date", "weight").groupBy("date").applyInPandas(run, "symbol long, date date, weight double")
+def constrain(weights: DataFrame, cap: float | None = None, floor: float | None = None, group: str | None = None, group_cap: float | None = None) -> DataFrame:
+    """symbol, date, weight of each date's book after three rules on absolute weights, in this order. Signs stay, zeros stay.
+
+    cap: what lies above it goes to the names below it in proportion to their size, until all fit, which is one common
+    factor for all that end below the cap; where the cap can't hold the book all names get the cap. floor: smaller
+    names are lifted to it, paid for by the others in proportion to what they have above it; where they can't pay,
+    all get the same. group_cap: the names of a group (a column) are scaled down to it together, and nothing is
+    given to others. One date's book is one window.
+    """
+    book = Window.partitionBy("date")
+    keep = [*weights.columns] if group else ["symbol", "date", "weight"]
+    x = weights.select(*keep).withColumn("m", F.abs("weight"))
+    idle = x.filter("m <= 1e-9 or m is null")
+    x = x.filter("m > 1e-9")
+    if cap is not None:
+        order = book.orderBy(F.desc("m"), "symbol")
+        x = x.withColumn("k", F.row_number().over(order) - 1).withColumn("gross", F.sum("m").over(book)).withColumn("rest", F.sum("m").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        x = x.withColumn("scale", (F.col("gross") - F.col("k") * cap) / F.col("rest"))
+        # with the k largest at the cap the next one must fit
+        fits = F.when((F.col("scale") > 0) & (F.col("m") * F.col("scale") <= cap + 1e-12), F.struct("k", "scale"))
+        x = x.withColumn("best", F.min(fits).over(book)["scale"])
+        x = x.withColumn("m", F.when(F.col("best").isNull(), F.lit(float(cap))).otherwise(F.least(F.col("m") * F.col("best"), F.lit(float(cap)))))
+    if floor is not None:
+        low, high = F.col("m") < floor - 1e-12, F.col("m") > floor + 1e-12
+        x = x.withColumns({"need": F.sum(F.when(low, floor - F.col("m")).otherwise(0.0)).over(book), "spare": F.sum(F.when(high, F.col("m") - floor).otherwise(0.0)).over(book), "even": F.avg("m").over(book)})
+        paid = F.when(low, F.lit(float(floor))).when(high, F.col("m") - (F.col("m") - floor) / F.col("spare") * F.col("need")).otherwise(F.col("m"))
+        x = x.withColumn("m", F.when(F.col("need") == 0, F.col("m")).when(F.col("need") > F.col("spare"), F.col("even")).otherwise(paid))
+    if group_cap is not None:
+        total = F.sum("m").over(Window.partitionBy("date", group))
+        x = x.withColumn("m", F.when(F.col(group).isNotNull() & (total > group_cap + 1e-12), F.col("m") * group_cap / total).otherwise(F.col("m")))
+    return x.select("symbol", "date", (F.signum("weight") * F.col("m")).alias("weight")).unionByName(idle.select("symbol", "date", "weight"))

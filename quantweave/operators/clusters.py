@@ -8,18 +8,23 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def auto_cluster(rows: DataFrame, features: list[str], most: int, seed: int = 7) -> DataFrame:
     """rows with a cluster: standardised features, k-means, the k from 2 to `most` of best silhouette."""
     v = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows.na.drop(subset=features))
     v = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(v).transform(v).persist()
     best = None
-    for k in range(2, most + 1):
-        out = KMeans(k=k, featuresCol="_x", predictionCol="cluster", seed=seed).fit(v).transform(v)
-        s = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(out)
-        if best is None or s > best[0]:
-            best = (s, out)
-    return best[1].drop("_raw", "_x")
+    try:
+        for k in range(2, most + 1):
+            model = KMeans(k=k, featuresCol="_x", predictionCol="cluster", seed=seed).fit(v)
+            s = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(model.transform(v))
+            if best is None or s > best[0]:
+                best = (s, model)
+        return stored(best[1].transform(v).drop("_raw", "_x"))
+    finally:
+        v.unpersist()
 
 
 def rules(rows: DataFrame, features: list[str]) -> DataFrame:

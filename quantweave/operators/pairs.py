@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_rows(rows: DataFrame, key: str, value: str = "r") -> DataFrame:
-    """a, b, date, x, y for all pairs of keys a < b that share a date. For keys of a bounded number (sectors, a book)."""
+def pair_rows(rows: DataFrame, key: str, value: str = "r", most: int = 5000) -> DataFrame:
+    """a, b, date, x, y for all pairs of keys a < b that share a date. For keys of a bounded number (sectors, a book): more than `most` are refused."""
+    # the bound holds for each date's keys, where the pairs are made
+    n = F.count(F.lit(1)).over(Window.partitionBy("date"))
+    rows = rows.select("*", n.alias("_n")).filter(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} series on a date"))).otherwise(F.lit(True)))
     left = rows.select(F.col(key).alias("a"), "date", F.col(value).alias("x"))
     right = rows.select(F.col(key).alias("b"), "date", F.col(value).alias("y"))
     return left.join(right, "date").filter("a < b")

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 MODULUS, STEP, TURN = 2147483647, 48271, 69621
 
 
@@ -45,11 +47,24 @@ def market_model(rows: DataFrame, keys: list[str], y: str = "r", x: str = "m") -
 
 
 def benjamini_hochberg(p: DataFrame, level: float) -> DataFrame:
-    """p with adjusted and rejected: a running minimum from the largest p-value down. One row a hypothesis."""
-    w = Window.partitionBy(F.lit(0))
-    rows = p.withColumn("_k", F.row_number().over(w.orderBy("p", "id"))).withColumn("_m", F.count(F.lit(1)).over(w))
-    adjusted = F.min(F.col("p") * F.col("_m") / F.col("_k")).over(w.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("adjusted", F.least(adjusted, F.lit(1.0))).withColumn("rejected", F.col("adjusted") <= level).drop("_k", "_m")
+    """p (id, p) with adjusted and rejected: a running minimum from the largest p-value down.
+
+    Hypotheses are dealt out by ranges of p; ranks and minima go from range to range by a table of one row a range.
+    """
+    parts = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(p.repartitionByRange(parts, "p", "id").withColumn("_part", F.spark_partition_id()))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    one = Window.orderBy("_part")  # a row a range
+    offsets = counts.select("_part", (F.sum("_n").over(one) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_m"))
+    own = Window.partitionBy("_part").orderBy("p", "id")
+    ranked = rows.withColumn("_k", F.row_number().over(own)).join(F.broadcast(offsets), "_part")
+    ranked = stored(ranked.withColumn("_x", F.col("p") * F.col("_m") / (F.col("_k") + F.col("_before"))))
+    least = ranked.groupBy("_part").agg(F.min("_x").alias("_least"))
+    later = least.select("_part", F.min("_least").over(one.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    inside = F.min("_x").over(own.rowsBetween(0, Window.unboundedFollowing))
+    out = ranked.withColumn("_inside", inside).join(F.broadcast(later), "_part", "left")
+    adjusted = F.least(F.col("_inside"), F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
+    return out.select(*p.columns, adjusted.alias("adjusted"), (adjusted <= level).alias("rejected"))
 
 
 def overfitting(returns: DataFrame, blocks: int) -> DataFrame:

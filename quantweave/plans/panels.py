@@ -170,7 +170,13 @@ panel_query(
 )
 
 
-@query("E28_adx")
+_ADX = f"""mv AS (SELECT symbol, date, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus
+  FROM (SELECT *, {lag('close')} AS pc, high - {lag('high')} AS up, {lag('low')} - low AS down FROM filled)), {ewm_sql('ea', 'tr', _a14, 'mv')}, {ewm_sql('ep', 'plus', _a14, 'mv')}, {ewm_sql('em', 'minus', _a14, 'mv')},
+  di AS (SELECT ea.symbol, ea.date, 100 * ep.value / nullif(ea.value, 0) AS plus_di, 100 * em.value / nullif(ea.value, 0) AS minus_di FROM ea JOIN ep USING (symbol, k) JOIN em USING (symbol, k)),
+  dx AS (SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM di), {ewm_sql('ex', 'dx', _a14, 'dx')}"""
+
+
+@query("E28_adx", f"WITH RECURSIVE {PANEL}, {_FILLED}, {_ADX} SELECT di.symbol, di.date, round(value, 6) AS adx, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di FROM di JOIN ex ON ex.symbol = di.symbol AND ex.date = di.date")
 def _adx(spark, sf_dir):
     return ind.adx(_known(spark, sf_dir), 14).select("symbol", "date", *[r6(c).alias(c) for c in ("adx", "plus_di", "minus_di")])
 

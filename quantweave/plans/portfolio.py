@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..data import BARS, CASHFLOWS, FILINGS, FX, PANEL, TICKS, bars, cashflows,
 from ..functions import scalar
 from ..operators import asof, metrics, ts
 from ..sources import readers
+from ..sources.journals import detect_format, parse_journal
 from .registry import query, r6, table
 
 C = F.col
@@ -96,18 +99,45 @@ def _a10(spark, sf_dir):
     return rounded(readers.melt_panel(bars(spark, sf_dir).select("symbol", "date", "open", "high", "low", "close"), ["symbol", "date"]))
 
 
-_JOURNAL = "SELECT l_shipdate AS ts, CAST(l_partkey AS VARCHAR) AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity, 6) AS price, round(l_extendedprice, 6) AS amount FROM lineitem"
+#: The lines of orders as journals of the four layouts, by line number; some sides are no sides.
+_SIDES = {"tonghuashun": ("证券卖出", "买入"), "eastmoney": ("S", "B"), "futu": ("Sell Short", "Buy"), "generic": ("short", "LONG")}
+_LAYOUT = "CASE l_linenumber % 4 WHEN 0 THEN 'tonghuashun' WHEN 1 THEN 'eastmoney' WHEN 2 THEN 'futu' ELSE 'generic' END"
+
+
+def journals(spark, sf_dir) -> dict[str, DataFrame]:
+    """Each layout's part of the lines, under that layout's own columns."""
+    rows, out = table(spark, sf_dir, "lineitem"), {}
+    code = F.lpad((C("l_suppkey") % 1000).cast("string"), 3, "0")
+    day = C("l_shipdate").cast("date")
+    for k, (name, (sell, buy)) in enumerate(_SIDES.items()):
+        side = F.when(C("l_returnflag") == "R", sell).when(C("l_returnflag") == "N", buy).when(C("l_orderkey") % 2 == 0, "dividend")
+        iso, amount = day.cast("string"), F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))
+        columns = {
+            "tonghuashun": {"成交时间": F.concat(iso, F.lit(" 10:30:00")), "证券代码": F.concat(F.lit("600"), code), "证券名称": F.lit("n"), "操作": side, "成交数量": C("l_quantity"), "成交价格": F.lit(None).cast("double"), "成交金额": amount, "手续费": C("l_tax"), "印花税": F.lit("1.5"), "过户费": F.lit("x")},
+            "eastmoney": {"成交日期": F.date_format(day, "yyyyMMdd"), "成交时间": F.lit("10:30:00"), "股票代码": F.concat(F.lit("1"), code), "股票名称": F.lit("n"), "买卖标志": side, "成交数量": C("l_quantity"), "成交均价": F.lit("0"), "成交金额": amount, "佣金": C("l_tax"), "印花税": F.lit("1.5")},
+            "futu": {"Date": (F.datediff(day, F.lit("1899-12-30").cast("date"))).cast("string"), "Time": F.lit("0.4375"), "Symbol": F.concat(F.lit("x"), code, F.lit(".hk")), "Side": side, "Quantity": C("l_quantity"), "Amount": amount, "Commission": C("l_tax"), "Platform Fee": F.lit("1.5")},
+            "generic": {"TIME": F.concat(iso, F.lit(" 10:30")), "Ticker": F.concat(F.lit("c"), code, F.lit("-usdt")), "action": side, "QTY": C("l_quantity"), "Notional": amount, "Commission": C("l_tax") + 1.5},
+        }[name]
+        out[name] = rows.filter(C("l_linenumber") % 4 == k).select(*[c.alias(n) for n, c in columns.items()])
+    return out
 
 
-@query("A11_detect_format", "SELECT 'lines' AS layout, count(*) AS n FROM lineitem")
+_JOURNAL = f"""SELECT layout, CAST(l_shipdate AS DATE) + INTERVAL '10 hours 30 minutes' AS ts, CASE layout WHEN 'tonghuashun' THEN '600' || code || '.SH' WHEN 'eastmoney' THEN '001' || code || '.SZ' WHEN 'futu' THEN 'X' || code || '.HK' ELSE 'C' || code || '-USDT' END AS symbol,
+  CASE l_returnflag WHEN 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity, 6) AS price, round(l_extendedprice, 6) AS amount, round(l_tax + 1.5, 6) AS fee, CASE layout WHEN 'futu' THEN 'hk' WHEN 'generic' THEN 'crypto' ELSE 'china_a' END AS market
+  FROM (SELECT *, {_LAYOUT} AS layout, lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') AS code FROM lineitem) WHERE l_returnflag <> 'A'"""
+
+
+@query("A11_detect_format", f"SELECT {_LAYOUT} AS layout, count(*) AS n FROM lineitem GROUP BY 1")
 def _a11(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.lit(readers.detect_format(rows.columns)).alias("layout")).agg(F.count(F.lit(1)).alias("n"))
+    parts = [part.groupBy(F.lit(detect_format(part.columns)).alias("layout")).agg(F.count(F.lit(1)).alias("n")) for part in journals(spark, sf_dir).values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("A12_parse_journal", _JOURNAL)
 def _a12(spark, sf_dir):
-    return readers.parse_journal(table(spark, sf_dir, "lineitem")).select(C("ts").cast("timestamp_ntz").alias("ts"), "symbol", "side", "quantity", r6("price").alias("price"), r6("amount").alias("amount"))
+    parts = [parse_journal(part)[0].withColumn("layout", F.lit(name)) for name, part in journals(spark, sf_dir).items()]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("layout", C("ts").cast("timestamp_ntz").alias("ts"), "symbol", "side", "quantity", r6("price").alias("price"), r6("amount").alias("amount"), r6("fee").alias("fee"), "market")
 
 
 @query("A13_concept_series", f"WITH {FILINGS}, r AS (SELECT entity, period, filed, val, row_number() OVER (PARTITION BY entity, period ORDER BY CAST(filed AS VARCHAR), CASE WHEN filing_id % 2 = 0 THEN 1 ELSE 2 END, val) AS k FROM filings) SELECT entity, CAST(period AS VARCHAR) AS period, CAST(filed AS VARCHAR) AS filed, round(val, 6) AS val FROM r WHERE k = 1")
@@ -122,11 +152,17 @@ def _a13(spark, sf_dir):
     return readers.concept_series(facts, ["Revenues", "SalesRevenueNet"]).select("entity", C("end").alias("period"), "filed", r6("val").alias("val"))
 
 
-@query("A14_wide_fields", f"WITH bars AS ({BARS}), s AS (SELECT date, symbol, close FROM bars WHERE symbol < 5) SELECT date, " + ", ".join(f"round(max(CASE WHEN symbol = {k} THEN close END), 6) AS s{k}" for k in range(5)) + " FROM s GROUP BY date")
+_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+_BRAND_BARS = "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, p_brand AS symbol, last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber) AS close FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL"
+
+
+@query("A14_wide_fields", f"WITH s AS ({_BRAND_BARS}) SELECT date, " + ", ".join(f"round(max(CASE WHEN symbol = '{b}' THEN close END), 6) AS s{b[-2:]}" for b in _BRANDS) + " FROM s GROUP BY date")
 def _a14(spark, sf_dir):
-    """Long to wide, for a fixed list of symbols: the edge where a matrix is wanted."""
-    wide = bars(spark, sf_dir).filter(C("symbol") < 5).groupBy("date").pivot("symbol", list(range(5))).agg(F.first("close"))
-    return wide.select("date", *[r6(C(str(k))).alias(f"s{k}") for k in range(5)])
+    """Long to wide, for a fixed list of symbols (brands): the edge where a matrix is wanted."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(C("p_partkey").alias("l_partkey"), C("p_brand").alias("symbol")), "l_partkey")
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    wide = lines.groupBy(F.trunc("l_shipdate", "month").alias("date")).pivot("symbol", _BRANDS).agg(F.max_by(C("l_extendedprice") / C("l_quantity"), at))
+    return wide.select("date", *[r6(C(f"`{b}`")).alias(f"s{b[-2:]}") for b in _BRANDS])
 
 
 @query("A15_sanitize", f"WITH bars AS ({BARS}), odd AS (SELECT symbol, date, CASE WHEN symbol % 7 = 0 AND month(date) = 1 THEN NULL ELSE close END AS close FROM bars) SELECT symbol, date, round(close, 6) AS close FROM odd WHERE close IS NOT NULL")
@@ -176,27 +212,46 @@ def _a18(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(readers.canonical_label(C("o_orderpriority")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A19_parse_holdings", "SELECT s_nationkey AS id, s_name AS name, CAST(s_suppkey AS VARCHAR) AS cusip, round(s_acctbal, 6) AS value FROM supplier")
+def _element(name: str, value) -> list:
+    return [F.lit(f"<{name}>"), value if not isinstance(value, str) else F.lit(value), F.lit(f"</{name}>")]
+
+
+@query("A19_parse_holdings", "SELECT s_nationkey AS id, 'S' || s_nationkey AS series_id, DATE '2024-03-31' AS as_of, s_name AS name, CAST(s_suppkey AS VARCHAR) AS cusip, 'US' || s_suppkey AS isin, round(s_acctbal, 6) AS value_usd, round(s_acctbal / 100, 6) AS pct_of_net_assets, CASE WHEN s_suppkey % 2 = 0 THEN 'EC' END AS asset_category FROM supplier")
 def _a19(spark, sf_dir):
-    one = F.concat(F.lit("<holding><name>"), C("s_name"), F.lit("</name><cusip>"), C("s_suppkey").cast("string"), F.lit("</cusip><value>"), C("s_acctbal").cast("string"), F.lit("</value></holding>"))
-    xml = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("id")).agg(F.concat(F.lit("<report>"), F.array_join(F.collect_list(one), ""), F.lit("</report>")).alias("xml"))
-    return readers.parse_holdings(xml).select("id", "name", "cusip", r6("value").alias("value"))
+    """Suppliers as the holdings of their nation's fund, written as portfolio reports and read back."""
+    key = C("s_suppkey").cast("string")
+    category = F.when(C("s_suppkey") % 2 == 0, "<assetCat>EC</assetCat>").otherwise("")
+    one = F.concat(*[F.lit("<invstOrSec>"), *_element("name", C("s_name")), *_element("cusip", key), F.lit('<identifiers><isin value="US'), key, F.lit('"/></identifiers>'), *_element("valUSD", C("s_acctbal").cast("string")), *_element("pctVal", (C("s_acctbal") / 100).cast("string")), category, F.lit("</invstOrSec>")])
+    head = F.concat(F.lit('<?xml version="1.0"?><edgarSubmission xmlns="http://www.sec.gov/edgar/nport"><headerData><submissionType>NPORT-P</submissionType></headerData><formData><genInfo><seriesId>S'), C("id").cast("string"), F.lit("</seriesId><repPdDate>2024-03-31</repPdDate></genInfo><invstOrSecs>"))
+    xml = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("id")).agg(F.array_join(F.collect_list(one), "").alias("body")).select("id", F.concat(head, "body", F.lit("</invstOrSecs></formData></edgarSubmission>")).alias("xml"))
+    return readers.parse_holdings(xml).select("id", "series_id", "as_of", "name", "cusip", "isin", r6("value_usd").alias("value_usd"), r6("pct_of_net_assets").alias("pct_of_net_assets"), "asset_category")
 
 
-@query("A20_parse_information_table", "SELECT s_nationkey AS id, s_name AS name, 'X' || CAST(s_suppkey AS VARCHAR) AS cusip, round(s_acctbal, 6) AS value FROM supplier")
+@query("A20_parse_information_table", "SELECT s_nationkey AS id, s_name AS name, 'X' || CAST(s_suppkey AS VARCHAR) AS cusip, round(s_acctbal, 6) AS value, CAST(s_suppkey * 1000 AS DOUBLE) AS shares, 'SH' AS share_type, CASE WHEN s_suppkey % 3 = 0 THEN 'Put' ELSE '' END AS put_call, 2 AS entries FROM supplier")
 def _a20(spark, sf_dir):
-    one = F.concat(F.lit("<infoTable><nameOfIssuer>"), C("s_name"), F.lit("</nameOfIssuer><cusip>x"), C("s_suppkey").cast("string"), F.lit("</cusip><value>"), C("s_acctbal").cast("string"), F.lit("</value></infoTable>"))
-    xml = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("id")).agg(F.concat(F.lit("<informationTable>"), F.array_join(F.collect_list(one), ""), F.lit("</informationTable>")).alias("xml"))
-    return readers.parse_information_table(xml).select("id", "name", "cusip", r6("value").alias("value"))
+    """Suppliers as positions, each split over two managers, written as information tables, read back and added up."""
+    half = lambda share, comma: [
+        F.lit("<ns1:infoTable>"), *_element("ns1:nameOfIssuer", C("s_name")), *_element("ns1:titleOfClass", "COM"), F.lit("<ns1:cusip>x"), C("s_suppkey").cast("string"), F.lit("</ns1:cusip>"), *_element("ns1:value", (C("s_acctbal") / 2).cast("string")),
+        F.lit("<ns1:shrsOrPrnAmt><ns1:sshPrnamt>"), F.format_number(C("s_suppkey") * share, 0) if comma else (C("s_suppkey") * share).cast("string"), F.lit("</ns1:sshPrnamt><ns1:sshPrnamtType>SH</ns1:sshPrnamtType></ns1:shrsOrPrnAmt>"),
+        F.when(C("s_suppkey") % 3 == 0, "<ns1:putCall>Put</ns1:putCall>").otherwise(""), F.lit("<ns1:investmentDiscretion>SOLE</ns1:investmentDiscretion></ns1:infoTable>"),
+    ]
+    one = F.concat(*[*half(400, True), *half(600, False)])
+    xml = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("id")).agg(F.concat(F.lit('<ns1:informationTable xmlns:ns1="http://www.sec.gov/edgar/document/thirteenf/informationtable">'), F.array_join(F.collect_list(one), ""), F.lit("</ns1:informationTable>")).alias("xml"))
+    out = readers.by_cusip(readers.parse_information_table(xml))
+    return out.select("id", "name", "cusip", r6("value").alias("value"), "shares", "share_type", "put_call", C("entries").cast("int").alias("entries"))
+
+
+_PLAIN = "trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))"
 
 
-@query("A21_parse_feed", "SELECT conv_id AS code, DATE '2024-03-01' + CAST(turn % 20 AS INTEGER) + CASE WHEN turn % 24 >= 15 THEN 1 ELSE 0 END AS knowable_date, count(*) AS n FROM conversations GROUP BY ALL")
+@query("A21_parse_feed", f"SELECT conv_id AS code, DATE '2024-03-01' + CAST(turn % 20 AS INTEGER) + CASE WHEN turn % 24 >= 15 THEN 1 ELSE 0 END AS knowable_date, coalesce({_PLAIN}, '') AS summary FROM conversations")
 def _a21(spark, sf_dir):
+    """Whole turns of conversations as feed items, written as XML and read back."""
     at = F.date_format(F.to_timestamp(F.date_add(F.lit("2024-03-01").cast("date"), (C("turn") % 20).cast("int"))) + F.make_dt_interval(hours=(C("turn") % 24).cast("int")), "yyyy-MM-dd HH:mm:ss")
-    words = F.regexp_replace(F.substring("text", 1, 40), "[<>&]", " ")
+    words = F.coalesce(F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), F.lit(""))
     one = F.concat(F.lit("<item><title>"), words, F.lit("</title><description>d</description><pubDate>"), at, F.lit("</pubDate></item>"))
     xml = table(spark, sf_dir, "conversations").groupBy(C("conv_id").alias("code")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(one), ""), F.lit("</channel></rss>")).alias("xml"))
-    return readers.parse_feed(xml, 15).groupBy("code", "knowable_date").agg(F.count(F.lit(1)).alias("n"))
+    return readers.parse_feed(xml, 15).select("code", "knowable_date", F.coalesce("summary", F.lit("")).alias("summary"))
 
 
 # ---- B: filters

@@ -35,26 +35,26 @@ def draw_sql(*parts: str) -> str:
 # ---- J: permutation, bootstrap, events, models
 
 
-@query("J01_permutation_test", f"""{_TRADES}, sq AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY exit_time, trade_id) AS seq, pnl FROM tr), e AS (SELECT symbol, sim, seq, pnl, CASE WHEN sim = 0 THEN seq ELSE {draw_sql('sim', 'seq')} END AS o FROM sq, (SELECT unnest(generate_series(0, 20)) AS sim)),
+@query("J01_permutation_test", f"""{_TRADES}, sq AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY exit_time, trade_id) AS seq, pnl FROM tr), e AS (SELECT symbol, sim, seq, pnl, CASE WHEN sim = 0 THEN seq ELSE {draw_sql('sim', 'seq')} END AS o FROM sq, (SELECT unnest(generate_series(0, 1000)) AS sim)),
   c AS (SELECT *, 1e6 + sum(pnl) OVER (PARTITION BY symbol, sim ORDER BY o, seq) AS eq FROM e), d AS (SELECT symbol, sim, eq - greatest(max(eq) OVER (PARTITION BY symbol, sim ORDER BY o, seq), 1e6) AS dd FROM c), w AS (SELECT symbol, sim, round(min(dd), 4) AS dd FROM d GROUP BY ALL), a AS (SELECT symbol, dd AS actual FROM w WHERE sim = 0)
   SELECT symbol, actual, round(avg(CASE WHEN dd <= actual THEN 1.0 ELSE 0 END), 6) AS share FROM w JOIN a USING (symbol) WHERE sim > 0 GROUP BY ALL""")
 def _j01(spark, sf_dir):
     t = round_trips(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy("exit_time", "trade_id"))).select("symbol", "seq", "pnl")
-    return stats.permutation_drawdowns(t, ["symbol"], 1e6, 20).select("symbol", "actual", r6("share").alias("share"))
+    return stats.permutation_drawdowns(t, ["symbol"], 1e6, 1000).select("symbol", "actual", r6("share").alias("share"))
 
 
-_BOOT = lambda stat: f"""WITH {_SECTOR}, b AS (SELECT sector, r, row_number() OVER (PARTITION BY sector ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY sector) AS n FROM sr), p AS (SELECT sector, sim, {draw_sql('sim', 'i')} % n AS i FROM b, (SELECT unnest(generate_series(1, 40)) AS sim)),
+_BOOT = lambda stat: f"""WITH {_SECTOR}, b AS (SELECT sector, r, row_number() OVER (PARTITION BY sector ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY sector) AS n FROM sr), p AS (SELECT sector, sim, {draw_sql('sim', 'i')} % n AS i FROM b, (SELECT unnest(generate_series(1, 1000)) AS sim)),
   s AS (SELECT sector, sim, {stat} AS s FROM p JOIN b USING (sector, i) GROUP BY ALL) SELECT sector, round(quantile_cont(s, 0.05), 6) AS lo, round(quantile_cont(s, 0.95), 6) AS hi FROM s GROUP BY sector"""
 
 
 @query("J02_bootstrap_sharpe", _BOOT("avg(r) / stddev_samp(r) * sqrt(12)"))
 def _j02(spark, sf_dir):
-    return rounded(stats.bootstrap(sector_returns(spark, sf_dir), ["sector"], F.try_divide(F.avg("r"), F.stddev_samp("r")) * 12**0.5, 40, 0.9))
+    return rounded(stats.bootstrap(sector_returns(spark, sf_dir), ["sector"], F.try_divide(F.avg("r"), F.stddev_samp("r")) * 12**0.5, 1000, 0.9))
 
 
 @query("J03_bootstrap_statistic", _BOOT("quantile_cont(r, 0.5)"))
 def _j03(spark, sf_dir):
-    return rounded(stats.bootstrap(sector_returns(spark, sf_dir), ["sector"], F.percentile("r", F.lit(0.5)), 40, 0.9))
+    return rounded(stats.bootstrap(sector_returns(spark, sf_dir), ["sector"], F.percentile("r", F.lit(0.5)), 1000, 0.9))
 
 
 _RM = f"{PANEL}, {_RET}, rm AS (SELECT symbol, date, r, avg(r) OVER (PARTITION BY date) AS m, row_number() OVER ({S}) AS k FROM rets)"
@@ -278,9 +278,9 @@ def _j23(spark, sf_dir):
 _K = lambda p, b: f"CASE WHEN abs({p} - {b}) < 1e-12 THEN 1 / (1 + {p}) ELSE (ln(1 + {p}) - ln(1 + {b})) / ({p} - {b}) END"
 
 
-@query("J24_carino_link", f"{_BF}, pd AS (SELECT date, sum(allocation) AS a, sum(selection) AS s, sum(interaction) AS i, sum(p) AS rp, sum(b) AS rb FROM bf WHERE date < DATE '1996-01-01' GROUP BY date), lk AS (SELECT sum(k * a) AS a, sum(k * s) AS s, sum(k * i) AS i, exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM (SELECT *, {_K('rp', 'rb')} AS k FROM pd)) SELECT round(a / ({_K('p', 'b')}), 6) AS allocation, round(s / ({_K('p', 'b')}), 6) AS selection, round(i / ({_K('p', 'b')}), 6) AS interaction, round(p - b, 6) AS excess FROM lk")
+@query("J24_carino_link", f"{_BF}, pd AS (SELECT date, sum(allocation) AS a, sum(selection) AS s, sum(interaction) AS i, sum(p) AS rp, sum(b) AS rb FROM bf GROUP BY date), lk AS (SELECT sum(k * a) AS a, sum(k * s) AS s, sum(k * i) AS i, exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM (SELECT *, {_K('rp', 'rb')} AS k FROM pd)) SELECT round(a / ({_K('p', 'b')}), 6) AS allocation, round(s / ({_K('p', 'b')}), 6) AS selection, round(i / ({_K('p', 'b')}), 6) AS interaction, round(p - b, 6) AS excess FROM lk")
 def _j24(spark, sf_dir):
-    e = attribution.brinson(brinson_rows(spark, sf_dir).filter(C("date") < F.lit("1996-01-01").cast("date")), ["date"])
+    e = attribution.brinson(brinson_rows(spark, sf_dir), ["date"])
     names = ["allocation", "selection", "interaction"]
     e = e.groupBy("date").agg(*[F.sum(n).alias(n) for n in names], F.sum("p").alias("rp"), F.sum("b").alias("rb"))
     return rounded(attribution.carino(e, names))
@@ -324,7 +324,14 @@ def _j26(spark, sf_dir):
     return rounded(attribution.modified_dietz(sn, f, "fund"))
 
 
-@query("J27_money_weighted")
+_NPV = lambda r: f"list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] / pow(1 + {r}, t[i])))"
+
+
+@query("J27_money_weighted", f"""WITH RECURSIVE {CASHFLOWS}, dy AS (SELECT fund, date, sum(amount) AS amount, date - min(date) OVER (PARTITION BY fund) AS days FROM cashflows WHERE kind <> 'valuation' GROUP BY fund, date),
+  ls AS (SELECT fund, list(amount ORDER BY date) AS a, list(days / 365.0 ORDER BY date) AS t FROM dy GROUP BY fund), ok AS (SELECT *, {_NPV('-0.9999')} AS x, {_NPV('100')} AS y FROM ls WHERE list_max(a) > 0 AND list_min(a) < 0),
+  bi(fund, lo, hi, x, k) AS (SELECT fund, CAST(-0.9999 AS DOUBLE), CAST(100 AS DOUBLE), x, 0 FROM ok WHERE isfinite(x) AND x * y < 0
+    UNION ALL SELECT fund, CASE WHEN m * x > 0 THEN mid ELSE lo END, CASE WHEN m * x > 0 THEN hi ELSE mid END, CASE WHEN m * x > 0 THEN m ELSE x END, k + 1 FROM (SELECT b.fund, lo, hi, b.x, k, (lo + hi) / 2 AS mid, {_NPV('(lo + hi) / 2')} AS m FROM bi b JOIN ok ON ok.fund = b.fund WHERE k < 70))
+  SELECT ls.fund, round((lo + hi) / 2, 6) AS irr FROM ls LEFT JOIN (SELECT * FROM bi WHERE k = 70) b ON b.fund = ls.fund""")
 def _j27(spark, sf_dir):
     return rounded(attribution.irr(cashflows(spark, sf_dir).filter("kind <> 'valuation'").select("fund", "date", "amount"), "fund"))
 
@@ -465,10 +472,18 @@ def _j41(spark, sf_dir):
     return s.groupBy("date").agg(r6(F.sum("t")).alias("traded"), F.round(F.sum("t") * 0.0005, 8).alias("spread"), F.round(F.sum(impact), 8).alias("impact"))
 
 
-@query("J42_constraints")
+_CAPPED = f"""{_IV}, ab AS (SELECT w.symbol, date, abs(weight) AS m, sign(weight) AS sg, s_nationkey % 5 AS grp FROM ivw w JOIN supplier ON s_suppkey = w.symbol WHERE weight IS NOT NULL AND abs(weight) > 1e-9),
+  ck AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY m DESC, symbol) - 1 AS k, sum(m) OVER (PARTITION BY date) AS gross, sum(m) OVER (PARTITION BY date ORDER BY m DESC, symbol ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM ab),
+  cs AS (SELECT *, (gross - k * 0.02) / rest AS scale FROM ck), cb AS (SELECT *, arg_min(scale, k) FILTER (scale > 0 AND m * scale <= 0.02 + 1e-12) OVER (PARTITION BY date) AS best FROM cs), c1 AS (SELECT symbol, date, sg, grp, CASE WHEN best IS NULL THEN 0.02 ELSE least(m * best, 0.02) END AS m FROM cb),
+  fn AS (SELECT *, sum(greatest(0.008 - m, 0)) OVER (PARTITION BY date) AS need, sum(greatest(m - 0.008, 0)) OVER (PARTITION BY date) AS spare, avg(m) OVER (PARTITION BY date) AS even FROM c1),
+  c2 AS (SELECT symbol, date, sg, grp, CASE WHEN need <= 1e-12 THEN m WHEN need > spare THEN even WHEN m < 0.008 THEN 0.008 ELSE m - (m - 0.008) / spare * need END AS m FROM fn), c3 AS (SELECT *, sum(m) OVER (PARTITION BY date, grp) AS total FROM c2)"""
+
+
+@query("J42_constraints", f"WITH {_CAPPED} SELECT symbol, date, round(sg * CASE WHEN total > 0.22 THEN m * 0.22 / total ELSE m END, 6) AS weight FROM c3")
 def _j42(spark, sf_dir):
-    w = inverse_vol(spark, sf_dir).filter("weight is not null")
-    return rounded(attribution.constrain(w, 0.03, 0.002))
+    s = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("symbol"), (C("s_nationkey") % 5).alias("grp"))
+    w = inverse_vol(spark, sf_dir).filter("weight is not null").join(s, "symbol")
+    return rounded(attribution.constrain(w, cap=0.02, floor=0.008, group="grp", group_cap=0.22))
 
 
 # ---- search
@@ -758,9 +773,9 @@ def _l03(spark, sf_dir):
     return streams.run_to_end(streams.score(streams.events(spark, sf_dir), "1 day", 0.4), "complete").withColumn("score", F.round("score", 6))
 
 
-@query("L04_stream_regime")
+@query("L04_stream_regime", "SELECT user_id, coalesce(arg_max(CASE WHEN value >= 300 THEN 1 ELSE 0 END, (ts, event_id)) FILTER (value >= 300 OR value <= 20), 0) AS state, count(*) AS n FROM events GROUP BY user_id")
 def _l04(spark, sf_dir):
-    return streams.run_to_end(streams.regime(streams.events(spark, sf_dir), 300.0, 20.0), "update")
+    return streams.run_to_end(streams.regime(streams.events(spark, sf_dir), 300.0, 20.0), "update", ["user_id"])
 
 
 @query("L05_stream_late", "SELECT event_type, ts > TIMESTAMP '2024-01-20' AS late, count(*) AS n FROM events GROUP BY ALL")

@@ -174,34 +174,6 @@ def read_equity(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.filter(good), out.filter(~F.coalesce(good, F.lit(False)))
 
 
-#: Broker layouts by the columns that tell them apart, and what their columns mean.
-LAYOUTS = {
-    "generic": ({"datetime", "symbol", "side", "quantity", "price"}, {"ts": "datetime", "symbol": "symbol", "side": "side", "quantity": "quantity", "price": "price", "amount": "amount", "fee": "fee"}),
-    "lines": ({"l_shipdate", "l_partkey", "l_returnflag"}, {"ts": "l_shipdate", "symbol": "l_partkey", "side": "l_returnflag", "quantity": "l_quantity", "amount": "l_extendedprice", "fee": "l_tax"}),
-}
-
-
-def detect_format(columns: Sequence[str]) -> str | None:
-    have = {c.strip().lower() for c in columns}
-    return next((name for name, (needed, _) in LAYOUTS.items() if needed <= have), None)
-
-
-def parse_journal(rows: DataFrame, sell: Sequence[str] = ("sell", "s", "short", "r")) -> DataFrame:
-    """ts, symbol, side, quantity, price, amount, fee of a known layout; price or amount is made from the other."""
-    name = detect_format(rows.columns)
-    if name is None:
-        raise ValueError("unknown layout")
-    fields = LAYOUTS[name][1]
-    lower = {c.strip().lower(): c for c in rows.columns}
-    get = lambda k: F.col(lower[fields[k]]) if fields.get(k) in lower else F.lit(None)
-    quantity, price, amount = (get(k).cast("string").try_cast("double") for k in ("quantity", "price", "amount"))
-    out = rows.select(
-        get("ts").try_cast("timestamp").alias("ts"), get("symbol").cast("string").alias("symbol"), F.when(F.lower(get("side").cast("string")).isin(list(sell)), "sell").otherwise("buy").alias("side"),
-        F.abs(quantity).alias("quantity"), F.coalesce(price, F.try_divide(amount, quantity)).alias("price"), F.coalesce(amount, price * quantity).alias("amount"), F.coalesce(get("fee").cast("string").try_cast("double"), F.lit(0.0)).alias("fee"),
-    )
-    return out.filter("ts is not null and quantity > 0 and price is not null")
-
-
 FACTS = "map<string, map<string, struct<units: map<string, array<struct<start: string, end: string, filed: string, val: double, form: string>>>>>>"
 
 
@@ -217,24 +189,64 @@ def concept_series(facts: DataFrame, concepts: Sequence[str], pit: bool = True,
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").select("entity", "start", "end", "filed", "val")
 
 
-HOLDING_XML = "holding array<struct<name: string, cusip: string, value: double, shares: double, kind: string>>"
+#: The elements of a fund's portfolio report, nested as they are filed. Identifiers are attributes.
+_VALUED = "struct<_value: string>"
+PORTFOLIO_XML = (
+    "formData struct<genInfo: struct<regName: string, seriesId: string, seriesName: string, repPdDate: string, repPdEnd: string>, fundInfo: struct<totAssets: string, netAssets: string>, "
+    f"invstOrSecs: struct<invstOrSec: array<struct<name: string, title: string, cusip: string, identifiers: struct<isin: {_VALUED}, ticker: {_VALUED}>, balance: string, units: string, curCd: string, "
+    "valUSD: string, pctVal: string, payoffProfile: string, assetCat: string, issuerCat: string, invCountry: string>>>>"
+)
+#: The elements of an information table of institutional holdings.
+INFO_XML = (
+    "infoTable array<struct<nameOfIssuer: string, titleOfClass: string, cusip: string, value: string, shrsOrPrnAmt: struct<sshPrnamt: string, sshPrnamtType: string>, putCall: string, "
+    "investmentDiscretion: string, otherManager: string, votingAuthority: struct<Sole: string, Shared: string, None: string>>>"
+)
+_ANY_NAMESPACE = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
-def parse_holdings(rows: DataFrame, xml: str = "xml") -> DataFrame:
-    """Rows of fund holdings out of XML texts (one report a row, element `holding` repeated): id, name, cusip, value, shares, kind."""
-    return rows.select("id", F.from_xml(xml, HOLDING_XML).alias("x")).select("id", F.inline("x.holding"))
+def _number(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+
 
+def _text(c: Column) -> Column:
+    return F.when(F.trim(c) != "", F.trim(c))
 
-INFO_XML = "infoTable array<struct<nameOfIssuer: string, cusip: string, value: double, sshPrnamt: double, putCall: string>>"
+
+def parse_holdings(rows: DataFrame, xml: str = "xml") -> DataFrame:
+    """Holdings out of fund portfolio reports (one XML text a row, with its id): what the fund is, and a row a holding.
+
+    What a filer left out is null. Texts that are no XML have no holdings.
+    """
+    x = F.from_xml(F.col(xml), PORTFOLIO_XML, _ANY_NAMESPACE)["formData"]
+    general = rows.select("id", x.alias("x")).select(
+        "id", _text(F.col("x.genInfo.seriesId")).alias("series_id"), _text(F.col("x.genInfo.seriesName")).alias("series_name"), _text(F.col("x.genInfo.regName")).alias("registrant"),
+        F.col("x.genInfo.repPdDate").try_cast("date").alias("as_of"), F.col("x.genInfo.repPdEnd").try_cast("date").alias("fiscal_year_end"), _number(F.col("x.fundInfo.netAssets")).alias("net_assets_usd"),
+        F.explode("x.invstOrSecs.invstOrSec").alias("h"),
+    )
+    h = lambda name: F.col(f"h.{name}")
+    return general.select(
+        "id", "series_id", "series_name", "registrant", "as_of", "fiscal_year_end", "net_assets_usd", _text(h("name")).alias("name"), _text(h("title")).alias("title"), _text(h("cusip")).alias("cusip"),
+        _text(h("identifiers.isin._value")).alias("isin"), _text(h("identifiers.ticker._value")).alias("ticker"), _number(h("pctVal")).alias("pct_of_net_assets"), _number(h("valUSD")).alias("value_usd"),
+        _number(h("balance")).alias("balance"), _text(h("units")).alias("balance_units"), _text(h("curCd")).alias("currency"), _text(h("payoffProfile")).alias("payoff_profile"),
+        _text(h("assetCat")).alias("asset_category"), _text(h("issuerCat")).alias("issuer_category"), _text(h("invCountry")).alias("country"),
+    )
 
 
 def parse_information_table(rows: DataFrame, cusips: Sequence[str] | None = None) -> DataFrame:
-    """id, name, cusip, value, shares, put_call out of information-table XML texts."""
-    out = rows.select("id", F.from_xml("xml", INFO_XML).alias("x")).select("id", F.inline("x.infoTable"))
-    out = out.select("id", F.col("nameOfIssuer").alias("name"), F.upper("cusip").alias("cusip"), "value", F.col("sshPrnamt").alias("shares"), F.coalesce("putCall", F.lit("")).alias("put_call"))
+    """id, name, title, cusip, value, shares, share_type, put_call, discretion out of information-table XML texts, a row an entry."""
+    out = rows.select("id", F.from_xml(F.col("xml"), INFO_XML, _ANY_NAMESPACE).alias("x")).select("id", F.inline("x.infoTable"))
+    out = out.select(
+        "id", _text(F.col("nameOfIssuer")).alias("name"), _text(F.col("titleOfClass")).alias("title"), F.upper(_text(F.col("cusip"))).alias("cusip"), _number(F.col("value")).alias("value"),
+        _number(F.col("shrsOrPrnAmt.sshPrnamt")).alias("shares"), _text(F.col("shrsOrPrnAmt.sshPrnamtType")).alias("share_type"), F.coalesce(_text(F.col("putCall")), F.lit("")).alias("put_call"), _text(F.col("investmentDiscretion")).alias("discretion"),
+    )
     return out.filter(F.col("cusip").isin([c.upper() for c in cusips])) if cusips else out
 
 
+def by_cusip(entries: DataFrame) -> DataFrame:
+    """Entries of an information table that were split over managers, one row a position: value and shares add up."""
+    return entries.groupBy("id", "cusip", "put_call", "share_type").agg(F.min("name").alias("name"), F.sum("value").alias("value"), F.sum("shares").alias("shares"), F.count("*").alias("entries"))
+
+
 FEED_XML = "channel struct<item: array<struct<title: string, description: string, pubDate: string>>>"
 
 

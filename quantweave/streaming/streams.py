@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..scratch import new_path
 
@@ -42,33 +39,43 @@ def score(rows: DataFrame, span: str, decay: float, watermark: str = "2 days") -
 
 
 def regime(rows: DataFrame, enter: float, exit_: float) -> DataFrame:
-    """user_id, state, n: a 0/1 state per key that turns on at enter and off at exit_ and is carried from batch to batch."""
+    """user_id, state, n: a 0/1 state per key that turns on at enter and off at exit_: the last decisive value decides.
+
+    Late rows take their place by event time, whatever micro-batch brings them.
+    """
     if exit_ >= enter:
         raise ValueError("the exit threshold must be below the enter threshold")
+    decisive = F.when(F.col("value") >= enter, 1).when(F.col("value") <= exit_, 0)
+    at = F.when(decisive.isNotNull(), F.struct("ts", "event_id"))  # rows without an order don't count
+    return rows.groupBy("user_id").agg(F.coalesce(F.max_by(decisive, at), F.lit(0)).alias("state"), F.count(F.lit(1)).alias("n"))
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on, n = state.get if state.exists else (0, 0)
-        # order inside a micro-batch is by event time
-        for x in pd.concat(list(frames)).sort_values(["ts", "event_id"])["value"]:
-            on = 1 if x >= enter else 0 if x <= exit_ else on
-            n += 1
-        state.update((on, n))
-        yield pd.DataFrame({"user_id": [key[0]], "state": [on], "n": [n]})
+def keep_batch(batch: DataFrame, number: int, folder: str) -> None:
+    """Write a micro-batch to a folder of its own number: a batch that is run again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return rows.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, state int, n long", "state int, n long", "update", GroupStateTimeout.NoTimeout)
 
+def run_to_end(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run what is there through the stream and read the result back from the shared folder.
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run what is there through the stream and read the result back from the shared folder."""
+    Of complete output the last batch counts; of update output the last row of each key (`keys`).
+    """
     spark = stream.sparkSession
+    if mode == "update" and not keys:
+        raise ValueError("update output needs the keys of its rows")
     out, check = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(lambda batch, number: keep_batch(batch, number, out)).start().awaitTermination()
+    got = spark.read.schema(f"{_ddl(stream)}, batch long").parquet(out)
+    if mode == "complete":
+        got = got.join(F.broadcast(got.agg(F.max("batch").alias("batch"))), "batch", "left_semi")
+    elif mode == "update":
+        last = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+        got = got.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
+    return got.select(*stream.columns)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        # complete output replaces, new rows are added
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def split_late(rows: DataFrame, cut: datetime) -> tuple[DataFrame, DataFrame]:
@@ -76,11 +83,11 @@ def split_late(rows: DataFrame, cut: datetime) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     good, late, check = new_path(spark, "on-time"), new_path(spark, "late"), new_path(spark, "late-checkpoint")
 
-    def keep(batch: DataFrame, _: int) -> None:
+    def keep(batch: DataFrame, number: int) -> None:
         is_late = F.coalesce(F.col("ts") > F.lit(cut), F.lit(False))
-        batch.filter(~is_late).write.mode("append").parquet(good)
-        batch.filter(is_late).write.mode("append").parquet(late)
+        keep_batch(batch.filter(~is_late), number, good)
+        keep_batch(batch.filter(is_late), number, late)
 
     rows.writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    read = spark.read.schema(rows.schema)
-    return read.parquet(good), read.parquet(late)
+    read = spark.read.schema(f"{_ddl(rows)}, batch long")
+    return read.parquet(good).select(*rows.columns), read.parquet(late).select(*rows.columns)
