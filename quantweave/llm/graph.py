@@ -12,23 +12,19 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", siz
     """rows joined with table (one row a key) on a key of which any value may hold most rows.
 
     Keys with more than 1 / (4 * partitions) of the rows are fewer than 4 * partitions: their rows of the table are
-    broadcast, and their rows stay where they lie. The others are shuffled as usual; rows without a key aren't.
+    broadcast, and rows that have them stay where they lie. The others are shuffled as usual; rows without a key aren't.
     `size` names a column of the table with the number of rows of each key, where that is known. Both inputs are
     read twice or more: they should be stored.
     """
-    spark = rows.sparkSession
-    counts = table.select(key, F.col(size).alias("_n")) if size else rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if size is None:
-        counts = stored(counts)
+    counts = table.select(key, F.col(size).alias("_n")) if size else stored(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.filter(F.col("_n") > max(1, total // (4 * parts))).select(key).collect()
+    hot = [r[0] for r in counts.filter(F.col("_n") > max(1, total // (4 * parts))).select(key).collect()]
     extra = [c for c in table.columns if c != key]
     have = rows.filter(F.col(key).isNotNull())
     if hot:
-        names = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], table.select(key).schema))
-        near = F.broadcast(table.join(names, key, "left_semi"))
-        out = have.join(names, key, "left_anti").join(table, key, how).unionByName(have.join(names, key, "left_semi").join(near, key, how))
+        is_hot = F.col(key).isin(hot)
+        out = have.filter(~is_hot).join(table.filter(~is_hot), key, how).unionByName(have.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, how))
     else:
         out = have.join(table, key, how)
     if how == "left":
