@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quantweave.llm import annsearch, bpe, cotraining, decontaminate, extraction, language, nearjoin, secrets, toxicity, unigram
-from quantweave.llm.common import words_of
+from quantweave.llm.common import held_out, words_of
 from quantweave.llm.graph import components, look_up
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -401,6 +401,40 @@ def test_language_margin_and_pieces(spark):
     heads = ["same head " * 60 + f"tail{i} " * 400 for i in range(60)]
     pieces = language.fit(docs_of(spark, heads)).dictionaries[0]
     assert pieces.count(b"tail") > pieces.count(b"head")
+    many = docs_of(spark, ["some words of it"] * 300, [f"l{i}" for i in range(300)])
+    model = language.fit(many, total=3000)
+    # no language is left out, whatever their number
+    assert len(model.languages) == many.filter(~held_out()).count() and all(model.dictionaries)
+
+
+def test_language_query_against_plain_compression(spark):
+    import zstandard
+
+    rng = np.random.default_rng(12)
+    langs = [str(rng.choice(list(WORDS))) for _ in range(200)]
+    texts = [" ".join(rng.choice(WORDS[x], int(rng.integers(1, 60)))) for x in langs] + [" ".join(rng.choice(WORDS["de"], 5000)), "É", "ß 1", "7"]
+    docs = docs_of(spark, texts, langs + ["de", None, None, None])
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    for i, t in enumerate(texts):
+        sums = []
+        for d in model.dictionaries:
+            how = zstandard.ZstdCompressionParameters.from_level(6, source_size=8192, dict_size=len(d), min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+            data = b" " + t.lower().encode() + b" " + b"\x01" * 200
+            packer = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sums.append(sum(len(packer.compress(data[k : k + 8192])) for k in range(0, len(data), 8192)))
+        best = sums.index(min(sums)) if any(c.isalpha() for c in t) else None
+        assert got[i].lang_pred == ("und" if best is None else model.languages[best])
+        if best is not None:
+            rest = min(s for k, s in enumerate(sums) if k != best)
+            assert got[i].margin == pytest.approx((rest - min(sums)) / min(sums)) and got[i].rejected == (got[i].margin < model.margin)
+
+
+def test_language_ties_go_to_the_more_frequent(spark):
+    docs = docs_of(spark, ["the same words in both"] * 40, ["b"] * 25 + ["a"] * 15)
+    got = language.predict(docs, language.fit(docs, margin=0.02)).collect()
+    counts = docs.filter(~held_out()).groupBy("lang").count().orderBy(F.desc("count"), "lang").first()
+    assert {r.lang_pred for r in got} == {counts["lang"]} and all(r.margin == 0 and r.rejected for r in got)
 
 
 # ---- 6: near duplicates
