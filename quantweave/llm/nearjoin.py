@@ -7,7 +7,7 @@ chosen so that a pair at the threshold shares a band with the target probability
 1. One pass over the texts gives each row a set id and its band hashes; equal sets become one node.
 2. Nodes are shuffled on band hashes. Nodes that share a bucket are candidates, and no others: a node's home is the
    least node of all its buckets, and the nodes of one home are cut into blocks. A unit of work is a pair of blocks
-   that have a bucket in common, and holds those of their nodes that are in such a bucket.
+   that have a bucket in common; it is looked for among blocks, which are fewer than nodes.
 3. In each unit all pairs are verified on the full sets by a sparse product. A pair is in one unit only. Only counts
    and a spanning forest leave a unit, so a group is never expanded into rows of pairs, and none needs to fit into
    one task; groups that are chained by chance collisions share few units.
@@ -148,14 +148,11 @@ def candidate_units(nodes: DataFrame, block: int) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))
     # equal names of two blocks would only make them one
     placed = stored(look_up(homes, stored(sizes), "home", size="size").select("node", F.xxhash64("home", part).alias("block")))
-    # a bucket of many nodes is dealt out by salt, with a copy of its blocks for each
-    salts = F.ceil(F.col("n") / (8 * block)).cast("int")
-    inside = stored(shared.join(placed, "node").select("bucket", "node", "block", "n"))
-    blocks = inside.groupBy("bucket", "block").agg(F.count("*").alias("own"), F.first("n").alias("n"))
-    blocks = blocks.select("bucket", F.col("block").alias("other"), "own", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    pairs = inside.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).join(blocks, ["bucket", "salt"])
-    pairs = pairs.filter("block <> other or own > 1")
-    return pairs.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block").distinct()
+    blocks = shared.join(placed, "node").groupBy("bucket", "block").agg(F.count("*").alias("own"))
+    other = blocks.select("bucket", F.col("block").alias("j"))
+    pairs = stored(blocks.withColumnRenamed("block", "i").join(other, "bucket").filter("i < j or i = j and own > 1").select("i", "j").distinct())
+    ends = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i <> j").select("i", "j", F.col("j").alias("block")))
+    return ends.join(placed, "block").select("i", "j", "node", "block")
 
 
 def _gram_counts(left: list[np.ndarray], right: list[np.ndarray] | None, step: int = 4096) -> np.ndarray:
