@@ -125,15 +125,61 @@ def test_private_keys_are_masked_whole(spark):
 # ---- 2 and 3: classifiers
 
 
-def test_co_training_learns_from_both_views():
+def noisy_views(rng, n):
+    """Quality shows in a few words of the text, and apart from that in the source."""
+    y = (rng.random(n) < 0.6).astype(int)
+    good, bad, rest = [f"g{i}" for i in range(30)], [f"b{i}" for i in range(30)], [f"r{i}" for i in range(200)]
+    texts = [" ".join([*rng.choice(rest, 14), *rng.choice(good if (rng.random() < 0.85) == k else bad, 4)]) for k in y]
+    source = [f"s{int(rng.integers(10)) + (10 if (rng.random() < 0.8) == k else 0)}" for k in y]
+    return y, texts, source
+
+
+def test_co_training_beats_each_view(spark):
     rng = np.random.default_rng(0)
-    y = (rng.random(600) < 0.7).astype(float)
-    a = y[:, None] + rng.normal(0, 0.4, (600, 3))
-    b = y[:, None] + rng.normal(0, 0.6, (600, 2))
-    m = cotraining.co_train([a[:60], b[:60]], y[:60], [a[60:500], b[60:500]])
-    assert sum(n for _, n in m.rounds) > 50
-    score = m.scores(a[500:], b[500:])[2]
-    assert ((score >= 0.5) == y[500:]).mean() > 0.95
+    y, texts, source = noisy_views(rng, 3000)
+    docs = spark.createDataFrame([(i, texts[i], "en", source[i], 40) for i in range(3000)], SCHEMA)
+    few = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, int(y[i]), 0) for i in few], "doc_id long, quality int, toxic int")
+    rows = cotraining.features(docs).cache()
+    model = cotraining.fit(rows, labels, sure=0.7, share=0.3)
+    assert len(model.rounds) == 3 and all(a > 50 and b > 50 for _, a, b in model.rounds)
+    got = {r.doc_id: r for r in cotraining.score(rows, model).collect()}
+    rest = range(240, 3000)
+    right = lambda p: np.mean([(p(got[i]) >= 0.5) == y[i] for i in rest])
+    together, content, page = right(lambda r: r.score), right(lambda r: r.content_score), right(lambda r: r.page_score)
+    alone = cotraining.QualityModel(*model.first, model.combine)
+    before = {r.doc_id: r for r in cotraining.score(rows, alone).collect()}
+    right_of = lambda got: np.mean([(got[i].score >= 0.5) == y[i] for i in rest])
+    content_before = np.mean([(before[i].content_score >= 0.5) == y[i] for i in rest])
+    page_before = np.mean([(before[i].page_score >= 0.5) == y[i] for i in rest])
+    both_before = right_of(before)
+    assert content > content_before and page >= page_before - 0.01 and together > both_before, (together, both_before, content, content_before, page, page_before)
+
+
+def test_co_training_sums_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(1)
+    y, texts, source = noisy_views(rng, 200)
+    rows = cotraining.features(spark.createDataFrame([(i, texts[i], "en", source[i], 40) for i in range(200)], SCHEMA)).repartition(3).cache()
+    x = cotraining.views(rows.toPandas())
+    models = [rng.normal(size=v.shape[1] + 1) for v in x]
+    for v, w in zip(x, models):
+        w[-1] = -np.median(v @ w[:-1])
+    limits = cotraining.thresholds(rows, models, 0.5, 0.3, 0.5)
+    odds = [cotraining.log_odds(v, w) for v, w in zip(x, models)]
+    for o, (low, high) in zip(odds, limits):
+        assert abs((o <= low).mean() - 0.15) < 0.05 and abs((o >= high).mean() - 0.15) < 0.05
+    for v, (h, g, n) in enumerate(cotraining.pool_sums(rows, models, limits)):
+        sure = (odds[1 - v] <= limits[1 - v][0]) | (odds[1 - v] >= limits[1 - v][1])
+        want = cotraining.newton_sums(x[v][sure], (odds[1 - v][sure] > 0).astype(float), models[v])
+        assert n == sure.sum()
+        np.testing.assert_allclose(h, want[0], atol=1e-9)
+        np.testing.assert_allclose(g, want[1], atol=1e-9)
+
+
+def test_metadata_view_is_blind_to_texts(spark):
+    rows = spark.createDataFrame([(1, "a", "en", "s", 5), (2, "quite another text", "en", "s", 5)], SCHEMA)
+    a, b = cotraining.views(cotraining.features(rows).toPandas())
+    assert (b[0] == b[1]).all() and not (a[0] == a[1]).all()
 
 
 def test_block_max_search_is_exact():
@@ -259,18 +305,11 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
 
 
-def test_quality_held_out(spark):
-    docs, labels, toxic = classified(spark)
-    docs = docs.withColumn("text", docs["text"])
-    got = cotraining.score(docs, cotraining.fit(docs, labels)).collect()
-    assert len(got) == len(toxic) and all(0 <= r.score <= 1 for r in got)
-
-
 def test_classifiers_with_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = odd(spark)
     assert {r.score for r in toxicity.score(d, toxicity.fit(d, none)).collect()} == {0.0}
-    assert {r.score for r in cotraining.score(d, cotraining.fit(d, none)).collect()} == {0.5}
+    assert {r.score for r in cotraining.quality(d, none).collect()} == {0.5}
 
 
 # ---- 4: pages
@@ -788,7 +827,7 @@ def test_odd_and_empty_tables(spark, vocabulary, pieces):
         n = frame.count()
         lang = language.fit(frame)
         outs = [
-            secrets.digest(secrets.findings(frame)), cotraining.score(frame, cotraining.fit(frame, labels)), toxicity.score(frame, toxicity.fit(frame, labels)), language.predict(frame, lang),
+            secrets.digest(secrets.findings(frame)), cotraining.quality(frame, labels), toxicity.score(frame, toxicity.fit(frame, labels)), language.predict(frame, lang),
             nearjoin.near_duplicates(frame), unigram.count_tokens(frame, pieces), bpe.round_trip(frame, vocabulary), decontaminate.digest(decontaminate.hits(frame, bench)), secrets.redact(frame),
         ]
         assert [o.count() for o in outs] == [n] * len(outs)
