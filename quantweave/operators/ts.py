@@ -64,9 +64,18 @@ def window_values(x: Column, n: int) -> Column:
     return F.collect_list(x).over(last(n))
 
 
+#: Up to this length a window is compared term by term, which stays in generated code; beyond it as an array.
+TERMS = 64
+
+
 def ts_rank(x: Column, n: int) -> Column:
     """Percentile rank of the newest value in its window; ties take the mean rank."""
     _positive(n)
+    if n <= TERMS:
+        # twice as much for a smaller value as for an equal one
+        before = [F.lag(x, k).over(series()) for k in range(1, n)]
+        points = sum((F.when(b < x, 2).when(b == x, 1).otherwise(0) for b in before), F.lit(0))
+        return full((points * 0.5 + 1) / n, x, n)
     values = window_values(x, n)
     less = F.size(F.filter(values, lambda v: v < x))
     equal = F.size(F.filter(values, lambda v: v == x))
@@ -97,12 +106,21 @@ def ts_corr(x: Column, y: Column, n: int) -> Column:
 def ts_argmax(x: Column, n: int) -> Column:
     """Place of the largest value in the window from the oldest (0); the earliest of equals."""
     _positive(n)
+    if n <= TERMS:
+        return _place_of(F.max(x).over(last(n)), x, n)
     values = window_values(x, n)
     return full((F.array_position(values, F.array_max(values)) - 1).cast("double"), x, n)
 
 
+def _place_of(best: Column, x: Column, n: int) -> Column:
+    """Place of the first value of the window that equals `best`."""
+    return full(F.coalesce(*[F.when(F.lag(x, n - 1 - k).over(series()) == best, float(k)) for k in range(n)]), x, n)
+
+
 def ts_argmin(x: Column, n: int) -> Column:
     _positive(n)
+    if n <= TERMS:
+        return _place_of(F.min(x).over(last(n)), x, n)
     values = window_values(x, n)
     return full((F.array_position(values, F.array_min(values)) - 1).cast("double"), x, n)
 

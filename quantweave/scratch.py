@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset (one machine, tests) a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
+    if not folder and not current and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = current or tempfile.mkdtemp(prefix="checkpoints-")
     if not current:

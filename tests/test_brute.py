@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantweave import data
-from quantweave.operators import attribution, clusters, indicators, pairs, stats
+from quantweave.operators import attribution, clusters, indicators, pairs, stats, ts
+from quantweave.operators.ewm import Ewm, ewm
 from quantweave.streaming import streams
 
 DAY = dt.date(2024, 1, 1)
@@ -192,3 +193,35 @@ def test_states_over_several_batches(spark, tmp_path):
     got = sorted(tuple(r) for r in streams.run_to_end(streams.regime(stream, 300.0, 20.0), "update", ["user_id"]).collect())
     # one row a key; the last decisive value by event time decides, whichever batch brings it
     assert got == [(1, 0, 3), (2, 1, 2)]
+
+
+@pytest.mark.parametrize("adjust, least", [(False, 1), (True, 1), (True, 4)])
+def test_averages_beside_pandas(spark, adjust, least):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    columns = {s: [None if rng.random() < 0.2 else float(rng.normal()) for _ in range(int(rng.integers(1, 40)))] for s in [*range(25), None]}
+    rows = [(s, DAY + dt.timedelta(days=i), v) for s, x in columns.items() for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "symbol long, date date, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.symbol, r.date): r.y for r in ewm(frame, {"y": Ewm("x", 0.3, adjust, least)}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for s, x in columns.items():
+        want = pd.Series(x, dtype=float).ewm(alpha=0.3, adjust=adjust, min_periods=least).mean()
+        for i, w in enumerate(want):
+            y = got[s, DAY + dt.timedelta(days=i)]
+            assert (y is None or np.isnan(y)) if np.isnan(w) else y == pytest.approx(w)
+
+
+def test_ranks_and_places_are_the_same_by_terms_and_by_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    frame = series(spark, [[None if rng.random() < 0.05 else float(rng.integers(6)) for _ in range(60)] for _ in range(3)])
+    results = []
+    for most in (64, 0):
+        monkeypatch.setattr(ts, "TERMS", most)
+        c = F.col("close")
+        results.append(sorted(map(str, frame.select("symbol", "date", ts.ts_rank(c, 9).alias("r"), ts.ts_argmax(c, 9).alias("a"), ts.ts_argmin(c, 9).alias("b"), ts.ts_rank(c, 1).alias("o")).collect())))
+    assert results[0] == results[1]
