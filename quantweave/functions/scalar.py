@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a headline that count for and against.
-POSITIVE = ("beat", "gain", "gains", "good", "growth", "profit", "rally", "rise", "strong", "surge", "up", "upgrade")
-NEGATIVE = ("bad", "bearish", "crash", "cut", "down", "downgrade", "drop", "fall", "loss", "miss", "risk", "weak")
+#: The words of a headline that count for and against, unless others are given.
+POSITIVE = (
+    "beat", "beats", "surge", "surges", "soar", "record", "growth", "profit", "upgrade", "upgraded", "outperform", "bullish", "approval", "approved", "win", "wins", "buyback", "dividend", "expansion", "breakthrough",
+)
+NEGATIVE = (
+    "miss", "misses", "plunge", "plunges", "fall", "falls", "loss", "losses", "downgrade", "downgraded", "underperform", "bearish", "fraud", "probe", "lawsuit", "recall", "default", "bankruptcy", "halt", "warning", "decline",
+)
+#: Fixed value: what is trimmed from both ends of a word.
+MARKS = ".,;:!?\"'()"
 
 
 def lexicon_score(text: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
-    """(positive - negative) / (positive + negative) words; 0 without either."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
+    """(positive - negative) / (positive + negative) words, between white space or slashes and without marks around them; 0 without either."""
+    words = F.split(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("/"), F.lit(" ")), r"\s+")
+    words = F.transform(words, lambda w: F.btrim(w, F.lit(MARKS)))
     n = lambda of: F.size(F.filter(words, lambda w: w.isin(list(of)))).cast("double")
     return F.coalesce(F.try_divide(n(positive) - n(negative), n(positive) + n(negative)), F.lit(0.0))
 

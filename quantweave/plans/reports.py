@@ -371,15 +371,16 @@ def _pit(spark, sf_dir):
 # ---- scalar functions
 
 _POS, _NEG = ("the", "and", "is", "en", "de"), ("of", "to", "la", "le", "der")
+_TRIMMED = """list_transform(regexp_split_to_array(replace(lower(text), '/', ' '), '\\s+'), lambda x: trim(x, '.,;:!?"''()'))"""
 _COUNT = lambda words: f"CAST(len(list_filter(w, lambda x: x IN {words})) AS DOUBLE)"
 
 
-@query("I01_score_text", f"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents), c AS (SELECT doc_id, {_COUNT(_POS)} AS p, {_COUNT(_NEG)} AS n FROM w) SELECT doc_id, round(coalesce((p - n) / nullif(p + n, 0), 0), 6) AS score FROM c")
+@query("I01_score_text", f"WITH w AS (SELECT doc_id, {_TRIMMED} AS w FROM documents), c AS (SELECT doc_id, {_COUNT(_POS)} AS p, {_COUNT(_NEG)} AS n FROM w) SELECT doc_id, round(coalesce((p - n) / nullif(p + n, 0), 0), 6) AS score FROM c")
 def _score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r6(scalar.lexicon_score(C("text"), _POS, _NEG)).alias("score"))
 
 
-@query("I02_headline_score", f"WITH w AS (SELECT conv_id, turn, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM conversations), c AS (SELECT conv_id, turn, {_COUNT(_POS)} AS p, {_COUNT(_NEG)} AS n FROM w) SELECT conv_id, turn, round(greatest(least(coalesce((p - n) / nullif(p + n, 0), 0), 0.5), -0.5), 6) AS score FROM c")
+@query("I02_headline_score", f"WITH w AS (SELECT conv_id, turn, {_TRIMMED} AS w FROM conversations), c AS (SELECT conv_id, turn, {_COUNT(_POS)} AS p, {_COUNT(_NEG)} AS n FROM w) SELECT conv_id, turn, round(greatest(least(coalesce((p - n) / nullif(p + n, 0), 0), 0.5), -0.5), 6) AS score FROM c")
 def _headline(spark, sf_dir):
     s = scalar.lexicon_score(C("text"), _POS, _NEG)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", r6(F.greatest(F.least(s, F.lit(0.5)), F.lit(-0.5))).alias("score"))

@@ -225,3 +225,11 @@ def test_ranks_and_places_are_the_same_by_terms_and_by_arrays(spark, monkeypatch
         c = F.col("close")
         results.append(sorted(map(str, frame.select("symbol", "date", ts.ts_rank(c, 9).alias("r"), ts.ts_argmax(c, 9).alias("a"), ts.ts_argmin(c, 9).alias("b"), ts.ts_rank(c, 1).alias("o")).collect())))
     assert results[0] == results[1]
+
+
+def test_headlines_are_scored_by_trimmed_words(spark):
+    from quantweave.functions import scalar
+
+    texts = {"Profit beats; (growth)!": 1.0, "Lawsuit/probe, record": -1 / 3, "PROFITABLE beaten": 0.0, "": 0.0, None: 0.0, "'loss' wins": 0.0}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.s for r in frame.select("t", scalar.lexicon_score(F.col("t")).alias("s")).collect()} == {t: pytest.approx(v) for t, v in texts.items()}
