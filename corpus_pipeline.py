@@ -2,6 +2,10 @@
 
 Each stage takes the session, its predecessor's rows and the folder of the tables, and keeps the columns of
 documents; the last gives token ids. Between stages rows are written as Parquet in the shared folder.
+
+Defined cases, at every stage: an empty table gives no rows; a null text is kept by all but the first stage, which
+can't tell its language; null source, language and length are kept as they are; rows without an id are judged by their
+texts, as are rows that share one; of repeated rows one stays; texts are read whole; other columns are left behind.
 """
 
 from __future__ import annotations

@@ -869,3 +869,28 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
         docs = out
     assert docs.filter("not decodes").count() == 0 and docs.count() == docs.select("doc_id").distinct().count()
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+@needs_data
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    d = odd(spark).withColumns({c: F.lit("x") for c in ("key", "_blob", "found", "hit_words", "best_id")})
+    text = "the very same text of more than five words, twice under one id and once under none"
+    more = spark.createDataFrame([(7, text, "en", "s", 1), (7, text + " and a tail that makes it quite another text for any join of words", "en", "s", 1), (None, text, None, None, None), (8, "my password: hunter2hunter2hunter2 is here", "en", "s", 1)], SCHEMA)
+    for frame in (d.unionByName(more, allowMissingColumns=True), d.limit(0)):
+        docs, n = frame, frame.count()
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            assert len(rows) <= n and (n or not rows)
+            if i < 4:
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+                docs, n = spark.createDataFrame(rows, out.schema), len(rows)
+            if n and i == 1:
+                # neither text of id 7 is lost, and the copy without an id is gone
+                assert sum(r.doc_id == 7 for r in rows) == 2 and not any(r.doc_id is None and r.text == text for r in rows)
+            if n and i == 3:
+                assert any("[SECRET]" in r.text for r in rows)
+        if n:
+            assert all(r.decodes for r in rows)
