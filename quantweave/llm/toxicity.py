@@ -1,8 +1,8 @@
 """Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and the first three to six characters of longer words. A term has an axis of its own if toxic
-examples have it more often beyond doubt: the log of the ratio of its rates, less `sure` standard errors, is above
-0. There is no other cut, by number or by frequency. All words, of whatever term, are counted on one more axis, so
+examples have it more often beyond doubt: the likelihood ratio of that, as a number of standard deviations, is above
+`sure`. There is no other cut, by number or by frequency. All words, of whatever term, are counted on one more axis, so
 that one chance hit in a long text lies far from many hits in a short one. Document frequencies are counted over all
 documents. Examples with the same vector are one entry with counts of labels. Each term has an inverted list of
 entries, cut into blocks with the largest weight of each: blocks are visited by falling upper bound until none can
@@ -13,16 +13,16 @@ axis gets the rate of such examples.
 The labelled sample is bounded by `examples` rows, in the order of a hash of their id.
 
 Defined cases: null, empty and wordless texts have no terms; labels that are null or without a document teach
-nothing; of repeated labels the larger counts; of labelled rows that share an id the least text; with nothing
-learned every score is 0; of examples as near as the k-th all share the last places; an empty table gives no rows;
-of other columns none is read.
+nothing; of repeated labels the larger counts; of labelled rows that share an id the least text; without labels
+of both kinds every score is 0, and without any term with an axis it is the examples' rate; of examples as near as
+the k-th all share the last places; an empty table gives no rows; of other columns none is read.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -178,7 +178,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float = 2.5, k: int = 15) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float = 4.0, k: int = 15) -> ToxicityModel:
     """Learn from labelled rows that aren't held out: at most `examples` of them."""
     spark = docs.sparkSession
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -207,11 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float =
         return work
 
     seen = per_batch(texts, "term string, a long, d long", make_terms).groupBy("term").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
-    a, b = F.col("a") + 0.5, F.col("d") - F.col("a") + 0.5
-    evidence = F.log(a / b * ((n - positive + 1) / (positive + 1))) - sure * F.sqrt(1 / a + 1 / b)
+    a, b = F.col("a").cast("double"), (F.col("d") - F.col("a")).cast("double")
+    part = lambda x, all_: F.when(x > 0, x * F.log(x * n / all_)).otherwise(0.0)
+    g = 2 * sum(part(x, row * total) for x, row, total in ((a, a + b, positive), (b, a + b, n - positive), (positive - a, n - a - b, positive), (n - positive - b, n - a - b, n - positive)))
+    evidence = F.when(a * n > (a + b) * positive, g - sure**2)
     terms = {r["term"]: i for i, r in enumerate(seen.filter(evidence > 0).orderBy("term").select("term").collect())}  # no more than the sample has
     if not terms:
-        return nothing
+        return replace(nothing, empty_rate=positive / n)
 
     shared = spark.sparkContext.broadcast(terms)
 
@@ -236,13 +238,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float =
 
         def work(batch: pa.RecordBatch) -> dict:
             words = [words_of(x) for x in batch["text"].to_pylist()]
-            counts = [Counter(i for w in own for i in lookup[w]) for own in words]
-            out = {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [len(w) for w in words]}
+            counts = [counted(w, lookup) for w in words]
+            out = {"doc_id": batch["doc_id"], "toxic": batch["toxic"]}
             return out | {"terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
 
         return work
 
-    rows = per_batch(texts, "doc_id long, toxic int, words long, terms array<int>, counts array<int>", make_vectors).collect()
+    rows = per_batch(texts, "doc_id long, toxic int, terms array<int>, counts array<int>", make_vectors).collect()
     model = ToxicityModel(terms, idf, BlockMaxIndex(), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0]), k)
     entries: dict[tuple, list] = {}
     own, empty = [], [0, 0]
@@ -252,7 +254,6 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float =
             empty[0] += r["toxic"]
             empty[1] += 1
             continue
-        counts[LENGTH] = length_of(r["words"])
         key = tuple(sorted(counts.items()))
         e = entries.setdefault(key, [len(entries), 0, 0, r["doc_id"]])
         e[1] += r["toxic"]
@@ -278,7 +279,26 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 8000, sure: float =
 
 def lookup_of(terms: dict[str, int], limit: int = 300_000) -> Memo:
     """Word -> numbers of its kept terms."""
-    return Memo(lambda word: tuple(terms[t] for t in terms_of(word) if t in terms), limit)
+    # a term begins as its word does: most words are told by that
+    heads = {t.removesuffix("*")[:3] for t in terms}
+
+    def find(word: bytes) -> tuple[int, ...]:
+        if word[:12].decode("utf-8", "ignore")[:3] not in heads:
+            return ()
+        return tuple(terms[t] for t in terms_of(word) if t in terms)
+
+    return Memo(find, limit)
+
+
+def counted(words: list[bytes], lookup: Memo) -> dict[int, int]:
+    """How often each kept term comes up, and how many words there are if any does."""
+    out: dict[int, int] = {}
+    for word, n in Counter(words).items():
+        for i in lookup[word]:
+            out[i] = out.get(i, 0) + n
+    if out:
+        out[LENGTH] = length_of(len(words))
+    return out
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, memo: int = 50_000) -> DataFrame:
@@ -298,11 +318,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, memo: i
         def work(batch: pa.RecordBatch) -> dict:
             got = []
             for x in batch["text"].to_pylist():
-                words = words_of(x)
-                counts = Counter(i for w in words for i in lookup[w])
-                if counts:
-                    counts[LENGTH] = length_of(len(words))
-                got.append(seen[tuple(sorted(counts.items()))])
+                got.append(seen[tuple(sorted(counted(words_of(x), lookup).items()))])
             return {
                 "doc_id": batch["doc_id"],
                 "held_out": batch["held_out"],
