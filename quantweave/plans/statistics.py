@@ -530,10 +530,10 @@ def _f06(spark, sf_dir):
     return rounded(c.groupBy(C("a").alias("sector")).agg(F.avg(F.abs(C("e") - C("m"))).alias("score")))
 
 
-_SHUF = f"{_PAIRS}, a AS (SELECT date, sd, symbol, y, f, row_number() OVER (PARTITION BY sd, date ORDER BY symbol) AS i, row_number() OVER (PARTITION BY sd, date ORDER BY {draw_sql('sd', 'symbol')}, symbol) AS j FROM pairs, (SELECT unnest(range(1, 4)) AS sd)), sh AS (SELECT a.sd, a.date, a.symbol, a.y, b.f FROM a JOIN a b ON a.sd = b.sd AND a.date = b.date AND a.i = b.j)"
+_SHUF = f"{_PAIRS}, a AS (SELECT date, sd, symbol, y, f, row_number() OVER (PARTITION BY sd, date ORDER BY symbol) AS i, row_number() OVER (PARTITION BY sd, date ORDER BY {draw_sql('sd', 'symbol')}, symbol) AS j FROM pairs, (SELECT unnest(range(1, 6)) AS sd)), sh AS (SELECT a.sd, a.date, a.symbol, a.y, b.f FROM a JOIN a b ON a.sd = b.sd AND a.date = b.date AND a.i = b.j)"
 
 
-def shuffled(spark, sf_dir, seeds: int = 3) -> DataFrame:
+def shuffled(spark, sf_dir, seeds: int = 5) -> DataFrame:
     """seed, symbol, date, f (permuted inside its date), y."""
     p = factor_rows(panel(spark, sf_dir)).filter("f is not null and y is not null").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
     w = Window.partitionBy("seed", "date")
@@ -546,12 +546,12 @@ def _f09(spark, sf_dir):
     return shuffled(spark, sf_dir).select(C("seed").cast("long").alias("seed"), "symbol", "date", r6("f").alias("f"))
 
 
-_SIC = f"{_SHUF}, rk AS (SELECT sd, date, rank() OVER (PARTITION BY sd, date ORDER BY f) + (count(*) OVER (PARTITION BY sd, date, f) - 1) / 2.0 AS rf, rank() OVER (PARTITION BY sd, date ORDER BY y) + (count(*) OVER (PARTITION BY sd, date, y) - 1) / 2.0 AS ry FROM sh), ric AS (SELECT sd, date, corr(rf, ry) AS ic FROM rk GROUP BY ALL HAVING count(*) >= 5), rnd AS (SELECT date, avg(ic) AS ric FROM ric GROUP BY date HAVING count(*) = 3)"
+_SIC = f"{_SHUF}, rk AS (SELECT sd, date, rank() OVER (PARTITION BY sd, date ORDER BY f) + (count(*) OVER (PARTITION BY sd, date, f) - 1) / 2.0 AS rf, rank() OVER (PARTITION BY sd, date ORDER BY y) + (count(*) OVER (PARTITION BY sd, date, y) - 1) / 2.0 AS ry FROM sh), ric AS (SELECT sd, date, corr(rf, ry) AS ic FROM rk GROUP BY ALL HAVING count(*) >= 5), rnd AS (SELECT date, avg(ic) AS ric FROM ric GROUP BY date HAVING count(*) = 5)"
 
 
 def random_ic(spark, sf_dir) -> DataFrame:
     r = bench.ic_series(shuffled(spark, sf_dir), ["seed"])
-    return r.groupBy("date").agg(F.avg("ic").alias("ric"), F.count(F.lit(1)).alias("n")).filter("n = 3").select("date", "ric")
+    return r.groupBy("date").agg(F.avg("ic").alias("ric"), F.count(F.lit(1)).alias("n")).filter("n = 5").select("date", "ric")
 
 
 @query("F10_random_ic", f"WITH {PANEL}, {_SIC} SELECT date, round(ric, 6) AS ic FROM rnd")
