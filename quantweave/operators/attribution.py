@@ -105,8 +105,7 @@ def constrain(weights: DataFrame, cap: float | None = None, floor: float | None
     given to others. One date's book is one window.
     """
     book = Window.partitionBy("date")
-    keep = [*weights.columns] if group else ["symbol", "date", "weight"]
-    x = weights.select(*keep).withColumn("m", F.abs("weight"))
+    x = weights.select("symbol", "date", "weight", F.abs("weight").alias("m"), *([F.col(group).alias("_group")] if group else []))
     idle = x.filter("m <= 1e-9 or m is null")
     x = x.filter("m > 1e-9")
     if cap is not None:
@@ -123,6 +122,6 @@ def constrain(weights: DataFrame, cap: float | None = None, floor: float | None
         paid = F.when(low, F.lit(float(floor))).when(high, F.col("m") - (F.col("m") - floor) / F.col("spare") * F.col("need")).otherwise(F.col("m"))
         x = x.withColumn("m", F.when(F.col("need") == 0, F.col("m")).when(F.col("need") > F.col("spare"), F.col("even")).otherwise(paid))
     if group_cap is not None:
-        total = F.sum("m").over(Window.partitionBy("date", group))
-        x = x.withColumn("m", F.when(F.col(group).isNotNull() & (total > group_cap + 1e-12), F.col("m") * group_cap / total).otherwise(F.col("m")))
+        total = F.sum("m").over(Window.partitionBy("date", "_group"))
+        x = x.withColumn("m", F.when(F.col("_group").isNotNull() & (total > group_cap + 1e-12), F.col("m") * group_cap / total).otherwise(F.col("m")))
     return x.select("symbol", "date", (F.signum("weight") * F.col("m")).alias("weight")).unionByName(idle.select("symbol", "date", "weight"))

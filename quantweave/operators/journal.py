@@ -24,12 +24,13 @@ def apply_filter(rows: DataFrame, text: str, at: str = "ts") -> DataFrame:
     return rows.filter(F.upper(F.col(column).cast("string")) == value.strip().upper())
 
 
-def pair_fifo(trades: DataFrame, bucket: float | None = None) -> DataFrame:
+def pair_fifo(trades: DataFrame) -> DataFrame:
     """symbol, buy_seq, sell_seq, quantity, buy_ts, sell_ts, pnl (after fees, pro rata) of sales matched to the oldest lots.
 
     In running quantities a lot is an interval, and so is the part of a sale that finds stock: with B bought and S
-    sold so far, max(0, max(S - B)) could not be delivered. Matches are overlaps of intervals; both sides are
-    spread over quantity buckets, so that the join has equal keys and a long journal isn't compared with itself.
+    sold so far, max(0, max(S - B)) could not be delivered. Lots lie end to end and so do sales, hence a match begins
+    where a lot or a sale begins and ends where the next one does: in the order of starts it is one row with the
+    last lot and the last sale so far. Rows are as many as trades, whatever their sizes.
     """
     w = Window.partitionBy("symbol").orderBy("seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -37,13 +38,14 @@ def pair_fifo(trades: DataFrame, bucket: float | None = None) -> DataFrame:
     t = trades.withColumn("B", F.sum(buy).over(so_far)).withColumn("S", F.sum(sell).over(so_far))
     t = t.withColumn("U", F.greatest(F.max(F.col("S") - F.col("B")).over(so_far), F.lit(0.0))).withColumn("M", F.col("S") - F.col("U"))
     t = t.withColumn("M0", F.coalesce(F.lag("M").over(w), F.lit(0.0)))
-    lots = t.filter("side = 'buy'").select("symbol", F.col("seq").alias("buy_seq"), F.col("ts").alias("buy_ts"), F.col("price").alias("buy_price"), (F.col("fee") / F.col("quantity")).alias("buy_fee"), (F.col("B") - F.col("quantity")).alias("lo"), F.col("B").alias("hi"))
-    sales = t.filter("side = 'sell' and M > M0").select("symbol", F.col("seq").alias("sell_seq"), F.col("ts").alias("sell_ts"), F.col("price").alias("sell_price"), (F.col("fee") / F.col("quantity")).alias("sell_fee"), F.col("M0").alias("from"), F.col("M").alias("to"))
-    size = bucket or 100.0
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    hit = lots.withColumn("k", spread("lo", "hi")).join(sales.withColumn("k", spread("from", "to")), ["symbol", "k"])
-    start, stop = F.greatest("lo", "from"), F.least("hi", "to")
-    # an overlap is counted in the bucket where it starts
-    hit = hit.withColumn("quantity", stop - start).filter((F.col("quantity") > 1e-9) & (F.col("k") == F.floor(start / size)))
-    pnl = F.col("quantity") * (F.col("sell_price") - F.col("buy_price") - F.col("buy_fee") - F.col("sell_fee"))
-    return hit.select("symbol", "buy_seq", "sell_seq", "quantity", "buy_ts", "sell_ts", pnl.alias("pnl"))
+    is_lot = F.col("side") == "buy"
+    t = t.filter(F.when(is_lot, F.col("quantity") > 0).otherwise((F.col("side") == "sell") & (F.col("M") > F.col("M0"))))
+    t = t.withColumn("start", F.when(is_lot, F.col("B") - F.col("quantity")).otherwise(F.col("M0")))
+    own = F.struct("seq", "ts", "price", (F.col("fee") / F.col("quantity")).alias("fee"), F.when(is_lot, F.col("B")).otherwise(F.col("M")).alias("end"))
+    by_start = Window.partitionBy("symbol").orderBy("start", "seq")
+    last = lambda cond: F.last(F.when(cond, own), ignorenulls=True).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    t = t.select("symbol", "start", last(is_lot).alias("lot"), last(~is_lot).alias("sale"), F.lead("start").over(by_start).alias("next"))
+    quantity = F.least("next", "lot.end", "sale.end") - F.col("start")
+    t = t.filter("lot is not null and sale is not null").withColumn("quantity", quantity).filter(F.col("quantity") > 1e-9)
+    pnl = F.col("quantity") * (F.col("sale.price") - F.col("lot.price") - F.col("lot.fee") - F.col("sale.fee"))
+    return t.select("symbol", F.col("lot.seq").alias("buy_seq"), F.col("sale.seq").alias("sell_seq"), "quantity", F.col("lot.ts").alias("buy_ts"), F.col("sale.ts").alias("sell_ts"), pnl.alias("pnl"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +79,8 @@ def overfitting(returns: DataFrame, blocks: int) -> DataFrame:
     n = dates.count()
     placed = dates.withColumn("block", F.floor((F.row_number().over(one) - 1) * blocks / F.lit(n)).cast("int"))
     sums = returns.join(F.broadcast(placed), "date").groupBy("strategy", "block").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    if comb(blocks, blocks // 2) * blocks > 2_000_000:  # rows that are made here and sent to all
+        raise ValueError(f"too many halves of {blocks} blocks")
     combos = [(i, b, int(b in c)) for i, c in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
     c = returns.sparkSession.createDataFrame(combos, "combo int, block int, inside int")
     t = sums.join(F.broadcast(c), "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))

@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
-from . import panels, portfolio, reports, statistics, zoo  # noqa: E402,F401
+from . import panels, portfolio, reports, series, statistics, zoo  # noqa: E402,F401

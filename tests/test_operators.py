@@ -128,7 +128,16 @@ def test_fifo_against_a_loop(spark):
                 if lots[0][1] == 0:
                     lots.pop(0)
     t = spark.createDataFrame(data, "symbol long, seq long, ts timestamp, side string, quantity double, price double, amount double, fee double")
-    assert sorted((r.buy_seq, r.sell_seq, r.quantity) for r in pair_fifo(t, 25.0).collect()) == sorted(want)
+    assert sorted((r.buy_seq, r.sell_seq, r.quantity) for r in pair_fifo(t).collect()) == sorted(want)
+
+
+def test_large_trades_are_matched_without_buckets(spark):
+    data = [(s, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), ("buy", "sell")[i % 2], 1e8, 2.0, 2e8, 0.0) for s in (1, 2) for i in range(40)]
+    data += [(3, 0, dt.datetime(2024, 1, 1), "sell", 5.0, 1.0, 5.0, 0.0), (3, 1, dt.datetime(2024, 1, 2), "buy", 0.0, 1.0, 0.0, 0.0), (4, 0, None, None, None, None, None, None)]
+    t = spark.createDataFrame(data, "symbol long, seq long, ts timestamp, side string, quantity double, price double, amount double, fee double")
+    got = sorted((r.symbol, r.buy_seq, r.sell_seq, r.quantity) for r in pair_fifo(t).collect())
+    assert got == [(s, i, i + 1, 1e8) for s in (1, 2) for i in range(0, 40, 2)]
+    assert pair_fifo(t.limit(0)).count() == 0
 
 
 def test_hysteresis_equals_the_loop(spark):
