@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """A name like this one that none of `taken` is, whatever the case: Spark's column names are the same in any case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: written to the shared folder once and read from there."""
     shared_folder(df.sparkSession)

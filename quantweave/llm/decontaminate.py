@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, per_batch, stored, text_bytes, words_of
+from .common import WORD, fresh_name, per_batch, stored, text_bytes, words_of
 from .graph import look_up
 
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -220,7 +220,7 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float =
 
     def make_items():
         def work(batch: pa.RecordBatch) -> dict:
-            names, lengths, pairs = [], [], [np.zeros((0, 2), np.uint64)]
+            names, lengths, told, pairs = [], [], [], [np.zeros((0, 2), np.uint64)]
             for item, t in zip(batch["item"].to_pylist(), batch["text"].to_pylist()):
                 words = words_of(t)
                 if words:
@@ -228,22 +228,24 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float =
                     pairs.append(_pair(word_hashes(words), k))
                     names += [item] * len(pairs[-1])
                     lengths += [k] * len(pairs[-1])
+                    told += [b" ".join(words[i : i + k]) for i in range(len(pairs[-1]))]
             both = np.concatenate(pairs).view(np.int64)
-            return {"item": names, "k": lengths, "a": both[:, 0], "b": both[:, 1]}
+            return {"item": names, "k": lengths, "a": both[:, 0], "b": both[:, 1], "window": told}
 
         return work
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
-    items = stored(per_batch(items, "item string, k int, a long, b long", make_items).distinct())
+    items = stored(per_batch(items, "item string, k int, a long, b long, window binary", make_items).distinct())
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # n of them at most
     shared = spark.sparkContext.broadcast((lengths, bloom_filter(items)))
 
     def make_places():
         def work(batch: pa.RecordBatch) -> dict:
             lengths, bits = shared.value
-            keys, counts, places, sizes, pairs = [], [], [], [], [np.zeros((0, 2), np.uint64)]
+            keys, counts, places, sizes, told = [], [], [], [], []
             for key, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-                ids = word_hashes(words_of(t))
+                words = words_of(t)
+                ids = word_hashes(words)
                 for k in lengths:
                     h = _pair(ids, k)
                     bit = _bloom_places(h)
@@ -252,20 +254,20 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float =
                     counts += [len(ids)] * len(near)
                     places += list(near)
                     sizes += [k] * len(near)
-                    pairs.append(h[near] if len(near) else pairs[0])
-            both = np.concatenate(pairs).view(np.int64)
-            return {"key": keys, "n_words": counts, "at": places, "k": sizes, "a": both[:, 0], "b": both[:, 1]}
+                    told += [b" ".join(words[i : i + k]) for i in near]
+            return {"key": keys, "n_words": counts, "at": places, "k": sizes, "window": told}
 
         return work
 
     texts = docs.select(text_key().alias("key"), text_bytes().alias("text")).filter("key is not null").groupBy("key").agg(F.first("text").alias("text"))
-    places = stored(per_batch(texts, "key binary, n_words long, at int, k int, a long, b long", make_places))
+    places = stored(per_batch(texts, "key binary, n_words long, at int, k int, window binary", make_places))
     # a place once, whatever the number of items that have its window
-    known = items.select("k", "a", "b").distinct()
-    found = stored(places.join(known, ["k", "a", "b"]))
+    # words decide, hashes only chose the places; a common window's places are split by the adaptive join
+    known = items.select("k", "window").distinct()
+    found = stored(places.join(known, ["k", "window"]))
     words = found.select("key", "n_words", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("at")).distinct()
     words = words.groupBy("key", "n_words").agg(F.sort_array(F.collect_list("at")).alias("hit_words"))  # the places of one text
-    names = found.select("key", "k", "a", "b").distinct().join(items.filter("item is not null"), ["k", "a", "b"]).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    names = found.select("key", "k", "window").distinct().join(items.filter("item is not null"), ["k", "window"]).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = words.join(names, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.size("hit_words").cast("long")
     return stored(out.select("key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hit_words", ((n_hit > 0) & (n_hit >= share * F.col("n_words") - 1e-9)).alias("contaminated")))
@@ -303,13 +305,9 @@ def _filter(docs: DataFrame, benchmark: DataFrame, n: int, share: float, max_byt
         shared = docs.sparkSession.sparkContext.broadcast(windows(benchmark, n, max_bytes))
     except TooLarge:
         # what was found in a row's text is joined to it
-        key, hit = "key", "hit_words"
-        while key in names:
-            key = f"_{key}"
-        while hit in names:
-            hit = f"_{hit}"
-        bad = text_hits(docs, benchmark, n, share).filter("contaminated").select(F.col("key").alias(key), F.col("hit_words").alias(hit))
-        rows = docs.withColumn(key, text_key()).join(bad, key, "left").select(*[F.col(f"`{c}`") for c in names], F.col(hit))
+        key, hit = fresh_name("key", names), fresh_name("hit_words", names)
+        bad = stored(text_hits(docs, benchmark, n, share).filter("contaminated").select(F.col("key").alias(key), F.col("hit_words").alias(hit)))
+        rows = look_up(docs.withColumn(key, text_key()), bad, key, "left").select(*[F.col(f"`{c}`") for c in names], F.col(hit))
 
         def run_joined(batches):
             for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored, text_bytes, words_of
+from .common import fresh_name, per_batch, stored, text_bytes, words_of
 from .graph import components, look_up
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -293,16 +293,10 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     prints, sets = _classes(docs, n, threshold, recall, block)
     kept = sets.select("best.doc_id", "best.key").distinct().unionByName(prints.filter("set_id is null").select("doc_id", "key").distinct())
     names, types = docs.columns, dict(docs.dtypes)
-    id_, key, place, best_id, best_key = (_fresh(name, names) for name in ("id", "key", "place", "best_id", "best_key"))
+    id_, key, place, best_id, best_key = (fresh_name(name, names) for name in ("id", "key", "place", "best_id", "best_key"))
     order = [F.col(f"`{c}`") for c in names if not types[c].startswith(("map", "variant"))]
     rows = docs.withColumns({id_: F.col("doc_id").cast("long"), key: text_key()})
     rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(id_, key).orderBy(*order))).filter(F.col(place) == 1)
     kept = kept.select(F.col("doc_id").alias(best_id), F.col("key").alias(best_key))
     # null ids and null texts are values here
     return rows.join(kept, F.col(id_).eqNullSafe(F.col(best_id)) & F.col(key).eqNullSafe(F.col(best_key)), "left_semi").select(*[F.col(f"`{c}`") for c in names])
-
-
-def _fresh(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name = f"_{name}"
-    return name

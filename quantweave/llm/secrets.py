@@ -18,12 +18,13 @@ import hashlib
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, per_batch, stored
+from .common import fresh_name, new_path, per_batch, stored
 
 #: Kinds in the order in which spans with the same start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "forge_token", "key_block")
@@ -146,13 +147,6 @@ def scan(docs: DataFrame, ledger: str, rules: dict[str, Iterable[str]] = RULES,
     return spark.read.parquet(ledger)
 
 
-def fresh_name(name: str, taken: Iterable[str]) -> str:
-    taken = {t.lower() for t in taken}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def _hits(ledger: DataFrame, rules: Iterable[str], blob: str, found: str) -> DataFrame:
     """All spans of each blob that has any, under the given names; a (blob, version) that was appended twice counts once."""
     # blobs without findings need no row: a row that finds no partner has none
@@ -198,7 +192,26 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
+def cover(text: str, spans: str, mask: str) -> str:
+    """The text with every span (kind:start:end, comma-joined) replaced by the mask, spans that overlap by one; linear in both."""
+    bounds = sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(","))
+    out, at = [], 0
+    for a, b in bounds:
+        if a >= at:
+            out += [text[at:a], mask]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def _masked(mask: str):
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or f is None else cover(t, f, mask) for t, f in zip(texts, found)], dtype=object)
+
+    return masked
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, most_bytes: int = 64_000_000) -> DataFrame:
     """docs with every span of its text replaced by the mask (overlapping spans by one), and n_chars to match.
 
     A private key is masked whole, with its body and closing line.
@@ -209,18 +222,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None) -
     seen = scan(docs, ledger or new_path(spark, "secret-ledger"), REDACTED)
     names = docs.columns
     blob, found = fresh_name("blob", names), fresh_name("found", names)
-    joined_docs = docs.withColumn(blob, blob_id("text")).join(_hits(seen, REDACTED, blob, found), blob, "left")
-    # merge the spans into disjoint ones, then rebuild the text from the pieces between them
-    bounds = F.transform(F.split(found, ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
-    state = F.aggregate(
-        F.array_sort(bounds),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["a"] >= acc["at"], F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["a"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["b"]).alias("at"),
-        ),
-    )
-    done = F.concat(state["out"], F.col("text").substr(state["at"] + 1, F.length("text")))
+    hits = stored(_hits(seen, REDACTED, blob, found))
+    # where the findings are few, no text is moved; else a hot text's rows are split by the adaptive join
+    size = hits.agg(F.sum(F.length(found) + 100)).first()[0] or 0
+    joined_docs = docs.withColumn(blob, blob_id("text")).join(F.broadcast(hits) if size <= most_bytes else hits, blob, "left")
+    # only texts with a finding go to Python
+    done = _masked(mask)(F.when(F.col(found).isNotNull(), F.col("text").cast("string")), F.col(found))
     clean = F.when(F.col(found).isNull(), F.col("text")).otherwise(done)
     out = joined_docs.withColumn("text", clean)
     if "n_chars" in names:

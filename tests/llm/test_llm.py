@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quantweave.llm import annsearch, bpe, cotraining, decontaminate, extraction, language, nearjoin, secrets, toxicity, unigram
-from quantweave.llm.common import held_out, words_of
+from quantweave.llm.common import held_out, stored, words_of
 from quantweave.llm.graph import components, look_up
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -140,7 +140,7 @@ def test_co_training_beats_each_view(spark):
     docs = spark.createDataFrame([(i, texts[i], "en", source[i], 40) for i in range(3000)], SCHEMA)
     few = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
     labels = spark.createDataFrame([(i, int(y[i]), 0) for i in few], "doc_id long, quality int, toxic int")
-    rows = cotraining.features(docs).cache()
+    rows = stored(cotraining.features(docs))
     model = cotraining.fit(rows, labels, sure=0.7, share=0.3)
     assert len(model.rounds) == 3 and all(a > 50 and b > 50 for _, a, b in model.rounds)
     got = {r.doc_id: r for r in cotraining.score(rows, model).collect()}
@@ -159,7 +159,7 @@ def test_co_training_beats_each_view(spark):
 def test_co_training_sums_are_those_of_the_rows(spark):
     rng = np.random.default_rng(1)
     y, texts, source = noisy_views(rng, 200)
-    rows = cotraining.features(spark.createDataFrame([(i, texts[i], "en", source[i], 40) for i in range(200)], SCHEMA)).repartition(3).cache()
+    rows = cotraining.features(spark.createDataFrame([(i, texts[i], "en", source[i], 40) for i in range(200)], SCHEMA)).repartition(3)
     x = cotraining.views(rows.toPandas())
     models = [rng.normal(size=v.shape[1] + 1) for v in x]
     for v, w in zip(x, models):
@@ -566,8 +566,8 @@ def test_components_of_paths_stars_and_chance(spark, n, extra):
 
 
 def test_look_up_keeps_hot_and_missing_keys(spark):
-    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1), (None, 2), (9, 3)], "k int, x int").cache()
-    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").cache()
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1), (None, 2), (9, 3)], "k int, x int")
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert look_up(rows, table, "k").count() == 501
     left = look_up(rows, table, "k", "left")
     assert left.count() == 503 and left.filter("v is null").count() == 2 and left.filter("v = 'a'").count() == 500
@@ -813,6 +813,36 @@ def test_hits_are_of_rows_not_of_ids(spark):
         assert decontaminate.drop_documents(wide.limit(0), bench, max_bytes=bound).count() == 0
 
 
+@pytest.mark.parametrize("bound", [64_000_000, 10])
+def test_decontamination_leaves_columns_with_helpers_names_alone(spark, bound):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [f"before {item} after", "clean words", None, f"before {item} after", f"before {item} after"]
+    d = docs_of(spark, texts).withColumns({"KEY": F.lit(7).cast("long"), "HIT_WORDS": F.lit("h"), "Key_": F.lit(1), "_N": F.lit(2)})
+    for out in (decontaminate.drop_documents(d, bench, max_bytes=bound), decontaminate.remove_spans(d, bench, max_bytes=bound)):
+        assert out.columns == d.columns and {(r.KEY, r.HIT_WORDS, r.Key_, r._N) for r in out.collect()} == {(7, "h", 1, 2)}
+    assert sorted(r.doc_id for r in decontaminate.drop_documents(d, bench, max_bytes=bound).collect()) == [1, 2]
+
+
+def test_keep_one_and_redact_leave_columns_with_helpers_names_alone(spark):
+    d = docs_of(spark, ["secret=0123456789abcdef0123 and words", "one two three four five six", "one two three four five six", None])
+    d = d.withColumns({"ID": F.lit("A"), "KEY": F.lit(7).cast("long"), "PLACE": F.lit(1), "BEST_ID": F.lit(2), "Blob": F.lit("b"), "FOUND": F.lit("f")})
+    for out in (nearjoin.keep_one(d), secrets.redact(d)):
+        assert out.columns == d.columns
+        assert {(r.ID, r.KEY, r.PLACE, r.BEST_ID, r.Blob, r.FOUND) for r in out.collect()} == {("A", 7, 1, 2, "b", "f")}
+
+
+def test_redaction_is_linear_in_text_and_spans():
+    import time
+
+    text = ("é password = 'abcdefghijklmnop' " * 400_000)[:10_000_000]
+    spans = ",".join(f"assign:{i}:{i + 20}" for i in range(0, 8_000_000, 20))
+    began = time.time()
+    out = secrets.cover(text, spans, "[S]")
+    assert time.time() - began < 20 and len(out) == 400_000 * 3 + 2_000_000
+    assert secrets.cover("0123456789", "a:1:3,b:2:5,c:5:6,a:8:10", "#") == "0##67#"
+
+
 @pytest.mark.parametrize("bound", [64_000_000, 10])
 def test_spans_are_cut_out(spark, bound):
     item = " ".join(f"k{i}" for i in range(13))
