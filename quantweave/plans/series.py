@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..data import PANEL, panel
 from ..operators import leastsq
-from .portfolio import rounded
-from .registry import query, table
+from .portfolio import _RET, returns, rounded
+from .registry import query, r6, table
 from .statistics import _PAIR, pair_panel
 
 C = F.col
@@ -150,3 +150,78 @@ def _least_squares(spark, sf_dir):
     p = p.select("symbol", "close", F.log("volume").alias("size"), (C("high") / C("low") - 1).alias("spread"))
     fit = leastsq.least_squares(p, ["symbol"], "close", ["size", "spread"]).filter("coef is not null")
     return fit.select("symbol", "n", F.round(C("coef")[2], 4).alias("spread"), F.round(C("se")[1], 4).alias("se"), F.round("r2", 6).alias("r2"))
+
+
+# ---- regimes, and books by optimisation
+
+
+@query("N08_markov_regimes")
+def _markov(spark, sf_dir):
+    """Two regimes of each symbol's monthly returns."""
+    from ..operators.regimes import markov
+
+    r = returns(spark, sf_dir).filter("r is not null").select("symbol", "date", "r")
+    fit = markov(r, ["symbol"], "date", "r", tol=1e-7)
+    return fit.select("symbol", "n", "converged", r6("llf").alias("llf"), *[r6(C(c)[i]).alias(f"{c}_{i}") for c in ("means", "vols") for i in (0, 1)], r6(C("transition")[0]).alias("stays_calm"), "current")
+
+
+def sector_books(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Returns, and positions of one a symbol and date; a sector's symbols are a book."""
+    r = returns(spark, sf_dir).select("symbol", "date", "r")
+    s = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("symbol"), C("s_nationkey").alias("sector"))
+    return r, r.select("symbol", "date").join(s, "symbol").withColumn("weight", F.when(C("symbol") % 2 == 0, 1.0).otherwise(-1.0))
+
+
+def _optimised(spark, sf_dir, method: str) -> DataFrame:
+    from ..operators.optimizers import optimise
+
+    r, p = sector_books(spark, sf_dir)
+    return rounded(optimise(r, p, method, 24, ["sector"]))
+
+
+@query("N09_risk_parity")
+def _risk_parity(spark, sf_dir):
+    return _optimised(spark, sf_dir, "risk_parity")
+
+
+@query("N10_max_diversification")
+def _diversification(spark, sf_dir):
+    return _optimised(spark, sf_dir, "diversification")
+
+
+@query("N11_max_sharpe")
+def _sharpe(spark, sf_dir):
+    return _optimised(spark, sf_dir, "sharpe")
+
+
+#: Books of two neighbours have answers in closed form: both parities weigh by inverse volatility, and the Sharpe ratio by
+#: the inverse covariance, or all on one symbol where the other would be short.
+_TWO = f"""{PANEL}, {_RET}, pr AS (SELECT x.symbol // 2 AS book, x.date, x.r AS a, y.r AS b, x.symbol AS sa, y.symbol AS sb FROM rets x JOIN rets y ON y.symbol = x.symbol + 1 AND x.date = y.date WHERE x.symbol % 2 = 0),
+  cv AS (SELECT *, count(*) OVER w AS k, count(a) OVER w AS na, count(b) OVER w AS nb, regr_count(a, b) OVER w AS nab, avg(a) OVER w AS ma, avg(b) OVER w AS mb, var_samp(a) OVER w AS va, var_samp(b) OVER w AS vb, covar_samp(a, b) OVER w AS c
+    FROM pr WINDOW w AS (PARTITION BY book ORDER BY date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+  rd AS (SELECT *, (va + vb) / 2 * 1e-8 AS e FROM cv), sv AS (SELECT *, (ma * (vb + e) - mb * c) AS ya, (mb * (va + e) - ma * c) AS yb FROM rd),
+  wt AS (SELECT book, date, sa, sb, CASE WHEN k < 24 OR nab < 2 THEN NULL ELSE sqrt(vb + e) / (sqrt(va + e) + sqrt(vb + e)) END AS pa,
+    CASE WHEN k < 24 OR nab < 2 THEN NULL WHEN greatest(ma, mb) <= 0 THEN 0.5 WHEN ya > 0 AND yb > 0 THEN ya / (ya + yb) WHEN ma / sqrt(va) > mb / sqrt(vb) THEN 1 ELSE 0 END AS ha FROM sv)"""
+
+
+def _two(which: str) -> str:
+    return f"WITH {_TWO} SELECT sa AS symbol, date, book, round(coalesce({which}, 1), 5) AS weight FROM wt UNION ALL SELECT sb, date, book, round(coalesce(1 - {which}, 1), 5) FROM wt"
+
+
+def _pair_books(spark, sf_dir, method: str) -> DataFrame:
+    from ..operators.optimizers import optimise
+
+    r = returns(spark, sf_dir).select("symbol", "date", "r")
+    both = r.select((F.floor(C("symbol") / 2)).alias("book"), "symbol").distinct().groupBy("book").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    p = r.select("symbol", "date", F.floor(C("symbol") / 2).alias("book"), F.lit(1.0).alias("weight")).join(both.select("book"), "book")
+    return optimise(r, p, method, 24, ["book"]).select("symbol", "date", "book", F.round("weight", 5).alias("weight"))
+
+
+@query("N12_risk_parity_pairs", _two("pa"))
+def _parity_pairs(spark, sf_dir):
+    return _pair_books(spark, sf_dir, "risk_parity")
+
+
+@query("N13_max_sharpe_pairs", _two("ha"))
+def _sharpe_pairs(spark, sf_dir):
+    return _pair_books(spark, sf_dir, "sharpe")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantweave.functions import tails
-from quantweave.operators import leastsq
+from quantweave.operators import leastsq, optimizers, regimes
 
 DAY = dt.date(2024, 1, 1)
 
@@ -193,3 +193,133 @@ def test_tests_of_the_variance_of_errors(spark):
         assert got[g].breusch_pagan == pytest.approx(150 * r2(np.c_[one, x]), rel=1e-5) and got[g].white == pytest.approx(150 * r2(second), rel=1e-5)
         assert (got[g].white_p < 0.01) == bool(g % 2)
     assert 9 not in got
+
+
+# ---- regimes
+
+
+def plain_markov(x, k, rounds):
+    """Expectation-maximisation by loops over values and regimes, from the same starting values."""
+    mean, var, p, start, floor = regimes.first_guess(np.array(x), k)
+    mean, var, p, start = mean.tolist(), var.tolist(), p.tolist(), start.tolist()
+    trace, ks = [], range(k)
+    for r in range(rounds):
+        e = [[math.exp(-((v - mean[i]) ** 2) / 2 / var[i]) / math.sqrt(2 * math.pi * var[i]) for i in ks] for v in x]
+        f, c = [], []
+        for t in range(len(x)):
+            a = [(start[i] if t == 0 else sum(f[-1][j] * p[j][i] for j in ks)) * e[t][i] for i in ks]
+            c.append(sum(a))
+            f.append([v / c[-1] for v in a])
+        b = [[1.0] * k]
+        for t in range(len(x) - 1, 0, -1):
+            b.insert(0, [sum(p[i][j] * e[t][j] * b[0][j] for j in ks) / c[t] for i in ks])
+        trace.append(sum(map(math.log, c)))
+        if r == rounds - 1:
+            break
+        g = [[f[t][i] * b[t][i] for i in ks] for t in range(len(x))]
+        moves = [[sum(f[t][i] * p[i][j] * e[t + 1][j] * b[t + 1][j] / c[t + 1] for t in range(len(x) - 1)) for j in ks] for i in ks]
+        held = [sum(row[i] for row in g) for i in ks]
+        mean = [sum(row[i] * v for row, v in zip(g, x)) / held[i] for i in ks]
+        var = [max(sum(row[i] * (v - mean[i]) ** 2 for row, v in zip(g, x)) / held[i], floor) for i in ks]
+        p, start = [[m / sum(row) for m in row] for row in moves], g[0]
+    return trace, mean, var, p
+
+
+def switching(rng, n):
+    state, out = 0, []
+    for _ in range(n):
+        state = 1 - state if rng.random() < 0.04 else state
+        out.append(float(rng.normal(-0.02 if state else 0.01, 0.06 if state else 0.01)))
+    return out
+
+
+def test_regimes_equal_the_loop_and_likelihood_never_falls():
+    rng = np.random.default_rng(7)
+    lists = [switching(rng, int(rng.integers(60, 140))) for _ in range(20)]
+    for k, common in ((2, False), (3, False), (2, True)):
+        trace = []
+        got = regimes.settle([np.array(x) for x in lists], k, common, 12, -1.0, trace)
+        steps = np.array(trace)
+        assert (np.diff(steps, axis=0) > -1e-7).all()
+        if common:
+            continue
+        for i, x in enumerate(lists):
+            want, mean, var, p = plain_markov(x, k, 12)
+            assert steps[:, i] == pytest.approx(want, rel=1e-8)
+            assert regimes.settle([np.array(x)], k, common, 12, -1.0)[0][4] == pytest.approx(got[i][4], rel=1e-9)
+
+
+def test_regimes_of_pieces_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(8)
+    series = {s: switching(rng, 60 + 17 * s) for s in range(3)} | {20: [0.1] * 80, 21: switching(rng, 30), 22: [None, *switching(rng, 70), None]}
+    rows = frame(spark, series)
+    one = {r.symbol: r for r in regimes.markov(rows, ["symbol"], "date", "x", rounds=6).collect()}
+    cut = {r.symbol: r for r in regimes.markov(rows, ["symbol"], "date", "x", piece=40, rounds=6).collect()}
+    assert set(one) == set(cut) == set(series) and one[20].means is None and one[21].means is None and one[22].n == 70 and cut[20].means is None and cut[21].means is None
+    for s in [*range(3), 22]:
+        a, b = one[s], cut[s]
+        assert b.llf == pytest.approx(a.llf, rel=1e-3) and b.vols == pytest.approx(a.vols, rel=0.02) and (a.n, a.current) == (b.n, b.current)
+        assert a.vols[0] < a.vols[1] and a.transition[0] + a.transition[1] == pytest.approx(1) and a.durations[0] == pytest.approx(1 / (1 - a.transition[0]))
+    assert regimes.markov(rows.limit(0), ["symbol"], "date", "x").count() == 0
+
+
+# ---- books
+
+
+def plain_window(x, weights, lookback):
+    """For each date the active symbols and the returns of the dates before."""
+    for t in range(x.shape[1]):
+        yield t, [i for i in range(len(x)) if abs(weights[i][t] or 0) > 1e-9], x[:, max(0, t - lookback) : t]
+
+
+@pytest.mark.parametrize("method", optimizers.METHODS)
+def test_books_satisfy_the_conditions_of_the_best(spark, method):
+    rng = np.random.default_rng(9)
+    n, dates, lookback = 9, 40, 20
+    x = rng.normal(0.002, 0.01, size=(n, dates)) + 0.01 * rng.normal(size=dates)
+    x[8] = 0.004
+    x[0, :30:3] = np.nan
+    weights = [[float((-1) ** i) * (0.0 if i == 3 and t % 2 or i == 8 and t < 35 else 1 + i) for t in range(dates)] for i in range(n)]
+    weights[5][39] = None
+    days = [DAY + dt.timedelta(days=t) for t in range(dates)]
+    r = spark.createDataFrame([(i, d, None if np.isnan(v) else float(v)) for i in range(n) for d, v in zip(days, x[i])], "symbol long, date date, r double")
+    p = spark.createDataFrame([(i, d, w) for i in range(n) for d, w in zip(days, weights[i])], "symbol long, date date, weight double").withColumn("date2", F.lit(1))
+    got = {((q.date - DAY).days, q.symbol): q.weight for q in optimizers.optimise(r, p.drop("date2"), method, lookback).collect()}
+    assert len(got) == n * dates
+    for t, active, window in plain_window(x, weights, lookback):
+        w = np.array([got[t, i] for i in active])
+        if t < lookback:
+            assert w.tolist() == [weights[i][t] for i in active]
+            continue
+        assert np.abs(w).sum() == pytest.approx(1) and all(np.sign(v) in (0, (-1) ** i) for i, v in zip(active, w))
+        y = np.abs(w)
+        cov = np.array([[np.cov(*window[[i, j]][:, ~np.isnan(window[[i, j]]).any(axis=0)])[0, 1] for j in active] for i in active])
+        if 8 in active:
+            assert y == pytest.approx(np.full(len(y), 1 / len(y)))
+            continue
+        cov += 1e-8 * np.diag(cov).mean() * np.eye(len(y))
+        risk = cov @ y
+        if method == "risk_parity":
+            assert y * risk / (y @ risk) == pytest.approx(np.full(len(y), 1 / len(y)), abs=1e-6)
+            continue
+        aim = np.sqrt(np.diag(cov)) if method == "diversification" else np.array([np.nanmean(window[i]) for i in active])
+        if aim.max() <= 0:
+            assert y == pytest.approx(np.full(len(y), 1 / len(y)))
+            continue
+        size = (y @ aim) / (y @ risk)  # of the problem without a sum
+        slack = (size * risk - aim) / np.abs(aim).max()
+        assert (slack > -1e-5).all() and np.abs(slack[y > 1e-9]).max() < 1e-5
+    assert optimizers.optimise(r, p.limit(0).drop("date2"), method, lookback).count() == 0
+    # a later return changes nothing before it
+    later = r.withColumn("r", F.when(F.col("date") >= F.lit(days[35]), F.col("r") * -3 + 0.1).otherwise(F.col("r")))
+    again = {((q.date - DAY).days, q.symbol): q.weight for q in optimizers.optimise(later, p.drop("date2"), method, lookback).collect()}
+    assert all(again[k] == pytest.approx(v) if v is not None else again[k] is None for k, v in got.items() if k[0] <= 35)
+
+
+def test_books_that_are_too_large_are_refused(spark):
+    r = spark.createDataFrame([(i, DAY + dt.timedelta(days=t), 0.01 * ((i * t) % 7)) for i in range(6) for t in range(8)], "symbol long, date date, r double")
+    p = r.select("symbol", "date", F.lit(1.0).alias("weight"))
+    with pytest.raises(Exception, match="more than 5 symbols"):
+        optimizers.optimise(r, p, "risk_parity", 6, most=5).collect()
+    with pytest.raises(ValueError):
+        optimizers.optimise(r, p, "other")
