@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..data import BARS, CASHFLOWS, PANEL, bars, cashflows, panel
-from ..operators import attribution, bench, metrics, pairs, signals, stats, ts, xs
+from ..operators import attribution, bench, metrics, pairs, signals, stats, textindex, ts, xs
+from ..scratch import new_path
 from .panels import _FACTOR, _IC, _PAIRS, agg, factor_rows, guard, lag, over
 from .portfolio import _EQ, _PORT, _RET, _SECTOR, _TRADES, _W, aligned_weights, equity, holdings_weights, portfolio_returns, returns, round_trips, rounded, sector_returns
 from .registry import query, r6, table
@@ -497,7 +498,9 @@ _BM = lambda keys, t: f"WITH {_WORDS.format(keys=keys, table=t)}, tf AS (SELECT
 
 @query("J44_search_sessions", f"{_BM('conv_id, turn', 'conversations')}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, turn) AS k FROM sc WHERE score > 0) SELECT conv_id, turn, round(score, 6) AS score FROM k WHERE k = 1")
 def _j44(spark, sf_dir):
-    s = stats.bm25(table(spark, sf_dir, "conversations"), _TERMS, ["conv_id", "turn"]).filter("score > 0")
+    path = new_path(spark, "index")
+    textindex.add(table(spark, sf_dir, "conversations"), path, ["conv_id", "turn"], "all")
+    s = textindex.scores(spark, path, _TERMS)
     k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.round("score", 9).desc(), "turn"))
     return s.withColumn("k", k).filter("k = 1").select("conv_id", "turn", r6("score").alias("score"))
 
@@ -507,6 +510,14 @@ def _j45(spark, sf_dir):
     return rounded(stats.bm25(table(spark, sf_dir, "documents"), _TERMS, ["doc_id"]))
 
 
+@query("N14_top_documents", f"{_BM('doc_id', 'documents')} SELECT doc_id, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
+def _n14(spark, sf_dir):
+    """The twenty best documents of an index, for a query of three words."""
+    path = new_path(spark, "index")
+    textindex.add(table(spark, sf_dir, "documents"), path, ["doc_id"], "all")
+    return rounded(textindex.search(spark, path, _TERMS, 20))
+
+
 @query("J46_idf", f"WITH {_WORDS.format(keys='doc_id', table='documents')}, t AS (SELECT unnest(list_distinct(w)) AS term FROM wd), n AS (SELECT count(*) AS N FROM documents) SELECT term, round(ln((N - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term, N")
 def _j46(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -775,7 +786,8 @@ def _l03(spark, sf_dir):
 
 @query("L04_stream_regime", "SELECT user_id, coalesce(arg_max(CASE WHEN value >= 300 THEN 1 ELSE 0 END, (ts, event_id)) FILTER (value >= 300 OR value <= 20), 0) AS state, count(*) AS n FROM events GROUP BY user_id")
 def _l04(spark, sf_dir):
-    return streams.run_to_end(streams.regime(streams.events(spark, sf_dir), 300.0, 20.0), "update", ["user_id"])
+    with streams.keyed_store(spark):
+        return streams.run_to_end(streams.regime_machine(streams.events(spark, sf_dir), 300.0, 20.0), "update", ["user_id"]).select("user_id", "state", "n")
 
 
 @query("L05_stream_late", "SELECT event_type, ts > TIMESTAMP '2024-01-20' AS late, count(*) AS n FROM events GROUP BY ALL")

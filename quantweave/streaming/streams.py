@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..scratch import new_path
 
@@ -50,6 +54,83 @@ def regime(rows: DataFrame, enter: float, exit_: float) -> DataFrame:
     return rows.groupBy("user_id").agg(F.coalesce(F.max_by(decisive, at), F.lit(0)).alias("state"), F.count(F.lit(1)).alias("n"))
 
 
+class RegimeMachine(StatefulProcessor):
+    """One key's state: off or on, since when, the event that decided it, and how many events there were.
+
+    A value at `enter` or above turns it on, one at `exit_` or below turns it off, others leave it. Events of a batch are
+    taken in order of time; one that is older than the deciding event counts, but changes nothing. After `idle` seconds without an
+    event a key begins anew; a timer takes it out of the store then, with a last row that says so.
+    """
+
+    def __init__(self, enter: float, exit_: float, idle: float) -> None:
+        self.enter, self.exit, self.idle = enter, exit_, int(idle * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "state int, since_us long, at_us long, event_id long, n long, last_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.held.get() if self.held.exists() else None
+        state, since, at, event, n, last = held or (0, None, None, None, 0, None)
+        for part in rows:
+            part = part.dropna(subset=["ts"])
+            us = part["ts"].astype("datetime64[us]").astype("int64")
+            for t, e, v in sorted(zip(us.tolist(), part["event_id"].tolist(), part["value"].tolist())):
+                if last is not None and t - last > 1000 * self.idle:  # idle before this event, whether a timer has said so or not
+                    state, since, at, event, n = 0, None, None, None, 0
+                n, last = n + 1, max(t, last) if last is not None else t
+                new = 1 if v >= self.enter else 0 if v <= self.exit else None
+                if new is not None and (at is None or (t, e) > (at, event)):
+                    since = t if new != state or since is None else since
+                    state, at, event = new, t, e
+        if last is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last // 1000 + self.idle)
+            self.held.update((state, since, at, event, n, last))
+            yield self._row(key, state, since, n, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.held.exists():
+            state, since, _, _, n, _ = self.held.get()
+            self.held.clear()
+            yield self._row(key, state, since, n, True)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key, state, since, n, lapsed) -> pd.DataFrame:
+        at = pd.Series([pd.NaT if since is None else pd.Timestamp(since, unit="us")], dtype="datetime64[us]")
+        return pd.DataFrame({"user_id": [key[0]], "state": [state], "since": at, "n": [n], "lapsed": [lapsed]})
+
+
+def regime_machine(rows: DataFrame, enter: float, exit_: float, watermark: str = "40 days", idle: float = 90 * 86_400) -> DataFrame:
+    """user_id, state, since, n, lapsed: each key's state after a batch in which it had events, or when it lapses (see RegimeMachine).
+
+    The store holds one small row a key that is not idle. Rows that come later than the watermark are dropped. The state is
+    kept by RocksDB: run it by run_to_end(), or set that provider.
+    """
+    if exit_ >= enter:
+        raise ValueError("the exit threshold must be below the enter threshold")
+    kind = dict(rows.dtypes)["user_id"]
+    x = rows.select("user_id", "event_id", "ts", F.col("value").cast("double").alias("value")).withWatermark("ts", watermark)
+    machine = RegimeMachine(enter, exit_, idle)
+    return x.groupBy("user_id").transformWithStateInPandas(machine, f"user_id {kind}, state int, since timestamp, n long, lapsed boolean", "update", "eventTime")
+
+
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that begin within keep their state in RocksDB, as keyed machines need it."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def keep_batch(batch: DataFrame, number: int, folder: str) -> None:
     """Write a micro-batch to a folder of its own number: a batch that is run again replaces itself."""
     batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
