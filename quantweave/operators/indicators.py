@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ts
@@ -105,18 +105,6 @@ def double_top_bottom(rows: DataFrame, w: int) -> DataFrame:
     return both.groupBy("symbol", "date").agg(F.max("code").alias("code"))
 
 
-def _extrema(x: np.ndarray, w: int) -> tuple[list[int], list[int]]:
-    highs, lows = [], []
-    for i in range(w, len(x) - w):
-        around = x[i - w : i + w + 1]
-        if not np.isnan(x[i]):
-            if x[i] == np.nanmax(around):
-                highs.append(i)
-            if x[i] == np.nanmin(around):
-                lows.append(i)
-    return highs, lows
-
-
 def support_resistance(rows: DataFrame, w: int, most: int) -> DataFrame:
     """symbol, rank, level, touches: sorted peak and valley prices are joined while they lie within 5% of their range of the group's mean."""
     marked = rows.select("symbol", "date", "close", (ts.peaks(F.col("close"), w) | ts.valleys(F.col("close"), w)).alias("turn")).filter("turn").select("symbol", "close")
@@ -124,14 +112,17 @@ def support_resistance(rows: DataFrame, w: int, most: int) -> DataFrame:
     def levels(part: pd.DataFrame) -> pd.DataFrame:
         prices = np.sort(part["close"].to_numpy(float))
         reach = 0.05 * (prices[-1] - prices[0])
-        groups: list[list[float]] = []
-        for p in prices:
-            if groups and p - np.mean(groups[-1]) <= reach:
-                groups[-1].append(p)
+        level, touches = [], []
+        for p in prices.tolist():
+            if level and p - level[-1] / touches[-1] <= reach:
+                level[-1] += p
+                touches[-1] += 1
             else:
-                groups.append([p])
-        best = sorted(groups, key=lambda g: (-len(g), np.mean(g)))[:most]
-        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "rank": np.arange(1, len(best) + 1), "level": [float(np.mean(g)) for g in best], "touches": [len(g) for g in best]})
+                level.append(p)
+                touches.append(1)
+        mean = np.array(level) / np.array(touches)
+        best = np.lexsort((mean, -np.array(touches)))[:most]
+        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "rank": np.arange(1, len(best) + 1), "level": mean[best], "touches": np.array(touches)[best]})
 
     # a symbol's few turning points, not its bars
     return marked.groupBy("symbol").applyInPandas(levels, "symbol long, rank int, level double, touches int")
@@ -141,26 +132,35 @@ def shapes(rows: DataFrame, n: int) -> DataFrame:
     """symbol, date, triangle, broadening from the peaks and valleys of each trailing window of n + 1 bars.
 
     triangle: 1 with rising valleys under flat peaks, -1 with falling peaks over flat valleys. broadening: 1 with
-    rising peaks and falling valleys. Two of each kind are needed.
+    rising peaks and falling valleys. Two of each kind are needed. A turn is the largest or least of the bars around it,
+    gaps passed over; what a window needs of its turns are counts, sums and ends, so all is windows over the series.
     """
     w = max(2, n // 5)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date", kind="stable")
-        x = part["close"].to_numpy(float)
-        triangle, broad = np.zeros(len(x), int), np.zeros(len(x), int)
-        for i in range(n, len(x)):
-            seg = x[i - n : i + 1]
-            highs, lows = _extrema(seg, w)
-            if len(highs) < 2 or len(lows) < 2:
-                continue
-            p, v = seg[highs], seg[lows]
-            reach = p.max() - v.min()
-            if reach != 0:
-                ps, vs = np.polyfit(np.arange(len(p)), p, 1)[0], np.polyfit(np.arange(len(v)), v, 1)[0]
-                flat = 0.02 * reach
-                triangle[i] = 1 if vs > flat and abs(ps) < flat else -1 if ps < -flat and abs(vs) < flat else 0
-            broad[i] = int((np.diff(p) > 0).all() and (np.diff(v) < 0).all())
-        return pd.DataFrame({"symbol": part["symbol"].to_numpy(), "date": part["date"].to_numpy(), "triangle": triangle, "broadening": broad})
-
-    return rows.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol long, date date, triangle int, broadening int")
+    s = ts.series()
+    x, around = F.col("close"), s.rowsBetween(-w, w)
+    turned = rows.select("symbol", "date", "close", F.when(x == F.max(x).over(around), x).alias("p"), F.when(x == F.min(x).over(around), x).alias("v"), (F.row_number().over(s) - 1).alias("_i"))
+    before = s.rowsBetween(Window.unboundedPreceding, -1)
+    # the number of a turn among its kind, and whether it breaks the order of the one before it
+    turned = turned.withColumns({
+        "_pk": F.count("p").over(s.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), "_vk": F.count("v").over(s.rowsBetween(Window.unboundedPreceding, 0)).cast("double"),
+        "_pbad": (F.col("p") <= F.last("p", ignorenulls=True).over(before)).cast("int"), "_vbad": (F.col("v") >= F.last("v", ignorenulls=True).over(before)).cast("int"),
+    })
+    inside = s.rowsBetween(w - n, -w)
+
+    def of(kind: str) -> dict[str, Column]:
+        k, bad = F.when(F.col(kind).isNotNull(), F.col(f"_{kind}k")), F.coalesce(f"_{kind}bad", F.lit(0))
+        # the first turn of a window has none before it there
+        first = F.first(F.when(F.col(kind).isNotNull(), bad), ignorenulls=True).over(inside)
+        return {
+            f"{kind}_n": F.count(kind).over(inside), f"{kind}_slope": F.try_divide(F.covar_pop(k, F.col(kind)).over(inside), F.var_pop(k).over(inside)),
+            f"{kind}_end": (F.max(kind) if kind == "p" else F.min(kind)).over(inside), f"{kind}_bad": F.sum(F.when(F.col(kind).isNotNull(), bad)).over(inside) - first,
+        }
+
+    seen = turned.withColumns(of("p") | of("v"))
+    enough = (F.col("_i") >= n) & (F.col("p_n") >= 2) & (F.col("v_n") >= 2)
+    reach = F.col("p_end") - F.col("v_end")
+    flat = 0.02 * reach
+    rising, falling = (F.col("v_slope") > flat) & (F.abs("p_slope") < flat), (F.col("p_slope") < -flat) & (F.abs("v_slope") < flat)
+    triangle = F.when(enough & (reach != 0), F.when(rising, 1).when(falling, -1).otherwise(0)).otherwise(0)
+    broadening = F.when(enough & (F.col("p_bad") == 0) & (F.col("v_bad") == 0), 1).otherwise(0)
+    return seen.select("symbol", "date", triangle.alias("triangle"), broadening.alias("broadening"))

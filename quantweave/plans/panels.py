@@ -225,7 +225,13 @@ def _candles(spark, sf_dir):
     return panel(spark, sf_dir).select("symbol", "date", ind.candle_code(C("open"), C("high"), C("low"), C("close")).alias("pattern"))
 
 
-@query("E37_support_resistance")
+@query(
+    "E37_support_resistance",
+    f"""WITH RECURSIVE {PANEL}, {_EXTREMA}, tp AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY close) AS i, 0.05 * (max(close) OVER (PARTITION BY symbol) - min(close) OVER (PARTITION BY symbol)) AS reach FROM extrema WHERE peak OR valley),
+    st AS (SELECT symbol, i, 1 AS g, close AS s, 1 AS n FROM tp WHERE i = 1 UNION ALL SELECT tp.symbol, tp.i, CASE WHEN close - s / n <= reach THEN g ELSE g + 1 END, CASE WHEN close - s / n <= reach THEN s + close ELSE close END, CASE WHEN close - s / n <= reach THEN n + 1 ELSE 1 END FROM st JOIN tp ON tp.symbol = st.symbol AND tp.i = st.i + 1),
+    gr AS (SELECT symbol, g, max(n) AS touches, arg_max(s / n, i) AS level FROM st GROUP BY symbol, g), rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY touches DESC, level) AS rank FROM gr)
+    SELECT symbol, CAST(rank AS INTEGER) AS rank, round(level, 6) AS level, CAST(touches AS INTEGER) AS touches FROM rk WHERE rank <= 3""",
+)
 def _levels(spark, sf_dir):
     return ind.support_resistance(panel(spark, sf_dir), 3, 3).select("symbol", "rank", r6("level").alias("level"), "touches")
 
@@ -252,12 +258,21 @@ def _double(spark, sf_dir):
     return ind.double_top_bottom(panel(spark, sf_dir), 3)
 
 
-@query("E41_triangle")
+def _shapes_sql(n: int) -> str:
+    w = max(2, n // 5)
+    around, inside, before = f"OVER ({S} ROWS BETWEEN {w} PRECEDING AND {w} FOLLOWING)", f"OVER ({S} ROWS BETWEEN {n - w} PRECEDING AND {w} PRECEDING)", f"OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    of = lambda k, end: f"count({k}) {inside} AS {k}_n, regr_slope({k}, {k}k) {inside} AS {k}_slope, {end}({k}) {inside} AS {k}_end, sum(CASE WHEN {k} IS NOT NULL THEN {k}bad END) {inside} - first_value(CASE WHEN {k} IS NOT NULL THEN {k}bad END IGNORE NULLS) {inside} AS {k}_bad"
+    return f"""tn AS (SELECT symbol, date, CASE WHEN close = max(close) {around} THEN close END AS p, CASE WHEN close = min(close) {around} THEN close END AS v, row_number() OVER ({S}) - 1 AS i FROM panel),
+    nb AS (SELECT *, count(p) OVER ({S}) AS pk, count(v) OVER ({S}) AS vk, CAST(coalesce(p <= last_value(p IGNORE NULLS) {before}, false) AS INT) AS pbad, CAST(coalesce(v >= last_value(v IGNORE NULLS) {before}, false) AS INT) AS vbad FROM tn),
+    sn AS (SELECT symbol, date, i, {of("p", "max")}, {of("v", "min")} FROM nb), sh AS (SELECT *, 0.02 * (p_end - v_end) AS flat FROM sn WHERE i >= {n} AND p_n >= 2 AND v_n >= 2)"""
+
+
+@query("E41_triangle", f"WITH {PANEL}, {_shapes_sql(20)}, tr AS (SELECT symbol, date, CASE WHEN v_slope > flat AND abs(p_slope) < flat THEN 1 WHEN p_slope < -flat AND abs(v_slope) < flat THEN -1 ELSE 0 END AS triangle FROM sh WHERE flat <> 0) SELECT * FROM tr WHERE triangle <> 0")
 def _triangle(spark, sf_dir):
     return ind.shapes(panel(spark, sf_dir), 20).select("symbol", "date", "triangle").filter("triangle <> 0")
 
 
-@query("E42_broadening")
+@query("E42_broadening", f"WITH {PANEL}, {_shapes_sql(20)} SELECT symbol, date, 1 AS broadening FROM sh WHERE p_bad = 0 AND v_bad = 0")
 def _broadening(spark, sf_dir):
     return ind.shapes(panel(spark, sf_dir), 20).select("symbol", "date", "broadening").filter("broadening <> 0")
 

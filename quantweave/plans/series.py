@@ -225,3 +225,35 @@ def _parity_pairs(spark, sf_dir):
 @query("N13_max_sharpe_pairs", _two("ha"))
 def _sharpe_pairs(spark, sf_dir):
     return _pair_books(spark, sf_dir, "sharpe")
+
+
+# ---- volatility and tails
+
+
+@query("N15_garch")
+def _garch(spark, sf_dir):
+    """GARCH(1, 1) of each symbol's monthly returns."""
+    from ..operators.volatility import garch
+
+    fit = garch(returns(spark, sf_dir).filter("r is not null"), ["symbol"], "date", "r", horizon=3)
+    return fit.select("symbol", "n", "converged", *[F.round(c, 5).alias(c) for c in ("mu", "omega", "alpha", "beta", "current_vol", "llf")])
+
+
+_TAIL = f"""{PANEL}, {_RET}, th AS (SELECT symbol, count(*) AS n, quantile_cont(r, 0.2) AS threshold FROM rets WHERE r IS NOT NULL GROUP BY symbol),
+  ex AS (SELECT th.symbol, n, threshold, threshold - r AS y FROM rets JOIN th ON rets.symbol = th.symbol WHERE r < threshold)"""
+
+
+@query("N16_tail_moments", f"WITH {_TAIL}, mm AS (SELECT symbol, n, threshold, count(*) AS n_exceedances, avg(y) AS m, nullif(var_samp(y), 0) AS v FROM ex GROUP BY ALL) SELECT symbol, n, round(threshold, 6) AS threshold, n_exceedances, round(n_exceedances / n, 6) AS rate, round(0.5 * (1 - m * m / v), 5) AS shape, round(0.5 * m * (1 + m * m / v), 5) AS scale FROM mm")
+def _tail_moments(spark, sf_dir):
+    from ..operators.extremes import exceedances, moments
+
+    found = moments(exceedances(returns(spark, sf_dir), ["symbol"], "r", 20.0), ["symbol"])
+    return found.select("symbol", "n", r6("threshold").alias("threshold"), "n_exceedances", r6("rate").alias("rate"), F.round("shape", 5).alias("shape"), F.round("scale", 5).alias("scale"))
+
+
+@query("N17_pareto_tail")
+def _pareto_tail(spark, sf_dir):
+    from ..operators.extremes import pareto_tail
+
+    found = pareto_tail(returns(spark, sf_dir), ["symbol"], "r", 20.0)
+    return found.select("symbol", "n_exceedances", r6("threshold").alias("threshold"), F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"), "tail")

@@ -407,9 +407,20 @@ def _j34(spark, sf_dir):
 @query("J35_auto_cluster")
 def _j35(spark, sf_dir):
     """Customers by standardised features, k-means, the k of best silhouette."""
+    return _clustered(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+_clusterings: dict[tuple[str, str], DataFrame] = {}
+
+
+def _clustered(spark, sf_dir) -> DataFrame:
+    """The clustering, which both queries share: fitted once an application and read from the shared folder."""
     from ..operators.clusters import auto_cluster
 
-    return auto_cluster(_features(spark, sf_dir), ["n", "mean", "share"], 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _clusterings:
+        _clusterings[key] = auto_cluster(_features(spark, sf_dir), ["n", "mean", "share"], 5)
+    return _clusterings[key]
 
 
 def _features(spark, sf_dir) -> DataFrame:
@@ -418,9 +429,9 @@ def _features(spark, sf_dir) -> DataFrame:
 
 @query("J36_cluster_rules")
 def _j36(spark, sf_dir):
-    from ..operators.clusters import auto_cluster, rules
+    from ..operators.clusters import rules
 
-    return rules(auto_cluster(_features(spark, sf_dir), ["n", "mean", "share"], 5), ["n", "mean", "share"])
+    return rules(_clustered(spark, sf_dir), ["n", "mean", "share"])
 
 
 @query("J37_rolling_correlation", f"WITH {_SECTOR}, t AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY date DESC) AS k FROM sr), w AS (SELECT * FROM t WHERE k <= 24) SELECT a.sector AS a, b.sector AS b, round(coalesce(corr(a.r, b.r), 0), 6) AS corr FROM w a JOIN w b ON a.date = b.date AND a.sector < b.sector GROUP BY ALL")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantweave.functions import tails
-from quantweave.operators import leastsq, optimizers, regimes
+from quantweave.operators import extremes, leastsq, optimizers, regimes, volatility
 
 DAY = dt.date(2024, 1, 1)
 
@@ -323,3 +323,78 @@ def test_books_that_are_too_large_are_refused(spark):
         optimizers.optimise(r, p, "risk_parity", 6, most=5).collect()
     with pytest.raises(ValueError):
         optimizers.optimise(r, p, "other")
+
+
+# ---- volatility and tails
+
+
+def simulated(rng, n, omega, alpha, beta):
+    s, e, out = omega / (1 - alpha - beta), 0.0, []
+    for _ in range(n):
+        s = omega + alpha * e * e + beta * s
+        e = float(rng.normal() * math.sqrt(s))
+        out.append(0.0005 + e)
+    return out
+
+
+def plain_garch(x, mu, omega, alpha, beta):
+    x = [100 * v for v in x]
+    w = [0.94**i for i in range(min(75, len(x)))]
+    m = sum(x) / len(x)
+    s = square = sum(a * (v - m) ** 2 for a, v in zip(w, x)) / sum(w)
+    out = 0.0
+    for v in x:
+        s = omega + alpha * square + beta * s
+        square = (v - 100 * mu) ** 2
+        out -= 0.5 * (math.log(2 * math.pi * s) + square / s)
+    return out, s, square
+
+
+def test_garch_meets_first_order_conditions_and_no_grid_is_better(spark):
+    rng = np.random.default_rng(10)
+    series = {0: simulated(rng, 900, 2e-6, 0.1, 0.85), 1: simulated(rng, 700, 5e-6, 0.25, 0.6), 2: rng.normal(0, 0.01, 300).tolist(), 3: [0.01] * 50, 4: [0.1, 0.2], 5: [None, *simulated(rng, 400, 1e-5, 0.3, 0.3)]}
+    got = {r.symbol: r for r in volatility.garch(frame(spark, series), ["symbol"], "date", "x", horizon=3).collect()}
+    assert got[3].mu is None and got[4].n == 2 and got[5].n == 400
+    for s in (0, 1, 2, 5):
+        r, x = got[s], [v for v in series[s] if v is not None]
+        value, last, square = plain_garch(x, r.mu, r.omega, r.alpha, r.beta)
+        assert value == pytest.approx(r.llf, rel=1e-8) and r.aic == pytest.approx(8 - 2 * value) and r.current_vol == pytest.approx(math.sqrt(last) / 100)
+        ahead = r.omega + r.alpha * square + r.beta * last
+        assert r.forecast == pytest.approx([math.sqrt(ahead) / 100, math.sqrt(r.omega + r.persistence * ahead) / 100, math.sqrt(r.omega + r.persistence * (r.omega + r.persistence * ahead)) / 100])
+        inner = r.alpha > 1e-4 and r.beta > 1e-4 and r.persistence < 0.9999
+        if inner:
+            p = [r.mu, r.omega, r.alpha, r.beta]
+            for k in range(4):
+                h = 1e-4 * max(abs(p[k]), 1e-4)
+                up, down = ([v + d * h * (i == k) for i, v in enumerate(p)] for d in (1, -1))
+                slope = (plain_garch(x, *up)[0] - plain_garch(x, *down)[0]) / (2 * h)
+                assert abs(slope * max(abs(p[k]), 1e-4)) < 1e-2 * math.sqrt(len(x)), (s, k, slope)
+        for a in np.linspace(0.01, 0.5, 8):
+            for b in np.linspace(0.05, 0.95, 10):
+                if a + b < 0.999:
+                    for f in (0.5, 1, 2):
+                        assert plain_garch(x, r.mu, f * (1 - a - b) * 1e4 * np.var(x), a, b)[0] <= r.llf + 1e-6
+    assert got[0].converged and got[0].persistence == pytest.approx(0.95, abs=0.04) and inner is not None
+    with pytest.raises(Exception, match="more than 100 values"):
+        volatility.garch(frame(spark, {0: series[0]}), ["symbol"], "date", "x", most=100).collect()
+
+
+def test_pareto_tails_by_scan(spark):
+    rng = np.random.default_rng(11)
+    series = {s: (-rng.pareto(3.0, 400) * 0.01 if s % 2 else rng.normal(0, 0.01, 400)).tolist() for s in range(6)} | {7: [0.1], 8: [0.5] * 30, 9: [None, float("nan"), 1.0, 2.0, 3.0]}
+    got = {r.symbol: r for r in extremes.pareto_tail(frame(spark, series), ["symbol"], "x", 10.0).collect()}
+    for s in range(6):
+        x = np.array(series[s])
+        threshold = np.percentile(x, 10)
+        y = threshold - x[x < threshold]
+        r = got[s]
+        assert r.threshold == pytest.approx(threshold) and r.n_exceedances == len(y) and r.rate == pytest.approx(len(y) / 400)
+        ll = lambda shape, scale: -len(y) * math.log(scale) - (1 + 1 / shape) * np.log1p(shape * y / scale).sum()  # noqa: E731,B023
+        own = ll(r.shape, r.scale)
+        for shape in np.linspace(-0.4, 1.2, 41):
+            for f in np.linspace(0.5, 2, 31):
+                if abs(shape) > 1e-6 and (1 + shape * y / (f * y.mean())).min() > 0:
+                    assert ll(shape, f * y.mean()) <= own + 1e-6
+        assert r.shape_se == pytest.approx(abs(1 + r.shape) / math.sqrt(len(y)))
+    assert 7 not in got or got[7].shape is None
+    assert extremes.pareto_tail(frame(spark, {0: [1.0]}).limit(0), ["symbol"], "x").count() == 0
