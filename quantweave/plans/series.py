@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..data import PANEL, panel
+from ..data import CASHFLOWS, PANEL, cashflows, panel
 from ..operators import leastsq
 from .portfolio import _RET, returns, rounded
 from .registry import query, r6, table
@@ -257,3 +257,93 @@ def _pareto_tail(spark, sf_dir):
 
     found = pareto_tail(returns(spark, sf_dir), ["symbol"], "r", 20.0)
     return found.select("symbol", "n_exceedances", r6("threshold").alias("threshold"), F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"), "tail")
+
+
+# ---- funds and curves
+
+
+def deal_flows(spark, sf_dir) -> DataFrame:
+    """Flows of funds, each flow of one of three deals."""
+    return cashflows(spark, sf_dir).select("fund", (C("flow_id") % 3).alias("deal"), "date", "amount", "kind")
+
+
+def _split_sql(source: str, keys: str, extra: str = "") -> str:
+    """Tiers of paid, contributed, preferred in `source`, for a carry of 0.2 and a full catch-up."""
+    return f"""SELECT {keys}{extra}, paid, contributed, preferred, least(paid, contributed) AS capital, least(paid - least(paid, contributed), preferred) AS hurdle,
+      least(greatest(paid - contributed - preferred, 0), 0.25 * least(paid - least(paid, contributed), preferred)) AS catch_up FROM {source}"""
+
+
+def _fund_sql(keys: str, name: str) -> str:
+    on = " AND ".join(f"c.{k.strip()} = l.{k.strip()}" for k in keys.split(","))
+    picked = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
+    return f"""{name}l AS (SELECT {keys}, max(date) AS last FROM df GROUP BY {keys}),
+    {name}s AS (SELECT {picked}, sum(CASE kind WHEN 'distribution' THEN amount ELSE 0 END) AS paid, sum(CASE kind WHEN 'contribution' THEN -amount ELSE 0 END) AS contributed,
+      sum(CASE kind WHEN 'contribution' THEN -amount * (pow(1.08, date_diff('day', date, last) / 365.0) - 1) ELSE 0 END) AS preferred FROM df c JOIN {name}l l ON {on} WHERE kind <> 'valuation' GROUP BY {picked}),
+    {name}t AS ({_split_sql(name + 's', keys)}), {name} AS (SELECT *, paid - capital - hurdle - catch_up AS carry, catch_up + 0.2 * (paid - capital - hurdle - catch_up) AS gp FROM {name}t)"""
+
+
+_DEALS = f"{CASHFLOWS}, df AS (SELECT fund, flow_id % 3 AS deal, date, amount, kind FROM cashflows)"
+
+
+@query("N18_waterfall_by_deal", f"WITH {_DEALS}, {_fund_sql('fund, deal', 'am')} SELECT fund, deal, round(paid, 2) AS paid, round(capital, 2) AS capital, round(hurdle, 2) AS preferred_paid, round(catch_up, 2) AS catch_up, round(carry, 2) AS carry, round(gp, 2) AS gp FROM am")
+def _waterfall(spark, sf_dir):
+    from ..operators.funds import waterfall
+
+    w = waterfall(deal_flows(spark, sf_dir), ["fund", "deal"], 0.08, 0.2)
+    return w.select("fund", "deal", *[F.round(c, 2).alias(c) for c in ("paid", "capital", "preferred_paid", "catch_up", "carry", "gp")])
+
+
+@query("N19_clawback", f"WITH {_DEALS}, {_fund_sql('fund, deal', 'am')}, {_fund_sql('fund', 'eu')} SELECT eu.fund, round(received, 2) AS received, round(eu.gp, 2) AS entitled, round(greatest(received - eu.gp, 0), 2) AS clawback FROM eu JOIN (SELECT fund, sum(gp) AS received FROM am GROUP BY fund) r ON r.fund = eu.fund")
+def _clawback(spark, sf_dir):
+    from ..operators.funds import clawback
+
+    return clawback(deal_flows(spark, sf_dir), "fund", "deal", 0.08, 0.2).select("fund", *[F.round(c, 2).alias(c) for c in ("received", "entitled", "clawback")])
+
+
+@query(
+    "N20_waterfall_by_date",
+    f"""WITH {CASHFLOWS}, dd AS (SELECT fund, date, sum(CASE kind WHEN 'contribution' THEN -amount ELSE 0 END) AS i, sum(CASE kind WHEN 'distribution' THEN amount ELSE 0 END) AS o FROM cashflows WHERE kind <> 'valuation' GROUP BY ALL),
+    ac AS (SELECT a.fund, a.date, sum(b.o) AS paid, sum(b.i) AS contributed, greatest(sum(b.i * (pow(1.08, date_diff('day', b.date, a.date) / 365.0) - 1)), 0) AS preferred FROM dd a JOIN dd b ON a.fund = b.fund AND b.date <= a.date GROUP BY a.fund, a.date),
+    tt AS ({_split_sql('ac', 'fund', ', date')}) SELECT fund, date, round(paid, 2) AS paid, round(capital, 2) AS capital, round(hurdle, 2) AS preferred_paid, round(catch_up, 2) AS catch_up, round(paid - capital - hurdle - catch_up, 2) AS carry FROM tt""",
+)
+def _waterfall_dates(spark, sf_dir):
+    from ..operators.funds import waterfall_by_date
+
+    w = waterfall_by_date(cashflows(spark, sf_dir), ["fund"], 0.08, 0.2)
+    return w.select("fund", "date", *[F.round(c, 2).alias(c) for c in ("paid", "capital", "preferred_paid", "catch_up", "carry")])
+
+
+@query("N21_all_rates")
+def _all_rates(spark, sf_dir):
+    """Every rate at which a fund's contributions, distributions and valuations have no value."""
+    from ..operators.funds import all_rates
+
+    return all_rates(cashflows(spark, sf_dir), "fund").select("fund", F.round("rate", 6).alias("rate"))
+
+
+_LADDER = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0]
+
+
+def curve_rows(spark, sf_dir) -> DataFrame:
+    """A curve a month: mean discounts by quantity, in place of yields by maturity."""
+    x = table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("date"), (C("l_quantity") / 2).alias("maturity"), "l_discount")
+    return x.groupBy("date", "maturity").agg(F.avg("l_discount").alias("y"))
+
+
+@query(
+    "N22_curve_grid",
+    f"""WITH cr AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_quantity / 2 AS m, avg(l_discount) AS y FROM lineitem GROUP BY ALL), cl AS (SELECT date, m, y, l, (1 - exp(-m / l)) / (m / l) AS s FROM cr, (SELECT unnest({_LADDER}) AS l)),
+    cv AS (SELECT date, l, 1.0 AS v0, s AS v1, s - exp(-m / l) AS v2, y AS v3 FROM cl), cg AS (SELECT date, l, count(*) AS n, {sums_sql(3)} FROM cv GROUP BY date, l), {eliminated('c', 'cg', 'date, l, n', 3, 3)},
+    bt AS (SELECT date, n, arg_min(l, s3_3) AS lambda1, min(s3_3) AS ssr FROM c_2 GROUP BY date, n) SELECT date, n, lambda1, round(ssr, 9) AS ssr FROM bt WHERE n >= 4""",
+)
+def _curve_grid(spark, sf_dir):
+    from ..operators.curves import grid_fit
+
+    return grid_fit(curve_rows(spark, sf_dir), ["date"], "maturity", "y", _LADDER).select("date", "n", "lambda1", F.round("ssr", 9).alias("ssr"))
+
+
+@query("N23_curve_fit")
+def _curve_fit(spark, sf_dir):
+    from ..operators.curves import fit
+
+    return rounded(fit(curve_rows(spark, sf_dir), ["date"], "maturity", "y").select("date", "n", "rmse", "lambda1"))
