@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..data import WEEKLY, weekly_panel
@@ -55,3 +56,29 @@ def _fundamental(spark, sf_dir):
     p = asof.asof_join(weekly_panel(spark, sf_dir).select("symbol", "date", "close"), q, ["symbol"], "date", "filed")
     out = evaluate(p, zoo.fundamental())
     return out.select("symbol", "date", *[r6(C(n) + NUDGE).alias(n) for n in zoo.fundamental()])
+
+
+def _rewire_sql(event: int, calm: int) -> str:
+    """Correlations of all pairs in both windows from running sums, deviations being from each symbol's own mean."""
+    w = {"e": f"ROWS BETWEEN {event - 1} PRECEDING AND CURRENT ROW", "c": f"ROWS BETWEEN {event + calm - 1} PRECEDING AND {event} PRECEDING"}
+    own = ", ".join(f"count(r) OVER (PARTITION BY symbol ORDER BY date {f}) AS n{k}, avg(r) OVER (PARTITION BY symbol ORDER BY date {f}) AS m{k}, var_pop(r) OVER (PARTITION BY symbol ORDER BY date {f}) AS v{k}" for k, f in w.items())
+    over = lambda e, f: f"sum({e}) OVER (PARTITION BY a, b ORDER BY date {f})"
+    both = "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN"
+    pair = ", ".join(f"({over(f'{both} x * y END', f)} - my{k} * {over(f'{both} x END', f)} - mx{k} * {over(f'{both} y END', f)} + mx{k} * my{k} * {over(f'{both} 1 END', f)}) / sqrt(nx{k} * vx{k} * ny{k} * vy{k}) AS q{k}" for k, f in w.items())
+    sides = ", ".join(f"{t}.{c}{k} AS {c}{s}{k}" for t, s in (("p", "x"), ("q", "y")) for k in "ec" for c in "nmv")
+    good = " AND ".join(f"n{s}{k} >= {int(np.ceil(0.9 * n - 1e-9))} AND v{s}{k} > 0" for s in "xy" for k, n in (("e", event), ("c", calm)))
+    return f"""rr AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM panel), ow AS (SELECT symbol, date, i, r, {own} FROM rr),
+    pq AS (SELECT p.symbol AS a, q.symbol AS b, p.date, p.i, p.r AS x, q.r AS y, {sides} FROM ow p JOIN ow q ON p.date = q.date AND p.symbol <> q.symbol), cr AS (SELECT a, date, i, {good} AS good, {pair} FROM pq),
+    sc AS (SELECT a AS symbol, date, avg(CASE WHEN good THEN abs(qe - qc) END) AS s, count(CASE WHEN good THEN 1 END) AS n FROM cr WHERE i >= {event + calm} GROUP BY a, date), sd AS (SELECT symbol, date, CASE WHEN n >= 2 THEN -s END AS s FROM sc)
+    SELECT symbol, date, round(CASE WHEN stddev_samp(s) OVER (PARTITION BY date) > 0 THEN (s - avg(s) OVER (PARTITION BY date)) / stddev_samp(s) OVER (PARTITION BY date) END, 5) AS corr_rewire FROM sd"""
+
+
+@query("Z_academic_rewire", f"WITH {WEEKLY}, {_rewire_sql(20, 120)}")
+def _rewire(spark, sf_dir):
+    """The last factor of the academic ones: stable correlations rank highest."""
+    from ..operators import ts, xs
+    from ..operators.rewire import rewiring
+
+    r = weekly_panel(spark, sf_dir).select("symbol", "date", ts.pct_change(C("close")).alias("r"))
+    s = rewiring(r).withColumn("s", -C("score"))
+    return s.select("symbol", "date", F.round(xs.zscore(C("s")), 5).alias("corr_rewire"))

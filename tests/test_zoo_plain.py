@@ -118,3 +118,34 @@ def compared(spark, market, targets):
 def test_factors_apart_from_sql(spark, market):
     g = zoo.gtja191()
     compared(spark, market, {f"g{k:03d}": g[k] for k in plans._APART} | {"a084": zoo.alpha101()[84]})
+
+
+def test_rewiring_beside_loops(spark):
+    from quantweave.operators.rewire import rewiring
+
+    rng = np.random.default_rng(4)
+    n, event, calm = 75, 6, 15
+    x = rng.normal(size=(n, 7)) * 0.02 + rng.normal(size=(n, 1)) * 0.01
+    x[rng.random(x.shape) < 0.04] = np.nan
+    x[20:, 6] = 0.0
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    rows = spark.createDataFrame([(f"s{s}", days[i], None if np.isnan(x[i, s]) else float(x[i, s])) for s in range(7) for i in range(n)], "symbol string, date date, r double")
+    got = {(r.symbol, (r.date - days[0]).days): r.score for r in rewiring(rows, event, calm, 0.8).collect()}
+    assert set(got) == {(f"s{s}", i) for s in range(7) for i in range(event + calm - 1, n)}
+
+    def corr(part, least):
+        out = np.full((7, 7), np.nan)
+        for i in range(7):
+            for j in range(7):
+                a, b = (np.where(np.isnan(v), 0.0, v - np.nanmean(v)) if (~np.isnan(v)).sum() >= least else None for v in (part[:, i], part[:, j]))
+                if a is not None and b is not None and (a @ a) > 0 and (b @ b) > 0:
+                    out[i, j] = a @ b / np.sqrt((a @ a) * (b @ b))
+        return out
+
+    for t in range(event + calm - 1, n):
+        change = np.abs(corr(x[t - event + 1 : t + 1], 5) - corr(x[t - event - calm + 1 : t - event + 1], 12))
+        np.fill_diagonal(change, np.nan)
+        for s in range(7):
+            known = change[s][~np.isnan(change[s])]
+            assert got[f"s{s}", t] == (pytest.approx(known.mean()) if len(known) >= 2 else None), (s, t)
+    assert rewiring(rows.limit(0)).count() == 0
