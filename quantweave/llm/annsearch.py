@@ -71,6 +71,12 @@ class MultiIndex:
         return out
 
 
+    def order(self, query: np.ndarray, sizes: dict[int, int]) -> list[int]:
+        """All non-empty cells by summed distance: what a walk to the end gives, sorted at once."""
+        both = -(self.left @ query[: self.cut])[:, None] - (self.right @ query[self.cut :])[None, :]
+        return [c for c in np.argsort(both, axis=None, kind="stable").tolist() if c in sizes]
+
+
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T, axis=1)
 
@@ -174,7 +180,7 @@ def entries_needed(index: MultiIndex, sizes: dict[int, int], asked: np.ndarray,
     own = truth.groupby("query")["cell"].apply(list).to_dict()
     for q, x in zip(asked.tolist(), probes):
         if q in own:
-            cells = index.walk(x, sizes, total)
+            cells = index.order(x, sizes)
             # a cell is visited while fewer than enough entries are held before it
             before = dict(zip(cells, np.cumsum([1] + [sizes[c] for c in cells]).tolist()))
             needed.append(np.sort([before[c] for c in own[q]]))
@@ -186,7 +192,7 @@ def entries_needed(index: MultiIndex, sizes: dict[int, int], asked: np.ndarray,
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = None, enough: int | None = None, block: int = 4096, sample: int = 20_000, recall: float = 0.95, probes: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds.
+    """query_id, rank, vec_id, score, path: the k nearest found of every row for which is_query holds; path says whether by cells or by every vector.
 
     `centroids` a half: by default about sqrt(rows / 32), from 4 to 256. `enough`: by default as measured for
     `recall`; with `recall=1` every vector is read and the result is exact.
@@ -195,7 +201,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = No
     # a row's number is fixed once the rows are written
     rows = stored(stored(usable(vectors)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
     total = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, path string"
     index = fit(rows, centroids or int(min(256, max(4, (total / 32) ** 0.5))), sample) if total else None
     if index is None:
         return spark.createDataFrame([], schema)
@@ -209,7 +215,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = No
     if recall >= 1 and enough is None:
         enough = total
     else:
-        indexed = stored(per_batch(rows, "row long, vec_id long, v array<double>, cell int", make_cells))
+        # cells are written only if the index is used
+        indexed = per_batch(rows, "row long, vec_id long, v array<double>, cell int", make_cells)
         sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # k * k numbers at most
     if enough is None:
         some = hash_sample(asked, "vec_id", probes)
@@ -220,6 +227,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = No
     if 2 * enough >= total:  # one cell for all
         indexed, sizes, index = rows.withColumn("cell", F.lit(0)), {0: total}, None
         block = min(block, max(256, -(-total // 16)))
+    else:
+        indexed = stored(indexed)
+    path = "every vector" if index is None else "cells"
     held = spark.sparkContext.broadcast(sizes)
 
     def make_walks():
@@ -253,4 +263,4 @@ def search(vectors: DataFrame, is_query, k: int = 20, centroids: int | None = No
 
     near = left.groupBy("cell", "p", "g").cogroup(right.groupBy("cell", "p", "g")).applyInPandas(rerank, "query long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(path).alias("path"))
