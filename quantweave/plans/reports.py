@@ -21,12 +21,12 @@ S = "PARTITION BY symbol ORDER BY date"
 
 _FIFO = trades_sql() + """, run AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE 0 END) OVER w AS B, sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER w AS S FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
 un AS (SELECT *, S - greatest(max(S - B) OVER (PARTITION BY symbol ORDER BY seq), 0) AS M FROM run), m AS (SELECT *, coalesce(lag(M) OVER (PARTITION BY symbol ORDER BY seq), 0) AS M0 FROM un),
-pt AS (SELECT symbol, seq, B - quantity AS at, {'seq': seq, 'ts': ts, 'price': price, 'fee': fee / quantity, 'hi': B} AS lot, NULL AS sale FROM m WHERE side = 'buy' AND quantity > 0
+pt AS (SELECT symbol, seq, B - quantity AS pos, {'seq': seq, 'ts': ts, 'price': price, 'fee': fee / quantity, 'hi': B} AS lot, NULL AS sale FROM m WHERE side = 'buy' AND quantity > 0
   UNION ALL SELECT symbol, seq, M0, NULL, {'seq': seq, 'ts': ts, 'price': price, 'fee': fee / quantity, 'hi': M} FROM m WHERE side = 'sell' AND M > M0),
-on_ AS (SELECT symbol, at, last_value(lot IGNORE NULLS) OVER w AS b, last_value(sale IGNORE NULLS) OVER w AS s, lead(at) OVER (PARTITION BY symbol ORDER BY at, seq) AS nx FROM pt
-  WINDOW w AS (PARTITION BY symbol ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-trips AS (SELECT symbol, b.seq AS buy_seq, s.seq AS sell_seq, least(nx, b.hi, s.hi) - at AS quantity, b.ts AS buy_ts, s.ts AS sell_ts,
-  (least(nx, b.hi, s.hi) - at) * (s.price - b.price - b.fee - s.fee) AS pnl FROM on_ WHERE b IS NOT NULL AND s IS NOT NULL AND least(nx, b.hi, s.hi) - at > 1e-9)"""
+on_ AS (SELECT symbol, pos, last_value(lot IGNORE NULLS) OVER w AS b, last_value(sale IGNORE NULLS) OVER w AS s, lead(pos) OVER (PARTITION BY symbol ORDER BY pos, seq) AS nx FROM pt
+  WINDOW w AS (PARTITION BY symbol ORDER BY pos, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+trips AS (SELECT symbol, b.seq AS buy_seq, s.seq AS sell_seq, least(nx, b.hi, s.hi) - pos AS quantity, b.ts AS buy_ts, s.ts AS sell_ts,
+  (least(nx, b.hi, s.hi) - pos) * (s.price - b.price - b.fee - s.fee) AS pnl FROM on_ WHERE b IS NOT NULL AND s IS NOT NULL AND least(nx, b.hi, s.hi) - pos > 1e-9)"""
 
 
 def trips(spark, sf_dir) -> DataFrame:
