@@ -135,5 +135,7 @@ def optimise(returns: DataFrame, positions: DataFrame, method: str, lookback: in
             signed = [[p["weight"] for p in b] if w is None else (np.sign([p["weight"] for p in b]) * w).tolist() for b, w in zip(held, found)]
             yield pa.RecordBatch.from_arrays([batch[f.name] if f.name != "_w" else pa.array(signed, f.type) for f in arrow], schema=arrow)
 
-    solved = packed.mapInArrow(run, target).select("date", *book, F.explode(F.arrays_zip("_s", "_w")).alias("_z"))
+    # small rows, much work: as many tasks as asked for, not as few as their bytes need
+    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solved = packed.repartition(tasks, "date", *book).mapInArrow(run, target).select("date", *book, F.explode(F.arrays_zip("_s", "_w")).alias("_z"))
     return solved.select(F.col("_z._s").alias("symbol"), "date", *book, F.col("_z._w").alias("weight")).unionByName(idle)

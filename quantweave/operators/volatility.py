@@ -134,4 +134,6 @@ def garch(rows: DataFrame, keys: list[str], at: str, value: str, horizon: int =
             made = iter([pa.array(list(c), f.type) for c, f in zip(zip(*rows), [f for f in arrow if f.name not in keys])] if rows else [pa.array([], f.type) for f in arrow if f.name not in keys])
             yield pa.RecordBatch.from_arrays([batch[f.name] if f.name in keys else next(made) for f in arrow], schema=arrow)
 
-    return packed.mapInArrow(run, target)
+    # small rows, much work: as many tasks as asked for, not as few as their bytes need
+    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (packed.repartition(tasks, *keys) if keys else packed).mapInArrow(run, target)
