@@ -3,7 +3,9 @@
 A decision of a date sees returns of earlier dates alone. Each position brings the returns of its symbol's last
 `lookback` dates, a book (the positions of one date, and of one group if there are groups) is packed into a row, and the books of a
 batch are solved side by side: covariances by matrix products over the dates that two symbols share, weights by
-coordinate descent, where a step is the exact minimum in one weight. All three problems are of the form
+Newton steps (risk parity) or by exchange of whole sets of weights between zero and free (the others). Books for which
+these don't meet the conditions below go on by sweeps of coordinate descent, where a step is the exact minimum in one weight. All
+three problems are of the form
 min y'Sy / 2 - ... over y >= 0, whose solution is the book up to its size:
 
 - risk parity: - sum(log y_i) / n, at which all y_i (Sy)_i are 1 / n;
@@ -13,7 +15,8 @@ min y'Sy / 2 - ... over y >= 0, whose solution is the book up to its size:
 Defined cases: a symbol must have a row on every date of its series (a dense panel); dates with fewer than `lookback` earlier
 ones keep their positions, as do books in which two symbols share less than two dates. A symbol whose return
 doesn't move makes the book one of equal weights, and so does a book without a mean above the riskless one. Zero
-and null positions take no part. Signs of positions stay; absolute weights add up to 1. `ridge` times the mean variance is
+and null positions take no part. Covariances over different dates may make a matrix by which some book has less than no
+risk: where the steps then find no book that meets the conditions, negative eigenvalues are raised to almost zero. Signs of positions stay; absolute weights add up to 1. `ridge` times the mean variance is
 added to variances, so that books of more symbols than dates have an answer. Books of more than `most` symbols are refused.
 """
 
@@ -42,15 +45,106 @@ def covariances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return v.sum(axis=1) / m.sum(axis=1), np.where(count >= 2, cov, np.nan)
 
 
-def descend(s: np.ndarray, aim: np.ndarray, live: np.ndarray, log: bool, rounds: int = 20_000, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
-    """(y, solved) of many problems side by side: s (books, n, n) with a positive diagonal where live, aim (books, n).
+def definite(cov: np.ndarray) -> np.ndarray:
+    """cov with its least eigenvalues raised to what `ridge` gives by default, 1e-8 of the mean variance."""
+    values, vectors = np.linalg.eigh(cov)
+    least = 1e-8 * values.mean()
+    return cov if values[0] >= least else (vectors * np.maximum(values, least)) @ vectors.T
 
-    With `log` the aim is the share of each risk contribution, else the linear term. Problems are scaled to
-    unit variances, so one tolerance does for all.
-    """
+
+def unit(s: np.ndarray, aim: np.ndarray, live: np.ndarray, log: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, b, v): the problem in units of each symbol's volatility v, so that one tolerance does for all."""
     v = np.sqrt(np.where(live, np.einsum("bii->bi", s), 1.0))
-    c = s / v[:, :, None] / v[:, None, :]
-    b = np.where(live, aim if log else aim / v, 0.0)
+    return s / v[:, :, None] / v[:, None, :], np.where(live, aim if log else aim / v, 0.0), v
+
+
+def newton(c: np.ndarray, b: np.ndarray, live: np.ndarray, steps: int = 200, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """(y, solved) of min y'cy / 2 - sum(b log y): damped Newton steps, which never leave y > 0, until a full one is safe."""
+    eye = np.eye(b.shape[1])
+    c = np.where(live[:, :, None] & live[:, None, :], c, eye)
+    least = np.where(live, b, np.inf).min(axis=1)
+    y = np.where(live, np.sqrt(b), 1.0)
+    y /= np.sqrt(np.maximum(np.einsum("bi,bij,bj->b", y, c, y), 1e-12))[:, None]
+    out, done, at = np.where(live, y, 0.0), np.zeros(len(y), bool), np.arange(len(y))
+    for _ in range(steps):
+        g = np.where(live, np.einsum("bij,bj->bi", c, y) - b / y, 0.0)
+        try:
+            d = np.linalg.solve(c + eye * (b / y**2)[:, None, :], g[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            break
+        square = np.einsum("bi,bi->b", g, d) / least
+        far = np.sqrt(np.maximum(square, 0.0))
+        y = y - d * np.where(far < 0.38, 1.0, 1 / (1 + far))[:, None]
+        y0 = np.where(live, y, 0.0)
+        over = violation(c, b, y0, live, True) <= tol
+        # a negative square is a direction without a minimum
+        lost = (square < 0) | ~np.isfinite(y).all(axis=1) | (y0 < 0).any(axis=1)
+        out[at[over & ~lost]], done[at[over & ~lost]] = y0[over & ~lost], True
+        keep = ~(over | lost)
+        if not keep.any():
+            break
+        c, b, y, live, least, at = c[keep], b[keep], y[keep], live[keep], least[keep], at[keep]
+    return out, done
+
+
+def exchange(c: np.ndarray, b: np.ndarray, live: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(y, solved) of min y'cy / 2 - b'y over y >= 0: the free weights solve linear equations, and weights that turn out on
+    the wrong side change it together; one at a time (the last) where changing all of them has stopped to help."""
+    n = b.shape[1]
+    eye, place = np.eye(n), np.arange(n)
+    free = live & (b > 0)
+    best, tries = np.full(len(b), n + 1), np.full(len(b), 3)
+    out, done, at = np.zeros_like(b), np.zeros(len(b), bool), np.arange(len(b))
+    for _ in range(100 + 10 * n):
+        try:
+            y = np.linalg.solve(np.where(free[:, :, None] & free[:, None, :], c, eye), np.where(free, b, 0.0)[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            break
+        y = np.where(free, y, 0.0)
+        slope = np.einsum("bij,bj->bi", c, y) - b
+        wrong = live & np.where(free, y < 0, slope < -tol / 10)
+        count = wrong.sum(axis=1)
+        over = count == 0
+        out[at[over]], done[at[over]] = y[over], violation(c[over], b[over], y[over], live[over], False) <= tol
+        keep = ~over
+        if not keep.any():
+            break
+        c, b, live, free, wrong, count, best, tries, at = (a[keep] for a in (c, b, live, free, wrong, count, best, tries, at))
+        better = count < best
+        one = ~better & (tries <= 0)
+        best, tries = np.where(better, count, best), np.where(better, 3, tries - 1)
+        last = place == np.where(wrong, place, -1).max(axis=1)[:, None]
+        free = free ^ np.where(one[:, None], last, wrong)
+    return out, done
+
+
+def solve(s: np.ndarray, aim: np.ndarray, live: np.ndarray, log: bool) -> np.ndarray:
+    """y of many problems side by side: s (books, n, n) with a positive diagonal where live, aim (books, n).
+
+    With `log` the aim is the share of each risk contribution, else the linear term.
+    """
+    c, b, v = unit(s, aim, live, log)
+    y, done = newton(c, b, live) if log else exchange(c, b, live)
+    out = y / v
+    # by sweeps, where they settle soon; else without negative eigenvalues, with which both ways have an answer
+    for mend in (False, True):
+        left = np.flatnonzero(~done)
+        if not len(left):
+            break
+        if mend:
+            s[left] = [definite(m) for m in s[left]]
+            c, b, v = unit(s[left], aim[left], live[left], log)
+            y, fine = newton(c, b, live[left]) if log else exchange(c, b, live[left])
+            out[left], done[left] = y / v, fine
+            left = left[~fine]
+        if len(left):
+            out[left], done[left] = descend(s[left], aim[left], live[left], log, 20_000 if mend else 300)
+    return out
+
+
+def descend(s: np.ndarray, aim: np.ndarray, live: np.ndarray, log: bool, rounds: int = 20_000, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """(y, solved) as by solve(), for any symmetric s: sweeps over the weights."""
+    c, b, v = unit(s, aim, live, log)
     y = np.where(live, np.sqrt(np.maximum(b, 0.0)) if log else np.maximum(b, 0.0), 0.0)
     out, done = np.zeros_like(y), np.zeros(len(y), bool)
     at = np.arange(len(y))
@@ -62,9 +156,10 @@ def descend(s: np.ndarray, aim: np.ndarray, live: np.ndarray, log: bool, rounds:
             y[:, i] = np.where(live[:, i], new, 0.0)
         if r % 5 == 4 or n <= 2:
             over = violation(c, b, y, live, log) <= tol
-            if over.any() or r >= rounds - 5:
+            lost = ~(y.max(axis=1) < 1e6)  # weights of a book without a least risk grow for ever
+            if over.any() or lost.any() or r >= rounds - 5:
                 out[at], done[at] = y, over
-                keep = ~over
+                keep = ~(over | lost)
                 if not keep.any():
                     break
                 c, b, y, live, at = c[keep], b[keep], y[keep], live[keep], at[keep]
@@ -92,14 +187,15 @@ def weigh(books: list[np.ndarray], method: str, riskless: float, ridge: float) -
         aim = {"risk_parity": np.full(len(x), 1 / len(x)), "diversification": vol, "sharpe": mean - riskless}[method]
         if vol.min() >= 1e-12 and aim.max() > 0:
             todo.append((k, cov + ridge * np.diag(cov).mean() * np.eye(len(x)), aim))
-    todo.sort(key=lambda t: len(t[2]))  # books of like size together
-    for a in range(0, len(todo), 64):
-        some = todo[a : a + 64]
-        n = len(some[-1][2])
+    todo.sort(key=lambda t: -len(t[2]))  # books of like size together, 16 MB a matrix of theirs
+    while todo:
+        n = len(todo[0][2])
+        many = max(1, min(4096, 2_000_000 // n**2))
+        some, todo = todo[:many], todo[many:]
         s, aim, live = np.zeros((len(some), n, n)), np.zeros((len(some), n)), np.zeros((len(some), n), bool)
         for i, (_, cov, b) in enumerate(some):
             s[i, : len(b), : len(b)], aim[i, : len(b)], live[i, : len(b)] = cov, b, True
-        y, _ = descend(s, aim, live, method == "risk_parity")
+        y = solve(s, aim, live, method == "risk_parity")
         for (k, _, b), w in zip(some, y):
             w = w[: len(b)]
             out[k] = w / w.sum() if w.sum() > 0 else out[k]

@@ -316,6 +316,47 @@ def test_books_satisfy_the_conditions_of_the_best(spark, method):
     assert all(again[k] == pytest.approx(v) if v is not None else again[k] is None for k, v in got.items() if k[0] <= 35)
 
 
+@pytest.mark.parametrize("log", [True, False])
+def test_steps_and_sweeps_find_the_same_book(log):
+    rng = np.random.default_rng(4)
+    for n, dates in ((1, 9), (2, 9), (12, 40), (25, 10)):
+        x = rng.normal(0.002, 0.02, (6, n, dates)) + 0.02 * rng.normal(size=(6, 1, dates))
+        s = np.stack([np.atleast_2d(np.cov(k)) for k in x]) + 1e-6 * np.eye(n)
+        live = np.ones((6, n), bool)
+        live[::2, n // 2 + 1 :] = False
+        aim = np.full((6, n), 1 / n) if log else x.mean(axis=2)
+        c, b, v = optimizers.unit(s, aim, live, log)
+        y, solved = (optimizers.newton if log else optimizers.exchange)(c, b, live)
+        assert solved.all() and optimizers.violation(c, b, y, live, log).max() <= 1e-10 and (y >= 0).all() and not y[~live].any()
+        assert y / v == pytest.approx(optimizers.descend(s, aim, live, log)[0], rel=1e-6, abs=1e-7)
+        assert optimizers.solve(s, aim, live, log) == pytest.approx(y / v)
+
+
+def test_books_of_series_with_gaps_have_an_answer():
+    # more symbols than dates and different gaps: covariances over shared dates are of no common sample
+    rng = np.random.default_rng(8)
+    books = []
+    for _ in range(5):
+        x = rng.normal(0.002, 0.02, (20, 18))
+        x[rng.random(x.shape) < 0.25] = np.nan
+        books.append(x)
+    assert min(np.linalg.eigvalsh(optimizers.covariances(x)[1])[0] for x in books) < -1e-6
+    for method in optimizers.METHODS:
+        for x, w in zip(books, optimizers.weigh(books, method, 0.0, 1e-8)):
+            mean, cov = optimizers.covariances(x)
+            assert np.isfinite(w).all() and (w >= 0).all() and w.sum() == pytest.approx(1)
+            raw = cov + 1e-8 * np.diag(cov).mean() * np.eye(len(w))
+            aim = np.sqrt(np.diag(cov)) if method == "diversification" else mean
+
+            def best(s):
+                if method == "risk_parity":
+                    return np.abs(w * (s @ w) / (w @ s @ w) - 1 / len(w)).max() < 1e-6
+                slack = ((w @ aim) / (w @ s @ w) * (s @ w) - aim) / np.abs(aim).max()
+                return (slack > -1e-5).all() and np.abs(slack[w > 1e-9]).max() < 1e-5
+
+            assert best(raw) or best(optimizers.definite(raw))
+
+
 def test_books_that_are_too_large_are_refused(spark):
     r = spark.createDataFrame([(i, DAY + dt.timedelta(days=t), 0.01 * ((i * t) % 7)) for i in range(6) for t in range(8)], "symbol long, date date, r double")
     p = r.select("symbol", "date", F.lit(1.0).alias("weight"))
