@@ -159,6 +159,12 @@ class Ancestors:
         return self.now
 
 
+def decoded(run: str) -> str:
+    """A run of text between tags, its character references decoded: none reaches over a tag."""
+    run = run.replace(LINK, " ")
+    return html.unescape(run) if "&" in run else run
+
+
 def parse(page: str) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
@@ -170,10 +176,7 @@ def parse(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal parts, inside
         if inside is not None:
-            raw = "".join(parts)
-            pieces = raw.split(LINK)
-            if "&" in raw:
-                pieces = [html.unescape(x) for x in pieces]
+            pieces = "".join(parts).split(LINK)
             text = " ".join("".join(pieces).replace(LINK, "").split())
             if text:
                 linked = sum(len(x.strip()) for x in pieces[1::2])
@@ -188,7 +191,7 @@ def parse(page: str) -> list[Block]:
             text = page[at:start]
             if inside is None and not text.isspace():
                 inside = around.features()
-            parts.append(text.replace(LINK, " "))
+            parts.append(decoded(text))
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -244,7 +247,7 @@ def parse(page: str) -> list[Block]:
         text = page[at:]
         if inside is None and not text.isspace():
             inside = around.features()
-        parts.append(text.replace(LINK, " "))
+        parts.append(decoded(text))
     if in_link:
         parts.append(LINK)
     flush()
@@ -529,12 +532,21 @@ def fit(pages: DataFrame, n_made: int = 500, sample: int = 200, rounds: int = 20
     some = pages.filter("html is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     ids = [r["page_id"] for r in hash_sample(some.select("page_id"), "page_id", sample).collect()]
     # a repeated id counts once, with its least page
-    rows = some.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    rows = some.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            pages = [parse(page) for page in batch["html"].to_pylist()]
+            # a page without an article teaches nothing
+            return {"page_id": batch["page_id"], "features": [[b.features for b in blocks] for blocks in pages], "labels": [landmark_labels(blocks) for blocks in pages]}
+
+        return work
+
+    # parsed where they lie: features and labels of the sample's blocks come here, no page does
+    known = per_batch(rows, "page_id long, features array<array<int>>, labels array<int>", make).filter("labels is not null").collect()
     sequences = list(made(n_made))
-    for row in sorted(rows, key=lambda r: r["page_id"]):
-        blocks = parse(row["html"])
-        if blocks and (labels := landmark_labels(blocks)):
-            sequences.append((blocks, labels))
+    for row in sorted(known, key=lambda r: r["page_id"]):
+        sequences.append(([Block("", f) for f in row["features"]], row["labels"]))
     return fit_chain(sequences, rounds)
 
 

@@ -388,6 +388,26 @@ def test_markup_is_no_text():
     assert texts("<SCRIPT>a</b></script >b<style>c</style><textarea><p>d</textarea>e<!-- f --> 3 < 4 &lt; 5") == ["b e 3 < 4 < 5"]
     assert texts('<p class="x" ">y</p><p class="open>z</p><p>w') == ["y", "z", "w"]
     assert texts("<b" * 1000 + ">x") in ([], ["x"])
+    # a reference doesn't reach over a tag, a comment or a link
+    assert texts("AT&<b>lt;</b> &am<!-- -->p; <a href=x>R&amp;D &co</a>py;") == ["AT&lt; &amp; R&D &copy;"]
+
+
+def test_extraction_is_the_plain_field_on_every_page(spark):
+    made = extraction.labelled_pages(60, seed=5)
+    rows = [(i, f"u{i}", page) for i, (page, _) in enumerate(made)] + [(60, "none", None), (61, "empty", ""), (62, "text", "only words & <b>more</b>"), (3, "again", made[3][0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    model = extraction.fit(pages, n_made=50, sample=30, rounds=30)
+    chosen = {r.page_id for r in extraction.hash_sample(pages.filter("html is not null").select("page_id"), "page_id", 30).collect()}
+    known = [extraction.parse(min(h for i, _, h in rows if i == k)) for k in sorted(chosen)]
+    plain = extraction.fit_chain([*extraction.made(50), *((b, y) for b in known if b and (y := extraction.landmark_labels(b)))], 30)
+    assert np.allclose(plain.state, model.state) and np.allclose(plain.move, model.move)
+    want = []
+    for i, url, page in rows:
+        blocks = extraction.parse(page or "")
+        text = "\n".join(b.text for b, y in zip(blocks, plain.decode(blocks)) if y)
+        want.append((i, url, text, len(text)))
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in extraction.extract(pages, model).collect()]
+    assert sorted(got) == sorted(want) and any(w[2] for w in want)
 
 
 def test_viterbi_is_the_best_path():
