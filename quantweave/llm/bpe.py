@@ -25,6 +25,7 @@ import hashlib
 import heapq
 import os
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -113,7 +114,7 @@ def merge_leftmost(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder."""
 
     def __init__(self, vocabulary: BytePairs, memo: int = 200_000) -> None:
         import ahocorasick
@@ -177,9 +178,15 @@ class Codec:
         return np.stack([char[np.concatenate([[0], ends[:-1]])], char[ends - 1] + 1], axis=1)
 
 
+@lru_cache(maxsize=2)
+def codec_of(vocabulary: BytePairs) -> Codec:
+    """One for all tasks of a worker process, with the ids of matches that it has seen."""
+    return Codec(vocabulary)
+
+
 def _codec(spark: SparkSession, vocabulary: BytePairs):
     shared = spark.sparkContext.broadcast(vocabulary)  # a vocabulary file: its size is fixed
-    return lambda: Codec(shared.value)
+    return lambda: codec_of(shared.value)
 
 
 def encode(docs: DataFrame, vocabulary: BytePairs, offsets: bool = True) -> DataFrame:
