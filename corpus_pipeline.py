@@ -1,7 +1,8 @@
 """From raw documents to training rows: language, near duplicates, benchmark passages, secrets, tokens.
 
 Each stage takes the session, its predecessor's rows and the folder of the tables, and keeps the columns of
-documents; the last gives token ids. Between stages rows are written as Parquet in the shared folder.
+documents; the last gives token ids. Between stages rows are written as Parquet in the shared folder; a stage's table
+goes as soon as the next one's is whole, so that no more than two are there at a time.
 
 Defined cases, at every stage: an empty table gives no rows; a null text is kept by all but the first stage, which
 can't tell its language; null source, language and length are kept as they are; rows without an id are judged by their
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quantweave.llm import bpe, decontaminate, language, nearjoin, secrets
-from quantweave.llm.common import new_path, table
+from quantweave.llm.common import discard, new_path, table
 from quantweave.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -65,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = new_path(spark, "pipeline")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                discard(spark, before)
+            before = path
     return docs
