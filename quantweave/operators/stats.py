@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..scratch import stored
 
@@ -133,8 +138,78 @@ def ljung_box(rows: DataFrame, keys: list[str], x: str, lags: int) -> DataFrame:
     return s.select(*keys, (F.col("n") * (F.col("n") + 2) * total).alias("q"))
 
 
-def permutation_drawdowns(trades: DataFrame, keys: list[str], start: float, sims: int) -> DataFrame:
-    """keys, actual (worst drawdown in trade order), share of permutations at least as bad. Input keys, seq, pnl."""
+def permutation_drawdowns(trades: DataFrame, keys: list[str], start: float, sims: int, most: int = 20_000) -> DataFrame:
+    """keys, actual (worst drawdown in trade order), share of permutations at least as bad. Input keys, seq, pnl.
+
+    A key's trades are packed into one row and permuted in its task, so no permutation is rows of a shuffle. The order of a permutation
+    follows from seq alone, so keys with the same numbers share it. Keys of more than `most` trades go by windows.
+    """
+    counted = trades.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    packed = counted.filter(F.col("_n") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("s"), F.col("pnl").cast("double").alias("p")))).alias("_t"))
+    packed = packed.select(*keys, F.col("_t.s").alias("_s"), F.col("_t.p").alias("_p"))
+    target = StructType([*[f for f in packed.schema.fields if f.name in keys], StructField("actual", DoubleType()), StructField("share", DoubleType())])
+    arrow = to_arrow_schema(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            actual, share = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
+            seqs, pnls = np.asarray(batch["_s"].flatten()), batch["_p"].flatten().to_numpy(zero_copy_only=False)
+            sizes = np.asarray(batch["_s"].value_lengths())
+            ends = np.cumsum(sizes)
+            alike: dict[bytes, list[int]] = {}
+            for k, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
+                if not np.isnan(pnls[end - n : end]).all():
+                    alike.setdefault(seqs[end - n : end].tobytes(), []).append(k)
+            for name, places in alike.items():
+                seq = np.frombuffer(name, np.int64)
+                many = max(1, 100_000 // sims)
+                for i in range(0, len(places), many):
+                    at = np.array(places[i : i + many])
+                    pnl = np.nan_to_num(pnls[ends[at][:, None] - len(seq) + np.arange(len(seq))])  # a null adds nothing
+                    actual[at] = worst_drawdowns(pnl, np.arange(len(seq))[:, None], start)[:, 0]
+                    as_bad = np.zeros(len(at))
+                    step = max(1, 2_000_000 // len(seq))
+                    for first in range(1, sims + 1, step):
+                        order = orders.get(name) if step > sims else None
+                        if order is None:
+                            numbers = np.arange(first, min(first + step, sims + 1), dtype=np.int64)
+                            order = np.argsort(drawn(numbers[None, :], seq[:, None]), axis=0, kind="stable")
+                            if len(seq) <= 64 and len(orders) < 256:
+                                orders[name] = order
+                        as_bad += (worst_drawdowns(pnl, order, start) <= actual[at][:, None]).sum(axis=1)
+                    share[at] = as_bad / sims
+            columns = [batch[f.name] if f.name in keys else pa.array(c, mask=np.isnan(c)) for f, c in zip(arrow, [None] * len(keys) + [actual, share])]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    # few bytes, much work: as many tasks as asked for
+    tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = packed.repartition(tasks, *keys).mapInArrow(run, target)
+    return short.unionByName(_permutations_by_windows(counted.filter(F.col("_n") > most).drop("_n"), keys, start, sims))
+
+
+def drawn(*parts: np.ndarray) -> np.ndarray:
+    """draw() of integers from 0 on, in numpy."""
+    out = np.int64(12345)
+    for p in parts:
+        out = (out * STEP + p * TURN + 11) % MODULUS
+        out = (out * out + 12345) % MODULUS
+    return out
+
+
+def worst_drawdowns(pnl: np.ndarray, order: np.ndarray, start: float) -> np.ndarray:
+    """(keys, orders): the lowest of equity less its peak, to four places, for pnl (keys, trades) in each order (trades, orders)."""
+    total = np.zeros((len(pnl), order.shape[1]))
+    peak, worst = np.full_like(total, start), np.zeros_like(total)
+    for row in order:
+        total += pnl[:, row]
+        equity = start + total
+        np.maximum(peak, equity, out=peak)
+        np.minimum(worst, equity - peak, out=worst)
+    return -np.floor(-worst * 1e4 + 0.5) / 1e4
+
+
+def _permutations_by_windows(trades: DataFrame, keys: list[str], start: float, sims: int) -> DataFrame:
     every = trades.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
     order = F.when(F.col("sim") == 0, F.col("seq")).otherwise(draw(F.col("sim"), F.col("seq")))
     w = Window.partitionBy(*keys, "sim").orderBy(order, "seq").rowsBetween(Window.unboundedPreceding, 0)
