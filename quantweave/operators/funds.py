@@ -11,10 +11,14 @@ are by years of 365 days unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..scratch import stored
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TIERS = ("capital", "preferred_paid", "catch_up", "carry")
 
@@ -84,45 +88,77 @@ def clawback(flows: DataFrame, fund: str, deal: str, rate: float, carry: float,
 def all_rates(flows: DataFrame, key: str, low: float = -0.99, high: float = 100.0, days: float = 365.0, cells: int = 64, parts: int = 8, width: float = 1e-10, tolerance: float = 1e-12, most: int = 40) -> DataFrame:
     """key, rate: every yearly rate between `low` and `high` at which a key's flows (date, amount) have no value.
 
-    With u = log(1 + rate) the value is a sum of amounts times exp(-years u). The range is cut into cells, and each round takes five sums a
+    With u = log(1 + rate) the value is a sum of amounts times exp(-years u). The range is cut into cells, and each round takes six sums a
     cell: value and slope at its middle, values at its ends, and bounds of the slope and its change. A cell whose value
     can't reach 0 goes; one whose slope can't has one root if its ends differ in sign, else none; all others are cut again. Only cells
     in doubt are kept, so no root between two grid points is overlooked. A root where the value only touches 0 is one whose cell has become
     as narrow as `width` with a value below `tolerance` of the gross flows.
     """
-    daily = flows.filter("date is not null and amount is not null and amount <> 0").groupBy(key, "date").agg(F.sum("amount").alias("_a"))
-    daily = stored(daily.select(key, (F.datediff("date", F.min("date").over(Window.partitionBy(key))) / days).alias("_t"), "_a"))
-    both = daily.groupBy(key).agg(F.max("_a").alias("_hi"), F.min("_a").alias("_lo"), F.sum(F.abs("_a")).alias("_gross")).filter("_hi > 0 and _lo < 0")
-    ends = [F.log1p(F.lit(low)) + (F.log1p(F.lit(high)) - F.log1p(F.lit(low))) * k / cells for k in range(cells + 1)]
-    spans = F.explode(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in zip(ends, ends[1:])])).alias("s")
-    todo = both.select(key, "_gross", spans).select(key, "_gross", F.col("s.a").alias("_l"), F.col("s.b").alias("_u"), F.lit(False).alias("_one"))
-    found = None
+    # flows of a day are one flow: a key's history has at most a row a day
+    daily = flows.filter("date is not null and amount is not null and amount <> 0").groupBy(key, "date").agg(F.sum("amount").cast("double").alias("_a"))
+    held = daily.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", "_a"))).alias("_f"), F.max("_a").alias("_hi"), F.min("_a").alias("_lo")).filter("_hi > 0 and _lo < 0")
+    years = F.transform("_f", lambda f: F.datediff(f["date"], F.get("_f", F.lit(0))["date"]) / days)
+    held = held.select(key, years.alias("_t"), F.col("_f._a").alias("_a"))
+    target = StructType([held.schema[key], StructField("rate", DoubleType())])
+    arrow = to_arrow_schema(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch["_t"].value_lengths())
+            t, a = np.asarray(batch["_t"].flatten()), np.asarray(batch["_a"].flatten())
+            first, order = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
+            i = 0
+            while i < len(order):
+                # keys of like length side by side; a flow of 0 adds nothing
+                many = min(2000, max(1, 1_000_000 // (cells * int(sizes[order[min(i + 2000, len(order) - 1)]]))))
+                some = order[i : i + many]
+                place = np.arange(sizes[some].max())
+                there = place < sizes[some][:, None]
+                at = np.where(there, first[some][:, None] + place, 0)
+                own, rate = rates(np.where(there, t[at], 0.0), np.where(there, a[at], 0.0), low, high, cells, parts, width, tolerance, most)
+                yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(some[own])), pa.array(rate)], schema=arrow)
+                i += many
+
+    # few bytes, much work: as many tasks as asked for
+    tasks = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held.repartition(tasks, key).mapInArrow(run, target)
+
+
+def rates(t: np.ndarray, a: np.ndarray, low: float, high: float, cells: int, parts: int, width: float, tolerance: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, rate) of all_rates() for rows of flows a at years t (keys, flows)."""
+    ends = np.log1p(low) + (np.log1p(high) - np.log1p(low)) * np.arange(cells + 1) / cells
+    gross = np.abs(a).sum(axis=1)
+    own, one = np.repeat(np.arange(len(a)), cells), np.zeros(len(a) * cells, bool)
+    lower, upper = np.tile(ends[:-1], len(a)), np.tile(ends[1:], len(a))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    piece = max(1, 1_000_000 // a.shape[1])
     for _ in range(most):
-        t, a = F.col("_t"), F.col("_a")
-        middle = (F.col("_l") + F.col("_u")) / 2
-        at = lambda u: a * F.exp(-t * u)
-        top = F.abs(a) * F.exp(-t * F.col("_l"))
-        s = todo.join(daily, key).groupBy(key, "_gross", "_l", "_u", "_one").agg(
-            F.sum(at(middle)).alias("f"), F.sum(-t * at(middle)).alias("d"), F.sum(at(F.col("_l"))).alias("fl"), F.sum(at(F.col("_u"))).alias("fu"),
-            F.sum(t * top).alias("b1"), F.sum(t * t * top).alias("b2"),
-        )
-        half = (F.col("_u") - F.col("_l")) / 2
+        sums = []
+        for k in range(0, len(own), piece):
+            x, y, lo, up = t[own[k : k + piece]], a[own[k : k + piece]], lower[k : k + piece, None], upper[k : k + piece, None]
+            at, left = y * np.exp(-x * ((lo + up) / 2)), np.exp(-x * lo)
+            top = x * np.abs(y) * left
+            sums.append([at.sum(axis=1), -(x * at).sum(axis=1), (y * left).sum(axis=1), (y * np.exp(-x * up)).sum(axis=1), top.sum(axis=1), (x * top).sum(axis=1)])
+        f, d, fl, fu, b1, b2 = (np.concatenate(c) for c in zip(*sums))
+        half = (upper - lower) / 2
         # the right end belongs to the next cell
-        crossed = ((F.col("fl") <= 0) & (F.col("fu") > 0)) | ((F.col("fl") >= 0) & (F.col("fu") < 0))
-        one = F.col("_one") | (F.abs("d") > F.col("b2") * half)
-        open_ = F.when(F.col("_one"), crossed).when(F.abs("f") > F.col("b1") * half * (1 + 1e-9), False).when(one, crossed).otherwise(True)
-        s = stored(s.filter(open_).select(key, "_gross", "_l", "_u", one.alias("_one"), "f", half.alias("_h"), crossed.alias("_x")))
-        narrow = F.col("_h") <= width
-        over = s.filter(narrow & (F.col("_x") | (F.abs("f") <= tolerance * F.col("_gross")))).select(key, F.expm1((F.col("_l") + F.col("_u")) / 2).alias("rate"))
-        found = over if found is None else found.unionByName(over)
-        steps = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        step = (F.col("_u") - F.col("_l")) / parts
-        todo = s.filter(~narrow).select(key, "_gross", "_l", "_u", "_one", steps.alias("_k")).select(
-            key, "_gross", (F.col("_l") + F.col("_k") * step).alias("_l"), F.when(F.col("_k") == parts - 1, F.col("_u")).otherwise(F.col("_l") + (F.col("_k") + 1) * step).alias("_u"), "_one"
-        )
-        if s.filter(~narrow).isEmpty():
+        crossed = ((fl <= 0) & (fu > 0)) | ((fl >= 0) & (fu < 0))
+        now = one | (np.abs(d) > b2 * half)
+        keep = np.where(one, crossed, ~(np.abs(f) > b1 * half * (1 + 1e-9)) & (~now | crossed))
+        own, lower, upper, one, f, half, crossed = (c[keep] for c in (own, lower, upper, now, f, half, crossed))
+        narrow = half <= width
+        over = narrow & (crossed | (np.abs(f) <= tolerance * gross[own]))
+        found.append((own[over], np.expm1((lower[over] + upper[over]) / 2)))
+        own, lower, upper, one = (c[~narrow] for c in (own, lower, upper, one))
+        if not len(own):
             break
+        step, k = np.repeat((upper - lower) / parts, parts), np.tile(np.arange(parts), len(own))
+        own, one, left, right = (np.repeat(c, parts) for c in (own, one, lower, upper))
+        lower, upper = left + k * step, np.where(k == parts - 1, right, left + (k + 1) * step)
+    own, rate = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((rate, own))
+    own, rate = own[order], rate[order]
     # a root that only touches, or lies at an end, may be told by two cells that meet there
-    w = Window.partitionBy(key).orderBy("rate")
-    near = F.coalesce(F.col("rate") - F.lag("rate").over(w) <= 100 * width * (1 + F.abs("rate")), F.lit(False))
-    return found.withColumn("_n", near).filter(~F.col("_n")).select(key, "rate")
+    near = np.zeros(len(own), bool)
+    near[1:] = (own[1:] == own[:-1]) & (rate[1:] - rate[:-1] <= 100 * width * (1 + np.abs(rate[1:])))
+    return own[~near], rate[~near]
