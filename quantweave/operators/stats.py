@@ -67,7 +67,8 @@ def benjamini_hochberg(p: DataFrame, level: float) -> DataFrame:
     ranked = stored(ranked.withColumn("_x", F.col("p") * F.col("_m") / (F.col("_k") + F.col("_before"))))
     least = ranked.groupBy("_part").agg(F.min("_x").alias("_least"))
     later = least.select("_part", F.min("_least").over(one.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    inside = F.min("_x").over(own.rowsBetween(0, Window.unboundedFollowing))
+    # the least from a row on, as a running one from the end: a frame to the end is gone through anew for every row
+    inside = F.min("_x").over(Window.partitionBy("_part").orderBy(F.desc("p"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
     out = ranked.withColumn("_inside", inside).join(F.broadcast(later), "_part", "left")
     adjusted = F.least(F.col("_inside"), F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
     return out.select(*p.columns, adjusted.alias("adjusted"), (adjusted <= level).alias("rejected"))
