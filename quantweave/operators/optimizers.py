@@ -17,7 +17,9 @@ ones keep their positions, as do books in which two symbols share less than two
 doesn't move makes the book one of equal weights, and so does a book without a mean above the riskless one. Zero
 and null positions take no part. Covariances over different dates may make a matrix by which some book has less than no
 risk: where the steps then find no book that meets the conditions, negative eigenvalues are raised to almost zero. Signs of positions stay; absolute weights add up to 1. `ridge` times the mean variance is
-added to variances, so that books of more symbols than dates have an answer. Books of more than `most` symbols are refused.
+added to variances, so that books of more symbols than dates have an answer. Books of more than `LARGE` symbols have covariances of far fewer
+dimensions than symbols; they are solved from these factors (weigh_large), negative eigenvalues raised first, and no matrix of symbols squared is made
+unless most symbols have dates of their own. Books of more than `most` symbols are refused.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 METHODS = ("risk_parity", "diversification", "sharpe")
+#: Books of more symbols than this are solved from factors, each by itself.
+LARGE = 64
 
 
 def covariances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +178,163 @@ def violation(s: np.ndarray, b: np.ndarray, y: np.ndarray, live: np.ndarray, log
     return np.where(live, off, 0.0).max(axis=1)
 
 
+def factors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(u, values): covariances() of x (symbols, dates) as (u * values) @ u.T with orthonormal columns, without a matrix of symbols squared.
+
+    Symbols with returns on the same dates have covariances of as many dimensions as dates; what is decomposed is a matrix of
+    these, for each set of dates that more symbols than dates have, and of the symbols with dates of their own. None where two symbols share less than two dates.
+    """
+    there = ~np.isnan(x)
+    v = np.where(there, x, 0.0)
+    masks, kind, size = np.unique(there, axis=0, return_inverse=True, return_counts=True)
+    large = np.flatnonzero(size > masks.sum(axis=1))
+    rest = np.flatnonzero(~np.isin(kind, large))
+    own = [np.flatnonzero(kind == p) for p in large]
+    q, r = zip(*[np.linalg.qr(v[i]) for i in own]) if own else ((), ())
+    sizes = [*[len(b) for b in r], len(rest)]
+    ends = np.cumsum(sizes)
+    spots = [slice(e - k, e) for e, k in zip(ends, sizes)]
+    core = np.zeros((ends[-1], ends[-1]))
+    for a, p in enumerate(large):
+        for b in range(a, len(large)):
+            both = (masks[p] & masks[large[b]]).astype(float)
+            count = both.sum()
+            if count < 2:
+                return None
+            middle = (np.diag(both) - np.outer(both, both) / count) / (count - 1)
+            core[spots[a], spots[b]] = r[a] @ middle @ r[b].T
+            core[spots[b], spots[a]] = core[spots[a], spots[b]].T
+        if len(rest):
+            both = there[rest] & masks[p]
+            count = both.sum(axis=1)
+            if count.min() < 2:
+                return None
+            theirs = np.where(both, v[rest], 0.0)
+            theirs = np.where(both, theirs - (theirs.sum(axis=1) / count)[:, None], 0.0) / (count - 1)[:, None]
+            core[spots[a], spots[-1]] = r[a] @ theirs.T
+            core[spots[-1], spots[a]] = core[spots[a], spots[-1]].T
+    if len(rest):
+        core[spots[-1], spots[-1]] = covariances(x[rest])[1]
+    if not np.isfinite(core).all():
+        return None
+    values, e = np.linalg.eigh(core)
+    u = np.empty((len(x), len(values)))
+    for i, base, spot in zip(own, q, spots):
+        u[i] = base @ e[spot]
+    u[rest] = e[spots[-1]]
+    return u, values
+
+
+def parity(u: np.ndarray, rho: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray | None:
+    """y of min y'(uu' + rho)y / 2 - sum(b log y): Newton steps as far as they lead down; a step costs symbols times dimensions squared."""
+    y = np.sqrt(b)
+    y = y / np.sqrt((rho * y * y).sum() + ((u.T @ y) ** 2).sum())
+    eye, least, before = np.eye(u.shape[1]), b.min(), np.inf
+    for _ in range(steps):
+        g = rho * y + u @ (u.T @ y) - b / y
+        delta = rho + b / y**2
+        scaled = u / delta[:, None]
+        d = g / delta - scaled @ np.linalg.solve(eye + u.T @ scaled, u.T @ (g / delta))
+        far = np.sqrt(max(float(g @ d), 0.0) / least)
+        if not np.isfinite(far):
+            return None
+        # within rounding of the best: no weight moves by more than this share
+        if far <= 1e-10 or (far <= 1e-6 and far >= before / 2):
+            return y - d if (y - d).min() > 0 else y
+        before = far
+        # the least along the line, at which the slope is 0; it rises all the way to the first weight that gets to 0
+        curve, slope = (rho * d * d).sum() + ((u.T @ d) ** 2).sum(), (rho * y * d).sum() + (u.T @ y) @ (u.T @ d)
+        end = 1 / max((d / y).max(), 1e-300)
+        low, high, t = 0.0, end, min(1.0, 0.9 * end)
+        for _ in range(60):
+            part = b * d / (y - t * d)
+            f, f1 = t * curve - slope + part.sum(), curve + (part * d / (y - t * d)).sum()
+            low, high = (low, t) if f > 0 else (t, high)
+            if abs(f) <= 1e-3 * abs(g @ d):
+                break
+            t = t - f / f1
+            t = t if low < t < high else (low + high) / 2
+        y = y - t * d
+    return None
+
+
+def nonnegative(u: np.ndarray, rho: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray | None:
+    """y of min y'(uu' + rho)y / 2 - b'y over y >= 0.
+
+    With w = u'y every weight is max(b - uw, 0) / rho, so what is sought are as many numbers w as there are dimensions: the least of
+    a convex function of pieces that are quadratic, by Newton steps that go as far as they lead down.
+    """
+    w, eye = np.zeros(u.shape[1]), np.eye(u.shape[1])
+    r = b.copy()
+    for _ in range(steps):
+        free = r > 0
+        own = u[free]
+        g = w - own.T @ (r[free] / rho[free])
+        d = -np.linalg.solve(eye + own.T @ (own / rho[free][:, None]), g)
+        s = u @ d
+        if not np.isfinite(s).all():
+            return None
+        # a whole step that leaves the set of free weights as it is ends at the least
+        after = r - s
+        if (((after > 0) == free) | (np.abs(after) <= 1e-15 * np.abs(b).max())).all():
+            return np.maximum(after, 0.0) / rho
+        squared, flat = d @ d, w @ d
+
+        def slope(t: float) -> float:
+            return flat + t * squared - (s * np.maximum(r - t * s, 0.0) / rho).sum()  # noqa: B023
+
+        low, high = 0.0, 1.0
+        while slope(high) < 0 and high < 1e9:
+            low, high = high, 2 * high
+        for _ in range(50):
+            t = (low + high) / 2
+            low, high = (t, high) if slope(t) < 0 else (low, t)
+        w = w + high * d
+        r = b - u @ w
+    return None
+
+
+def weigh_large(x: np.ndarray, method: str, riskless: float, ridge: float) -> np.ndarray | None:
+    """Absolute weights of one book (symbols, dates) as by weigh(), from factors; negative eigenvalues are raised at once, so the answer is the only one."""
+    there = ~np.isnan(x)
+    if not there.any(axis=1).all():
+        return None
+    mean = np.where(there, x, 0.0).sum(axis=1) / there.sum(axis=1)
+    own = factors(x)
+    if own is None or (there.sum(axis=1) < 2).any():
+        return None
+    vol = np.nanstd(x, axis=1, ddof=1)
+    n = len(x)
+    even = np.full(n, 1 / n)
+    aim = {"risk_parity": even, "diversification": vol, "sharpe": mean - riskless}[method]
+    if vol.min() < 1e-12 or aim.max() <= 0:
+        return even
+    u, values = own
+    some = values > 1e-14 * values.max()
+    u, least = u[:, some] * np.sqrt(values[some]), ridge * (vol**2).mean()
+    v = np.sqrt((u * u).sum(axis=1) + least)
+    y = parity(u / v[:, None], least / v**2, even) if method == "risk_parity" else nonnegative(u / v[:, None], least / v**2, aim / v)
+    if y is None:  # by the matrix itself
+        y = solve((u @ u.T + least * np.eye(n))[None], aim[None], np.ones((1, n), bool), method == "risk_parity")[0] * v
+    y = y / v
+    return y / y.sum() if y.sum() > 0 else even
+
+
 def weigh(books: list[np.ndarray], method: str, riskless: float, ridge: float) -> list[np.ndarray | None]:
     """Absolute weights of each book (symbols, dates) of returns; None where it keeps its positions."""
     out: list[np.ndarray | None] = [None] * len(books)
     todo = []
     for k, x in enumerate(books):
+        if len(x) > LARGE and ridge > 0:
+            out[k] = weigh_large(x, method, riskless, ridge)
+            continue
         mean, cov = covariances(x)
         if not np.isfinite(cov).all() or not np.isfinite(mean).all():
             continue
+        # more symbols than dates: the steps below lose their digits, and where the answer is the only one factors give the same
+        if len(x) > x.shape[1] and ridge > 0 and np.linalg.eigvalsh(cov + ridge * np.diag(cov).mean() * np.eye(len(x)))[0] > 0:
+            out[k] = weigh_large(x, method, riskless, ridge)
+            continue
         vol = np.sqrt(np.maximum(np.diag(cov), 0.0))
         out[k] = np.full(len(x), 1 / len(x))
         aim = {"risk_parity": np.full(len(x), 1 / len(x)), "diversification": vol, "sharpe": mean - riskless}[method]
@@ -202,7 +355,7 @@ def weigh(books: list[np.ndarray], method: str, riskless: float, ridge: float) -
     return out
 
 
-def optimise(returns: DataFrame, positions: DataFrame, method: str, lookback: int = 60, book: list[str] | None = None, riskless: float = 0.0, ridge: float = 1e-8, most: int = 2000) -> DataFrame:
+def optimise(returns: DataFrame, positions: DataFrame, method: str, lookback: int = 60, book: list[str] | None = None, riskless: float = 0.0, ridge: float = 1e-8, most: int = 20_000) -> DataFrame:
     """symbol, date, the book's columns, weight: positions (symbol, date, weight, book columns) after optimisation.
 
     returns: symbol, date, r of a dense panel.
@@ -225,10 +378,12 @@ def optimise(returns: DataFrame, positions: DataFrame, method: str, lookback: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch["_p"].to_pylist()
-            books = [np.array([[np.nan if v is None else v for v in p["_past"]] for p in b], float) for b in held]
+            ends = np.cumsum(np.asarray(batch["_p"].value_lengths()))[:-1]
+            _, weight, past = batch["_p"].flatten().flatten()
+            weights = np.split(np.asarray(weight), ends)
+            books = np.split(past.flatten().to_numpy(zero_copy_only=False).reshape(-1, lookback), ends)
             found = weigh(books, method, riskless, ridge)
-            signed = [[p["weight"] for p in b] if w is None else (np.sign([p["weight"] for p in b]) * w).tolist() for b, w in zip(held, found)]
+            signed = [p if w is None else np.sign(p) * w for p, w in zip(weights, found)]
             yield pa.RecordBatch.from_arrays([batch[f.name] if f.name != "_w" else pa.array(signed, f.type) for f in arrow], schema=arrow)
 
     # small rows, much work: as many tasks as asked for, not as few as their bytes need
