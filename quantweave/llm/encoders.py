@@ -53,6 +53,10 @@ def expand(ids: Ids, index: np.ndarray, ends: np.ndarray) -> Ids:
     return flat[at], np.diff(upto[ends])
 
 
+#: Bytes of an entry besides its piece and ids: the headers of a text and of bytes, rounding, and a place in a dict that isn't full.
+ENTRY = 192
+
+
 class Known(dict):
     """Piece -> its ids as little-endian 32-bit bytes; learn() gives those of new pieces."""
 
@@ -62,11 +66,12 @@ class Known(dict):
 
     def ids(self, distinct: list[str]) -> Ids:
         new = [p for p in distinct if p not in self]
-        if new and self.held + sum(map(len, new)) + 64 * len(new) > self.limit:
+        if new and self.held + sum(map(len, new)) + ENTRY * len(new) > self.limit:
             self.clear()
             self.held, new = 0, distinct
-        self.update(zip(new, self.learn(new)))
-        self.held += sum(map(len, new)) + 64 * len(new)
+        got = list(self.learn(new))
+        self.update(zip(new, got))
+        self.held += sum(map(len, new)) + sum(map(len, got)) + ENTRY * len(new)
         got = list(map(self.__getitem__, distinct))
         return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
 
@@ -117,7 +122,7 @@ class WordEnds:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = _marks(self.tokenizer, lambda t: t.endswith("</w>"))
-        self.known = Known(self.learn)
+        self.known = Known(self.learn, 80_000_000)
         self.marks = Known(lambda new: map(_packed, self._encode(new)))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:

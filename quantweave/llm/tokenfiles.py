@@ -39,7 +39,7 @@ def id_lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.field("element", pa.int32())))
 
 
-def encoded(rows: DataFrame, tokenizer: str, end: int | None, per: int = 2000) -> DataFrame:
+def encoded(rows: DataFrame, tokenizer: str, end: int | None, per: int = 1000) -> DataFrame:
     """Ids of rows (doc_id, text) in their order, with `end` after each document's; parts are numbered by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
