@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from ..scratch import stored
 
 
+#: Rows of a part: fits are some two hundred rounds, and each sends a result from every part to the driver.
+PART = 100_000
+
+
 def auto_cluster(rows: DataFrame, features: list[str], most: int, seed: int = 7) -> DataFrame:
     """rows with a cluster: standardised features, k-means, the k from 2 to `most` of best silhouette."""
-    v = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows.na.drop(subset=features))
-    v = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(v).transform(v).persist()
+    raw = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows.na.drop(subset=features)).persist()
+    v = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(raw).transform(raw).coalesce(raw.count() // PART + 1).persist()
     best = None
     try:
+        v.count()
+        raw.unpersist()
         for k in range(2, most + 1):
             model = KMeans(k=k, featuresCol="_x", predictionCol="cluster", seed=seed).fit(v)
             s = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(model.transform(v))
@@ -25,6 +31,7 @@ def auto_cluster(rows: DataFrame, features: list[str], most: int, seed: int = 7)
         return stored(best[1].transform(v).drop("_raw", "_x"))
     finally:
         v.unpersist()
+        raw.unpersist()
 
 
 def rules(rows: DataFrame, features: list[str]) -> DataFrame:
