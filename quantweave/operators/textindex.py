@@ -1,7 +1,7 @@
 """A stored inverted index of texts, added to in batches, and BM25 over it.
 
 An index is a folder: `postings` (batch, bucket, term, block, n, most, shortest, docs: a row a term and block of documents) and
-`documents` (batch, doc, length, block). Both are Parquet, parted by batch, postings also by the bucket of the term's
+`documents` (batch, doc, length). Both are Parquet, parted by batch, postings also by the bucket of the term's
 hash and sorted by term within; so a query reads the folders of its terms' buckets, and of those only row groups
 that can hold the terms. A batch that is added again replaces itself.
 
@@ -17,9 +17,16 @@ nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 BUCKETS, BLOCK = 64, 1024
 K1, B = 1.5, 0.75
@@ -35,23 +42,42 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _lists(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc, words) that lie side by side, each block's lists: a row a term, terms in any order."""
+    at = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for start in range(0, batch.num_rows, block):
+            some = batch.slice(start, block)
+            keys, words = some["doc"], some["words"]
+            length = np.asarray(pc.list_value_length(words), np.int64)
+            coded = words.flatten().dictionary_encode()
+            # a pair of a term and a document is one number; they come ordered by term, then document
+            pairs, tf = np.unique(np.asarray(coded.indices, np.int64) * len(length) + np.repeat(np.arange(len(length)), length), return_counts=True)
+            term, doc = np.divmod(pairs, len(length))
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            n, size = np.diff(np.append(first, len(term))), length[doc]
+            if len(first):
+                tfs = tf.astype(np.int32)
+                entries = pa.StructArray.from_arrays([keys.take(pa.array(doc)), pa.array(tfs), pa.array(size.astype(np.int32))], ["doc", "tf", "length"])
+                docs = pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), entries)
+                columns = [coded.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), at)), pa.array(n.astype(np.int32)), pa.array(np.maximum.reduceat(tfs, first)), pa.array(np.minimum.reduceat(size, first).astype(np.int32)), docs]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "most", "shortest", "docs"])
+            at += 1
+
+
 def add(docs: DataFrame, path: str, keys: list[str], batch: str, text: str = "text", block: int = BLOCK, buckets: int = BUCKETS) -> None:
-    """Index a batch of documents."""
-    # places of rows are fixed once the documents are written; a block is a run of them
-    place = F.monotonically_increasing_id()
-    rows = docs.select(F.struct(*keys).alias("doc"), words(text).alias("_w"), place.alias("_at"))
-    # of a partition's rows the first `block` are one block, and so on: the partition's number lies in the upper bits
-    rows = rows.select("doc", "_w", (F.shiftleft(F.shiftright("_at", 33), 33) + F.floor(F.expr("_at & 8589934591") / block)).alias("block"))
-    listing, postings = f"{path}/documents/batch={batch}", f"{path}/postings/batch={batch}"
-    rows.select("doc", "block", F.size("_w").alias("length"), F.col("_w").alias("words")).write.mode("overwrite").parquet(listing)
-    held = docs.sparkSession.read.parquet(listing)
-    counted = held.select("doc", "block", "length", F.explode("words").alias("term")).groupBy("term", "block", "doc", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lists = counted.groupBy("term", "block").agg(  # a block's documents at the utmost
-        F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.collect_list(F.struct("doc", "tf", "length")).alias("docs")
-    )
-    out = lists.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # a bucket may hold most lists, so files are ranges of terms and blocks
-    out.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(postings)
+    """Index a batch of documents.
+
+    A block's lists are made in the task where its documents lie; what is shuffled, once, are finished lists.
+    """
+    rows = docs.select(F.struct(*keys).alias("doc"), words(text).alias("words"))
+    rows.select("doc", F.size("words").alias("length")).write.mode("overwrite").parquet(f"{path}/documents/batch={batch}")
+    entry = StructType().add("doc", rows.schema["doc"].dataType).add("tf", "integer").add("length", "integer")
+    schema = StructType().add("term", "string").add("block", "long").add("n", "integer").add("most", "integer").add("shortest", "integer").add("docs", ArrayType(entry))
+    lists = rows.mapInArrow(lambda batches: _lists(batches, block), schema)
+    # a bucket may hold most lists, so a large one is several tasks' and files'
+    out = lists.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket")
+    out.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
 
 
 def postings(spark: SparkSession, path: str, terms: list[str], buckets: int = BUCKETS) -> DataFrame:
